@@ -6,6 +6,8 @@ other column, so tables with further or clashing columns need no care by the cal
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,3 +124,22 @@ class Words:
 
 def sum_by_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=values, minlength=n)
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name below spark.checkpoint.dir, which the whole cluster shares.
+
+    Where that is unset, as in local tests, a temporary folder takes its place.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='sigdiff-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: computed once, safe from lost executors."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

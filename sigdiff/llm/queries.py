@@ -10,6 +10,32 @@ from pyspark.sql import functions as F
 from sigdiff.llm.common import fold, held_out, table
 
 
+OP6 = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), o AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original IS NULL OR original = page_id THEN NULL ELSE original END AS refers_to
+FROM p LEFT JOIN o USING (payload_digest)
+"""
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigdiff.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigdiff.llm.common import shared_dir
+    from sigdiff.llm.warc import read_archives, write_archives
+
+    path = shared_dir(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("resolved_page_id").alias("refers_to"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigdiff.llm.quality import fit_quality, score_quality
 
@@ -19,8 +45,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality": op8_quality}
+    return {f.__name__: f for f in (op1_fingerprints, op6_warc, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": OP6}
