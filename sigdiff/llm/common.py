@@ -82,7 +82,9 @@ def _power(base: int, n: int, name: str) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
         with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate(([1], np.full(max(n, 1 << 16) - 1, base, np.uint64))).astype(np.uint64), dtype=np.uint64)
+            have = np.full(max(n, 1 << 16), base, np.uint64)
+            have[0] = 1
+            have = np.cumprod(have)
         _powers[name] = have
     return have[:n]
 
