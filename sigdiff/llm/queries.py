@@ -84,6 +84,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("resolved_page_id").alias("refers_to"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigdiff.llm.secret_scan import KINDS, find_secrets, span_text
+
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), "base_sha256", span_text("spans").alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigdiff.llm.quality import fit_quality, score_quality
 
@@ -99,7 +107,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op4_decontaminate, op5_pieces, op6_warc, op8_quality, op10_neardup)}
+    return {f.__name__: f for f in (op1_fingerprints, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
