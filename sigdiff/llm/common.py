@@ -47,7 +47,7 @@ def blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Itera
         if not batch.num_rows:
             continue
         text = batch.column("text")
-        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
