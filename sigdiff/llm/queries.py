@@ -100,6 +100,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigdiff.llm.langid import fit_languages, predict_languages
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs, fold("doc_id", 3) != 1)
+    return predict_languages(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigdiff.llm.neardup import kept, near_duplicates
 
@@ -107,7 +115,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op10_neardup)}
+    return {f.__name__: f for f in (op1_fingerprints, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op9_language, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
