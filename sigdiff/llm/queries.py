@@ -57,6 +57,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigdiff.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return score_toxicity(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigdiff.llm.decontaminate import contamination
 
@@ -115,7 +123,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op9_language, op10_neardup)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op9_language, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
