@@ -65,6 +65,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigdiff.llm.lm import fit_language_model, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 7, 2)
+    model, counts = fit_language_model(docs, ~out)
+    return score_documents(docs, model, counts).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigdiff.llm.decontaminate import contamination
 
@@ -123,7 +132,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op9_language, op10_neardup)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_language_model, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op9_language, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
