@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigdiff.llm.common import Words, blocks, mix, two_columns
+from sigdiff.llm.common import BLOCK_CHARS, Words, blocks, mix, two_columns
 
 #: log2 of the rows of weights.
 BITS = 16
 #: Labelled texts that a model is fitted on, at most, and languages that it tells apart, at most (the most frequent ones).
-TRAIN_ROWS, LANGUAGES = 3_000, 200
+TRAIN_ROWS, LANGUAGES = 1_200, 200
 #: Words of a segment in the matrix form of the recursion.
 SEGMENT = 64
 UNKNOWN = "und"
@@ -50,23 +50,41 @@ def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return np.add.reduceat(values, edges, axis=0)[0::2] if len(edges) else np.zeros((0, *values.shape[1:]), values.dtype)
 
 
-class WordFeatures:
-    """Feature rows of the words of some texts: for each n-gram size the row at each byte position, and where each word's begin and end."""
+def _features(texts: list[str], bits: int, sizes: tuple[int, ...]) -> dict:
+    w = Words(texts)
+    raw = _FOLD[np.concatenate(([32], w.raw, [32, 32, 32, 32])).astype(np.uint8)]
+    shift, grams = np.uint64(64 - bits), []
+    for n in sizes:
+        code = _CODE[0][raw[: len(raw) - 4]]
+        for j in range(1, n):
+            code += _CODE[j][raw[j : len(raw) - 4 + j]] * np.uint64(2 * j + 1)
+        # in raw the word is from start + 1 to end + 1, and has a space before and after
+        grams.append(((mix(code + np.uint64(n)) >> shift).astype(np.int32), w.start, np.maximum(w.end + 3 - n, w.start + 1)))
+    letters = _spans(_LETTER[w.raw].astype(np.int32), w.start, w.end) > 0 if len(w.start) else np.zeros(0, bool)
+    return {"n": w.n, "lexicon": (mix(w.hash + np.uint64(99)) >> shift).astype(np.int32), "letters": letters, "grams": grams}
+
 
-    def __init__(self, texts: list[str], bits: int = BITS):
-        self.words = w = Words(texts)
-        raw = _FOLD[np.concatenate(([32], w.raw, [32, 32, 32, 32])).astype(np.uint8)]
-        shift = np.uint64(64 - bits)
+class WordFeatures:
+    """Feature rows of the words of some texts: for each n-gram size the row at each byte position, and where each word's begin and end.
+
+    n, first: words of each text, and the number of its first word. doc: each word's text. letters: whether a word has any.
+    """
+
+    def __init__(self, texts: list[str], bits: int = BITS, sizes: tuple[int, ...] = (2, 3, 4)):
+        parts, at, size = [], 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= BLOCK_CHARS or i + 1 == len(texts):
+                parts.append(_features(texts[at : i + 1], bits, sizes))
+                at, size = i + 1, 0
+        join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
+        self.n, self.lexicon, self.letters = join("n", np.int64), join("lexicon", np.int32), join("letters", bool)
+        self.first = np.concatenate(([0], np.cumsum(self.n)[:-1])) if len(self.n) else self.n
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
         self.grams = []
-        for n in (2, 3, 4):
-            code = _CODE[0][raw[: len(raw) - 4]].copy()
-            for j in range(1, n):
-                code += _CODE[j][raw[j : len(raw) - 4 + j]] * np.uint64(2 * j + 1)
-            rows = (mix(code + np.uint64(n)) >> shift).astype(np.int64)
-            # in raw the word is from start + 1 to end + 1, and has a space before and after
-            self.grams.append((rows, w.start, np.maximum(w.end + 3 - n, w.start + 1)))
-        self.lexicon = (mix(w.hash + np.uint64(99)) >> shift).astype(np.int64)
-        self.letters = _spans(_LETTER[w.raw].astype(np.int32), w.start, w.end) > 0 if len(w.start) else np.zeros(0, bool)
+        for g in range(len(sizes)):
+            shift = np.concatenate(([0], np.cumsum([len(p["grams"][g][0]) for p in parts])))
+            self.grams.append(tuple(np.concatenate([p["grams"][g][k] + (s if k else 0) for p, s in zip(parts, shift, strict=False)]) if parts else np.zeros(0, np.int64) for k in range(3)))
 
     def emissions(self, weights: np.ndarray) -> np.ndarray:
         """(words, languages); zero for words without a letter."""
@@ -138,7 +156,7 @@ class LanguageModel:
 
     def label_words(self, texts: list[str]) -> tuple[WordFeatures, np.ndarray]:
         f = WordFeatures(texts, self.bits)
-        return f, posteriors(f.emissions(self.weights).astype(np.float64), self.transition, f.words.n)
+        return f, posteriors(f.emissions(self.weights).astype(np.float64), self.transition, f.n)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.languages:
@@ -146,8 +164,8 @@ class LanguageModel:
         f, p = self.label_words(texts)
         total = np.zeros((len(texts), len(self.languages)))
         for j in range(total.shape[1]):
-            total[:, j] = np.bincount(f.words.doc[f.letters], weights=p[f.letters, j], minlength=len(texts))
-        count = np.bincount(f.words.doc[f.letters], minlength=len(texts))
+            total[:, j] = np.bincount(f.doc[f.letters], weights=p[f.letters, j], minlength=len(texts))
+        count = np.bincount(f.doc[f.letters], minlength=len(texts))
         share = total / np.maximum(count, 1)[:, None]
         best = share.argmax(1)
         known = [c > 0 and any(map(str.isalpha, t)) for c, t in zip(count, texts, strict=True)]
@@ -163,7 +181,7 @@ def fit_crf(texts: list[str], langs: list[str], bits: int = BITS, seed: int = 3,
     rng = np.random.default_rng(seed)
     label = np.array([languages.index(x) for x in langs])
     f = WordFeatures(texts, bits)
-    first, n = f.words.first, f.words.n
+    first, n = f.first, f.n
     usable = np.flatnonzero(n > 0)
     weights, seen = np.zeros((1 << bits, size)), np.full((1 << bits, size), 1e-2)
     moves, moves_seen = np.zeros((size, size)), np.full((size, size), 1e-2)
@@ -246,6 +264,6 @@ def label_words(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
         for part, texts in blocks(batches):
             f, p = held.value.label_words(texts)
             names = np.array(held.value.languages)[p.argmax(1)]
-            yield pa.record_batch([part.column("doc_id"), pa.array([list(x) for x in np.split(names, np.cumsum(f.words.n)[:-1])], pa.list_(pa.string()))], ["doc_id", "langs"])
+            yield pa.record_batch([part.column("doc_id"), pa.array([list(x) for x in np.split(names, np.cumsum(f.n)[:-1])], pa.list_(pa.string()))], ["doc_id", "langs"])
 
     return two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, langs array<string>")
