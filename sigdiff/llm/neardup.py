@@ -6,8 +6,9 @@ greater of both, and registers of similar sets are often equal. Runs of ROWS reg
 are candidates. With 64 bands of 8, a pair of similarity 0.8 shares no band with a chance of about 1 in 130,000.
 
 Documents with equal sets are one node from the start. In a band's bucket each node is held against a few centres rather
-than against every other node, so a bucket costs what it has rows; the links are joined to components; and nodes of a bucket that
-are still in different components are held against new centres, and in the end against each other. Candidates whose
+than against every other node, at most BEST centres a node and round, so a round costs what it has nodes; the links are joined to
+components. After ROUNDS rounds the nodes of a bucket that are still in different components are held against each other, but for pairs that cannot be links by
+their sizes and by how many of their shingles no other of these nodes has: an exact bound. Candidates whose
 joint maximum-likelihood estimate is more than seven standard errors below the threshold are left out; the others are verified on the full sets.
 
 Null and empty texts have no shingles and are linked with nothing. Rows of one id count as one document. Rows with a null id are kept and linked
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigdiff.llm.common import Words, blocks, mix, stored, two_columns
@@ -32,9 +33,11 @@ BANDS = M // ROWS
 BASE = 1.02
 #: Estimates below this are not verified (the threshold less 0.13; a standard error at 0.8 with 512 registers is 0.018).
 SLACK = 0.13
-#: Centres of a bucket in a round, and rounds before the rest is compared in full.
-MASKS = tuple(int(x) for x in np.concatenate(([0], np.random.default_rng(11).integers(1, 2**40, 20))))
-CENTRES, ROUNDS = 3, 5
+#: Centres of a bucket in a round, centres that a node is held against in a round, and rounds.
+CENTRES, BEST, ROUNDS = 4, 2, 2
+MASKS = tuple(int(x) for x in np.concatenate(([0], np.random.default_rng(11).integers(1, 2**40, CENTRES * ROUNDS - 1))))
+#: Ids that are broadcast to pick their rows, at most (some 30 bytes each); beyond it the rows are shuffled.
+BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(5)
 _TIMES = _rng.integers(1, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -152,21 +155,53 @@ def _verified(k: int, per_cent: int):
 def _centre_pairs(members: DataFrame, masks: tuple[int, ...]) -> DataFrame:
     """members: key, rep, component. Pairs (a < b) of nodes with centres of their buckets that are in other components.
 
-    A centre is the node with the least id after a bit mask, found by an aggregate with a row for each task and key before the shuffle.
+    A centre is the node with the least id after a bit mask, found by an aggregate with a row for each task and key before the
+    shuffle. Of a node's centres the BEST ones are taken that share the most buckets with it.
     """
     least = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).alias(f"c{i}") for i, m in enumerate(masks)]
     centres = members.groupBy("key").agg(*least, F.min("component").alias("c_low"), F.max("component").alias("c_high")).where("c_low <> c_high")
-    found = members.join(centres, "key").select("rep", F.explode(F.array(*(F.col(f"c{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(masks)))).alias("centre")).where("rep <> centre")
-    return found.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    every = F.array_distinct(F.array(*(F.col(f"c{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(masks))))
+    found = members.join(centres, "key").select("rep", F.explode(every).alias("centre")).where("rep <> centre").groupBy("rep", "centre").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "centre"))
+    best = found.withColumn("place", place).where(F.col("place") <= BEST)
+    return best.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket but not a component."""
-    x, y = members.alias("x"), members.alias("y")
-    found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
+def _unshared(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """rep and lone: how many of the node's shingles no other of the nodes has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches):
+            sets = shingle_sets(texts, k)
+            ids = np.repeat(part.column("doc_id").to_numpy(), [len(s) for s in sets])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])
+
+    shingles = _picked(texts, nodes.select(F.col("rep").alias("doc_id"))).mapInArrow(run, "rep long, shingle long")
+    owners = shingles.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
+    return owners.groupBy("rep").agg(F.count("*").alias("lone"))
+
+
+def _remaining_pairs(members: DataFrame, reps: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """Pairs of nodes that share a bucket but not a component and that may be links.
+
+    The common shingles of two nodes are at most the lesser of what each shares with any other node.
+    """
+    nodes = members.select("rep").distinct()
+    sizes = _picked(reps.withColumnRenamed("rep", "doc_id"), nodes.select(F.col("rep").alias("doc_id"))).groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n"), F.count("*").alias("texts"))
+    facts = sizes.join(_unshared(nodes, texts, k), "rep", "left").select("rep", F.when(F.col("texts") == 1, F.col("n")).alias("n"), (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
+    able = members.join(facts, "rep").where(f"n IS NULL OR 100 * shared >= {per_cent} * n")
+    x, y = able.alias("x"), able.alias("y")
+    possible = F.expr(f"x.n IS NULL OR y.n IS NULL OR (100 + {per_cent}) * least(x.shared, y.shared) >= {per_cent} * (x.n + y.n)")
+    found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & possible)
     return found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
+def _picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among the ids; those are broadcast if they are few enough."""
+    ids = stored(ids.distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members with their components, of buckets that hold several components."""
     found = members.select("key", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -189,14 +224,6 @@ def _same_id(full: DataFrame, classes: DataFrame, same: list[str]) -> DataFrame:
     return stored(some.join(classes, same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "links")
 
 
-def _left_over(members: DataFrame) -> tuple[int, int]:
-    """Rows, and pairs of nodes that share a bucket but no component (with repeats)."""
-    each = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    keys = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    rows, cross = keys.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")).cast("double")) / 2).first()
-    return rows or 0, cross or 0
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links, its own included) of every row.
 
@@ -210,24 +237,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str
     members = stored(_buckets(reps), "buckets")
     texts = two_columns(docs, id_col, text_col)
     links, tested = _same_id(full, classes, same), None
-    comps = components(links)
     for number in range(ROUNDS + 1):
-        first = number * CENTRES
-        pairs = _centre_pairs(members, MASKS[first : first + CENTRES]) if number < ROUNDS else _all_pairs(members)
+        if number < ROUNDS:
+            pairs = _centre_pairs(members, MASKS[number * CENTRES : (number + 1) * CENTRES])
+        else:
+            pairs = _remaining_pairs(members, reps, texts, k, per_cent)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(verify(pairs, reps, texts, k, per_cent))
         comps = components(links)
-        if number == ROUNDS:
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
         members = stored(_labelled(members, comps), "buckets")
-        rows, cross = _left_over(members)
-        if not rows:
-            break
-        if cross <= 8 * rows:
-            # few enough to compare in full without other centres
-            pairs = stored(_all_pairs(members).join(tested, ["a", "b"], "left_anti"), "pairs")
-            comps = components(links.unionByName(verify(pairs, reps, texts, k, per_cent)))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if members.isEmpty():
             break
     ends = classes.join(comps, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", *same).join(ends, same, "left")
@@ -237,11 +257,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str
 
 def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
     """The pairs (a, b) that are links: by the registers' estimate first, then on the full sets. Written and read again."""
-    side = lambda n: reps.select(F.col("rep").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}"))
+    ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    some = _picked(reps.withColumnRenamed("rep", "doc_id"), ids(pairs))
+    side = lambda n: some.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}"))
     likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(per_cent / 100), "a long, b long").distinct(), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = stored(texts.join(ids, "doc_id", "left_semi"), "texts")
-    text = lambda n: some.select(F.col("doc_id").alias(n), F.col("text").alias(f"t{n}"))
+    read = stored(_picked(texts, ids(likely)), "texts")
+    text = lambda n: read.select(F.col("doc_id").alias(n), F.col("text").alias(f"t{n}"))
     return stored(likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verified(k, per_cent), "a long, b long").distinct(), "links")
 
 
