@@ -11,8 +11,11 @@ from sigdiff import compare as c
 from sigdiff import exprs as e
 from sigdiff import layout as p
 from sigdiff import levels as a
+from sigdiff import samples as sa
 from sigdiff import series as d
+from sigdiff import sources as so
 from sigdiff import spectrum as u
+from sigdiff import sync as sy
 from sigdiff.fixtures import OPTIONS, Fixture
 
 S = OPTIONS.significance
@@ -157,7 +160,7 @@ _query("d2_averaged_series", f", h AS (SELECT pair_id, type_id, hertz, avg(diff_
 _query("d5_time_spectrogram", "SELECT pair_id, block_no * 20 AS x, hertz, round(max(amplitude), 4) AS amplitude FROM ref GROUP BY pair_id, block_no, type_id, hertz")(lambda x: d.time_spectrogram(x.ref, 20).select("pair_id", n("x"), "hertz", r4("amplitude")))
 _query("d7_phase_series", "SELECT pair_id, type_id, channel, hertz, round(diff_phase, 3) AS diff_phase FROM matched")(lambda x: d.phase_series(x.matched).withColumn("diff_phase", F.round("diff_phase", 3)))
 _query("d8_noise_difference", ", h AS (SELECT pair_id, hertz, avg(diff_amplitude) AS v FROM every WHERE kind = 'silence' GROUP BY 1, 2), q AS (SELECT *, row_number() OVER w AS n, avg(v) OVER (PARTITION BY pair_id ORDER BY hertz ROWS 9 PRECEDING) AS average FROM h WINDOW w AS (PARTITION BY pair_id ORDER BY hertz)) SELECT pair_id, hertz, round(average, 4) AS average FROM q WHERE n > 10")(lambda x: d.noise_difference_series(x.matched, 10).select("pair_id", "hertz", r4("average")))
-_query("d13_warnings", "SELECT pair_id, unnest(list_filter([CASE WHEN m > 0 THEN 'louder' END, CASE WHEN s > 5 THEN 'spread' END], lambda v: v IS NOT NULL)) AS warning FROM (SELECT pair_id, avg(diff_amplitude) AS m, stddev_samp(diff_amplitude) AS s FROM matched GROUP BY 1)")(lambda x: d.warnings(x.audible.groupBy("pair_id").agg((F.avg("diff_amplitude") > 0).alias("louder"), (F.stddev_samp("diff_amplitude") > 5).alias("spread")), ["louder", "spread"]))
+_query("d13_warnings", "SELECT pair_id, unnest(list_filter([CASE WHEN m > 0 THEN 'louder' END, CASE WHEN s > 2 THEN 'spread' END], lambda v: v IS NOT NULL)) AS warning FROM (SELECT pair_id, avg(diff_amplitude) AS m, stddev_samp(diff_amplitude) AS s FROM matched GROUP BY 1)")(lambda x: d.warnings(x.audible.groupBy("pair_id").agg((F.avg("diff_amplitude") > 0).alias("louder"), (F.stddev_samp("diff_amplitude") > 2).alias("spread")), ["louder", "spread"]))
 _query("w4_runs", ", o AS (SELECT user_id, ts, event_id, value >= 50 AS pulse FROM events), g AS (SELECT *, CASE WHEN lag(pulse) OVER w = pulse THEN 0 ELSE 1 END AS ch FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g) SELECT user_id AS source, CAST(run AS BIGINT) AS run, pulse, count(*) AS length FROM r GROUP BY 1, 2, 3")(lambda x: d.runs(x.observations, "pulse", ["ts", "event_id"], ["source"]).select("source", n("run"), "pulse", "length"))
 
 TYPES = """WITH t AS (SELECT p_partkey % 40 AS profile_id, p_partkey AS ord, ['sync','silence','internal_sync','silence_override','user','user','user','user'][p_partkey % 8 + 1] AS kind, CAST(CASE WHEN p_partkey % 8 >= 4 THEN p_partkey % 5 + 1 ELSE -1 END AS INTEGER) AS type_id, CAST(p_partkey % 4 AS INTEGER) AS elements, p_size + 1 AS frames, p_size % 3 AS cut_frames, CASE WHEN p_partkey % 7 = 0 THEN 'S' ELSE 'm' END AS channel FROM part),
@@ -191,6 +194,18 @@ def _archive(x: Fixture) -> DataFrame:
     return both.groupBy("recording_id").agg(F.count_if(r & q).alias("matched"), F.count_if(r & ~q).alias("missing"), F.count_if(~r & q).alias("extra"))
 
 
+_query("s2_recording_facts", "SELECT p_partkey, p_retailprice * 100 / (p_size * 1000) AS seconds, least(p_size * 500.0, 20000.0) AS end_hz, p_size * 500 < 20000 AS nyquist_limited, p_retailprice * 100 / (p_size * 1000) < 10 AS too_short FROM part", False)(lambda x: so.recording_facts(x.read("part").select("p_partkey", (F.col("p_retailprice") * 100).alias("n_frames"), (F.col("p_size") * 1000).alias("sample_rate")), 20000.0, 10.0).select("p_partkey", "seconds", "end_hz", "nyquist_limited", "too_short"))
+_query("s3_full_scale", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN -48.16 WHEN 1 THEN -96.33 WHEN 2 THEN -144.49 ELSE -192.66 END AS lowest_dbfs FROM part", False)(lambda x: so.full_scale(x.read("part").select("p_partkey", ((F.col("p_partkey") % 4 + 1) * 8).cast("int").alias("bits"))).select("p_partkey", "lowest_dbfs"))
+_query("s8_difference_report", "SELECT pair_id, block_no, 'differing' AS finding, hertz, round(diff_amplitude, 4) AS value FROM matched WHERE abs(diff_amplitude) >= 1e-5 UNION ALL SELECT pair_id, block_no, 'missing', hertz, NULL FROM missing")(lambda x: so.difference_report(x.audible, x.missing).select("pair_id", "block_no", "finding", "hertz", r4("value")))
+_query("s10_pairs_of_a_group", "SELECT a.s_suppkey AS ref_id, b.s_suppkey AS comp_id FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey", False)(lambda x: so.make_pairs(x.read("supplier").select(F.col("s_suppkey").alias("recording_id"), "s_nationkey"), "all", ["s_nationkey"]).select("ref_id", "comp_id"))
+_query("s11_manual_sync", "SELECT p_partkey AS recording_id, CASE WHEN s_suppkey IS NULL THEN p_size ELSE s_suppkey * 2 END AS start_frame, CASE WHEN s_suppkey IS NULL THEN 'ok' ELSE 'manual' END AS status FROM part LEFT JOIN supplier ON s_suppkey = p_partkey", False)(lambda x: so.apply_manual_sync(x.read("part").select(F.col("p_partkey").alias("recording_id"), F.col("p_size").cast("long").alias("start_frame"), F.lit(0).alias("end_frame"), F.lit("ok").alias("status")), x.read("supplier").select(F.col("s_suppkey").alias("recording_id"), (F.col("s_suppkey") * 2).alias("start_frame"), F.lit(1).alias("end_frame"))).select("recording_id", "start_frame", "status"))
+_query("a23_sample_peak", "SELECT vec_id % 5 AS recording_id, round(max(list_max(list_transform(embedding, lambda v: abs(v))))::DOUBLE, 6) AS peak FROM embeddings GROUP BY 1", False)(lambda x: sa.sample_peak(x.blocks, ["recording_id"]).select("recording_id", r6("peak")))
+_query("d10_waveforms", "SELECT vec_id % 5 AS recording_id, vec_id // 5 AS block_no, part, round(list_min(embedding[part * 8 + 1:part * 8 + 8])::DOUBLE, 6) AS low, round(list_max(embedding[part * 8 + 1:part * 8 + 8])::DOUBLE, 6) AS high FROM embeddings, (SELECT unnest(range(8)) AS part)", False)(lambda x: sa.waveforms(x.blocks, 8).select("recording_id", "block_no", n("part"), r6("low"), r6("high")))
+_query("j11_clock", "SELECT recording_id, coalesce(arg_max(hertz, magnitude) FILTER (abs(hertz - 12) <= 0.6), arg_max(hertz, magnitude)) AS clock_hz FROM spec WHERE block_no = 3 GROUP BY 1")(lambda x: sy.clock_hz(x.spec.where("block_no = 3"), x.spec.select("recording_id").distinct().withColumn("clk_hz", F.lit(12.0))).select("recording_id", "clock_hz"))
+_query("a26_clock_levels", "SELECT recording_id, round(max(magnitude), 6) AS peak FROM spec WHERE block_no = 3 GROUP BY 1")(lambda x: sy.clock_levels(x.spec.where("block_no = 3")).select("recording_id", r6("peak")))
+_query("u10_frame_rate", "SELECT p_partkey, round((p_size + 1600) * 1000.0 / 48000 / 2, 6) AS ms_per_frame, CASE WHEN abs((p_size + 1600) * 1000.0 / 48000 / 2 / 16.6884 - 1) > 0.01 THEN 'rejected' ELSE 'ok' END AS status FROM part", False)(lambda x: sy.frame_rate(x.read("part").select("p_partkey", F.lit(0).alias("start_frame"), (F.col("p_size") + 1600).alias("end_frame"), F.lit(48000.0).alias("sample_rate"), F.lit(2).alias("sync_frames"), F.lit(16.6884).alias("expected_ms"))).select("p_partkey", r6("ms_per_frame"), "status"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Fixture(spark, sf_dir))) for name, (f, _) in _found.items()}
 
