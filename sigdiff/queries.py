@@ -205,6 +205,10 @@ _query("j11_clock", "SELECT recording_id, coalesce(arg_max(hertz, magnitude) FIL
 _query("a26_clock_levels", "SELECT recording_id, round(max(magnitude), 6) AS peak FROM spec WHERE block_no = 3 GROUP BY 1")(lambda x: sy.clock_levels(x.spec.where("block_no = 3")).select("recording_id", r6("peak")))
 _query("u10_frame_rate", "SELECT p_partkey, round((p_size + 1600) * 1000.0 / 48000 / 2, 6) AS ms_per_frame, CASE WHEN abs((p_size + 1600) * 1000.0 / 48000 / 2 / 16.6884 - 1) > 0.01 THEN 'rejected' ELSE 'ok' END AS status FROM part", False)(lambda x: sy.frame_rate(x.read("part").select("p_partkey", F.lit(0).alias("start_frame"), (F.col("p_size") + 1600).alias("end_frame"), F.lit(48000.0).alias("sample_rate"), F.lit(2).alias("sync_frames"), F.lit(16.6884).alias("expected_ms"))).select("p_partkey", r6("ms_per_frame"), "status"))
 
+_query("d4_noise_spectrogram", ", t AS (SELECT recording_id, bin, hertz, max(amplitude) AS a FROM own WHERE kind = 'silence' GROUP BY 1, 2, 3) SELECT recording_id, bin, round(a, 4) AS amplitude, CASE WHEN hertz BETWEEN 16 AND 32 THEN 'scan' WHEN hertz = 10 THEN 'vertical' END AS line FROM t")(lambda x: d.noise_spectrogram(x.own_levels, a.tag_noise_lines(x.own_levels, x.spec.sparkSession.createDataFrame(LINES, "line string, target_hz double, exact boolean"))).select("recording_id", n("bin"), r4("amplitude"), "line"))
+_query("d6_unmatched_spectrogram", "SELECT pair_id, 'missing' AS side, block_no * 20 AS x, hertz, round(amplitude, 4) AS amplitude FROM missing UNION ALL SELECT pair_id, 'extra', block_no * 20, hertz, round(amplitude, 4) FROM extra")(lambda x: d.unmatched_spectrogram(x.missing, x.extra, 20).withColumn("amplitude", r4("amplitude")))
+_query("d9_clock_series", ", k3 AS (SELECT * FROM spec WHERE block_no = 3), t AS (SELECT recording_id, max(magnitude) AS p FROM k3 GROUP BY 1), z AS (SELECT pair_id, ref_id, comp_id, greatest(r.p, q.p) AS z FROM pairs JOIN t r ON r.recording_id = ref_id JOIN t q ON q.recording_id = comp_id) SELECT pair_id, 'ref' AS side, bin, round(20 * log10(magnitude / z), 4) AS amplitude FROM z JOIN k3 ON recording_id = ref_id UNION ALL SELECT pair_id, 'comp', bin, round(20 * log10(magnitude / z), 4) FROM z JOIN k3 ON recording_id = comp_id")(lambda x: d.clock_series(x.spec.where("block_no = 3"), x.pairs).select("pair_id", "side", n("bin"), r4("amplitude")))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Fixture(spark, sf_dir))) for name, (f, _) in _found.items()}

@@ -79,3 +79,31 @@ def runs(df: DataFrame, state: str, order: list[str], by: list[str]) -> DataFram
 def ordered(df: DataFrame, series: str) -> DataFrame:
     """K3."""
     return df.orderBy(*{"ref": [F.desc("ref_amplitude")], "diff": [F.desc("diff_amplitude")], "hertz": [F.asc("hertz")]}[series])
+
+
+def noise_spectrogram(levels: DataFrame, tagged: DataFrame) -> DataFrame:
+    """The peak of each silence bin, with the noise line (of tag_noise_lines) that it lies on, if any."""
+    top = levels.where("kind = 'silence'").groupBy("recording_id", "bin", "hertz").agg(F.max("amplitude").alias("amplitude"))
+    line = tagged.where("kind = 'silence'").groupBy("recording_id", "bin").agg(F.min("line").alias("line"))
+    return top.join(line, ["recording_id", "bin"], "left")
+
+
+def unmatched_spectrogram(missing: DataFrame, extra: DataFrame, frames_per_block: int) -> DataFrame:
+    """D6."""
+    side = lambda df, name: df.select("pair_id", F.lit(name).alias("side"), (F.col("block_no") * frames_per_block).alias("x"), "hertz", "amplitude")
+    return side(missing, "missing").unionByName(side(extra, "extra"))
+
+
+def clock_series(clock_spec: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Clock spectra of both sides in dB of the louder clock."""
+    top = clock_spec.groupBy("recording_id").agg(F.max("magnitude").alias("peak"))
+    side = lambda n: top.select(F.col("recording_id").alias(f"{n}_id"), F.col("peak").alias(f"{n}_peak"))
+    zero = pairs.join(side("ref"), "ref_id").join(side("comp"), "comp_id").withColumn("zero", F.greatest("ref_peak", "comp_peak"))
+    each = zero.select("pair_id", "zero", F.explode(F.array(F.struct(F.lit("ref").alias("side"), F.col("ref_id").alias("recording_id")), F.struct(F.lit("comp").alias("side"), F.col("comp_id").alias("recording_id")))).alias("s")).select("pair_id", "zero", "s.side", "s.recording_id")
+    return clock_spec.join(each, "recording_id").select("pair_id", "side", "bin", "hertz", F.when(F.col("magnitude") > 0, 20 * F.log10(F.col("magnitude") / F.col("zero"))).alias("amplitude"))
+
+
+def high_difference_waveforms(blocks: DataFrame, pairs: DataFrame, waves: DataFrame) -> DataFrame:
+    """The waveforms (D10) of both sides of highly different blocks."""
+    both = blocks.select("pair_id", "block_no").join(pairs, "pair_id").select("pair_id", "block_no", F.explode(F.array(F.struct(F.lit("ref").alias("side"), F.col("ref_id").alias("recording_id")), F.struct(F.lit("comp").alias("side"), F.col("comp_id").alias("recording_id")))).alias("s"))
+    return both.select("pair_id", "block_no", "s.side", "s.recording_id").join(waves, ["recording_id", "block_no"])

@@ -167,3 +167,25 @@ def test_pairs_and_sinks(spark, tmp_path):
 def test_phase_wraps(spark):
     got = spark.createDataFrame([(170.0, -170.0), (-170.0, 170.0), (10.0, 30.0)], "a double, b double").select(exprs.phase_difference(F.col("a"), F.col("b")).alias("d")).collect()
     assert [r.d for r in got] == [20.0, -20.0, 20.0]
+
+
+def test_closing_train_refinement_internal_sync_and_clock(spark):
+    rate, piece = 8000, 8
+    pulse = np.sin(2 * np.pi * 2000 * np.arange(16 * piece) / rate) * 10000
+    train = np.concatenate([np.concatenate([pulse, np.zeros(16 * piece)]) for _ in range(10)])
+    tone = np.sin(2 * np.pi * 1000 * np.arange(800) / rate) * 10000
+    x = np.concatenate([np.zeros(4000), train, np.zeros(8000), tone, np.zeros(8000), train, np.zeros(4000)])
+    chunks = spark.createDataFrame([("r", k, k * rate, x[k * rate : (k + 1) * rate].tolist()) for k in range(-(-len(x) // rate))], "recording_id string, chunk_no long, start_frame long, left array<double>")
+    pieces = sync.pulse_chunks(chunks, rate)
+    opening = sync.opening_train(pieces, 2000.0, 10, 16)
+    closing = sync.closing_train(pieces, opening, 2000.0, 10, 16, 19360).first()
+    assert closing.start_frame == 4000 + len(train) + 16800 and closing.off_frames == 0
+    near = spark.createDataFrame([("r", 3900, x[3900:4200].tolist()), ("z", 0, [0.0] * 50)], "recording_id string, start_frame long, samples array<double>")
+    got = {r.recording_id: r.start_frame for r in sync.refine_start(near, rate, 2000.0).collect()}
+    assert abs(got["r"] - 4000) <= 4 and got["z"] is None
+    markers = spark.createDataFrame([("r", 1, 4000 + len(train) + 7600, 1000.0, False)], "recording_id string, segment int, start_frame long, tone_hz double, known boolean")
+    row = sync.internal_sync(pieces, markers, rate).first()
+    assert row["shift"] == 400 and row.delay_ms == 50.0
+    pairs = spark.createDataFrame([("p", "a", "b")], "pair_id string, ref_id string, comp_id string")
+    row = sync.align_clock(pairs, spark.createDataFrame([("a", 100.0), ("b", 125.0)], "recording_id string, clock_hz double")).first()
+    assert (row.ref_factor, row.comp_factor) == (1.0, 0.8)
