@@ -122,8 +122,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, keep, label_col: str = "qual
     known = two_columns(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
     got = known.mapInArrow(_feature_rows(bits), "doc_id long, label int, key array<int>, value array<float>").toArrow().sort_by("doc_id")
     key, value, label = got["key"].combine_chunks(), got["value"].combine_chunks(), got["label"].to_pylist()
-    data = [(k.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(float), y) for k, v, y in zip(key, value, label, strict=True)]
-    return ftrl(data, bits)
+    # views of the Arrow buffers; nothing is copied before training, and the buffers go back after it
+    model = ftrl([(k.values.to_numpy(), v.values.to_numpy(), y) for k, v, y in zip(key, value, label, strict=True)], bits)
+    del got, key, value
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
