@@ -27,6 +27,9 @@ def _small(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (long). Gives node and component (the least node it reaches) of every node that is not itself the least."""
     now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    ends = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if now.isEmpty():
+        return ends
     before = None
     while True:
         now = stored(_small(_large(now)), "stars")

@@ -132,22 +132,20 @@ def _likely(threshold: float):
                 a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, M) for c in ("ra", "rb"))
                 n_a, n_b = (part.column(c).to_numpy().astype(float) for c in ("na", "nb"))
                 keep = (estimate(a, b, n_a, n_b) >= threshold - SLACK) & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-6)
-                yield part.select(["a", "b"]).filter(pa.array(keep))
+                yield part.select(["a", "b", "centre"]).filter(pa.array(keep))
 
     return run
 
 
-def _verified(k: int, per_cent: int):
+def _compared(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 a, b = (shingle_sets(part.column(c).to_pylist(), k) for c in ("ta", "tb"))
-                keep = []
-                for x, y in zip(a, b, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= per_cent * (len(x) + len(y) - both) and both > 0)
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
+                sizes = [len(x) + len(y) for x, y in zip(a, b, strict=True)]
+                yield pa.record_batch([*(part.column(c) for c in ("a", "b", "centre")), pa.array(common, pa.int64()), pa.array(sizes, pa.int64())], ["a", "b", "centre", "common", "sizes"])
 
     return run
 
@@ -164,7 +162,7 @@ def _centre_pairs(members: DataFrame, masks: tuple[int, ...]) -> DataFrame:
     found = members.join(centres, "key").select("rep", F.explode(every).alias("centre")).where("rep <> centre").groupBy("rep", "centre").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "centre"))
     best = found.withColumn("place", place).where(F.col("place") <= BEST)
-    return best.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    return best.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"), "centre").dropDuplicates(["a", "b"])
 
 
 def _unshared(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -181,19 +179,26 @@ def _unshared(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return owners.groupBy("rep").agg(F.count("*").alias("lone"))
 
 
-def _remaining_pairs(members: DataFrame, reps: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
+def _remaining_pairs(members: DataFrame, held: DataFrame, reps: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
     """Pairs of nodes that share a bucket but not a component and that may be links.
 
-    The common shingles of two nodes are at most the lesser of what each shares with any other node.
+    held: a, b, centre, common of the pairs compared so far. Of two nodes, the shingles in common are at most the lesser of what each shares with any other
+    node; and where both were held against one centre, at most the lesser of what they have in common with it and the lesser of what
+    they share outside it, together.
     """
-    nodes = members.select("rep").distinct()
+    own = held.select(F.expr("if(a = centre, b, a)").alias("rep"), F.struct(F.col("centre").alias("c"), F.col("common").alias("m")).alias("one"))
+    own = own.groupBy("rep").agg(F.collect_list("one").alias("centres"))  # BEST a round at most
+    nodes = members.select("rep").unionByName(own.select(F.explode("centres.c").alias("rep"))).distinct()
     sizes = _picked(reps.withColumnRenamed("rep", "doc_id"), nodes.select(F.col("rep").alias("doc_id"))).groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n"), F.count("*").alias("texts"))
-    facts = sizes.join(_unshared(nodes, texts, k), "rep", "left").select("rep", F.when(F.col("texts") == 1, F.col("n")).alias("n"), (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
+    facts = sizes.join(_unshared(nodes, texts, k), "rep", "left").join(own, "rep", "left").where(F.col("rep").isNotNull())
+    facts = facts.select("rep", F.when(F.col("texts") == 1, F.col("n")).alias("n"), (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"), F.coalesce("centres", F.expr("cast(array() as array<struct<c:bigint,m:bigint>>)")).alias("centres"))
     able = members.join(facts, "rep").where(f"n IS NULL OR 100 * shared >= {per_cent} * n")
     x, y = able.alias("x"), able.alias("y")
-    possible = F.expr(f"x.n IS NULL OR y.n IS NULL OR (100 + {per_cent}) * least(x.shared, y.shared) >= {per_cent} * (x.n + y.n)")
+    enough = lambda common: f"{100 + per_cent} * ({common}) >= {per_cent} * (x.n + y.n)"
+    by_centre = enough("least(p.m, q.m) + least(x.shared - p.m, y.shared - q.m)")
+    possible = F.expr(f"x.n IS NULL OR y.n IS NULL OR {enough('least(x.shared, y.shared)')} AND forall(x.centres, p -> forall(y.centres, q -> p.c <> q.c OR {by_centre}))")
     found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & possible)
-    return found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    return found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().withColumn("centre", F.lit(None).cast("long"))
 
 
 def _picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -236,34 +241,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str
     reps = stored(full.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "registers").distinct(), "nodes")
     members = stored(_buckets(reps), "buckets")
     texts = two_columns(docs, id_col, text_col)
-    links, tested = _same_id(full, classes, same), None
+    links, tested, held = _same_id(full, classes, same), None, None
+    comps = components(links)
     for number in range(ROUNDS + 1):
         if number < ROUNDS:
             pairs = _centre_pairs(members, MASKS[number * CENTRES : (number + 1) * CENTRES])
+        elif held is not None:
+            pairs = _remaining_pairs(members, held, reps, texts, k, per_cent)
         else:
-            pairs = _remaining_pairs(members, reps, texts, k, per_cent)
+            break  # no bucket held two nodes
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(verify(pairs, reps, texts, k, per_cent))
+        if pairs.isEmpty():
+            continue
+        found = compare(pairs, reps, texts, k, per_cent)
+        new = found.where(f"common > 0 AND 100 * common >= {per_cent} * (sizes - common)").select("a", "b")
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        held = found if held is None else held.unionByName(found)
+        if new.isEmpty():
+            continue
+        links = links.unionByName(new)
         comps = components(links)
-        members = stored(_labelled(members, comps), "buckets")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if members.isEmpty():
-            break
+        if number < ROUNDS:
+            members = stored(_labelled(members, comps), "buckets")
+            if members.isEmpty():
+                break
     ends = classes.join(comps, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", *same).join(ends, same, "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(alone, "doc_id")).alias("component_id"))
 
 
-def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """The pairs (a, b) that are links: by the registers' estimate first, then on the full sets. Written and read again."""
-    ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id"))
+def compare(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """a, b, centre, common, sizes (of both full sets together) of the pairs whose registers do not rule a link out. Written and read again."""
+    ids = lambda p: p.select(F.col("a").alias("doc_id")).unionByName(p.select(F.col("b").alias("doc_id")))
     some = _picked(reps.withColumnRenamed("rep", "doc_id"), ids(pairs))
     side = lambda n: some.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}"))
-    likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(per_cent / 100), "a long, b long").distinct(), "likely")
+    likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(per_cent / 100), "a long, b long, centre long").distinct(), "likely")
     read = stored(_picked(texts, ids(likely)), "texts")
     text = lambda n: read.select(F.col("doc_id").alias(n), F.col("text").alias(f"t{n}"))
-    return stored(likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verified(k, per_cent), "a long, b long").distinct(), "links")
+    both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "centre", "ta", "tb")
+    return stored(both.mapInArrow(_compared(k), "a long, b long, centre long, common long, sizes long"), "compared")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
