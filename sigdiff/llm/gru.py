@@ -79,9 +79,20 @@ class Adam:
         self.at += 1
         for name, g in grads.items():
             m, v = self.state.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            params[name] -= self.rate * (m / (1 - 0.9**self.at)) / (np.sqrt(v / (1 - 0.99**self.at)) + 1e-7)
+            change = g - m
+            change *= 0.1
+            m += change
+            np.multiply(g, g, out=change)
+            change -= v
+            change *= 0.01
+            v += change
+            below = v / (1 - 0.99**self.at)
+            np.sqrt(below, out=below)
+            below += 1e-7
+            np.divide(m, 1 - 0.9**self.at, out=change)
+            change *= self.rate
+            change /= below
+            params[name] -= change
 
 
 class RowSteps:

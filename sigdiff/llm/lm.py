@@ -7,8 +7,8 @@ class and one unseen token; so unseen words have a probability, too. The state i
 document, from its first token to its end.
 
 Training, by backpropagation cut to STEPS tokens: the output biases start at the counts of the whole corpus; the driver
-fits a first model to WARM segments; then each task goes over the segments of its own documents, one from every training document, and the tasks' models are
-averaged by their numbers of segments. What is counted and what is trained on so grow with the corpus.
+fits a first model to WARM segments; then each task goes once over all segments of its own documents, and the tasks' models are
+averaged by their numbers of segments. The state is carried from segment to segment. What is counted and what is trained on so grow with the corpus.
 
 Counts of the KEPT most frequent tokens are broadcast; those of rarer ones are joined by shuffle, a row for each document and
 rare token. Tokens are told apart by 64-bit hashes. Null texts are empty: only their end is scored. Rows may repeat, and rows with a null id count as training texts.
@@ -16,6 +16,7 @@ rare token. Tokens are told apart by 64-bit hashes. Null texts are empty: only t
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ TOP, CLASS, UNITS = 4096, 64, 24
 KEPT = 200_000
 #: Tokens that gradients go back, and such pieces in a segment; segments for the first model; segments of a step.
 STEPS, PIECES, WARM, BATCH = 24, 2, 4_000, 128
-#: Tokens and documents side by side that a task scores at once.
+#: Tokens that a task trains on or scores at once; documents side by side in scoring.
 GROUP, LANES = 2_000_000, 512
 END = np.uint64(0x1D0C_E4D0_F00D_5EED)
 
@@ -114,41 +115,53 @@ def new_params(v: Vocabulary, seed: int = 1, dtype=np.float32) -> dict[str, np.n
     }
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _softmax(z: np.ndarray, own: np.ndarray, gradient: bool) -> np.ndarray:
+    """Logarithms of the softmax at own; z becomes the gradient of their negative sum, if asked for."""
+    z -= z.max(1, keepdims=True)
+    at = np.arange(len(z))
+    out = z[at, own]
+    np.exp(z, out=z)
+    total = z.sum(1)
+    if gradient:
+        z /= total[:, None]
+        z[at, own] -= 1
+    return out - np.log(total)
 
 
 def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, top: int, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural logarithms for targets (of the class alone for other tokens); adds to grads, if given, and gives the states' gradients of the negative sum."""
     kind = np.minimum(target // CLASS, len(p["bc"]) - 1)
     kind[target >= top] = len(p["bc"]) - 1
-    logs = _log_softmax(h @ p["wc"] + p["bc"])
-    out = logs[np.arange(len(h)), kind]
+    order = np.argsort(kind, kind="stable")
+    kind, target, h = kind[order], target[order], h[order]
+    d = h @ p["wc"]
+    d += p["bc"]
+    logs = _softmax(d, kind, grads is not None)
     dh = None
     if grads is not None:
-        d = np.exp(logs)
-        d[np.arange(len(h)), kind] -= 1
         grads["wc"] += h.T @ d
         grads["bc"] += d.sum(0)
         dh = d @ p["wc"].T
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(len(p["bc"])))
+    edges = np.searchsorted(kind, np.arange(len(p["bc"]))).tolist()
     for c in range(len(p["bc"]) - 1):
-        rows = order[edges[c] : edges[c + 1]]
-        if not len(rows):
+        rows = slice(edges[c], edges[c + 1])
+        if rows.start == rows.stop:
             continue
         of = slice(c * CLASS, (c + 1) * CLASS)
-        logs = _log_softmax(h[rows] @ p["wt"][of].T + p["bt"][of])
-        own = target[rows] - c * CLASS
-        out[rows] += logs[np.arange(len(rows)), own]
+        d = h[rows] @ p["wt"][of].T
+        d += p["bt"][of]
+        logs[rows] += _softmax(d, target[rows] - c * CLASS, grads is not None)
         if grads is not None:
-            d = np.exp(logs)
-            d[np.arange(len(rows)), own] -= 1
             grads["wt"][of] += d.T @ h[rows]
             grads["bt"][of] += d.sum(0)
             dh[rows] += d @ p["wt"][of]
-    return out, dh
+    out = np.empty_like(logs)
+    out[order] = logs
+    if grads is None:
+        return out, None
+    back = np.empty_like(dh)
+    back[order] = dh
+    return out, back
 
 
 def segment_gradients(p: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray, top: int) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
@@ -163,8 +176,13 @@ def segment_gradients(p: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray,
     d_states = np.zeros_like(states)
     d_states[real] = dh
     dx, grads["u"] = backward(d_states, cache, p["u"])
-    np.add.at(grads["x"], inputs.ravel(), dx.reshape(-1, dx.shape[2]))
-    return -float(logs.sum()) / n, {k: g / n for k, g in grads.items()}, states[-1]
+    order = np.argsort(inputs, axis=None, kind="stable")
+    rows = inputs.ravel()[order]
+    new = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    grads["x"][rows[new]] = np.add.reduceat(dx.reshape(-1, dx.shape[2])[order], new)
+    for g in grads.values():
+        g /= n
+    return -float(logs.sum()) / n, grads, states[-1]
 
 
 def train(p: dict[str, np.ndarray], segments: np.ndarray, top: int, rate: float, epochs: int = 1, seed: int = 1) -> None:
@@ -180,27 +198,61 @@ def train(p: dict[str, np.ndarray], segments: np.ndarray, top: int, rate: float,
                 adam(p, g)
 
 
+def train_runs(p: dict[str, np.ndarray], segments: np.ndarray, first: np.ndarray, top: int, adam: Adam, seed: int = 1) -> None:
+    """In place, over every segment once; the state is carried from each segment to the next, unless first, which marks the segments that begin a text.
+
+    Runs lie one after another in up to BATCH lanes, which are trained side by side. A run longer than a lane's share goes on in
+    another lane, from a blank state, so that a few long texts fill all lanes, too.
+    """
+    share = -(-len(segments) // BATCH)
+    starts = np.flatnonzero(first)
+    starts = np.concatenate([np.arange(a, b, share) for a, b in zip(starts, np.append(starts[1:], len(first)), strict=True)])
+    sizes = np.diff(np.append(starts, len(segments)))
+    lanes: list[list[int]] = [[] for _ in range(min(BATCH, len(starts)))]
+    filled = [(0, k) for k in range(len(lanes))]
+    for r in np.argsort(-sizes, kind="stable").tolist():
+        n, k = filled[0]
+        lanes[k].append(r)
+        heapq.heapreplace(filled, (n + int(sizes[r]), k))
+    lengths = np.array([n for n, _ in sorted(filled, key=lambda x: (-x[0], x[1]))])
+    rng = np.random.default_rng(seed)
+    rows = np.full((int(lengths[0]), len(lanes)), -1)
+    for column, (_, k) in enumerate(sorted(filled, key=lambda x: (-x[0], x[1]))):
+        own = np.concatenate([np.arange(starts[r], starts[r] + sizes[r]) for r in rng.permutation(lanes[k])])
+        rows[: len(own), column] = own
+    new = np.zeros(len(segments), bool)
+    new[starts] = True
+    h = np.zeros((len(lanes), UNITS), p["u"].dtype)
+    for row in rows:
+        row = row[row >= 0]
+        part = segments[row]
+        h = h[: len(row)] * ~new[row][:, None]
+        for k in range(PIECES):
+            piece = part[:, k * STEPS : (k + 1) * STEPS + 1]
+            if (piece[:, 1:] >= 0).any():
+                _, g, h = segment_gradients(p, piece, h, top)
+                adam(p, g)
+
+
 def segments_of(docs: DataFrame, held) -> DataFrame:
-    """doc_id and ids of one segment of every text: where it lies follows from the text's own tokens. Short ones end in -1."""
+    """doc_id, at and ids of all segments of every text, in order; at counts from 0 in each text. The last one ends in -1."""
     length = STEPS * PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
         for part, texts in blocks(batches):
             hashes, n = tokens(texts)
-            ids = v.ids(v.look_up(hashes))
-            out, at = [], 0
-            for k in n.tolist():
-                own = ids[at : at + k]
-                start = int(hashes[at : at + k].sum() % np.uint64(max(1, k - length + 1)))
-                piece = np.full(length + 1, -1, np.int32)
-                piece[0] = own[start - 1] if start else v.top + 1
-                piece[1 : 1 + len(own[start : start + length])] = own[start : start + length]
-                out.append(piece)
-                at += k
-            yield pa.record_batch([part.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = v.ids(v.look_up(hashes)).astype(np.int32)
+            rows = (n - 1) // length + 1
+            doc = np.repeat(np.arange(len(n)), rows)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(rows) - rows, rows)
+            place = (at * length)[:, None] + np.arange(-1, length)
+            out = np.where(place < n[doc][:, None], ids[np.clip((np.cumsum(n) - n)[doc][:, None] + place, 0, len(ids) - 1)], np.int32(-1))
+            out[at == 0, 0] = v.top + 1
+            edges = np.arange(len(doc) + 1, dtype=np.int32) * (length + 1)
+            yield pa.record_batch([part.column("doc_id").take(pa.array(doc)), pa.array(at, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(out.ravel()))], ["doc_id", "at", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.mapInArrow(run, "doc_id long, at int, ids array<int>")
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -236,23 +288,40 @@ def fit_language_model(docs: DataFrame, keep: Column, id_col: str = "doc_id", te
     held = spark.sparkContext.broadcast(v)
     segments = stored(segments_of(known, held), "segments")
     params = new_params(v)
-    warm = segments.orderBy(F.xxhash64("doc_id", "ids"), "doc_id").limit(WARM).toArrow()["ids"].to_pylist()
+    warm = segments.orderBy(F.xxhash64("doc_id", "at", "ids"), "doc_id", "at").limit(WARM).toArrow()["ids"].to_pylist()
     if warm:
         train(params, np.array(warm, np.int64), v.top, 0.01, 2)
     first = spark.sparkContext.broadcast(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, seen = {k: x.copy() for k, x in first.value.items()}, 0
+        p, adam, seen, size = {k: x.copy() for k, x in first.value.items()}, Adam(0.003), 0, 0
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def learn() -> None:
+            begins = np.concatenate([b for _, b in waiting])
+            begins[0] = True
+            train_runs(p, np.concatenate([x for x, _ in waiting]), begins, held.value.top, adam, seen)
+            waiting.clear()
+
+        last = -1
         for batch in batches:
-            own = np.array(batch.column("ids").to_pylist(), np.int64)
-            if len(own):
-                train(p, own, held.value.top, 0.003, seed=seen)
-                seen += len(own)
+            if not batch.num_rows:
+                continue
+            at = batch.column("at").to_numpy()
+            waiting.append((batch.column("ids").flatten().to_numpy().reshape(len(at), -1), at != np.append(last, at[:-1]) + 1))
+            last = int(at[-1])
+            waiting[-1][1][at == 0] = True
+            seen, size = seen + len(at), size + len(at)
+            if size * STEPS * PIECES >= GROUP:
+                learn()
+                size = 0
+        if waiting:
+            learn()
         if seen:
             flat = _flat(p)
             yield pa.record_batch([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen), pa.int64())], ["at", "value", "n"])
 
-    mean = segments.mapInArrow(run, "at int, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
+    mean = segments.select("at", "ids").mapInArrow(run, "at int, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
     if mean.num_rows:
         flat = np.empty(mean.num_rows)
         flat[mean["at"].to_numpy()] = mean["value"].to_numpy()

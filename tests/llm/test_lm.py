@@ -39,6 +39,52 @@ def test_base_counts_and_better_scores(spark, monkeypatch):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_segments_cover_every_token(spark):
+    texts = ["", "a", " ".join(f"w{i % 70}" for i in range(47)), " ".join(f"w{i % 70}" for i in range(48)), " ".join(f"w{i % 70}" for i in range(1000))]
+    d = docs(spark, texts)
+    hashes = np.unique(lm.tokens(texts)[0])
+    v = lm.Vocabulary(hashes, np.ones(len(hashes), np.int64), np.arange(len(hashes)), len(hashes), len(hashes))
+    rows = lm.segments_of(d.select("doc_id", "text"), spark.sparkContext.broadcast(v)).orderBy("doc_id", "at").collect()
+    for i, t in enumerate(texts):
+        own = v.ids(v.look_up(lm.tokens([t])[0])).tolist()
+        mine = [r.ids for r in rows if r.doc_id == i]
+        assert len(mine) == (len(own) - 1) // 48 + 1
+        assert [x for r in mine for x in r[1:] if x >= 0] == own
+        assert [r[0] for r in mine] == [v.top + 1, *(own[k * 48 - 1] for k in range(1, len(mine)))]
+
+
+def test_every_segment_is_trained_on_once_and_follows_its_own(monkeypatch):
+    seen = []
+
+    def gradients(p, ids, h, top):
+        seen.extend((ids[k, 1], h[k, 0]) for k in range(len(ids)))
+        return 0.0, {}, np.repeat(ids[:, -1:], lm.UNITS, 1).astype(np.float32)
+
+    monkeypatch.setattr(lm, "segment_gradients", gradients)
+    for sizes in ([1] * 500, [700], [300, 1, 2, 5, 40], [1]):
+        seen.clear()
+        n = sum(sizes)
+        segments = np.arange(1, n * 48 + 1).reshape(n, 48)
+        segments = np.concatenate([segments[:, :1] - 1, segments], 1)
+        first = np.zeros(n, bool)
+        first[np.cumsum([0, *sizes[:-1]])] = True
+        lm.train_runs({"u": np.zeros(1, np.float32)}, segments, first, 10**9, lambda p, g: None)
+        assert sorted(x for x, _ in seen) == list(range(1, n * 48, 24))
+        begins = {int(s) * 48 + 1 for s in np.flatnonzero(first)}
+        fresh = {int(x) for x, h in seen if h == 0}
+        assert begins <= fresh and all(h == x - 1 for x, h in seen if h) and len(fresh) <= len(sizes) + lm.BATCH
+
+
+def test_few_long_texts_train_the_network(spark):
+    rng = np.random.default_rng(5)
+    nouns, verbs = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    texts = [" ".join(rng.choice((nouns, verbs)[k % 2]) for k in range(30_000)) for _ in range(4)]
+    d = docs(spark, texts)
+    rows = lm.score_documents(d, *lm.fit_language_model(d, F.col("doc_id") > 0)).collect()
+    held_out = next(r for r in rows if r.doc_id == 0)
+    assert (held_out.score - held_out.base_score) / held_out.n_tokens > 0.2  # of log10(2) = 0.30 at most
+
+
 def test_probabilities_sum_to_one(spark):
     d = docs(spark, made())
     model, _ = lm.fit_language_model(d, F.lit(True))
