@@ -1,13 +1,13 @@
 """Secret scans: three fixed patterns, and a battery of randomness tests over other long tokens.
 
 The patterns (base spans) are an assignment to a name such as password, an access key that begins with AKIA, and lower-case hex
-of at least 24 characters. Further candidates are runs of at least 20 characters of the base64 alphabets that no base
-span touches. For each the smallest fitting alphabet is inferred, and the symbols' places in it go through a chi-squared test of
+of at least 24 characters. Further candidates are at least 20 characters of the base64 alphabets in a run, outside
+base spans. For each the smallest fitting alphabet is inferred, and the symbols' places in it go through a chi-squared test of
 uniformity, a runs test about the middle and a test of serial correlation; Fisher's method joins the three to one
 p-value of randomness.
 
-Ordinary writing gives the null distribution: a window of each document's own characters, laid into one of the alphabets and
-cut to one of the length classes, goes through the same battery. A candidate's p-value is the share of such windows, of its alphabet and of no higher length class,
+Ordinary writing gives the null distribution: all characters of each document, laid into each of the alphabets and
+cut to windows of each of the length classes, go through the same battery. A candidate's p-value is the share of such windows, of its alphabet and of no higher length class,
 that look at least as random. Longer candidates get more weight in a weighted Benjamini-Hochberg procedure over the candidates
 of all documents, which fixes the accepted (alphabet, length class, bin) cells. Spans of kind random are added, base spans stay.
 
@@ -20,6 +20,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ HEX_LENGTH, ACCESS_LENGTH, VALUE_LENGTH = 24, 20, 6
 CLASSES = (20, 28, 40, 64, 128)
 #: Steps of a quarter of a power of ten in the p-value of randomness.
 BINS = 40
-#: Windows of ordinary writing from each document.
-WINDOWS = 3
+#: Characters of windows that go through the battery at once.
+AT_ONCE = 16384
 #: False discoveries among accepted candidates, at most.
 RATE = 0.05
 
@@ -105,27 +106,68 @@ def _long_runs(member: np.ndarray, least: int) -> tuple[list[int], list[int]]:
     return start[keep].tolist(), end[keep].tolist()
 
 
-def controls(raw: np.ndarray) -> list[int]:
-    """The cells of WINDOWS windows of ordinary writing: alphabets, lengths and places follow from the text's own hash."""
-    out = []
-    h = int.from_bytes(hashlib.blake2b(raw.tobytes(), digest_size=8 * WINDOWS).digest(), "little")
-    for _ in range(WINDOWS):
-        encoding, n = h % len(NAMES), CLASSES[h // 16 % len(CLASSES)]
-        name = NAMES[encoding]
-        at = h // 256 % 2**40 % max(1, len(raw) - 16 * n)
-        h >>= 64
-        window = raw[at : at + 40 * n]
-        if name in ("HEX", "upper", "base32", "upper36"):
-            window = np.where((window >= 97) & (window <= 122), window - 32, window)
-        x = _PLACE[encoding, window]
-        x = x[x >= 0][:n]
-        if len(x) == n:
-            out.append(cell(encoding, n, battery(x, len(ALPHABETS[name]))))
+@lru_cache(None)
+def _tables(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minus the logarithms of battery()'s first two p-values, by the sum of squared counts, and by n1 and runs."""
+    df = size - 1
+    chi = np.zeros(n * n + 1)
+    for k in range(n, n * n + 1):
+        x = k * size / n - n
+        if x > 0:
+            chi[k] = -math.log(max(_tail(((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))), 1e-300))
+    runs = np.full((n + 1, n + 1), (n - 1) * math.log(2))
+    for n1 in range(1, n):
+        mean = 1 + 2 * (n - n1) * n1 / n
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        for k in range(n + 1):
+            runs[n1, k] = -math.log(max(2 * _tail(abs(k - mean) / math.sqrt(var)), 1e-300)) if var > 0 else 0
+    return chi, runs
+
+
+_Z = np.arange(0, 37, 1 / 512)
+_LOG_Z = -np.log([2 * _tail(z) for z in _Z])
+
+
+def batteries(x: np.ndarray, size: int) -> np.ndarray:
+    """battery() of each row of x."""
+    w, n = x.shape
+    chi, runs = _tables(n, size)
+    counts = np.bincount((x + (np.arange(w) * size)[:, None]).ravel(), minlength=w * size).astype(np.float32).reshape(w, size)
+    d = 2 * x.astype(np.float32) - np.float32(size - 1)
+    side = np.where(d > 0, np.float32(1), np.float32(-1))
+    add = lambda a, b: np.einsum("ij,ij->i", a, b)  # noqa: E731 - sums of whole numbers below 2**24, so they are exact
+    z = add(d[:, 1:], d[:, :-1]) / ((size * size - 1) / 3) / math.sqrt(n - 1)
+    n1, turns = (side @ np.ones(n, np.float32) + n) / 2, (n - 1 - add(side[:, 1:], side[:, :-1])) / 2
+    half = chi[add(counts, counts).astype(np.int64)] + runs[n1.astype(np.int64), 1 + turns.astype(np.int64)] + np.interp(np.abs(z), _Z, _LOG_Z)
+    return np.minimum(1.0, np.exp(-half) * (1 + half + half * half / 2))
+
+
+def controls(raw: np.ndarray, first: np.ndarray) -> dict[int, int]:
+    """Numbers of windows of ordinary writing by cell: all of each text's own characters, in every alphabet, cut to every length class. first: where texts begin."""
+    out: dict[int, int] = {}
+    up = np.where((raw >= 97) & (raw <= 122), raw - 32, raw)
+    for encoding, name in enumerate(NAMES):
+        x = _PLACE[encoding, up if name in ("HEX", "upper", "base32", "upper36") else raw]
+        kept = x >= 0
+        before = np.concatenate(([0], np.cumsum(kept)))[np.minimum(first, len(raw))]
+        x, own = x[kept].astype(np.int64), np.diff(before)
+        for n in CLASSES:
+            k = own // n
+            if not k.sum():
+                continue
+            starts = np.repeat(before[:-1] - n * (np.cumsum(k) - k), k) + n * np.arange(k.sum())
+            rows, base = np.lib.stride_tricks.sliding_window_view(x, n), cell(encoding, n, 1.0)
+            # a few at a time stay in the processor's cache
+            p = np.concatenate([batteries(rows[starts[i : i + AT_ONCE // n]], len(ALPHABETS[name])) for i in range(0, len(starts), AT_ONCE // n)])
+            bins = np.minimum(BINS - 1, (-4 * np.log10(np.maximum(p, 1e-30))).astype(np.int64))
+            for b, found in enumerate(np.bincount(bins, minlength=BINS).tolist()):
+                if found:
+                    out[base + b] = out.get(base + b, 0) + found
     return out
 
 
-def scan(texts: list[str]) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]], list[list[int]]]:
-    """For each text: base spans (start, end, kind), candidates (start, end, cell), both in code points, and its windows' cells."""
+def scan(texts: list[str], ordinary: bool = True) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]], dict[int, int]]:
+    """For each text: base spans (start, end, kind) and candidates (start, end, cell), both in code points; the numbers of all texts' windows by cell, if asked for."""
     encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
     joined = b"\n".join(encoded)  # no pattern crosses a line feed
     raw = np.frombuffer(joined, np.uint8)
@@ -148,16 +190,20 @@ def scan(texts: list[str]) -> tuple[list[list[tuple[int, int, int]]], list[list[
         spans[d].append((start, end, kind))
         taken[d].append((a, b))
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for a, b in zip(*_long_runs(_RUN[raw], CLASSES[0]), strict=True):
-        d = int(np.searchsorted(first, a, side="right")) - 1
-        if any(a < y and x < b for x, y in taken[d]):
-            continue
-        encoding = infer(raw[a:b])
-        size = len(ALPHABETS[NAMES[encoding]])
-        where = cell(encoding, b - a, battery(_PLACE[encoding, raw[a:b]].astype(np.int64), size))
-        _, start, end = place(a, b)
-        found[d].append((start, end, where))
-    windows = [controls(raw[first[i] : first[i + 1] - 1]) for i in range(len(texts))]
+    for left, right in zip(*_long_runs(_RUN[raw], CLASSES[0]), strict=True):
+        d = int(np.searchsorted(first, left, side="right")) - 1
+        # what base spans leave of the run
+        held = sorted((x, y) for x, y in taken[d] if left < y and x < right)
+        begins = [left, *(y for _, y in held)]
+        for a, b in zip(np.maximum.accumulate(begins).tolist(), [*(x for x, _ in held), right], strict=True):
+            if b - a < CLASSES[0]:
+                continue
+            encoding = infer(raw[a:b])
+            size = len(ALPHABETS[NAMES[encoding]])
+            where = cell(encoding, b - a, battery(_PLACE[encoding, raw[a:b]].astype(np.int64), size))
+            _, start, end = place(a, b)
+            found[d].append((start, end, where))
+    windows = controls(raw, first) if ordinary else {}
     for s in spans:
         s.sort(key=lambda x: (x[0], x[2]))
     return spans, found, windows
@@ -169,25 +215,29 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))
 SPAN_SQL = "array<struct<start:int,end:int,kind:int>>"
+NULL = pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())]))
+NULL_SQL = "array<struct<cell:int,n:bigint>>"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base (spans), base_sha256, found (candidates with their cell in place of the kind), windows (cells of ordinary writing); no shuffle."""
+    """doc_id, base (spans), base_sha256, found (candidates with their cell in place of the kind), windows (numbers of windows of ordinary writing by cell, of a block of rows at once); no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
             spans, found, windows = scan(texts)
             rows = lambda every: pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in one] for one in every], SPAN)
             digest = pa.array([hashlib.sha256(written(s).encode()).hexdigest() for s in spans], pa.string())
-            yield pa.record_batch([part.column("doc_id"), rows(spans), digest, rows(found), pa.array(windows, pa.list_(pa.int32()))], ["doc_id", "base", "base_sha256", "found", "windows"])
+            # the block's first row has the windows of all its texts
+            null = pa.array([[{"cell": c, "n": n} for c, n in windows.items()], *[[]] * (len(texts) - 1)], NULL)
+            yield pa.record_batch([part.column("doc_id"), rows(spans), digest, rows(found), null], ["doc_id", "base", "base_sha256", "found", "windows"])
 
-    return two_columns(docs, id_col, text_col).mapInArrow(run, f"doc_id long, base {SPAN_SQL}, base_sha256 string, found {SPAN_SQL}, windows array<int>")
+    return two_columns(docs, id_col, text_col).mapInArrow(run, f"doc_id long, base {SPAN_SQL}, base_sha256 string, found {SPAN_SQL}, windows {NULL_SQL}")
 
 
 def accepted_cells(seen: DataFrame, rate: float = RATE) -> list[int]:
     """Weighted Benjamini-Hochberg over all candidates; a count for each cell (at most 2,400) reaches the driver."""
     tests = {r.cell: r.n for r in seen.select(F.explode("found.kind").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    null = {r.cell: r.n for r in seen.select(F.explode("windows").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    null = {r.cell: r.n for r in seen.select(F.explode("windows").alias("w")).groupBy("w.cell").agg(F.sum("w.n").alias("n")).collect()}
     total = sum(tests.values())
     if not total:
         return []
@@ -235,7 +285,7 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rate
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
-            base, found, _ = scan([t or "" for t in texts])
+            base, found, _ = scan([t or "" for t in texts], False)
             out = []
             for text, spans, more in zip(texts, base, found, strict=True):
                 spans = [*spans, *((a, b, 3) for a, b, c in more if c in cells)]

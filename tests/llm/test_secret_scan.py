@@ -64,6 +64,31 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert len(set(got) - set(planted)) <= 0.1 * len(planted)
 
 
+def test_windows_cover_every_text(spark):
+    text = "".join(random.Random(4).choices(string.ascii_letters + "  ", k=3000))
+    raw = np.frombuffer(text.encode() + b"\n", np.uint8)
+    null = sc.controls(raw, np.array([0, len(raw)]))
+    for e, name in enumerate(sc.NAMES):
+        source = text.upper() if name in ("HEX", "upper", "base32", "upper36") else text
+        x = np.array([sc.ALPHABETS[name].index(c) for c in source if c in sc.ALPHABETS[name]])
+        for k, n in enumerate(sc.CLASSES):
+            rows = x[: len(x) // n * n].reshape(-1, n)
+            own = range((e * len(sc.CLASSES) + k) * sc.BINS, (e * len(sc.CLASSES) + k + 1) * sc.BINS)
+            assert sum(null.get(c, 0) for c in own) == len(rows)
+            assert np.allclose(sc.batteries(rows, len(sc.ALPHABETS[name])), [sc.battery(r, len(sc.ALPHABETS[name])) for r in rows], rtol=1e-4)
+
+
+def test_one_short_key_in_few_texts_is_found_also_beside_a_base_span(spark):
+    rng = random.Random(3)
+    words = ["thering", "nation", "onwhen", "eration", "the", "of", "ingly", "edtion", "anderer"]
+    texts = [" ".join(rng.choices(words, k=2000)) for _ in range(40)]
+    key = "q7Xz0Lm4VtK9bWc2RjYp"
+    texts[5] = f"{key} {texts[5]}"
+    texts[6] = f"{'0123456789abcdef' * 2}-{key} {texts[6]}"
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in sc.find_secrets(docs(spark, texts)).collect()}
+    assert got[5] == [(0, 20)] and got[6] == [(32, 53)] and sum(map(len, got.values())) == 2
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     d = docs(spark, ["é password=hunter22 end", None, "plain"])
     got = {r.doc_id: (r.text, r.n_chars) for r in sc.redact(d).collect()}
