@@ -84,7 +84,7 @@ _query("p11_only", "SELECT recording_id, count(*) AS n FROM spec WHERE kind = 's
 _query("p8_route_channels", "SELECT vec_id, channel, round(total, 4) AS total FROM (SELECT vec_id, 'l' AS channel, CASE WHEN vec_id % 3 = 0 THEN list_sum(embedding::DOUBLE[]) WHEN vec_id % 3 = 1 THEN 1.5 * list_sum(embedding::DOUBLE[]) ELSE list_sum(embedding::DOUBLE[]) END AS total FROM embeddings UNION ALL SELECT vec_id, 'r', 2 * list_sum(embedding::DOUBLE[]) FROM embeddings WHERE vec_id % 3 = 2)", False)(
     lambda x: u.route_channels(x.read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("left"), F.when(F.col("vec_id") % 3 > 0, F.transform(F.col("embedding").cast("array<double>"), lambda v: 2 * v)).alias("right"), F.when(F.col("vec_id") % 3 == 2, "S").otherwise("m").alias("routing"))).select("vec_id", "channel", r4(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v), "total")))
 _query("j6_window_table", "SELECT size, round(list_sum(list_transform(range(size), lambda i: 0.5 - 0.5 * cos(2 * pi() * i / (size - 1)))), 4) AS total FROM (SELECT DISTINCT p_size + 8 AS size FROM part)", False)(lambda x: u.window_table(x.read("part").select((F.col("p_size") + 8).alias("size")), "h").select("size", r4(F.aggregate("w", F.lit(0.0), lambda s, v: s + v), "total")))
-_query("j7_nearest_bin", "SELECT p_partkey, CASE WHEN b >= 2 AND b < 30 THEN b ELSE 0 END AS hz FROM (SELECT p_partkey, ceil(p_retailprice / 40 - 0.5) AS b FROM part)", False)(lambda x: x.read("part").select("p_partkey", F.expr("ceil(p_retailprice / 40 - 0.5)").alias("b")).select("p_partkey", F.when((F.col("b") >= 2) & (F.col("b") < 30), F.col("b")).otherwise(0).cast("double").alias("hz")))
+_query("j7_nearest_bin", "SELECT p_partkey, CASE WHEN b >= 2 AND b < 30 THEN b ELSE 0 END AS hz FROM (SELECT p_partkey, ceil(p_retailprice / 40 - 0.5) AS b FROM part)", False)(lambda x: x.read("part").select("p_partkey", u.nearest_bin(F.col("p_retailprice") / 40, F.lit(1000.0), 2.0, 30.0).alias("hz")))
 _query("a1_peaks", "SELECT recording_id, arg_max(block_no, magnitude) AS block_no, arg_max(bin, magnitude) AS bin, round(max(magnitude), 6) AS magnitude FROM spec WHERE kind <> 'silence' GROUP BY 1")(lambda x: a.peaks(x.spec).select("recording_id", "block_no", n("bin"), r6("magnitude")))
 _query("a2_zero_reference", "SELECT pair_id, round(zero_db, 6) AS zero_db FROM pairs")(lambda x: x.zero.select("pair_id", r6("zero_db")))
 _query("a3_self_normalise", "SELECT recording_id, block_no, bin, round(amplitude, 4) AS amplitude FROM own WHERE rank <= 3")(lambda x: x.own_levels.where("rank <= 3").select("recording_id", "block_no", n("bin"), r4("amplitude")))

@@ -115,7 +115,7 @@ def only(spec: DataFrame, *kinds: str) -> DataFrame:
     return spec.where(F.col("kind").isin(*kinds))
 
 
-def nearest_bin(hz: float, boxsize_ms, start_hz: float, end_hz: float):
+def nearest_bin(hz, boxsize_ms, start_hz: float, end_hz: float):
     """The bin's hertz, 0 outside the band."""
     box = boxsize_ms / 1000.0
     b = F.ceil(F.lit(hz) * box - 0.5)
