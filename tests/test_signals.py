@@ -189,3 +189,24 @@ def test_closing_train_refinement_internal_sync_and_clock(spark):
     pairs = spark.createDataFrame([("p", "a", "b")], "pair_id string, ref_id string, comp_id string")
     row = sync.align_clock(pairs, spark.createDataFrame([("a", 100.0), ("b", 125.0)], "recording_id string, clock_hz double")).first()
     assert (row.ref_factor, row.comp_factor) == (1.0, 0.8)
+
+
+def test_closing_train_is_the_nearest_of_the_tail_not_the_first(spark):
+    rate, piece = 8000, 8
+    pulse = np.sin(2 * np.pi * 2000 * np.arange(16 * piece) / rate) * 10000
+    train = np.concatenate([np.concatenate([pulse, np.zeros(16 * piece)]) for _ in range(10)])
+    x = np.concatenate([np.zeros(4000), train, np.zeros(12000), train, np.zeros(4000), train, np.zeros(4000), train, np.zeros(4000)])
+    chunks = spark.createDataFrame([("r", k, k * rate, x[k * rate : (k + 1) * rate].tolist()) for k in range(-(-len(x) // rate))], "recording_id string, chunk_no long, start_frame long, left array<double>")
+    pieces = sync.pulse_chunks(chunks, rate)
+    opening = sync.opening_train(pieces, 2000.0, 10, 16)
+    closing = sync.closing_train(pieces, opening, 2000.0, 10, 16, 2 * len(train) + 16000).collect()
+    assert [(r.start_frame - 4000, r.off_frames) for r in closing] == [(2 * len(train) + 16000, 0)]
+
+
+def test_nearest_bin_is_what_its_query_checks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sigdiff import queries
+
+    monkeypatch.setattr(queries.u, "nearest_bin", lambda *a: F.lit(-1.0))
+    assert {r.hz for r in queries.queries()["j7_nearest_bin"](spark, "/root/testdata/sf0.001").collect()} == {-1.0}
