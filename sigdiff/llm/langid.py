@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigdiff.llm.common import BLOCK_CHARS, Words, blocks, mix, two_columns
@@ -233,15 +233,19 @@ def fit_crf(texts: list[str], langs: list[str], bits: int = BITS, seed: int = 3,
 
 
 def fit_languages(docs: DataFrame, keep: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, bits: int = BITS) -> LanguageModel:
-    """Fitted on at most ``rows`` texts (those whose ids hash lowest) with a language, for which ``keep`` holds."""
+    """Fitted on an equal share of about ``rows`` texts (those whose ids hash lowest) of each language, for which ``keep`` holds.
+
+    A language has one text at least; there are the LANGUAGES most frequent ones of all training rows.
+    """
     ids = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"))
     # ids first, so that the texts of only these rows are moved
-    sample = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows).dropDuplicates(["doc_id"])
+    common = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    first = ids.where(F.col("lang").isin(common)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= -(-rows // max(1, len(common))))
+    sample = first.groupBy("doc_id").agg(F.min_by("lang", F.struct("_n", "lang")).alias("lang"))
     got = two_columns(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     texts, langs = got["text"].to_pylist(), got["lang"].to_pylist()
-    common = sorted(set(langs), key=lambda x: (-langs.count(x), x))[:LANGUAGES]
-    pairs = [(t, x) for t, x in zip(texts, langs, strict=True) if x in common]
-    return fit_crf([t for t, _ in pairs], [x for _, x in pairs], bits)
+    return fit_crf(texts, langs, bits)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -64,3 +64,9 @@ def test_awkward_and_empty_tables(spark):
     blank = li.fit_languages(none(spark), F.lit(True))
     assert li.predict_languages(none(spark), blank).count() == 0
     assert {r.lang_pred for r in li.predict_languages(awkward(spark), blank).collect()} == {"und"}
+
+
+def test_rare_languages_keep_examples(spark):
+    rows = [(i, "the cat of the house and the dog", "en") for i in range(3000)] + [(9000 + i, "żółw łódź źdźbło ćma", "pl") for i in range(2)]
+    model = li.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), rows=40)
+    assert sorted(model.languages) == ["en", "pl"]
