@@ -122,5 +122,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     found = stored(raw.mapInArrow(_parsed, "record_id string, page_id long, record_type string, url string, refers_to_record string, payload_digest string, payload_bytes long, intact boolean"), "warc-records")
     originals = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_record")).agg(F.first("page_id").alias("resolved_page_id"), F.first("payload_bytes").alias("resolved_bytes"))
-    joined = found.join(originals, "refers_to_record", "left")
+    refers = F.col("refers_to_record").isNotNull()
+    resolved = found.where(refers).join(originals, "refers_to_record", "left")
+    # rows that refer to nothing stay out of the shuffle, where they would all have one key
+    joined = resolved.unionByName(found.where(~refers), allowMissingColumns=True)
     return joined.select("record_id", "page_id", "record_type", "url", "payload_digest", F.coalesce("payload_bytes", "resolved_bytes").alias("payload_bytes"), "resolved_page_id", "intact")

@@ -44,3 +44,11 @@ def test_null_ids_ties_and_empty_table(spark):
     assert sorted((r.page_id or 0, r.record_type, r.resolved_page_id or 0) for r in got) == [(0, "response", 0), (0, "revisit", 7), (7, "response", 0), (7, "response", 0), (8, "response", 0)]
     _, got = round_trip(spark, pages(spark, []))
     assert got == []
+
+
+def test_rows_that_refer_to_nothing_stay_out_of_the_join(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a", "x" * 5000), (2, "http://b", "x" * 5000)], "page_id long, url string, html string")
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    got = warc.read_archives(spark, f"file://{tmp_path}/w")
+    assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.record_type, r.page_id == r.resolved_page_id, r.resolved_page_id is None) for r in got.collect() if r.record_type in ("response", "revisit")) == [("response", False, True), ("revisit", False, False)]
