@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from sigdiff.llm import decontaminate as dc
 from tests.llm.helpers import awkward, docs, none
 
@@ -47,16 +49,17 @@ def made(seed=3):
 def test_equals_brute_force(spark):
     texts, items = made()
     rows = list(enumerate(texts))
-    for limit in (10**6, 0):
-        got = dc.contamination(docs(spark, texts), bench(spark, items), broadcast_windows=limit).collect()
+    for limit in (10**6, 1_000):
+        got = dc.contamination(docs(spark, texts), bench(spark, items), broadcast_bytes=limit).collect()
         assert sorted((r.doc_id, r.n_words, list(r.hit), list(r["items"])) for r in got) == brute(rows, items)
 
 
-def test_colliding_hash_is_not_a_hit(spark):
+def test_equal_hashes_are_not_hits_by_themselves(spark):
     windows = dc.benchmark_windows(bench(spark, [(1, "one two three four five six seven eight nine ten")]))
-    assert [list(r["items"]) for r in windows.collect()] == [["1"]]
-    d = docs(spark, ["one two three four five six seven eight nine eleven"])
-    assert dc.contamination(d, bench(spark, [(1, "one two three four five six seven eight nine ten")])).first().hit == []
+    assert [(r.item, " ".join(r.window)) for r in windows.collect()] == [("1", "one two three four five six seven eight nine ten")]
+    d = docs(spark, ["one two three four five six seven eight nine ten", "one two three four five six seven eight nine eleven"])
+    other = windows.withColumn("window", F.split(F.lit("one two three four five six seven eight nine eleven"), " "))
+    assert dc.hits(d, windows).count() == 1 and dc.hits(d, other).count() == 0
 
 
 def test_removal(spark):
@@ -75,3 +78,22 @@ def test_awkward_and_empty_tables(spark):
     assert sorted((r.doc_id or 0, r["items"][0]) for r in got if r["items"]) == [(0, "8"), (5, "7"), (6, "7"), (6, "7")]
     assert dc.contamination(none(spark), b).count() == 0
     assert {len(r.hit) for r in dc.contamination(awkward(spark), bench(spark, [])).collect()} == {0}
+
+
+def test_columns_with_clashing_names(spark):
+    d = spark.createDataFrame([(1, "a clean text", 3, "x", 0.5), (2, "The same text of BOTH, and more", 4, "y", 0.25)], "doc_id long, text string, hit int, items string, `n.words` double")
+    d = d.withColumns({"n_words": F.lit(1), "w": F.lit(2), "own": F.lit(3), "row": F.lit(4), "pairs": F.lit(5)})
+    b = bench(spark, [(7, "the same text of both")])
+    assert [tuple(r) for r in dc.remove_documents(d, b).collect()] == [(1, "a clean text", 3, "x", 0.5, 1, 2, 3, 4, 5)]
+    got = sorted(tuple(r) for r in dc.remove_spans(d, b).collect())
+    assert got == [(1, "a clean text", 3, "x", 0.5, 1, 2, 3, 4, 5), (2, ", and more", 4, "y", 0.25, 1, 2, 3, 4, 5)]
+    assert dc.remove_spans(d, b).columns == d.columns
+    assert dc.contamination(d, b).count() == 2
+
+
+def test_text_that_is_all_benchmark(spark):
+    words = [f"w{i}" for i in range(3000)]
+    d = docs(spark, [" ".join(words)])
+    b = bench(spark, [(1, " ".join(words))])
+    assert dc.contamination(d, b).first().hit == list(range(1, 3001))
+    assert dc.remove_spans(d, b).first().text == ""
