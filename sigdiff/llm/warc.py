@@ -2,8 +2,10 @@
 
 Pages become response records; of the pages with equal payloads of at least MIN_BYTES bytes only the one with
 the largest page_id stays a response and the others become revisit records that refer to it. Only the records' heads
-(id, digest, length) are shuffled by digest, with one row for each task and digest before the shuffle. Spark's text writer
-writes the archives, a record a row, so they may lie in any store that Spark writes to, and a lost task is simply run again.
+(id, URL, digest, length) are shuffled by digest, with one row for each task and digest before the shuffle; a payload is moved only where the
+revisits are too many to be broadcast, and then only to be held against them. Spark's text writer
+writes the archives, a record a row, so they may lie in any store that Spark writes to, and a lost task is simply run again. Records are written
+by classes of their size, so that a file holds about FILE_BYTES at most, or one record.
 
 Null html is an empty payload. A null url becomes an empty target URI; white space and control characters in a URL are
 written as %20. Pages with a null id are revisits if a page with an id has the same payload, else responses. Rows that repeat
@@ -15,6 +17,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import math
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -26,8 +29,10 @@ from sigdiff.llm.common import stored
 
 #: Payloads shorter than this are always written in full.
 MIN_BYTES = 1000
-#: Records in an archive file, at most.
-FILE_RECORDS = 10_000
+#: Bytes in an archive file before compression, about, at most; payload bytes of the first class of records, and how much larger the next class's are.
+FILE_BYTES, FIRST, NEXT = 256_000_000, 1 << 15, 16
+#: Revisits and digests that are broadcast, at most (some 100 bytes each); beyond it rows are shuffled.
+BROADCAST_HEADS = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
@@ -38,12 +43,16 @@ def heads(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html")
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("payload_digest"))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Stored rows, to be broadcast if they are few enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_HEADS else rows
+
+
 def resolve(found: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """For each distinct (page_id, payload_digest): refers_to, the response that a revisit stands for, else null."""
+    """The rows of found (page_id, payload_bytes, payload_digest and others) that are revisits, with refers_to, the response that each stands for."""
     large = found.where(F.col("payload_bytes") >= min_bytes)
-    originals = large.groupBy("payload_digest").agg(F.max("page_id").alias("original"))
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
-    return large.join(originals, "payload_digest").select("page_id", "payload_digest", refers.alias("refers_to")).where("refers_to IS NOT NULL").distinct()
+    originals = stored(large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n"), "originals")
+    return large.join(_few(originals), "payload_digest").where("NOT page_id <=> refers_to")
 
 
 def record_id(page_id: Column, digest: Column) -> Column:
@@ -51,34 +60,44 @@ def record_id(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
-def records(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """value: a whole record, but for the two line ends after it."""
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"))
-    plan = resolve(heads(pages, id_col, payload_col), min_bytes).withColumnRenamed("page_id", "revisit_id")
-    both = rows.join(plan, F.col("page_id").eqNullSafe(F.col("revisit_id")) & (F.col("digest") == F.col("payload_digest")), "left")
+def _written(rows: DataFrame, date: str) -> DataFrame:
+    """rows: page_id, url, payload_bytes, payload_digest, payload and refers_to (null for responses). value: a whole record, but for the two line ends after it."""
     revisit = F.col("refers_to").isNotNull()
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(END))
-    block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"), F.col("digest"))),
+        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"), F.col("payload_digest"))),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), uri),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("refers_to"), F.col("digest")))),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("refers_to"), F.col("payload_digest")))),
         F.concat(F.lit("Page-ID: "), F.col("page_id").cast("string")),
         F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")),
+        F.concat(F.lit("Content-Length: "), (F.octet_length(http) + F.octet_length("payload")).cast("string")),
     ]
-    return both.withColumn("block", block).select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END), F.col("block")).alias("value"))
+    return rows.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END), http, F.col("payload")).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, date: str | None = None, file_records: int = FILE_RECORDS, **names) -> None:
+def write_archives(pages: DataFrame, path: str, date: str | None = None, file_bytes: int = FILE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_BYTES) -> None:
+    """Responses class by class of their sizes, the revisits with the first; path must not hold archives yet."""
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    records(pages, date, **names).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    url, payload = F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url, payload)
+    rows = rows.select("page_id", "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1(F.col("payload").cast("binary")).alias("payload_digest"))
+    found = stored(rows.drop("payload"), "heads")
+    again = stored(resolve(found, min_bytes), "revisits")
+    gone = _few(stored(again.select(F.col("page_id").alias("gone"), F.col("payload_digest").alias("gone_digest")).distinct(), "revisit-ids"))
+    responses = rows.join(gone, F.col("page_id").eqNullSafe(F.col("gone")) & (F.col("payload_digest") == F.col("gone_digest")), "left_anti").withColumn("refers_to", F.lit(None).cast("long"))
+    size_class = F.ceil(F.log(F.greatest(F.col("payload_bytes"), F.lit(FIRST)) / FIRST) / math.log(NEXT) - 1e-9).cast("int")
+    classes = {0, *(r[0] for r in found.select(size_class).distinct().collect())}  # a handful: sizes end at 2 GB
+    for k in sorted(classes):
+        own = responses.where(size_class == k)
+        if k == 0:
+            own = own.unionByName(again.withColumn("payload", F.lit("")))
+        made = _written(own, date).write.mode("append" if k else "error").option("lineSep", END).option("compression", "gzip")
+        made.option("maxRecordsPerFile", max(1, file_bytes // (FIRST * NEXT**k))).text(path)
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -52,3 +52,17 @@ def test_rows_that_refer_to_nothing_stay_out_of_the_join(spark, tmp_path):
     got = warc.read_archives(spark, f"file://{tmp_path}/w")
     assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.record_type, r.page_id == r.resolved_page_id, r.resolved_page_id is None) for r in got.collect() if r.record_type in ("response", "revisit")) == [("response", False, True), ("revisit", False, False)]
+
+
+def test_files_are_cut_by_bytes(spark):
+    rows = [(i, "u", f"{i} " + "x" * n) for i, n in enumerate([10] * 300 + [40_000] * 30 + [3_000_000] * 3)]
+    path, got = round_trip(spark, pages(spark, rows).coalesce(1), file_bytes=4_000_000)
+    assert sorted(r.page_id for r in got) == list(range(len(rows))) and all(r.intact for r in got)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()
+    sizes = [sum(len(b) for _, b in warc.parse(io.BytesIO(gzip.decompress(r.content)))) for r in raw]
+    assert max(sizes) < 4_000_000 and sum(s > 2_000_000 for s in sizes) == 3
+
+
+def test_shuffled_where_revisits_are_many(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_HEADS", 0)
+    test_round_trip_and_revisits(spark)
