@@ -6,9 +6,11 @@ other column, so tables with further or clashing columns need no care by the cal
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,25 +40,37 @@ def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches whose texts (column text) have about that many bytes, with the texts.
+def blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches whose texts have about that many bytes, with the texts.
 
     A text is never cut, so a longer one makes a block of its own.
     """
     for batch in batches:
         if not batch.num_rows:
             continue
-        text = batch.column("text")
+        text = batch.column(column)
         ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + chars, side="right")))
             part = batch.slice(at, to - at)
-            yield part, part.column("text").to_pylist()
+            yield part, part.column(column).to_pylist()
             at = to
 
 
+_WHITE = re.compile("[\\x09-\\x0D\\x20]")
+
+
+def cut(text: str, size: int) -> list[str]:
+    """text in parts of about size characters, each but the last ending in ASCII white space: no word is cut."""
+    parts, at = [], 0
+    while len(text) - at > size and (m := _WHITE.search(text, at + size)):
+        parts.append(text[at : m.end()])
+        at = m.end()
+    return [*parts, text[at:]]
+
+
 def label_sample(labels: DataFrame, label_col: str, keep: Column, rows: int) -> DataFrame:
     """(doc_id, label): the given number of labelled rows, those whose ids hash lowest.
 
@@ -67,6 +81,23 @@ def label_sample(labels: DataFrame, label_col: str, keep: Column, rows: int) ->
     return one.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def training_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """doc_id, label and text of the sample's documents, in the order of hashes of their ids as long as all texts together have at most limit bytes.
+
+    sample: doc_id, label; a bounded number of rows. A text that does not fit any more is left out; of rows that share an id the greatest text counts.
+    The ids and lengths go to the driver, the result can.
+    """
+    known = two_columns(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
+    sizes = known.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    left, fitting = limit, []
+    for r in sizes:
+        if r["size"] <= left:
+            left -= r["size"]
+            fitting.append((r["doc_id"],))
+    some = docs.sparkSession.createDataFrame(fitting, "doc_id long")
+    return known.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max(F.struct("text", "label")).alias("one")).select("doc_id", "one.label", "one.text")
+
+
 # ---- words of a block as numpy arrays ----
 
 _RNG = np.random.default_rng(20240229)
@@ -128,13 +159,18 @@ def sum_by_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=values, minlength=n)
 
 
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below spark.checkpoint.dir, which the whole cluster shares.
 
-    Where that is unset, as in local tests, a temporary folder takes its place.
+    Where that is unset, a temporary folder takes its place, but only if driver and executors are one process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='sigdiff-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -144,4 +180,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: computed once, safe from lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what stored() has written inside; use the results before that."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        while len(_written) > before:
+            path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+            path.getFileSystem(conf).delete(path, True)

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigdiff.llm.common import Words, blocks, label_sample, mix, sum_by_doc, two_columns
+from sigdiff.llm.common import Words, blocks, label_sample, mix, sum_by_doc, training_texts, two_columns
 
 #: log2 of the number of weights.
 BITS = 18
-#: Labelled rows that a model is fitted on, at most.
-TRAIN_ROWS = 8_000
+#: Labelled rows that a model is fitted on, at most, and bytes of their texts, at most.
+TRAIN_ROWS, TRAIN_BYTES = 8_000, 32_000_000
 EPOCHS = 4
 
 _KIND = np.full(256, 8, np.uint8)  # other ASCII
@@ -116,10 +116,10 @@ def _feature_rows(bits: int):
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, keep, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, bits: int = BITS) -> QualityModel:
-    """Fitted on at most ``rows`` labelled texts for which ``keep`` (over the labels) holds; only their features reach the driver."""
+def fit_quality(docs: DataFrame, labels: DataFrame, keep, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, bits: int = BITS, train_bytes: int = TRAIN_BYTES) -> QualityModel:
+    """Fitted on at most ``rows`` labelled texts of ``train_bytes`` bytes together for which ``keep`` (over the labels) holds; only their features reach the driver."""
     sample = label_sample(labels, label_col, keep, rows)
-    known = two_columns(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
+    known = training_texts(docs, sample, id_col, text_col, train_bytes)
     got = known.mapInArrow(_feature_rows(bits), "doc_id long, label int, key array<int>, value array<float>").toArrow().sort_by("doc_id")
     key, value, label = got["key"].combine_chunks(), got["value"].combine_chunks(), got["label"].to_pylist()
     # views of the Arrow buffers; nothing is copied before training, and the buffers go back after it
@@ -141,17 +141,15 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def _filter_rows(held, threshold: float):
+def _filter_rows(held, threshold: float, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in blocks(batches):
+        for part, texts in blocks(batches, column=text_col):
             yield part.filter(pa.array(held.value.score([t or "" for t in texts]) >= threshold))
 
     return run
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least the threshold. The text column is called text."""
-    if text_col != "text":
-        raise ValueError("rename the text column to text first")
+    """The rows of docs, all columns, whose text scores at least the threshold."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_filter_rows(held, threshold), docs.schema)
+    return docs.mapInArrow(_filter_rows(held, threshold, text_col), docs.schema)

@@ -173,13 +173,11 @@ def scan(texts: list[str], ordinary: bool = True) -> tuple[list[list[tuple[int,
     raw = np.frombuffer(joined, np.uint8)
     first = np.concatenate(([0], np.cumsum([len(e) + 1 for e in encoded]))).astype(np.int64)
     spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    taken: list[list[tuple[int, int]]] = [[] for _ in texts]
+    chars = None if len(joined) == sum(map(len, texts)) + max(0, len(texts) - 1) else np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int64)))
 
     def place(a: int, b: int) -> tuple[int, int, int]:
         d = int(np.searchsorted(first, a, side="right")) - 1
-        if len(encoded[d]) == len(texts[d]):
-            return d, a - int(first[d]), b - int(first[d])
-        start = int(((raw[first[d] : a] & 0xC0) != 0x80).sum())
+        start = a - int(first[d]) if chars is None else int(chars[a] - chars[first[d]])
         return d, start, start + b - a  # the spans themselves are ASCII
 
     base = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(joined.lower()) if m.end(1) - m.start(1) >= VALUE_LENGTH]
@@ -188,14 +186,23 @@ def scan(texts: list[str], ordinary: bool = True) -> tuple[list[list[tuple[int,
     for a, b, kind in base:
         d, start, end = place(a, b)
         spans[d].append((start, end, kind))
-        taken[d].append((a, b))
+    # the base spans, joined where they overlap, in order
+    taken: list[list[int]] = []
+    for a, b, _ in sorted(base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    ends = np.array([b for _, b in taken], np.int64)
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for left, right in zip(*_long_runs(_RUN[raw], CLASSES[0]), strict=True):
         d = int(np.searchsorted(first, left, side="right")) - 1
         # what base spans leave of the run
-        held = sorted((x, y) for x, y in taken[d] if left < y and x < right)
-        begins = [left, *(y for _, y in held)]
-        for a, b in zip(np.maximum.accumulate(begins).tolist(), [*(x for x, _ in held), right], strict=True):
+        held, at = [], int(np.searchsorted(ends, left, side="right"))
+        while at < len(taken) and taken[at][0] < right:
+            held.append(taken[at])
+            at += 1
+        for a, b in zip([left, *(y for _, y in held)], [*(x for x, _ in held), right], strict=True):
             if b - a < CLASSES[0]:
                 continue
             encoding = infer(raw[a:b])
@@ -278,13 +285,11 @@ def span_text(spans: str):
 
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rate: float = RATE) -> DataFrame:
     """All rows and columns of docs; each secret in the text becomes [kind]. The column n_chars, if any, follows the text."""
-    if text_col != "text":
-        raise ValueError("rename the text column to text first")
     cells = frozenset(accepted_cells(stored(candidates(docs, id_col, text_col), "secrets"), rate))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in blocks(batches):
+        for part, texts in blocks(batches, column=text_col):
             base, found, _ = scan([t or "" for t in texts], False)
             out = []
             for text, spans, more in zip(texts, base, found, strict=True):
@@ -298,7 +303,7 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rate
                     text = "".join(made) + text[at:]
                 out.append(text)
             columns = {n: part.column(n) for n in names}
-            columns["text"] = pa.array(out, pa.string())
+            columns[text_col] = pa.array(out, pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([n if t == o else len(o) for n, t, o in zip(columns["n_chars"].to_pylist(), texts, out, strict=True)], columns["n_chars"].type)
             yield pa.record_batch([columns[n] for n in names], names)

@@ -1,5 +1,9 @@
+import os
+
 import numpy as np
+import pytest
 
+from sigdiff.llm import common
 from sigdiff.llm.common import Words
 
 
@@ -16,3 +20,37 @@ def test_words_and_hashes():
 def test_hash_does_not_depend_on_place():
     a, b = Words(["x " * 70000 + "word"]), Words(["word"])
     assert a.hash[-1] == b.hash[0]
+
+
+def test_cut_keeps_words_whole():
+    text = "ab  cdé\tf " * 50
+    for size in (1, 7, 10_000):
+        parts = common.cut(text, size)
+        assert "".join(parts) == text and [w for x in parts for w in x.split()] == text.split()
+    assert common.cut("", 5) == [""] and common.cut("x" * 20, 5) == ["x" * 20]
+
+
+def test_training_texts_keep_to_the_limit(spark):
+    d = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(3, "zz")], "doc_id long, text string")
+    sample = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    got = common.training_texts(d, sample, "doc_id", "text", 1050).collect()
+    assert len(got) == 10 + (3 in {r.doc_id for r in got}) and len({r.doc_id for r in got}) == len(got) or len(got) == 10
+    assert all(r.label == r.doc_id % 2 for r in got) and sum(len(r.text) for r in got) <= 1050
+
+
+def test_stored_tables_are_deleted_afterwards(spark):
+    with common.tidied(spark):
+        kept = common.stored(spark.range(5), "five")
+        assert kept.count() == 5
+        path = common._written[-1].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Far, "x")

@@ -100,3 +100,47 @@ def test_awkward_and_empty_tables(spark):
     assert len(got) == 10 and {r.base_sha256 for r in got if not r.base} == {hashlib.sha256(b"").hexdigest()}
     assert sc.find_secrets(none(spark)).count() == 0 and sc.redact(none(spark)).count() == 0
     assert sc.redact(awkward(spark)).count() == 10
+
+
+def test_time_grows_with_the_text_alone():
+    import time
+
+    bits = "été password=hunter22x 0123456789abcdef0123456789 q7Xz0Lm4VtK9bWc2RjYp9Q "
+    took = []
+    for n in (2_000, 16_000):
+        began = time.perf_counter()
+        base, found, _ = sc.scan([bits * n], False)
+        took.append(time.perf_counter() - began)
+        assert len(base[0]) == 2 * n and len(found[0]) == n and base[0][-1][1] <= len(bits) * n
+    assert took[1] < 24 * took[0]
+
+
+def test_candidates_beside_overlapping_base_spans():
+    text = "x" * 25 + "-token=" + "0123456789abcdef" * 2 + "=" + "Q7z" * 10
+    base, found, _ = sc.scan([text], False)
+    assert [(a, b) for a, b, _ in base[0]] == [(26, 26 + 6 + 32 + 31), (32, 64)] and [(a, b) for a, b, _ in found[0]] == [(0, 26)]
+
+
+def test_other_text_column(spark):
+    d = docs(spark, ["é password=hunter22 end", None]).withColumnRenamed("text", "body").withColumn("text", F.lit(3))
+    assert [(r.body, r.text) for r in sc.redact(d, text_col="body").orderBy("doc_id").collect()] == [("é [assign] end", 3), (None, 3)]
+
+
+def test_false_discovery_step_equals_plain_loop(spark):
+    rng = random.Random(8)
+    cells = [sc.cell(e, n, 10 ** -rng.uniform(0, 9)) for e in (0, 8, 9) for n in (20, 45, 130) for _ in range(30)]
+    null = {}
+    for _ in range(3000):
+        c = sc.cell(rng.choice((0, 8, 9)), rng.choice((20, 40, 128)), 10 ** -max(0, 8 - rng.expovariate(2)))
+        null[c] = null.get(c, 0) + 1
+    seen = spark.createDataFrame([([(0, 1, c) for c in cells], list(null.items()))], f"found {sc.SPAN_SQL}, windows {sc.NULL_SQL}")
+    weight = [sc.CLASSES[c // sc.BINS % len(sc.CLASSES)] for c in cells]
+    mean = sum(weight) / len(weight)
+    p = []
+    for c, w in zip(cells, weight, strict=True):
+        group, b = divmod(c, sc.BINS)
+        fits = {k: n for k, n in null.items() if k // sc.BINS // len(sc.CLASSES) == group // len(sc.CLASSES) and k // sc.BINS <= group}
+        p.append((1 + sum(n for k, n in fits.items() if k % sc.BINS <= b)) / (1 + sum(fits.values())) * mean / w)
+    limit = max((x for x in p if x <= sc.RATE * sum(y <= x for y in p) / len(p)), default=-1)
+    want = {c for c, x in zip(cells, p, strict=True) if x <= limit}
+    assert want and set(sc.accepted_cells(seen)) == want
