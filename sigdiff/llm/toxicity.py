@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigdiff.llm.common import blocks, label_sample, two_columns
+from sigdiff.llm.common import blocks, label_sample, training_texts, two_columns
 from sigdiff.llm.gru import Adam, RowSteps, backward, forward, step
 from sigdiff.llm.langid import WordFeatures, _spans
 
@@ -29,10 +29,10 @@ BITS = 15
 WORD, CHARS, UNITS, ATTENTION = 12, 8, 8, 8
 #: Words of a window, and words from one window to the next.
 WIDTH, STRIDE = 32, 16
-#: Labelled texts of each label that a model is fitted on, at most, and windows of an epoch, at most.
-TRAIN_ROWS, TRAIN_WINDOWS = 1_000, 12_000
+#: Labelled texts of each label that a model is fitted on, at most, and bytes of all of them, at most. Every window of these texts is trained on.
+TRAIN_ROWS, TRAIN_BYTES = 1_000, 16_000_000
 
-#: Steps of training, about.
+#: Steps of training, at least, but for 4 to 20 epochs.
 STEPS = 450
 
 
@@ -165,7 +165,7 @@ def fit_network(texts: list[str], labels: list[int], batch: int = 128, seed: int
     rows, start, end = windows.f.grams[0]
     use = np.arange(len(windows.doc))
     # small samples are gone over more often
-    steps = max(1, min(len(use), TRAIN_WINDOWS) // batch)
+    steps = max(1, len(use) // batch)
     for epoch in range(int(np.clip(STEPS // steps, 4, 20))):
         if epoch:
             value = logits(p, windows)
@@ -173,7 +173,7 @@ def fit_network(texts: list[str], labels: list[int], batch: int = 128, seed: int
             place = np.arange(len(order)) - np.searchsorted(windows.doc[order], windows.doc[order])
             n = np.bincount(windows.doc, minlength=len(y))[windows.doc[order]]
             use = np.sort(order[(y[windows.doc[order]] == 0) | (place < np.maximum(1, n / 2 ** min(epoch + 1, 3)))])
-        picked = rng.permutation(use)[:TRAIN_WINDOWS]
+        picked = rng.permutation(use)
         positive = max(1.0, float(y[windows.doc[picked]].sum()))
         balance = min(8.0, (len(picked) - positive) / positive)
         for at in range(0, len(picked), batch):
@@ -212,11 +212,11 @@ def _scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Fitted on at most ``rows`` labelled texts of each label, those whose ids hash lowest, for which ``keep`` (over the labels) holds."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> ToxicityModel:
+    """Fitted on at most ``rows`` labelled texts of each label (``train_bytes`` bytes together), those whose ids hash lowest, for which ``keep`` (over the labels) holds."""
     of = lambda y: label_sample(labels, label_col, keep & (F.col(label_col) == y), rows)
     sample = of(0).unionByName(of(1)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    got = two_columns(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    got = training_texts(docs, sample, id_col, text_col, train_bytes).orderBy("doc_id").toArrow()
     y = got["label"].to_pylist()
     model = fit_network(got["text"].to_pylist(), y)
     # the sample has as many toxic texts as it can get: back to their share among all labels

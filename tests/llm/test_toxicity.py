@@ -75,3 +75,35 @@ def test_awkward_and_empty_tables(spark):
     blank = tx.fit_toxicity(none(spark), spark.createDataFrame([], LABELS), F.lit(True))
     assert {r.predicted for r in tx.score_toxicity(awkward(spark), blank).collect()} == {0}
     assert tx.score_toxicity(none(spark), blank).count() == 0
+
+
+def test_score_equals_plain_loops():
+    """The whole score, written out word by word and window by window."""
+    rng = np.random.default_rng(6)
+    p = {k: v.astype(np.float64) for k, v in tx.new_params(3).items()}
+    p["word"] += rng.normal(0, 0.3, p["word"].shape)
+    texts = ["", "one", " ".join(f"w{i % 13}" for i in range(33)), " ".join(f"Bad{i % 5}" for i in range(90))]
+    f = tx.WordFeatures(texts, tx.BITS, (3,))
+    rows, start, end = f.grams[0]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    tops = []
+    for n, first in zip(f.n.tolist(), f.first.tolist(), strict=True):
+        logits = [p["bias"][0]] if not n else []
+        for at in range(0, max(1, n - tx.WIDTH + tx.STRIDE) if n > tx.WIDTH else min(n, 1), tx.STRIDE):
+            x = [np.concatenate((p["word"][f.lexicon[k]], p["chars"][rows[start[k] : end[k]]].mean(0))) for k in range(first + at, first + min(n, at + tx.WIDTH))]
+            both = []
+            for d in ("f", "b"):
+                h, states, u = np.zeros(tx.UNITS), [], tx.UNITS
+                for e in x if d == "f" else x[::-1]:
+                    a, g = e @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+                    z, r = sig(a[:u] + g[:u]), sig(a[u : 2 * u] + g[u : 2 * u])
+                    c = np.tanh(a[2 * u :] + r * g[2 * u :])
+                    h = c + z * (h - c)
+                    states.append(h)
+                both.append(states if d == "f" else states[::-1])
+            s = np.array([np.concatenate(y) for y in zip(*both, strict=True)])
+            w = np.exp(np.tanh(s @ p["a"]) @ p["v"])
+            logits.append((w / w.sum()) @ s @ p["o"] + p["bias"][0])
+        tops.append(max(logits))
+    got = tx.ToxicityModel(p, 1.3, -0.2).score(texts)
+    assert np.allclose(got, [sig(1.3 * t - 0.2) for t in tops], rtol=1e-4)
