@@ -7,7 +7,8 @@ exact likelihood. Forward-backward gives each word's distribution over languages
 labelled word by word; a document's score is the mean over its words with letters, and its language the greatest.
 
 Texts that are null or have no letter are und with score 0. Without any labelled text everything is und. Long texts run in segments whose
-transfer matrices are multiplied, which is the same recursion; nothing is cut off.
+transfer matrices are multiplied, which is the same recursion; nothing is cut off. Texts are handled in groups, and very long ones
+in pieces with the recursion's state carried both ways, so that memory does not grow with a text's length times the languages.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigdiff.llm.common import BLOCK_CHARS, Words, blocks, mix, two_columns
+from sigdiff.llm.common import BLOCK_CHARS, Words, blocks, cut, mix, training_texts, two_columns
 
-#: log2 of the rows of weights.
-BITS = 16
-#: Labelled texts that a model is fitted on, at most, and languages that it tells apart, at most (the most frequent ones).
-TRAIN_ROWS, LANGUAGES = 1_200, 200
+#: log2 of the rows of weights, at most; with more languages there are fewer rows, so that the weights are no more than 2 ** WEIGHTS.
+BITS, WEIGHTS = 16, 23
+#: Labelled texts that a model is fitted on (one of each language at least), and bytes of all of them, at most.
+TRAIN_ROWS, TRAIN_BYTES = 1_200, 16_000_000
+#: Different values of lang that are taken for languages; a table with more of them is refused.
+LANGUAGES = 4_000
+#: Numbers that the recursion holds at once, about.
+AT_ONCE = 8_000_000
 #: Words of a segment in the matrix form of the recursion.
 SEGMENT = 64
 UNKNOWN = "und"
@@ -71,14 +76,17 @@ class WordFeatures:
     """
 
     def __init__(self, texts: list[str], bits: int = BITS, sizes: tuple[int, ...] = (2, 3, 4)):
+        # long texts in pieces, for which memory is needed one after another
+        pieces = [(i, piece) for i, text in enumerate(texts) for piece in cut(text, BLOCK_CHARS)]
         parts, at, size = [], 0, 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= BLOCK_CHARS or i + 1 == len(texts):
-                parts.append(_features(texts[at : i + 1], bits, sizes))
+        for i, (_, piece) in enumerate(pieces):
+            size += len(piece)
+            if size >= BLOCK_CHARS or i + 1 == len(pieces):
+                parts.append(_features([t for _, t in pieces[at : i + 1]], bits, sizes))
                 at, size = i + 1, 0
         join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
-        self.n, self.lexicon, self.letters = join("n", np.int64), join("lexicon", np.int32), join("letters", bool)
+        self.n = np.bincount([i for i, _ in pieces], weights=join("n", np.int64), minlength=len(texts)).astype(np.int64) if texts else np.zeros(0, np.int64)
+        self.lexicon, self.letters = join("lexicon", np.int32), join("letters", bool)
         self.first = np.concatenate(([0], np.cumsum(self.n)[:-1])) if len(self.n) else self.n
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
         self.grams = []
@@ -86,20 +94,25 @@ class WordFeatures:
             shift = np.concatenate(([0], np.cumsum([len(p["grams"][g][0]) for p in parts])))
             self.grams.append(tuple(np.concatenate([p["grams"][g][k] + (s if k else 0) for p, s in zip(parts, shift, strict=False)]) if parts else np.zeros(0, np.int64) for k in range(3)))
 
-    def emissions(self, weights: np.ndarray) -> np.ndarray:
-        """(words, languages); zero for words without a letter."""
-        total = weights[self.lexicon]
+    def emissions(self, weights: np.ndarray, low: int = 0, high: int | None = None) -> np.ndarray:
+        """(words, languages) of the words from low to high; zero for words without a letter."""
+        total = weights[self.lexicon[low:high]]
         for rows, start, end in self.grams:
-            total = total + _spans(weights[rows], start, end)
-        total[~self.letters] = 0
+            start, end = start[low:high], end[low:high]
+            if len(start):
+                total = total + _spans(weights[rows[start[0] : end.max()]], start - start[0], end - start[0])
+        total[~self.letters[low:high]] = 0
         return total
 
     def rows_of(self, k: int) -> np.ndarray:
         return np.concatenate([[self.lexicon[k]], *(rows[start[k] : end[k]] for rows, start, end in self.grams)])
 
 
-def posteriors(emissions: np.ndarray, transition: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(words, languages) marginals; n: words of each text, in order. transition: row-stochastic or any positive matrix."""
+def posteriors(emissions: np.ndarray, transition: np.ndarray, n: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> np.ndarray:
+    """(words, languages) marginals; n: words of each text, in order. transition: row-stochastic or any positive matrix.
+
+    before, behind: the recursion's states at the ends, where the words are a piece of a text.
+    """
     size = emissions.shape[1]
     if not len(emissions):
         return np.zeros((0, size))
@@ -123,6 +136,8 @@ def posteriors(emissions: np.ndarray, transition: np.ndarray, n: np.ndarray) ->
     into = np.full((len(at), size), 1 / size)  # distribution before each segment
     after = np.ones((len(at), size))
     last_segment = first_segment + segments - 1
+    if before is not None:
+        into[0], after[-1] = before, behind
     for k in range(1, int(segments.max())):
         on = first_segment[segments > k] + k
         moved = np.einsum("si,sij->sj", into[on - 1], product[on - 1])
@@ -147,6 +162,30 @@ def posteriors(emissions: np.ndarray, transition: np.ndarray, n: np.ndarray) ->
     return out / out.sum(1, keepdims=True)
 
 
+def _states(emissions, transition: np.ndarray, cuts: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The states before each piece of a text and behind it; emissions(low, high) gives those of words."""
+    size = len(transition)
+    before, behind = [np.full(size, 1 / size)], [np.ones(size)]
+
+    def factor(low: int, high: int) -> np.ndarray:
+        e = emissions(low, high)
+        return np.exp(e - e.max(1, keepdims=True))
+
+    for low, high in zip(cuts[:-2], cuts[1:-1], strict=True):
+        now = before[-1]
+        for e in factor(low, high):
+            now = now @ transition * e
+            now /= now.sum()
+        before.append(now)
+    for low, high in zip(cuts[-2:0:-1], cuts[:1:-1], strict=True):
+        now = behind[-1]
+        for e in factor(low, high)[::-1]:
+            now = transition @ (e * now)
+            now /= now.sum()
+        behind.append(now)
+    return before, behind[::-1]
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -154,17 +193,38 @@ class LanguageModel:
     transition: np.ndarray
     bits: int = BITS
 
-    def label_words(self, texts: list[str]) -> tuple[WordFeatures, np.ndarray]:
-        f = WordFeatures(texts, self.bits)
-        return f, posteriors(f.emissions(self.weights).astype(np.float64), self.transition, f.n)
+    def marginals(self, f: WordFeatures) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Low, high and (words, languages) marginals of the words from low to high, to the last word."""
+        size = len(self.languages)
+        most = max(SEGMENT, AT_ONCE // (size * size // SEGMENT + 6 * size))
+        emissions = lambda low, high: f.emissions(self.weights, low, high).astype(np.float64)
+        at = 0
+        while at < len(f.n):
+            to, words = at + 1, int(f.n[at])
+            while to < len(f.n) and words + int(f.n[to]) <= most:
+                words += int(f.n[to])
+                to += 1
+            low = int(f.first[at])
+            if words <= most:
+                if words:
+                    yield low, low + words, posteriors(emissions(low, low + words), self.transition, f.n[at:to][f.n[at:to] > 0])
+            else:
+                cuts = [*range(low, low + words, most), low + words]
+                for a, b, *ends in zip(cuts[:-1], cuts[1:], *_states(emissions, self.transition, cuts), strict=True):
+                    yield a, b, posteriors(emissions(a, b), self.transition, np.array([b - a]), *ends)
+            at = to
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        f, p = self.label_words(texts)
+        f = WordFeatures(texts, self.bits)
         total = np.zeros((len(texts), len(self.languages)))
-        for j in range(total.shape[1]):
-            total[:, j] = np.bincount(f.doc[f.letters], weights=p[f.letters, j], minlength=len(texts))
+        for low, high, p in self.marginals(f):
+            real, base = f.letters[low:high], int(f.doc[low])
+            own = f.doc[low:high][real] - base
+            for j in range(total.shape[1]):
+                found = np.bincount(own, weights=p[real, j])
+                total[base : base + len(found), j] += found
         count = np.bincount(f.doc[f.letters], minlength=len(texts))
         share = total / np.maximum(count, 1)[:, None]
         best = share.argmax(1)
@@ -232,20 +292,19 @@ def fit_crf(texts: list[str], langs: list[str], bits: int = BITS, seed: int = 3,
     return LanguageModel(languages, weights.astype(np.float32), np.exp(moves - moves.max()), bits)
 
 
-def fit_languages(docs: DataFrame, keep: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, bits: int = BITS) -> LanguageModel:
-    """Fitted on an equal share of about ``rows`` texts (those whose ids hash lowest) of each language, for which ``keep`` holds.
-
-    A language has one text at least; there are the LANGUAGES most frequent ones of all training rows.
-    """
-    ids = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"))
+def fit_languages(docs: DataFrame, keep: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, bits: int = BITS, train_bytes: int = TRAIN_BYTES) -> LanguageModel:
+    """Fitted on an equal share of about ``rows`` texts (those whose ids hash lowest) of each language, one at least, for which ``keep`` holds, of ``train_bytes`` bytes together."""
+    ids = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("label"))
     # ids first, so that the texts of only these rows are moved
-    common = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    first = ids.where(F.col("lang").isin(common)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= -(-rows // max(1, len(common))))
-    sample = first.groupBy("doc_id").agg(F.min_by("lang", F.struct("_n", "lang")).alias("lang"))
-    got = two_columns(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    texts, langs = got["text"].to_pylist(), got["lang"].to_pylist()
-    return fit_crf(texts, langs, bits)
+    n = ids.agg(F.countDistinct("label")).first()[0]
+    if n > LANGUAGES:
+        raise ValueError(f"{n} different values of {lang_col} are no languages")
+    share = -(-rows // max(1, n))
+    w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    first = ids.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= share)
+    sample = first.groupBy("doc_id").agg(F.min_by("label", F.struct("_n", "label")).alias("label"))
+    got = training_texts(docs, sample, id_col, text_col, train_bytes).orderBy("doc_id").toArrow()
+    return fit_crf(got["text"].to_pylist(), got["label"].to_pylist(), min(bits, max(8, WEIGHTS - max(1, n - 1).bit_length())))
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,8 +325,10 @@ def label_words(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
-            f, p = held.value.label_words(texts)
-            names = np.array(held.value.languages)[p.argmax(1)]
-            yield pa.record_batch([part.column("doc_id"), pa.array([list(x) for x in np.split(names, np.cumsum(f.n)[:-1])], pa.list_(pa.string()))], ["doc_id", "langs"])
+            f = WordFeatures(texts, held.value.bits)
+            names = np.array(held.value.languages, object)
+            found = [names[p.argmax(1)] for *_, p in held.value.marginals(f)] if held.value.languages else [np.full(int(f.n.sum()), UNKNOWN, object)]
+            every = np.concatenate(found) if found else names[:0]
+            yield pa.record_batch([part.column("doc_id"), pa.array([list(x) for x in np.split(every, np.cumsum(f.n)[:-1])], pa.list_(pa.string()))], ["doc_id", "langs"])
 
     return two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, langs array<string>")

@@ -70,3 +70,25 @@ def test_rare_languages_keep_examples(spark):
     rows = [(i, "the cat of the house and the dog", "en") for i in range(3000)] + [(9000 + i, "żółw łódź źdźbło ćma", "pl") for i in range(2)]
     model = li.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), rows=40)
     assert sorted(model.languages) == ["en", "pl"]
+
+
+def test_texts_in_pieces_equal_whole_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = li.LanguageModel(["a", "b", "c"], rng.normal(size=(1 << 10, 3)).astype(np.float32), rng.random((3, 3)) + 0.1, 10)
+    texts = ["one two", "", "12 34", " ".join(f"word{i % 83} x{i % 7}" for i in range(2000)), "é", " ".join(f"w{i}" for i in range(300))]
+    whole = model.predict(texts)
+    f = li.WordFeatures(texts, 10)
+    every = np.concatenate([p for *_, p in model.marginals(f)])
+    monkeypatch.setattr(li, "AT_ONCE", 3000)
+    monkeypatch.setattr(li, "BLOCK_CHARS", 2000)
+    f = li.WordFeatures(texts, 10)
+    pieces = [p for *_, p in model.marginals(f)]
+    assert len(pieces) > 20 and np.allclose(np.concatenate(pieces), every)
+    again = model.predict(texts)
+    assert again[0] == whole[0] and np.allclose(again[1], whole[1])
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"tongue{i % 300} word{i % 300}a", f"l{i % 300}") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(li.fit_languages(d, F.lit(True), rows=100).languages) == 300
