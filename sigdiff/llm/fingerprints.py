@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from sigdiff.llm.common import blocks, stored, two_columns
 
+#: Fingerprints that are broadcast, at most (some 100 bytes each); beyond it rows are shuffled.
+BROADCAST_PRINTS = 500_000
+
 
 def canonical(text: str) -> str:
     if not text.isascii():
@@ -52,24 +55,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _beside(rows: DataFrame, keyed: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined to stored rows with distinct keys; these are broadcast if they are few enough, so that no key's rows need meet."""
+    return rows.join(F.broadcast(keyed) if keyed.count() <= BROADCAST_PRINTS else keyed, key, how)
+
+
 def repeated_ids(prints: DataFrame) -> DataFrame:
     """doc_id of the documents whose fingerprint another document has too."""
-    several = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    return prints.join(several, "fingerprint", "left_semi").select("doc_id").distinct()
+    several = stored(prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "repeated")
+    return _beside(prints, several, "fingerprint", "left_semi").select("doc_id").distinct()
 
 
 def group_by_bytes(canon: DataFrame) -> DataFrame:
-    """canon: doc_id, fingerprint, canonical text (null for documents alone in their bucket).
+    """canon: doc_id, fingerprint, canonical text (null for documents alone in their bucket); read several times, so it should be stored.
 
     Adds group_id, the least id of the documents with the same canonical bytes. The grouping is by fingerprint and
-    bytes, with a row for each task and text before the shuffle, so that a text that very many documents share costs little.
+    bytes, with a row for each task and text before the shuffle, so that a text that very many documents share is moved once a task.
+    Other rows move without their texts, but for those of buckets with different texts.
     """
     texts = canon.where("canonical IS NOT NULL").groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("group_id"))
-    buckets = texts.groupBy("fingerprint").agg(F.min("group_id").alias("group_id"), F.count("*").alias("n_texts"))
-    plain = canon.join(buckets, "fingerprint", "left")
-    one = plain.where("n_texts IS NULL OR n_texts = 1").select(*canon.columns, F.coalesce("group_id", "doc_id").alias("group_id"))
-    clash = plain.where("n_texts > 1").drop("group_id", "n_texts").join(texts, ["fingerprint", "canonical"]).select(*canon.columns, "group_id")
-    return one.unionByName(clash).drop("canonical")
+    buckets = stored(texts.groupBy("fingerprint").agg(F.min("group_id").alias("group_id"), F.count("*").alias("n_texts")), "buckets")
+    names = [c for c in canon.columns if c != "canonical"]
+    alone = canon.where("canonical IS NULL").select(*names, F.col("doc_id").alias("group_id"))
+    same = _beside(canon.where("canonical IS NOT NULL").select(*names), buckets.where("n_texts = 1").drop("n_texts"), "fingerprint", "inner").select(*names, "group_id")
+    out = alone.unionByName(same)
+    clashing = buckets.where("n_texts > 1").select("fingerprint")
+    if not clashing.isEmpty():
+        own = lambda rows: _beside(rows, clashing, "fingerprint", "left_semi")
+        out = out.unionByName(own(canon.where("canonical IS NOT NULL")).join(own(texts), ["fingerprint", "canonical"]).select(*names, "group_id"))
+    return out
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,7 +96,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([part.column("doc_id"), pa.array([canonical(t) for t in texts], pa.string())], ["doc_id", "canonical"])
 
     texts = again.mapInArrow(run, "doc_id long, canonical string").dropDuplicates(["doc_id"])
-    return group_by_bytes(prints.join(texts, "doc_id", "left"))
+    return group_by_bytes(stored(prints.join(texts, "doc_id", "left"), "canonical"))
 
 
 # ---- each document beside the next one ----
