@@ -5,7 +5,8 @@ registers takes floor(1 - log_B x) of the least of exponentially distributed has
 greater of both, and registers of similar sets are often equal. Runs of ROWS registers are the bands; documents that agree in a band
 are candidates. With 64 bands of 8, a pair of similarity 0.8 shares no band with a chance of about 1 in 130,000.
 
-Documents with equal sets are one node from the start. In a band's bucket each node is held against a few centres rather
+Documents with the same words in the same order (by a 128-bit hash of them, lower-cased and joined by single spaces) are one node from the
+start; all other links are confirmed on full sets. In a band's bucket each node is held against a few centres rather
 than against every other node, at most BEST centres a node and round, so a round costs what it has nodes; the links are joined to
 components. After ROUNDS rounds the nodes of a bucket that are still in different components are held against each other, but for pairs that cannot be links by
 their sizes and by how many of their shingles no other of these nodes has: an exact bound. Candidates whose
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +38,10 @@ SLACK = 0.13
 #: Centres of a bucket in a round, centres that a node is held against in a round, and rounds.
 CENTRES, BEST, ROUNDS = 4, 2, 2
 MASKS = tuple(int(x) for x in np.concatenate(([0], np.random.default_rng(11).integers(1, 2**40, CENTRES * ROUNDS - 1))))
-#: Ids that are broadcast to pick their rows, at most (some 30 bytes each); beyond it the rows are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Documents whose registers are made at once, and groups at most into which the documents compared with one centre are dealt.
+AT_ONCE, SALTS = 1024, 64
+#: Ids or keys that are broadcast to pick their rows, at most (some 30 bytes each); beyond it the rows are shuffled.
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(5)
 _TIMES = _rng.integers(1, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -106,46 +110,79 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return at[np.arange(len(at)), fit.argmax(1)]
 
 
+def _words_hash(text: str) -> int:
+    return xxhash.xxh3_128_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()))
+
+
 def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (of the whole set, in no order) and registers (null for the empty set); no shuffle."""
+    """doc_id, n_shingles, t1, t2 (of the words in their order) and registers (null for the empty set); no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
             sets = shingle_sets(texts, k)
             full = [i for i, s in enumerate(sets) if len(s)]
             regs: list[bytes | None] = [None] * len(sets)
-            if full:
-                for i, r in zip(full, packed(registers([sets[i] for i in full])), strict=True):
+            for at in range(0, len(full), AT_ONCE):  # some memory for each set and register
+                some = full[at : at + AT_ONCE]
+                for i, r in zip(some, packed(registers([sets[i] for i in some])), strict=True):
                     regs[i] = r.tobytes()
-            s1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            s2 = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pa.record_batch([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "registers"])
+            whole = np.array([divmod(_words_hash(t), 2**64) for t in texts], np.uint64).view(np.int64).reshape(-1, 2)
+            yield pa.record_batch([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "t1", "t2", "registers"])
+
+    return two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, t1 long, t2 long, registers binary")
 
-    return two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, registers binary")
+
+def _beside(pairs: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
+    """Streams the pairs through run, each centre's row (of rows: doc_id, n, text) before those of the documents held against it.
+
+    pairs: a, b, centre (a stands in for a null one). A centre's pairs are dealt into SALTS groups at most, and its row goes once to each
+    group that has pairs, so that a centre of very many documents is neither one task's work nor copied for each of them.
+    """
+    own = F.coalesce("centre", "a")
+    each = pairs.select("a", "b", "centre", own.alias("own"), F.when(own == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc_id"))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    heads = each.select(F.col("own").alias("doc_id"), "salt").distinct().join(rows, "doc_id").select(F.col("doc_id").alias("own"), "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("centre"), "n", "text")
+    others = each.join(rows, "doc_id").select("own", "salt", F.lit(1).alias("kind"), "a", "b", "centre", "n", "text")
+    return heads.unionByName(others).repartition("own", "salt").sortWithinPartitions("own", "salt", "kind", "a", "b").mapInArrow(run, schema)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], prepare) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+    """Of _beside()'s rows: those of pairs, their centres' prepared values and their own. prepare: texts and n of a block to values."""
+    key, held = None, []
+    for part, texts in blocks(batches):
+        values = prepare(texts, part.column("n").to_numpy())
+        keep, centres = [], []
+        for i, (kind, *own) in enumerate(zip(*(part.column(c).to_pylist() for c in ("kind", "own", "salt")), strict=True)):
+            if kind == 0:
+                # an id with rows of several texts has several heads
+                held = [*held, values[i]] if key == own else [values[i]]
+                key = own
+            else:
+                keep += [i] * len(held)
+                centres += held
+        if keep:
+            yield part.take(pa.array(keep)), centres, [values[i] for i in keep]
 
 
 def _likely(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, M) for c in ("ra", "rb"))
-                n_a, n_b = (part.column(c).to_numpy().astype(float) for c in ("na", "nb"))
+        for part, centres, own in _grouped(batches, lambda regs, n: list(zip(regs, n.tolist(), strict=True))):
+            for at in range(0, len(own), 2000):
+                x, y = centres[at : at + 2000], own[at : at + 2000]
+                a, b = (np.frombuffer(b"".join(r for r, _ in z), np.uint8).reshape(-1, M) for z in (x, y))
+                n_a, n_b = (np.array([n for _, n in z], float) for z in (x, y))
                 keep = (estimate(a, b, n_a, n_b) >= threshold - SLACK) & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-6)
-                yield part.select(["a", "b", "centre"]).filter(pa.array(keep))
+                yield part.slice(at, len(y)).select(["a", "b", "centre"]).filter(pa.array(keep))
 
     return run
 
 
 def _compared(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                a, b = (shingle_sets(part.column(c).to_pylist(), k) for c in ("ta", "tb"))
-                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
-                sizes = [len(x) + len(y) for x, y in zip(a, b, strict=True)]
-                yield pa.record_batch([*(part.column(c) for c in ("a", "b", "centre")), pa.array(common, pa.int64()), pa.array(sizes, pa.int64())], ["a", "b", "centre", "common", "sizes"])
+        for part, centres, own in _grouped(batches, lambda texts, _: shingle_sets(texts, k)):
+            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(centres, own, strict=True)]
+            sizes = [len(x) + len(y) for x, y in zip(centres, own, strict=True)]
+            yield pa.record_batch([*(part.column(c) for c in ("a", "b", "centre")), pa.array(common, pa.int64()), pa.array(sizes, pa.int64())], ["a", "b", "centre", "common", "sizes"])
 
     return run
 
@@ -218,13 +255,15 @@ def _buckets(reps: DataFrame) -> DataFrame:
     """key, rep, component (the node itself) of the buckets that hold several nodes."""
     key = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(registers, i * {ROWS} + 1, {ROWS})))")
     bands = reps.select(F.explode(key).alias("key"), "rep")
-    several = bands.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
-    return bands.join(several, "key", "left_semi").select("key", "rep", F.col("rep").alias("component"))
+    # most keys have one node; the others are few enough, as a rule, to pick their rows without a shuffle
+    several = stored(bands.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key"), "keys")
+    few = several.count() <= BROADCAST_IDS
+    return bands.join(F.broadcast(several) if few else several, "key", "left_semi").select("key", "rep", F.col("rep").alias("component"))
 
 
 def _same_id(full: DataFrame, classes: DataFrame, same: list[str]) -> DataFrame:
     """Links from ids that have rows of several texts to the nodes of those texts."""
-    ids = stored(full.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y").select("doc_id"), "ids")
+    ids = stored(full.groupBy("doc_id").agg(F.min("t1").alias("x"), F.max("t1").alias("y")).where("x <> y").select("doc_id"), "ids")
     some = full.join(ids, "doc_id", "left_semi").select("doc_id", *same)
     return stored(some.join(classes, same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "links")
 
@@ -235,14 +274,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str
     Documents are linked if 100 * common shingles >= per_cent * shingles of either.
     """
     sig = stored(sketches(docs, k, id_col, text_col), "sketches")
-    same = ["n_shingles", "s1", "s2"]
+    same = ["n_shingles", "t1", "t2"]
     full = sig.where("registers IS NOT NULL AND doc_id IS NOT NULL")
     classes = stored(full.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     reps = stored(full.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "registers").distinct(), "nodes")
     members = stored(_buckets(reps), "buckets")
     texts = two_columns(docs, id_col, text_col)
-    links, tested, held = _same_id(full, classes, same), None, None
-    comps = components(links)
+    tested, held, comps = None, None, components(_same_id(full, classes, same))
     for number in range(ROUNDS + 1):
         if number < ROUNDS:
             pairs = _centre_pairs(members, MASKS[number * CENTRES : (number + 1) * CENTRES])
@@ -259,8 +297,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str
         held = found if held is None else held.unionByName(found)
         if new.isEmpty():
             continue
-        links = links.unionByName(new)
-        comps = components(links)
+        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
         if number < ROUNDS:
             members = stored(_labelled(members, comps), "buckets")
             if members.isEmpty():
@@ -274,13 +311,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str
 def compare(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
     """a, b, centre, common, sizes (of both full sets together) of the pairs whose registers do not rule a link out. Written and read again."""
     ids = lambda p: p.select(F.col("a").alias("doc_id")).unionByName(p.select(F.col("b").alias("doc_id")))
-    some = _picked(reps.withColumnRenamed("rep", "doc_id"), ids(pairs))
-    side = lambda n: some.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}"))
-    likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(per_cent / 100), "a long, b long, centre long").distinct(), "likely")
-    read = stored(_picked(texts, ids(likely)), "texts")
-    text = lambda n: read.select(F.col("doc_id").alias(n), F.col("text").alias(f"t{n}"))
-    both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "centre", "ta", "tb")
-    return stored(both.mapInArrow(_compared(k), "a long, b long, centre long, common long, sizes long"), "compared")
+    some = _picked(reps.withColumnRenamed("rep", "doc_id"), ids(pairs)).select("doc_id", F.col("n_shingles").alias("n"), F.col("registers").alias("text"))
+    likely = stored(_beside(pairs, some, _likely(per_cent / 100), "a long, b long, centre long").distinct(), "likely")
+    read = _picked(texts, ids(likely)).select("doc_id", F.lit(0).alias("n"), "text")
+    return stored(_beside(likely, stored(read, "texts"), _compared(k), "a long, b long, centre long, common long, sizes long"), "compared")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
