@@ -8,9 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigdiff.storage import stored
+
 #: Lowest dBFS and largest integer by bit depth.
 FULL_SCALE = [(8, -48.16, 127.0), (16, -96.33, 32767.0), (24, -144.49, 8388607.0), (32, -192.66, 2147483647.0), (64, -192.66, 2147483647.0)]
 CHUNKS = "recording_id string, path string, sample_rate double, channels int, bits int, is_float boolean, n_frames long, chunk_no long, start_frame long, left array<double>, right array<double>, reason string"
@@ -55,16 +57,31 @@ def parse_wav(raw: bytes) -> tuple[dict, np.ndarray]:
     return {"sample_rate": float(rate), "channels": channels, "bits": bits, "is_float": kind == 3}, x.reshape(-1, channels)
 
 
-def read_recordings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(recordings, sample_chunks, rejects). A file is a row of the scan; chunks of one second leave the task one by one."""
+#: Bytes of a file that Spark can hand to a task, at most.
+FILE_LIMIT = 2_000_000_000
+
+
+def _root(path: str) -> str:
+    """The part of a path or pattern before its first folder or name with a wildcard, without scheme and host."""
+    plain = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", path, flags=re.I)
+    head = re.split(r"[*?\[{]", plain)[0]
+    return head if head == plain and not plain.endswith("/") and "." not in plain.rsplit("/", 1)[-1] else head.rsplit("/", 1)[0]
+
+
+def read_recordings(spark: SparkSession, path: str, file_limit: int = FILE_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(recordings, sample_chunks, rejects). Each file is decoded once, into chunks of one second, which are stored.
+
+    A recording's id is its path below the pattern's fixed folder, without the extension. Files that are no accepted recordings, or longer than
+    file_limit bytes, are rejects with a reason; the long ones are never read.
+    """
     names = [x.split()[0] for x in CHUNKS.split(", ")]
+    root = _root(path).rstrip("/") + "/"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.string()]
         made = lambda row: pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
         for batch in batches:
-            for where, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                own = re.sub(r"\.[^.]*$", "", where.rsplit("/", 1)[-1])
+            for own, where, content in zip(batch.column("recording_id").to_pylist(), batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 try:
                     facts, x = parse_wav(content.as_py())
                 except ValueError as e:
@@ -75,15 +92,29 @@ def read_recordings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
                     part = x[k * step : (k + 1) * step]
                     yield made([own, where, facts["sample_rate"], facts["channels"], facts["bits"], facts["is_float"], len(x), k, k * step, part[:, 0], part[:, 1] if facts["channels"] == 2 else None, None])
 
-    every = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CHUNKS)
+    bare = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    below = F.when(F.startswith(bare, F.lit(root)), F.substring(bare, len(root) + 1, 2**31 - 1)).otherwise(bare)
+    files = spark.read.format("binaryFile").load(path).withColumn("recording_id", F.regexp_replace(below, r"\.[^./]*$", ""))
+    every = stored(files.where(F.col("length") <= file_limit).select("recording_id", "path", "content").mapInArrow(run, CHUNKS), "recordings")
+    long = files.where(F.col("length") > file_limit).select("recording_id", "path", F.lit("too long").alias("reason"))
     recordings = every.where("chunk_no = 0").select(*names[:7])
-    return recordings, every.where("reason IS NULL").select("recording_id", *names[7:11]), every.where("reason IS NOT NULL").select("recording_id", "path", "reason")
+    return recordings, every.where("reason IS NULL").select("recording_id", "sample_rate", *names[7:11]), every.where("reason IS NOT NULL").select("recording_id", "path", "reason").unionByName(long)
 
 
-def recording_facts(recordings: DataFrame, end_hz: float, profile_seconds: float) -> DataFrame:
+def recording_facts(recordings: DataFrame, end_hz: float, profile_seconds: float, needs_stereo: bool = False) -> DataFrame:
     """S2."""
     nyquist = F.col("sample_rate") / 2
-    return recordings.withColumn("seconds", F.col("n_frames") / F.col("sample_rate")).withColumn("end_hz", F.least(nyquist, F.lit(end_hz))).withColumn("nyquist_limited", nyquist < end_hz).withColumn("too_short", F.col("n_frames") / F.col("sample_rate") < profile_seconds)
+    seconds = F.col("n_frames") / F.col("sample_rate")
+    out = recordings.withColumn("seconds", seconds).withColumn("end_hz", F.least(nyquist, F.lit(end_hz))).withColumn("nyquist_limited", nyquist < end_hz)
+    return out.withColumn("too_short", seconds < profile_seconds).withColumn("not_stereo", F.col("channels") < 2 if needs_stereo else F.lit(False))
+
+
+def pair_full_scale(pairs: DataFrame, recordings: DataFrame) -> DataFrame:
+    """S3 for pairs: the deeper side's values hold for both."""
+    each = full_scale(recordings).select("recording_id", "bits", "lowest_dbfs", "full_scale")
+    side = lambda n: each.select(F.col("recording_id").alias(f"{n}_id"), F.struct("bits", "lowest_dbfs", "full_scale").alias(n))
+    both = pairs.join(side("ref"), "ref_id").join(side("comp"), "comp_id").withColumn("deep", F.greatest("ref", "comp"))
+    return both.select(*pairs.columns, "deep.lowest_dbfs", "deep.full_scale")
 
 
 def full_scale(recordings: DataFrame) -> DataFrame:
@@ -92,38 +123,96 @@ def full_scale(recordings: DataFrame) -> DataFrame:
     return recordings.join(F.broadcast(look), "bits")
 
 
-#: Fixed letters and words of type lines in profile files.
-KINDS = {"s": "sync", "n": "silence", "k": "skip", "t": "time_domain", "N": "silence_override", "W": "watermark", "i": "internal_sync", "I": "internal_sync_unknown"}
-TYPE_LINE = r"^(\S+)\s+(-?\d+|[snktNWiI])\s+(\d+)\s+(\d+)\s+(\d+)\s+(\S+)\s+([mSsn])(?:\s+(\S+))?(?:\s+(\S+))?"
+#: Fixed letters of type lines in profile files, with kinds and type ids.
+KINDS = {"s": ("sync", -2), "n": ("silence", -1), "k": ("skip", -6), "t": ("time_domain", -7), "N": ("silence_override", -8), "W": ("watermark", -9), "i": ("internal_sync", -4), "I": ("internal_sync_unknown", -5)}
+#: Fixed forms of the lines. Of type lines by kind: name, type, elements, frames, then what differs.
+VERSION = "2.3"
+_START = r"^\S+\s+{}\s+\d+\s+\d+\s+"
+LINES = {
+    "regular": _START.format(r"(-?\d+|[snktN])") + r"-?\d+\s+\S+\s+[mSsn](\s+\S)?$",
+    "internal": _START.format("[iI]") + r"\S+\s+[mSsn]\s+\d+\s+[\d.]+$",
+    "watermark": _START.format("W") + r"\S+\s+[mSsn]\s+\d+\s+\d+\s+\S+$",
+    "nosync": _START.format(r"(-?\d+|[snktN])") + r"\S+\s+[mSsn]$",
+    "mode": r"^\S+\s+[\d.]+\s+[\d.]+\s+\d+\s+\d+\s+\d+$",
+    "clock": r"^\S+\s+(n.*|y\s+\d+\s+[\d.]+\s+[\d.]+(\s+(\*|[\d\s]+))?)$",
+}
 
 
-def read_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profiles, video_modes, profile_types) of text profiles; what follows a semicolon is a comment.
+def read_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(profiles, video_modes, profile_types, rejects) of text profiles; what follows a semicolon is a comment.
 
-    A file: version line; name; number of modes and lines ``name ms_per_frame lines hertz frames pulses``; type lines
-    ``name type elements frames cut colour channel [mask or tone] [seconds]``.
+    With sync: version; name; [VideoModes] n; n lines ``name ms_per_frame lines hertz frames pulses``; clock ``name y block hertz ratio [types]`` or ``name n``;
+    [MonoBalanceBlock] b; [ToneLines] n; n type lines. Without: version; name; milliseconds a frame of both sides; A, M, D or L; n; n type lines.
+    A line that does not have its place's form is a reject with a reason, and so is a profile with another version or number of type lines.
     """
-    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("profile_id"), F.split("value", r"\r?\n").alias("lines"))
-    lines = text.select("profile_id", F.posexplode("lines").alias("ord", "line")).withColumn("line", F.trim(F.regexp_replace("line", ";.*$", ""))).where("line <> ''")
-    number = lines.withColumn("parts", F.split("line", r"\s+"))
-    modes = number.where(F.col("line").rlike(r"^\S+\s+\d+\.\d+\s+[\d.]+\s+\d+\s+\d+\s+\d+$"))
-    modes = modes.select("profile_id", "ord", F.col("parts")[0].alias("mode_name"), F.col("parts")[1].cast("double").alias("ms_per_frame"), F.col("parts")[2].cast("double").alias("line_count"), F.col("parts")[3].cast("int").alias("pulse_hz"), F.col("parts")[4].cast("int").alias("pulse_frames"), F.col("parts")[5].cast("int").alias("pulse_count"))
-    part = lambda k: F.regexp_extract("line", TYPE_LINE, k)
-    code = part(2)
-    kind = F.coalesce(*(F.when(code == k, v) for k, v in KINDS.items()), F.when(code.cast("int") >= 1, "user"), F.lit("silence"))
-    types = lines.where(F.col("line").rlike(TYPE_LINE)).select("profile_id", "ord", part(1).alias("type_name"), kind.alias("kind"), F.coalesce(F.expr(f"try_cast(regexp_extract(line, r'{TYPE_LINE}', 2) as int)"), F.lit(-1)).alias("type_id"), part(3).cast("int").alias("elements"), part(4).cast("int").alias("frames"), part(5).cast("int").alias("cut_frames"), part(6).alias("colour"), part(7).alias("channel"), part(8).alias("mask"), part(9).alias("tone_seconds"))
-    head = number.withColumn("_n", F.row_number().over(_by_line())).where("_n <= 2").groupBy("profile_id").agg(F.max(F.when(F.col("_n") == 1, F.col("line"))).alias("version"), F.max(F.when(F.col("_n") == 2, F.col("line"))).alias("name"))
-    return head, modes, types
-
-
-def _by_line():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("profile_id").orderBy("ord")
-
-
-def make_pairs(recordings: DataFrame, mode: str, group: list[str] | None = None, references: DataFrame | None = None) -> DataFrame:
-    """Mode all (each two of a group, joined on the group) or one_to_many (references: recording_id and the group columns)."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("profile_id"), F.split("value", r"\r?\n").alias("raw"))
+    kept = F.filter(F.transform("raw", lambda x: F.trim(F.regexp_replace(x, r";.*$|\t", " "))), lambda x: x != "")
+    whole = text.select("profile_id", kept.alias("lines"))
+    line = lambda k: F.coalesce(F.get("lines", k), F.lit(""))
+    head = whole.withColumn("kind", F.when(F.lower(line(0)).contains("nosync"), "nosync").otherwise("sync"))
+    head = head.withColumn("version", F.regexp_extract(line(0), r"^\S+\s+([\d.]+)$", 1)).withColumn("name", line(1))
+    count = lambda c, form: F.coalesce(F.expr("try_cast({} AS int)".format(c)), F.lit(0)).alias(form)
+    head = head.withColumn("n_modes", F.when(F.col("kind") == "sync", count(r"regexp_extract(get(lines, 2), '^.VideoModes.\\s+(\\d+)$', 1)", "n")).otherwise(F.lit(2)))
+    head = head.withColumn("n_lines", F.when(F.col("kind") == "sync", count(r"regexp_extract(get(lines, n_modes + 5), '^.ToneLines.\\s+(\\d+)$', 1)", "n")).otherwise(count("get(lines, 5)", "n")))
+    head = head.withColumn("first", F.when(F.col("kind") == "sync", F.col("n_modes") + 6).otherwise(6))
+    each = head.select("profile_id", "kind", "n_modes", "n_lines", "first", F.posexplode("lines").alias("ord", "line")).withColumn("p", F.split("line", r"\s+"))
+    sync = F.col("kind") == "sync"
+
+    mode_lines = each.where(sync & (F.col("ord") >= 3) & (F.col("ord") < F.col("n_modes") + 3))
+    p = lambda k: F.get("p", k)
+    fits = lambda form: F.col("line").rlike(LINES[form])
+    modes = mode_lines.where(fits("mode")).select("profile_id", (F.col("ord") - 3).alias("mode_no"), p(0).alias("mode_name"), p(1).cast("double").alias("ms_per_frame"), p(2).cast("double").alias("line_count"), p(3).cast("int").alias("pulse_hz"), p(4).cast("int").alias("pulse_frames"), p(5).cast("int").alias("pulse_count"))
+    free = head.where("kind = 'nosync'").select("profile_id", F.posexplode(F.slice("lines", 3, 2)).alias("mode_no", "ms"))
+    none = lambda kind: F.lit(None).cast(kind)
+    free = free.select("profile_id", "mode_no", F.element_at(F.array(F.lit("reference"), F.lit("comparison")), F.col("mode_no") + 1).alias("mode_name"), F.expr("try_cast(ms AS double)").alias("ms_per_frame"), none("double").alias("line_count"), *(none("int").alias(c) for c in ("pulse_hz", "pulse_frames", "pulse_count")))
+
+    types = each.where((F.col("ord") >= F.col("first")) & (F.col("ord") < F.col("first") + F.col("n_lines")))
+    letter = F.substring(p(1), 1, 1)
+    form = F.when(letter == "W", "watermark").when(sync & letter.isin("i", "I"), "internal").when(sync, "regular").otherwise("nosync")
+    good = F.when(letter == "W", fits("watermark")).when(sync & letter.isin("i", "I"), fits("internal")).when(sync, fits("regular")).otherwise(fits("nosync"))
+    types = types.withColumn("form", form).withColumn("good", good)
+    look = lambda k: F.coalesce(*(F.when(letter == c, F.lit(v[k])) for c, v in KINDS.items()))
+    own = F.expr("try_cast(p[1] AS int)")
+    shift = F.when(F.col("form") == "regular", 1).otherwise(0)  # a regular line has cut frames before its colour
+    at = lambda k: F.get("p", F.lit(k) + shift)
+    special = lambda kind, k, t: F.when(F.col("form") == kind, F.expr(f"try_cast(get(p, {k}) AS {t})"))
+    lines = types.where("good").select(
+        "profile_id", (F.col("ord") - F.col("first")).alias("ord"), p(0).alias("type_name"),
+        F.when(own >= 1, "user").otherwise(F.coalesce(look(0), F.lit("silence"))).alias("kind"), F.coalesce(own, look(1)).alias("type_id"),
+        p(2).cast("int").alias("elements"), p(3).cast("int").alias("frames"), F.when(F.col("form") == "regular", F.abs(p(4).cast("int"))).otherwise(0).alias("cut_frames"),
+        at(4).alias("colour"), at(5).alias("channel"), F.when(F.col("form") == "regular", F.get("p", F.lit(7))).alias("mask"),
+        special("internal", 6, "int").alias("tone_hz"), special("internal", 7, "double").alias("tone_seconds"),
+        special("watermark", 6, "int").alias("valid_hz"), special("watermark", 7, "int").alias("invalid_hz"), special("watermark", 8, "string").alias("mark_name"),
+    )
+
+    clock = F.split(F.when(F.col("kind") == "sync", F.expr("get(lines, n_modes + 3)")), r"\s+")
+    marks = lines.where("kind = 'watermark'").groupBy("profile_id").agg(*(F.min(c).alias(n) for c, n in (("valid_hz", "wm_valid_hz"), ("invalid_hz", "wm_invalid_hz"), ("mark_name", "wm_name"))))
+    listed = F.expr("filter(transform(slice(clk, 6, size(clk)), x -> try_cast(x AS int)), x -> x IS NOT NULL)")
+    profiles = head.withColumn("clk", clock).withColumn("clocked", F.get("clk", 1) == "y").select(
+        "profile_id", "name", "version", "kind", F.when(~sync, line(4)).alias("sync_kind"), F.get("clk", 0).alias("clk_name"),
+        *(F.expr(f"IF(clocked, try_cast(get(clk, {k}) AS {t}), NULL)").alias(n) for k, t, n in ((2, "int", "clk_block"), (3, "double", "clk_hz"), (4, "double", "clk_ratio"))),
+        F.when(F.col("clocked") & (F.size(listed) > 0), listed).alias("clk_types"),
+        F.expr(r"IF(kind = 'sync', try_cast(regexp_extract(get(lines, n_modes + 4), '^.MonoBalanceBlock.\\s+(-?\\d+)', 1) AS int), NULL)").alias("balance_block"),
+    ).join(marks, "profile_id", "left")
+
+    bad = lambda df, reason: df.select("profile_id", "ord", "line", F.lit(reason).alias("reason"))
+    of_file = lambda condition, reason: bad(head.where(condition).select("profile_id", F.lit(0).alias("ord"), line(0).alias("line")), reason)
+    rejects = bad(types.where("NOT good"), "type line").unionByName(bad(mode_lines.where(~fits("mode")), "mode line")).unionByName(bad(each.where(sync & (F.col("ord") == F.col("n_modes") + 3) & ~fits("clock")), "clock line"))
+    rejects = rejects.unionByName(of_file(F.col("version") != VERSION, "version")).unionByName(of_file(F.size("lines") != F.col("first") + F.col("n_lines"), "number of lines"))
+    return profiles, modes.unionByName(free), lines.drop("valid_hz", "invalid_hz", "mark_name"), rejects
+
+
+def make_pairs(recordings: DataFrame, mode: str, group: list[str] | None = None, references: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """Mode all (each two of a group), one_to_many (references: recording_id and the group columns) or list (listed: ref_id, comp_id).
+
+    Pairs of a group come from a join on the group. Without a group, mode all is every two recordings, as many as the square of their
+    number, which has to be asked for by an empty list.
+    """
+    if mode == "list":
+        known = lambda n: recordings.select(F.col("recording_id").alias(n))
+        return listed.where("ref_id <> comp_id").join(known("ref_id"), "ref_id", "left_semi").join(known("comp_id"), "comp_id", "left_semi").select("ref_id", "comp_id").distinct().withColumn("pair_id", F.concat_ws("-", "ref_id", "comp_id"))
+    if mode == "all" and group is None:
+        raise ValueError("name the columns of a group, or [] for every two recordings")
     group = group or []
     a = (references if mode == "one_to_many" else recordings).select(F.col("recording_id").alias("ref_id"), *group)
     b = recordings.select(F.col("recording_id").alias("comp_id"), *group)
@@ -132,10 +221,16 @@ def make_pairs(recordings: DataFrame, mode: str, group: list[str] | None = None,
     return found.withColumn("pair_id", F.concat_ws("-", "ref_id", "comp_id"))
 
 
-def resolve_modes(pairs: DataFrame, modes: DataFrame) -> DataFrame:
-    """ms_per_frame of both sides by mode number; modes is at most nine rows a profile."""
-    side = lambda n: modes.select("profile_id", F.col("mode_no").alias(f"{n}_mode"), F.col("ms_per_frame").alias(f"{n}_ms"), F.col("line_count").alias(f"{n}_lines"))
-    return pairs.join(side("ref"), ["profile_id", "ref_mode"]).join(side("comp"), ["profile_id", "comp_mode"])
+def resolve_modes(pairs: DataFrame, modes: DataFrame, by: str = "mode_no") -> DataFrame:
+    """ms_per_frame, lines and pulses of both sides by mode number, or by mode_name (in any case); a profile has nine modes at most.
+
+    pairs: profile_id, ref_mode, comp_mode. Pairs whose modes the profile does not have keep nulls.
+    """
+    key = lambda c: F.lower(c) if by == "mode_name" else F.col(c)
+    facts = {"ms_per_frame": "ms", "line_count": "lines", "pulse_hz": "pulse_hz", "pulse_frames": "pulse_frames", "pulse_count": "pulses"}
+    side = lambda n: modes.select("profile_id", key(by).alias(f"_{n}"), *(F.col(c).alias(f"{n}_{v}") for c, v in facts.items()))
+    out = pairs.withColumn("_ref", key("ref_mode")).withColumn("_comp", key("comp_mode"))
+    return out.join(side("ref"), ["profile_id", "_ref"], "left").join(side("comp"), ["profile_id", "_comp"], "left").drop("_ref", "_comp")
 
 
 def apply_manual_sync(bounds: DataFrame, manual: DataFrame) -> DataFrame:
@@ -151,10 +246,19 @@ def write_differences(matched: DataFrame, significance: float, path: str) -> Non
 
 
 def difference_report(matched: DataFrame, missing: DataFrame) -> DataFrame:
-    """A row for each block and finding, with its rank by loudness."""
-    a = matched.where("abs(diff_amplitude) >= 1e-5").select("pair_id", "block_no", F.lit("differing").alias("finding"), "hertz", F.col("ref_amplitude").alias("amplitude"), F.col("diff_amplitude").alias("value"))
-    b = missing.select("pair_id", "block_no", F.lit("missing").alias("finding"), "hertz", "amplitude", F.lit(None).cast("double").alias("value"))
-    return a.unionByName(b)
+    """A row for each block and finding (differing, phase, missing), ranked within them by loudness of the reference."""
+    row = lambda df, name, value: df.select("pair_id", "block_no", "channel", F.lit(name).alias("finding"), "hertz", F.col("ref_amplitude").alias("amplitude"), value.alias("value"))
+    a = row(matched.where("abs(diff_amplitude) >= 1e-5"), "differing", F.col("diff_amplitude"))
+    b = row(matched.where("abs(diff_phase) >= 1e-5"), "phase", F.col("diff_phase"))
+    c = row(missing.withColumnRenamed("amplitude", "ref_amplitude"), "missing", F.lit(None).cast("double"))
+    w = Window.partitionBy("pair_id", "block_no", "channel", "finding").orderBy(F.desc("amplitude"), "hertz")
+    return a.unionByName(b).unionByName(c).withColumn("rank", F.row_number().over(w))
+
+
+def report_totals(report: DataFrame) -> DataFrame:
+    """Findings of each pair and block, and of each pair (block_no null)."""
+    sets = [[F.col("pair_id"), F.col("finding")], [F.col("pair_id"), F.col("block_no"), F.col("finding")]]
+    return report.groupingSets(sets, "pair_id", "block_no", "finding").agg(F.count("*").alias("n"))
 
 
 def write_block_samples(blocks: DataFrame, path: str) -> None:
