@@ -6,26 +6,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigdiff.spectrum import coefficients
+from sigdiff.options import CompareOptions
+from sigdiff.spectrum import alike, block_spectra, coefficients, route_channels
 
 
-def cut_blocks(chunks: DataFrame, bounds: DataFrame, chunk_frames: int) -> DataFrame:
-    """Samples of [start_frame, start_frame + n_frames) of each block, from the chunks that it overlaps, zero where there are none.
+def _value(x) -> Column:
+    """A number, or the name of a column that holds it."""
+    return F.col(x) if isinstance(x, str) else F.lit(x)
 
-    The interval join is an equality join on chunk numbers.
+
+def cut_blocks(chunks: DataFrame, bounds: DataFrame, chunk_frames: int | str) -> DataFrame:
+    """Samples of [start_frame, start_frame + n_frames) of each block, each at its place, zero where no chunk has them.
+
+    The interval join is an equality join on chunk numbers. chunk_frames: a number or a column of bounds (sample_rate for chunks of a second). A
+    block beyond the recording is all zeros. right is null where the chunks have none. Further columns of bounds stay.
     """
-    wanted = bounds.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("start_frame") / chunk_frames), F.floor((F.col("start_frame") + F.col("n_frames") - 1) / chunk_frames)))).withColumnRenamed("start_frame", "block_start")
-    joined = wanted.join(chunks, ["recording_id", "chunk_no"])
-    low = F.greatest(F.col("block_start") - F.col("start_frame"), F.lit(0))
-    high = F.least(F.col("block_start") + F.col("n_frames") - F.col("start_frame"), F.size("left").cast("long"))
-    part = lambda c: F.slice(c, (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
-    pieces = joined.groupBy("recording_id", "block_no", "block_start", "n_frames").agg(F.array_sort(F.collect_list(F.struct("chunk_no", part("left").alias("l"), part("right").alias("r")))).alias("p"))
-    whole = lambda c: F.flatten(F.col(f"p.{c}"))
-    pad = lambda x: F.concat(x, F.array_repeat(F.lit(0.0), (F.col("n_frames") - F.size(x)).cast("int")))
-    return pieces.select("recording_id", "block_no", F.col("block_start").alias("start_frame"), "n_frames", pad(whole("l")).alias("left"), F.when(F.size(F.filter("p.r", lambda v: v.isNull())) == 0, pad(whole("r"))).alias("right"))
+    size = _value(chunk_frames)
+    wanted = bounds.where("n_frames > 0").withColumnRenamed("start_frame", "_at")
+    wanted = wanted.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.col("n_frames") - 1) / size))))
+    joined = wanted.join(chunks.select("recording_id", "chunk_no", F.col("start_frame").alias("_from"), F.col("left").alias("_l"), F.col("right").alias("_r")), ["recording_id", "chunk_no"], "left")
+    skip = F.greatest(F.col("_at") - F.col("_from"), F.lit(0))
+    take = F.greatest(F.least(F.col("_at") + F.col("n_frames") - F.col("_from"), F.size("_l").cast("long")) - skip, F.lit(0))
+    part = lambda c: F.slice(c, (skip + 1).cast("int"), take.cast("int"))
+    piece = F.when(F.col("_from").isNotNull(), F.struct(F.greatest(F.col("_from") - F.col("_at"), F.lit(0)).alias("at"), part("_l").alias("l"), part("_r").alias("r")))
+    kept = [c for c in bounds.columns if c != "start_frame"]
+    pieces = joined.groupBy(*kept, "_at").agg(F.array_sort(F.collect_list(piece)).alias("_p"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), F.greatest(n, F.lit(0)).cast("int"))
+    placed = lambda c: F.aggregate("_p", F.array().cast("array<double>"), lambda out, p: F.concat(out, zeros(p["at"] - F.size(out)), p[c]))
+    whole = lambda c: F.concat(placed(c), zeros(F.col("n_frames") - F.size(placed(c))))
+    both = (F.size("_p") > 0) & F.forall("_p", lambda p: p["r"].isNotNull())
+    return pieces.select("recording_id", "block_no", F.col("_at").alias("start_frame"), "n_frames", *(c for c in kept if c not in ("recording_id", "block_no", "n_frames")), whole("l").alias("left"), F.when(both, whole("r")).alias("right"))
 
 
 def sample_peak(blocks: DataFrame, by: list[str], column: str = "samples") -> DataFrame:
@@ -33,13 +46,20 @@ def sample_peak(blocks: DataFrame, by: list[str], column: str = "samples") -> Da
     return blocks.groupBy(*by).agg(F.max(F.array_max(F.transform(column, F.abs))).alias("peak"))
 
 
-def local_sample_peak(chunks: DataFrame, around: DataFrame, chunk_frames: int) -> DataFrame:
-    """Around: recording_id, frame, sample_rate. The peak within 1/60 s of the frame."""
-    reach = F.ceil(F.col("sample_rate") / 60)
-    near = around.withColumn("low", F.greatest(F.col("frame") - reach, F.lit(0))).withColumn("high", F.col("frame") + reach)
-    near = near.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("low") / chunk_frames), F.floor(F.col("high") / chunk_frames))))
-    part = F.slice("left", (F.greatest(F.col("low") - F.col("start_frame"), F.lit(0)) + 1).cast("int"), (F.col("high") - F.col("low") + 1).cast("int"))
-    found = near.join(chunks, ["recording_id", "chunk_no"]).withColumn("_p", F.array_max(F.transform(part, F.abs)))
+def comparison_frame(ref_frame: Column, ref_start: Column, comp_start: Column, ref_rate: Column, comp_rate: Column, ref_ms: Column, comp_ms: Column) -> Column:
+    """Where the reference's frame lies in the comparison, whose rate of samples and of frames may differ."""
+    return comp_start + F.floor((ref_frame - ref_start) / ref_rate * comp_rate * comp_ms / ref_ms + 0.5)
+
+
+def local_sample_peak(chunks: DataFrame, around: DataFrame, chunk_frames: int | str) -> DataFrame:
+    """Around: recording_id, frame, sample_rate. The peak of both channels within 1/60 s of the frame; chunk_frames as for cut_blocks."""
+    size, reach = _value(chunk_frames), F.ceil(F.col("sample_rate") / 60)
+    near = around.withColumn("_low", F.greatest(F.col("frame") - reach, F.lit(0))).withColumn("_high", F.col("frame") + reach)
+    near = near.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("_low") / size), F.floor(F.col("_high") / size)))).drop("sample_rate")
+    begin = F.greatest(F.col("_low") - F.col("start_frame"), F.lit(0))
+    length = F.greatest(F.col("_high") - F.col("start_frame") - begin + 1, F.lit(0))
+    top = lambda c: F.array_max(F.transform(F.slice(c, (begin + 1).cast("int"), length.cast("int")), F.abs))
+    found = near.join(chunks.select("recording_id", "chunk_no", "start_frame", "left", "right"), ["recording_id", "chunk_no"]).withColumn("_p", F.greatest(top("left"), top("right")))
     return found.groupBy("recording_id", "frame").agg(F.max("_p").alias("peak"))
 
 
@@ -64,40 +84,47 @@ def stereo_balance(spec: DataFrame) -> DataFrame:
     return out.select("recording_id", db.alias("db"), (F.least("ml", "mr") / F.greatest("ml", "mr")).alias("gain"), F.when(F.col("ml") > F.col("mr"), "l").when(F.col("mr") > F.col("ml"), "r").alias("channel"), F.when(F.col("mr").isNull(), "no common bin").otherwise("ok").alias("status"))
 
 
+def balance_spectra(blocks: DataFrame, profiles: DataFrame, sample_rate: float | str, end_hz: float = 20000.0) -> DataFrame:
+    """Flat-top spectra, two bins a channel, of each recording's balance block. blocks: recording_id, profile_id, block_no, left, right; profiles: profile_id, balance_block."""
+    own = blocks.join(F.broadcast(profiles.where("balance_block >= 0").select("profile_id", F.col("balance_block").alias("block_no"))), ["profile_id", "block_no"])
+    sides = route_channels(own.where("right IS NOT NULL").withColumn("routing", F.lit("S")).withColumn("kind", F.lit("user")).withColumn("type_id", F.lit(1)))
+    return block_spectra(sides, sample_rate, CompareOptions(window="f", top=2, end_hz=end_hz))
+
+
 def apply_balance(blocks: DataFrame, balance: DataFrame) -> DataFrame:
     """The louder channel is scaled down."""
     own = balance.where("status = 'ok' AND channel IS NOT NULL").select("recording_id", "channel", F.col("gain").alias("_g"))
     return blocks.join(own, ["recording_id", "channel"], "left").withColumn("samples", F.expr("if(_g IS NULL, samples, transform(samples, s -> s * _g))")).drop("_g")
 
 
-def reconstruct(blocks: DataFrame, cutoffs: DataFrame, sample_rate: float, start_hz: float, end_hz: float, window: str = "n") -> DataFrame:
+def reconstruct(blocks: DataFrame, cutoffs: DataFrame, sample_rate: float | str, start_hz: float, end_hz: float, window: str = "n") -> DataFrame:
     """Cutoffs: recording_id, cutoff (magnitude). Both outputs in one pass: used has the bins of the band at or above the cut-off, discarded the others of the band.
 
-    The mean and bins from the limit up are in both.
+    The mean and bins from the limit up are in both. sample_rate: a number or a column of blocks. Blocks of one length and rate are transformed together.
     """
     schema = "recording_id long, block_no long, channel string, part string, samples array<double>"
 
+    def rows(part: pa.RecordBatch, n: int, rate: float) -> Iterator[pa.RecordBatch]:
+        s = np.fft.rfft(part.column("samples").flatten().to_numpy(zero_copy_only=False).reshape(-1, n) * coefficients(n, window), axis=1)
+        low, high = int(np.ceil(start_hz * n / rate)), min(int(np.floor(end_hz * n / rate)), n // 2)
+        bins = np.arange(s.shape[1])
+        inner = (bins >= max(low, 1)) & (bins < high)
+        both = (bins == 0) | (bins >= high)
+        loud = 2 * np.abs(s) / n >= part.column("cutoff").to_numpy()[:, None]
+        for name, keep in (("used", inner & loud), ("discarded", ~(inner & loud) & ~both)):
+            out = np.fft.irfft(np.where(keep | both, s, 0), n, axis=1)
+            edges = np.arange(len(out) + 1, dtype=np.int32) * n
+            own = [part.column(c) for c in ("recording_id", "block_no", "channel")]
+            yield pa.record_batch([*own, pa.array([name] * len(out)), pa.ListArray.from_arrays(pa.array(edges), pa.array(out.ravel()))], [c.split()[0] for c in schema.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                x = batch.column("samples")[k].values.to_numpy()
-                n = len(x)
-                s = np.fft.rfft(x * coefficients(n, window))
-                box = n / sample_rate
-                low, high = int(np.ceil(start_hz * box)), min(int(np.floor(end_hz * box)), n // 2)
-                mag = 2 * np.abs(s) / n
-                inner = np.zeros(len(s), bool)
-                inner[max(low, 1) : high] = True
-                loud = mag >= batch.column("cutoff")[k].as_py()
-                both = np.zeros(len(s), bool)
-                both[0] = True
-                both[high:] = True
-                rows = [np.fft.irfft(np.where(keep | both, s, 0), n) for keep in (inner & loud, ~(inner & loud) & ~both)]
-                own = [pa.array([batch.column(c)[k].as_py()] * 2) for c in ("recording_id", "block_no", "channel")]
-                yield pa.record_batch([*own, pa.array(["used", "discarded"]), pa.array(rows, pa.list_(pa.float64()))], ["recording_id", "block_no", "channel", "part", "samples"])
+            for part, n, rate, _ in alike(batch):
+                yield from rows(part, n, rate)
 
     # a cut-off is a row a recording
-    return blocks.join(cutoffs, "recording_id").select("recording_id", "block_no", "channel", "samples", "cutoff").mapInArrow(run, schema)
+    own = blocks.join(cutoffs, "recording_id").select("recording_id", "block_no", "channel", "samples", "cutoff", _value(sample_rate).cast("double").alias("_rate"), F.lit(0).alias("_pad"))
+    return own.mapInArrow(run, schema)
 
 
 def waveforms(blocks: DataFrame, k: int) -> DataFrame:

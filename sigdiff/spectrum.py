@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigdiff.exprs import window_value
@@ -48,19 +48,32 @@ def route_channels(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("_r", F.explode(rows)).select(*[c for c in blocks.columns if c not in ("left", "right")], "_r.channel", "_r.samples")
 
 
-def block_spectra(blocks: DataFrame, sample_rate: float, o: CompareOptions, pad: int = 0) -> DataFrame:
+def alike(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int, float, int]]:
+    """Rows of a batch with equal lengths of samples, rates (_rate) and padding (_pad), some million samples at once."""
+    samples, rates, pads = batch.column("samples"), batch.column("_rate").to_numpy(), batch.column("_pad").to_numpy()
+    keys = np.stack([np.array([len(s) for s in samples], float), rates, pads.astype(float)], 1) if batch.num_rows else np.zeros((0, 3))
+    for n, rate, pad in np.unique(keys, axis=0).tolist():
+        at = np.flatnonzero((keys == (n, rate, pad)).all(1))
+        step = max(1, 4_000_000 // max(1, int(n + pad)))
+        for k in range(0, len(at), step):
+            if n > 1:
+                yield batch.take(pa.array(at[k : k + step])), int(n), rate, int(pad)
+
+
+def block_spectra(blocks: DataFrame, sample_rate: float | str, o: CompareOptions, pad: int | str = 0) -> DataFrame:
     """U1 with W1 and K1: windowed real transforms of equal lengths at once; the ranks and the cut to the strongest bins stay in the task.
 
-    blocks: recording_id, block_no, channel, kind, type_id, samples. Silence keeps all bins. No shuffle.
+    blocks: recording_id, block_no, channel, kind, type_id, samples. sample_rate and pad (zeros after the samples) are numbers or columns of
+    blocks, so that one table may hold several rates and P12's and P13's padding. Silence keeps all bins. No shuffle.
     """
 
-    def rows(part: pa.RecordBatch, n: int) -> pa.RecordBatch:
+    def rows(part: pa.RecordBatch, n: int, rate: float, zeros: int) -> pa.RecordBatch:
         x = part.column("samples").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
         w = coefficients(n, o.window)
-        spectrum = np.fft.rfft(x * w, n + pad, axis=1)
-        size = n + pad
+        size = n + zeros
+        spectrum = np.fft.rfft(x * w, size, axis=1)
         enbw = float(int((w * w).sum()))
-        box = round(size / sample_rate, 3)
+        box = round(size / rate, 3)
         low, high = int(np.ceil(o.start_hz * box)), int(min(np.floor(o.end_hz * box), size // 2))
         bins = np.arange(low, high)
         s = spectrum[:, low:high]
@@ -76,17 +89,27 @@ def block_spectra(blocks: DataFrame, sample_rate: float, o: CompareOptions, pad:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(s) for s in batch.column("samples")])
-            for n in np.unique(lengths):
-                if n > 1:
-                    at = np.flatnonzero(lengths == n)
-                    for k in range(0, len(at), max(1, 4_000_000 // int(n))):
-                        yield rows(batch.take(pa.array(at[k : k + max(1, 4_000_000 // int(n))])), int(n))
-
-    cols = [F.col("recording_id").cast("long"), F.col("block_no").cast("long"), "channel", "kind", F.col("type_id").cast("int"), F.col("samples").cast("array<double>")]
+            for part, n, rate, zeros in alike(batch):
+                yield rows(part, n, rate, zeros)
+
+    value = lambda x: F.col(x) if isinstance(x, str) else F.lit(x)
+    cols = [F.col("recording_id").cast("long"), F.col("block_no").cast("long"), "channel", "kind", F.col("type_id").cast("int"), F.col("samples").cast("array<double>"), value(sample_rate).cast("double").alias("_rate"), value(pad).cast("int").alias("_pad")]
     return blocks.where("samples IS NOT NULL").select(*cols).mapInArrow(run, SPECTRUM)
 
 
+def clock_spectra(blocks: DataFrame, profiles: DataFrame, sample_rate: float | str, k: int = 1, end_hz: float = 20000.0) -> DataFrame:
+    """The clock block of each recording again, with a Hamming window and padded to a multiple of k seconds.
+
+    blocks: recording_id, profile_id, block_no, channel, kind, type_id, samples; profiles: profile_id, clk_block (from 1 among the profile's user blocks, with
+    the block_no that it stands for in clk_block_no). Few blocks, so the join is a broadcast of the profiles' rows.
+    """
+    rate = F.col(sample_rate) if isinstance(sample_rate, str) else F.lit(sample_rate)
+    own = blocks.join(F.broadcast(profiles.select("profile_id", F.col("clk_block_no").alias("block_no"))), ["profile_id", "block_no"]).withColumn("_own_rate", rate.cast("double"))
+    n = F.size("samples")
+    pad = F.ceil(n / F.col("_own_rate") / k) * k * F.col("_own_rate") - n
+    return block_spectra(own.withColumn("_zeros", F.floor(pad + 0.5).cast("int")), "_own_rate", CompareOptions(window="m", end_hz=end_hz), "_zeros")
+
+
 def rank_bins(spec: DataFrame) -> DataFrame:
     """W1 for spectra from elsewhere."""
     w = Window.partitionBy("recording_id", "block_no", "channel").orderBy(F.desc("magnitude"), "bin")
@@ -104,8 +127,8 @@ def band(spec: DataFrame, start_hz: float, end_hz: float) -> DataFrame:
     return spec.where((F.col("bin") >= F.ceil(start_hz * box)) & (F.col("bin") < F.floor(end_hz * box)))
 
 
-def significant(levels: DataFrame, s: float, role: str) -> DataFrame:
-    """The reference above s, the comparison above s - 20 dB, silence above -220 dBFS."""
+def significant(levels: DataFrame, s: float | Column, role: str) -> DataFrame:
+    """The reference above s (a number, or a column as it differs from pair to pair), the comparison above s - 20 dB, silence above -220 dBFS."""
     limit = s - (COMP_MARGIN_DB if role == "comp" else 0)
     return levels.where(F.col("amplitude") > F.when(F.col("kind") == "silence", SILENCE_LIMIT_DB).otherwise(limit))
 
