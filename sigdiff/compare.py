@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigdiff.exprs import amplitude_difference, phase_difference
@@ -38,7 +38,7 @@ def missing(ref: DataFrame, comp: DataFrame) -> DataFrame:
     return ref.join(comp.select(*KEY), KEY, "left_anti").select(*KEY, "kind", "type_id", "hertz", "amplitude")
 
 
-def extra(ref: DataFrame, comp: DataFrame, significance: float) -> DataFrame:
+def extra(ref: DataFrame, comp: DataFrame, significance: float | Column) -> DataFrame:
     """Comparison bins above the significance without a partner."""
     return comp.where(F.col("amplitude") > significance).join(ref.select(*KEY), KEY, "left_anti").select(*KEY, "kind", "type_id", "hertz", "amplitude")
 

@@ -8,9 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed names of colours in profiles.
+COLOURS = ("red", "green", "blue", "yellow", "magenta", "cyan", "aqua", "aquamarine", "orange", "purple", "gray", "grey", "null")
+#: Fixed factors by which amplitudes are raised after a window (n rectangle, t Tukey, f flat-top, h Hann, m Hamming).
+WINDOW_FACTORS = {"n": 1.0, "t": 1.2122, "f": 4.63899, "h": 1.99986, "m": 1.85196}
+
+
 def almost_equal(a: Column, b: Column, tol: float = 1e-5) -> Column:
-    """of magnitudes of equal sign."""
-    return F.abs(F.abs(a) - F.abs(b)) < tol
+    """of equal sign: the same, the same but for rounding of doubles, or absolute values less than tol apart."""
+    near = F.abs(a - b) <= 2.220446049250313e-16 * F.greatest(F.abs(a), F.abs(b))
+    return (a == b) | near | (F.abs(F.abs(a) - F.abs(b)) < tol)
 
 
 def round_half_away(x: Column, places: int) -> Column:
@@ -48,10 +55,35 @@ def frames_to_seconds(frames: Column, ms_per_frame: Column) -> Column:
     return frames * ms_per_frame / 1000.0
 
 
+def seconds_to_frames(seconds: Column, ms_per_frame: Column) -> Column:
+    """F7 from here on."""
+    return seconds * 1000.0 / ms_per_frame
+
+
 def seconds_to_samples(seconds: Column, rate: Column) -> Column:
     return F.floor(seconds * rate)
 
 
+def samples_to_seconds(samples: Column, rate: Column) -> Column:
+    return samples / rate
+
+
+def frames_to_samples(frames: Column, ms_per_frame: Column, rate: Column) -> Column:
+    return seconds_to_samples(frames_to_seconds(frames, ms_per_frame), rate)
+
+
+def samples_to_frames(samples: Column, ms_per_frame: Column, rate: Column) -> Column:
+    return seconds_to_frames(samples_to_seconds(samples, rate), ms_per_frame)
+
+
+def samples_to_bytes(samples: Column, channels: Column, bits: Column) -> Column:
+    return samples * channels * bits / 8
+
+
+def bytes_to_samples(size: Column, channels: Column, bits: Column) -> Column:
+    return size * 8 / channels / bits
+
+
 def amplitude_difference(ref: Column, comp: Column) -> Column:
     """F8: positive where the comparison is louder."""
     return F.abs(ref) - F.abs(comp)
@@ -91,6 +123,23 @@ def display_name(name: Column) -> Column:
     return F.translate(name, "_", " ")
 
 
+def colour(name: Column) -> Column:
+    """the colour that a profile's word means (a d before it is its dark shade), null for other words."""
+    bare = F.regexp_replace(F.lower(name), "^d(?=[a-z])", "")
+    one = F.when(bare.isin("aqua", "aquamarine"), "cyan").when(bare == "grey", "gray").otherwise(bare)
+    return F.when(bare.isin(*COLOURS), one)
+
+
+def window_factor(kind: str) -> float:
+    """the fixed factor of a window."""
+    return WINDOW_FACTORS[kind]
+
+
+def correction_factor(w: Column) -> Column:
+    """size / sum of an array of coefficients."""
+    return F.size(w) / F.aggregate(w, F.lit(0.0), lambda s, x: s + x)
+
+
 def imbalance_pct(db: Column) -> Column:
     """F16."""
     return 100 * (F.pow(F.lit(10.0), db / 20) - 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigdiff.exprs import COLOURS
+
 
 def block_layout(types: DataFrame) -> DataFrame:
     """A row for each element of each type line, with block_no, sub_index and frame_offset. A profile is a few hundred rows."""
@@ -42,8 +44,13 @@ def block_bounds(layout: DataFrame, rate: str = "sample_rate") -> DataFrame:
 
 
 def trim_by_framerate(seconds: DataFrame) -> DataFrame:
-    """ref_ms and comp_ms are the pair's frame rates; the longer side drops its tail, both are windowed for the shorter."""
-    low = F.least("ref_ms", "comp_ms")
+    """ref_ms and comp_ms are the pair's frame rates; on lines with the mask * (all, without a column mask) the longer side drops its tail, both are windowed for the shorter."""
+    marked = F.col("mask") == "*" if "mask" in seconds.columns else F.lit(True)
+    least = F.least("ref_ms", "comp_ms")
+    if "mask" in seconds.columns:
+        own = lambda ms: F.when(marked, F.col("frames") * (F.col(ms) - least) / 1000.0).otherwise(0.0)
+        return seconds.withColumn("window_seconds", F.when(marked, F.col("frames") * least / 1000.0)).withColumn("ref_trim", own("ref_ms")).withColumn("comp_trim", own("comp_ms"))
+    low = least
     return seconds.withColumn("window_seconds", F.col("frames") * low / 1000.0).withColumn("ref_trim", F.col("frames") * (F.col("ref_ms") - low) / 1000.0).withColumn("comp_trim", F.col("frames") * (F.col("comp_ms") - low) / 1000.0)
 
 
@@ -60,6 +67,14 @@ def mark_addons(types: DataFrame, use_extra: bool) -> DataFrame:
     return out if use_extra else out.withColumn("kind", F.when(F.col("is_addon"), "time_domain").otherwise(F.col("kind")))
 
 
+def flatten_balance(types: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Profiles with balance_block, a block number of the whole layout, changed to the number of the line that holds it."""
+    w = Window.partitionBy("profile_id").orderBy("ord")
+    line = types.withColumn("_line", F.row_number().over(w) - 1).withColumn("_to", F.sum("elements").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    held = profiles.join(line.select("profile_id", "_line", "_to", F.col("elements").alias("_n")), "profile_id").where((F.col("balance_block") < F.col("_to")) & (F.col("balance_block") >= F.col("_to") - F.col("_n")))
+    return profiles.join(held.select("profile_id", "_line"), "profile_id", "left").withColumn("balance_block", F.coalesce("_line", "balance_block")).drop("_line")
+
+
 def flatten_profile(types: DataFrame) -> DataFrame:
     """Each line as one long block."""
     return types.withColumn("frames", F.col("frames") * F.col("elements")).withColumn("cut_frames", F.col("cut_frames") * F.col("elements")).withColumn("elements", F.lit(1))
@@ -103,6 +118,11 @@ def validate_profiles(types: DataFrame) -> DataFrame:
     out = row(n_sync.where("n <> 2"), "two sync lines")
     for condition, rule in (("elements <= 0 OR frames <= 0", "no zero counts"), ("cut_frames >= frames", "cut below frames"), ("kind <> 'user' AND channel = 'S'", "no stereo control lines")):
         out = out.unionByName(row(types.where(condition), rule))
+    if "colour" in types.columns:
+        first = Window.partitionBy("profile_id", "type_id").orderBy("ord")
+        later = types.withColumn("_first", F.first("colour").over(first)).where("type_id >= 0 AND colour <> _first")
+        known = F.lower("colour").rlike(f"^d?({'|'.join(COLOURS)})$")
+        out = out.unionByName(row(types.where(~known), "known colour")).unionByName(row(later, "colour of the type"))
     return out.unionByName(row(n_sync.where("i % 2 = 1"), "internal sync in pairs")).unionByName(row(n_sync.where("o > 0 AND i > 2"), "override with one internal sync"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigdiff.exprs import decibels
-from sigdiff.options import LINE_BINS, LOUDEST_FLOOR_DB, NORMALISE_DB, SIGNIFICANT_DB
+from sigdiff.options import LINE_BINS, LOUDEST_FLOOR_DB, NORMALISE_DB, REVERSED_DB, SIGNIFICANT_DB
 
 
 def peaks(spec: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def pair_zero(pairs: DataFrame, top: DataFrame) -> DataFrame:
 
 
 def levels(zeroed: DataFrame, spec: DataFrame, side: str, gain: str = "1.0") -> DataFrame:
-    """One side's spectrum of every pair, with amplitude in dB. The spectrum is made once and reused by all pairs."""
+    """One side's spectrum of every pair, with amplitude in dB. Stored spectra are made once for all pairs."""
     own = zeroed.select("pair_id", F.col(f"{side}_id").alias("recording_id"), "zero_db", F.expr(gain).alias("_gain"))
     out = spec.join(own, "recording_id").withColumn("magnitude", F.col("magnitude") * F.col("_gain"))
     return out.withColumn("amplitude", decibels(F.col("magnitude"), F.col("zero_db"))).drop("_gain")
@@ -59,11 +59,20 @@ def floor_level(silence: DataFrame, cutoff: DataFrame, lowest_dbfs: float) -> Da
 
 
 def significance(facts: DataFrame, auto: bool = True) -> DataFrame:
-    """A10: from ref_floor, comp_floor and the reference's mean fundamental in dB."""
-    s = F.when(F.col("ref_floor") > F.col("mean_fundamental"), SIGNIFICANT_DB).otherwise(F.col("ref_floor"))
-    raised = F.when((s < SIGNIFICANT_DB) & (F.col("comp_floor") > F.col("ref_floor")) & (F.col("comp_floor") <= LOUDEST_FLOOR_DB), F.col("comp_floor")).otherwise(s)
-    out = facts.withColumn("significance", raised if auto else F.greatest(raised, F.lit(SIGNIFICANT_DB)))
-    return out.withColumn("floor_too_high", F.col("ref_floor") > F.col("mean_fundamental"))
+    """A10: facts: ref_floor, comp_floor (null without silence), ref_mean, comp_mean (mean fundamentals), all in dB.
+
+    A floor above its own recording's mean fundamental is replaced by the default. The reference's floor counts, raised to the comparison's where that is
+    higher but not above the loudest floor allowed, if the result would be below the default; without auto it is never below the default.
+    """
+    kept = lambda side: F.when(F.col(f"{side}_floor") > F.col(f"{side}_mean"), SIGNIFICANT_DB).otherwise(F.col(f"{side}_floor"))
+    ref, comp = kept("ref"), kept("comp")
+    plain = F.coalesce(ref, F.lit(SIGNIFICANT_DB))
+    raised = F.coalesce((plain < SIGNIFICANT_DB) & (comp <= LOUDEST_FLOOR_DB) & (ref < comp), F.lit(False)) if auto else F.lit(False)
+    out = facts.withColumn("significance", F.when(raised, comp).otherwise(plain) if auto else F.greatest(plain, F.lit(SIGNIFICANT_DB)))
+    for side, own in (("ref", ref), ("comp", comp)):
+        too_high = (F.col(f"{side}_floor") > F.col(f"{side}_mean")) | (own > LOUDEST_FLOOR_DB)
+        out = out.withColumn(f"{side}_floor_too_high", F.coalesce(too_high, F.lit(False)))
+    return out.withColumn("floors_differ", raised & (F.abs(ref - comp) > 20))
 
 
 def mean_floor(spec: DataFrame, floors: DataFrame, top: int = 50, depth_db: float = 30.0) -> DataFrame:
@@ -81,11 +90,22 @@ def standalone_floor(spec: DataFrame) -> DataFrame:
 
 
 def tag_noise_lines(spec: DataFrame, lines: DataFrame, width_bins: int = LINE_BINS) -> DataFrame:
-    """Lines (line, target_hz, exact) is a handful of rows. Adds line to the bins near it."""
+    """Lines (line, target_hz, exact, of all recordings or each with its recording_id) is a handful of rows a recording. Adds line to the bins near it."""
     wide = F.abs(F.col("hertz") - F.col("target_hz")) <= F.when(F.col("exact"), 0.5).otherwise(float(width_bins)) * 1000.0 / F.col("boxsize_ms")
+    if "recording_id" in lines.columns:
+        return spec.join(lines, "recording_id").where(wide)
     return spec.join(F.broadcast(lines), wide)
 
 
+def noise_lines(recordings: DataFrame) -> DataFrame:
+    """recording_id, line, target_hz, exact: the frame rate 1000 / ms, times the lines of a frame, and half of that. recordings: recording_id, ms_per_frame, line_count."""
+    frame = 1000.0 / F.col("ms_per_frame")
+    scan = frame * F.col("line_count")
+    row = lambda name, hz, exact: F.struct(F.lit(name).alias("line"), hz.alias("target_hz"), F.lit(exact).alias("exact"))
+    lines = F.array(row("vertical", frame, True), row("scan", scan, False), row("cross", scan / 2, False))
+    return recordings.select("recording_id", F.explode(lines).alias("l")).select("recording_id", "l.*").where("target_hz > 0")
+
+
 def noise_line_levels(tagged: DataFrame) -> DataFrame:
     """A9."""
     return tagged.where("kind = 'silence'").groupBy("recording_id", "line").agg(F.max("amplitude").alias("line_db"))
@@ -108,17 +128,42 @@ def peak_candidates(spec: DataFrame, n: int = 500) -> DataFrame:
     return own.join(limit, "recording_id").where(F.col("magnitude") > F.col("limit")).drop("limit").withColumn("number", F.row_number().over(w)).where(F.col("number") <= n)
 
 
-def normalise_frequency(pairs: DataFrame, spec: DataFrame) -> DataFrame:
-    """ref_gain = comparison at the candidate / reference; the first candidate within 30 dB, else the one nearest to it."""
+def normalise_frequency(pairs: DataFrame, spec: DataFrame, bins: int = 5) -> DataFrame:
+    """ref_gain = comparison at the candidate / reference; the first candidate within 30 dB, else the one nearest to it.
+
+    Pairs without any candidate in the comparison are gone over again, with bins around each candidate.
+    """
     cand = peak_candidates(spec).select(F.col("recording_id").alias("ref_id"), "number", "block_no", "channel", "bin", F.col("magnitude").alias("ref_magnitude"))
-    found = local_peak(pairs.select("pair_id", "ref_id", "comp_id").join(cand, "ref_id").select("pair_id", "comp_id", "number", "block_no", "channel", "bin", "ref_magnitude"), spec)
-    gap = F.abs(20 * F.log10(F.col("comp_magnitude") / F.col("ref_magnitude")))
-    found = found.withColumn("gap", gap)
+    every = pairs.select("pair_id", "ref_id", "comp_id").join(cand, "ref_id").select("pair_id", "comp_id", "number", "block_no", "channel", "bin", "ref_magnitude")
+    exact = _first_candidate(local_peak(every, spec)).withColumn("second_pass", F.lit(False))
+    wide = _first_candidate(local_peak(every.join(exact, "pair_id", "left_anti"), spec, bins)).withColumn("second_pass", F.lit(True))
+    return exact.unionByName(wide)
+
+
+def _first_candidate(found: DataFrame) -> DataFrame:
+    found = found.withColumn("gap", F.abs(20 * F.log10(F.col("comp_magnitude") / F.col("ref_magnitude"))))
     order = F.when(F.col("gap") <= NORMALISE_DB, F.struct(F.lit(0.0).alias("a"), F.col("number").alias("b"))).otherwise(F.struct(F.col("gap").alias("a"), F.col("number").alias("b")))
     best = F.min_by(F.struct("number", "gap", (F.col("comp_magnitude") / F.col("ref_magnitude")).alias("ref_gain")), order).alias("p")
     return found.groupBy("pair_id").agg(best).select("pair_id", F.col("p.number").alias("candidate"), "p.ref_gain", (F.col("p.gap") > NORMALISE_DB).alias("ratio_too_high"))
 
 
+def normalisation_warnings(pairs: DataFrame, gains: DataFrame, spec: DataFrame) -> DataFrame:
+    """pair_id and two flags: mean fundamentals more than 30 to 1 apart after normalisation, and channels that look reversed: on the reference's
+    loudest stereo block the louder side differs, and both gaps between the sides are above 8.5 dB."""
+    m = fundamental_stats(spec, "magnitude")
+    side = lambda n: m.select(F.col("recording_id").alias(f"{n}_id"), F.col("mean").alias(f"{n}_mean"))
+    both = pairs.select("pair_id", "ref_id", "comp_id").join(gains.select("pair_id", "ref_gain"), "pair_id").join(side("ref"), "ref_id").join(side("comp"), "comp_id")
+    ratio = F.col("ref_mean") * F.col("ref_gain") / F.col("comp_mean")
+    far = F.greatest(ratio, 1 / ratio) > NORMALISE_DB
+    top = spec.where("rank = 1 AND kind <> 'silence'").groupBy("recording_id", "block_no").agg(F.max(F.when(F.col("channel") == "l", F.col("magnitude"))).alias("l"), F.max(F.when(F.col("channel") == "r", F.col("magnitude"))).alias("r"))
+    tilt = top.where("l > 0 AND r > 0").withColumn("tilt", 20 * F.log10(F.col("l") / F.col("r")))
+    loudest = tilt.groupBy("recording_id").agg(F.max_by(F.struct("block_no", "tilt"), F.struct(F.abs("tilt"), -F.col("block_no"))).alias("b"))
+    facing = pairs.select("pair_id", "ref_id", "comp_id").join(loudest.select(F.col("recording_id").alias("ref_id"), F.col("b.block_no").alias("block_no"), F.col("b.tilt").alias("ref_tilt")), "ref_id")
+    facing = facing.join(tilt.select(F.col("recording_id").alias("comp_id"), "block_no", F.col("tilt").alias("comp_tilt")), ["comp_id", "block_no"])
+    turned = facing.select("pair_id", ((F.abs("ref_tilt") > REVERSED_DB) & (F.abs("comp_tilt") > REVERSED_DB) & (F.col("ref_tilt") * F.col("comp_tilt") < 0)).alias("channels_reversed"))
+    return both.select("pair_id", far.alias("means_too_far")).join(turned, "pair_id", "left").fillna(False, ["channels_reversed"])
+
+
 def normalise_average(pairs: DataFrame, spec: DataFrame) -> DataFrame:
     """The quieter recording is scaled up by the ratio of mean fundamentals."""
     m = fundamental_stats(spec, "magnitude")

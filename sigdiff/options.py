@@ -20,6 +20,15 @@ class CompareOptions:
     range_db: float = 18.0
     per_second: int = 1
     auto_significance: bool = True
+    normalise: str = "frequency"  # frequency, average or none
+    ignore_floor: bool = False
+    pad_to_longest: bool = False
+    align_hz: int = 0  # k: bins at multiples of 1 / k hertz; 0 leaves them
+    balance: bool = True
+    sync_tolerance: int = 0
+    recentre: bool = False
+    use_extra: bool = True
+    flatten: bool = False
 
 
 #: Fixed values of the method: decibels, hertz and shares that results depend on.
@@ -28,5 +37,6 @@ SILENCE_LIMIT_DB = -220.0
 SIGNIFICANT_DB = -66.0
 LOUDEST_FLOOR_DB = -40.0
 NORMALISE_DB = 30.0
+REVERSED_DB = 8.5
 TOLERANCE_HZ = 1e-5
 LINE_BINS = 8

@@ -43,10 +43,16 @@ def noise_difference_series(matched: DataFrame, period: int = 50) -> DataFrame:
     return moving_average(mean_per_hertz(matched.where("kind = 'silence'"), ["pair_id"]), "hertz", "diff_amplitude", period, ["pair_id"])
 
 
-def time_spectrogram(levels: DataFrame, frames_per_block: int) -> DataFrame:
-    """X is the block's frame position; the louder side wins where both channels hold a hertz."""
+def time_spectrogram(levels: DataFrame, offsets: DataFrame) -> DataFrame:
+    """X is the block's frame offset (offsets: block_no, frame_offset, as block_layout gives them for a profile); the louder side wins where both channels hold a hertz."""
     out = levels.groupBy("pair_id", "block_no", "type_id", "hertz").agg(F.max("amplitude").alias("amplitude"))
-    return out.withColumn("x", F.col("block_no") * frames_per_block)
+    return out.join(offsets.select("block_no", F.col("frame_offset").alias("x")), "block_no")
+
+
+def spectrogram(levels: DataFrame, channel: str | None = None) -> DataFrame:
+    """D3: the peak of each hertz by type and channel of a recording, of one channel if named."""
+    own = levels.where("kind <> 'silence'")
+    return peak_per_hertz(own if channel is None else own.where(F.col("channel") == channel), ["recording_id", "type_id", "channel"])
 
 
 def phase_series(matched: DataFrame) -> DataFrame:
@@ -68,6 +74,21 @@ def warnings(facts: DataFrame, flags: list[str]) -> DataFrame:
     return facts.select("pair_id", F.explode(each).alias("warning"))
 
 
+def pair_warnings(pairs: DataFrame, *tables: DataFrame) -> DataFrame:
+    """D13 from the tables that compute them: each has either pair_id or recording_id and boolean columns, the warnings. Those of a recording get ref_ or comp_ before them."""
+    every = pairs.select("pair_id", "ref_id", "comp_id")
+    flags = []
+    for t in tables:
+        own = [n for n, kind in t.dtypes if kind == "boolean"]
+        if "pair_id" in t.columns:
+            every, flags = every.join(t.select("pair_id", *own), "pair_id", "left"), flags + own
+            continue
+        for n in ("ref", "comp"):
+            every = every.join(t.select(F.col("recording_id").alias(f"{n}_id"), *(F.col(f).alias(f"{n}_{f}") for f in own)), f"{n}_id", "left")
+            flags += [f"{n}_{f}" for f in own]
+    return warnings(every, flags)
+
+
 def runs(df: DataFrame, state: str, order: list[str], by: list[str]) -> DataFrame:
     """Islands of equal state, numbered, with their lengths and starts. The window is one source's rows."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -77,8 +98,8 @@ def runs(df: DataFrame, state: str, order: list[str], by: list[str]) -> DataFram
 
 
 def ordered(df: DataFrame, series: str) -> DataFrame:
-    """K3."""
-    return df.orderBy(*{"ref": [F.desc("ref_amplitude")], "diff": [F.desc("diff_amplitude")], "hertz": [F.asc("hertz")]}[series])
+    """K3: by the reference's loudness, the comparison's, the difference, or hertz; ties go on by hertz."""
+    return df.orderBy(*{"ref": [F.desc("ref_amplitude"), "hertz"], "comp": [F.desc("comp_amplitude"), "hertz"], "diff": [F.desc("diff_amplitude"), "hertz"], "hertz": [F.asc("hertz")]}[series])
 
 
 def noise_spectrogram(levels: DataFrame, tagged: DataFrame) -> DataFrame:
@@ -88,10 +109,11 @@ def noise_spectrogram(levels: DataFrame, tagged: DataFrame) -> DataFrame:
     return top.join(line, ["recording_id", "bin"], "left")
 
 
-def unmatched_spectrogram(missing: DataFrame, extra: DataFrame, frames_per_block: int) -> DataFrame:
-    """D6."""
-    side = lambda df, name: df.select("pair_id", F.lit(name).alias("side"), (F.col("block_no") * frames_per_block).alias("x"), "hertz", "amplitude")
-    return side(missing, "missing").unionByName(side(extra, "extra"))
+def unmatched_spectrogram(missing: DataFrame, extra: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Offsets as for time_spectrogram."""
+    side = lambda df, name: df.select("pair_id", F.lit(name).alias("side"), "block_no", "hertz", "amplitude")
+    every = side(missing, "missing").unionByName(side(extra, "extra"))
+    return every.join(offsets.select("block_no", F.col("frame_offset").alias("x")), "block_no").select("pair_id", "side", "x", "hertz", "amplitude")
 
 
 def clock_series(clock_spec: DataFrame, pairs: DataFrame) -> DataFrame:
