@@ -7,8 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigdiff import compare, levels, spectrum
+from sigdiff import compare, layout, levels, sources, spectrum
 from sigdiff.options import CompareOptions
+from sigdiff.storage import stored
 
 OPTIONS = CompareOptions(top=20, start_hz=1.0, end_hz=32.0, significance=-12.0)
 
@@ -27,13 +28,13 @@ class Fixture:
 
     @cached_property
     def spec(self) -> DataFrame:
-        return spectrum.block_spectra(self.blocks, 64.0, OPTIONS)
+        """Stored, so that no query transforms a block twice."""
+        return stored(spectrum.block_spectra(self.blocks, 64.0, OPTIONS), "spectra")
 
     @cached_property
     def pairs(self) -> DataFrame:
-        ids = self.blocks.select("recording_id").distinct()
-        a, b = ids.toDF("ref_id"), ids.toDF("comp_id")
-        return a.join(b, F.col("ref_id") < F.col("comp_id")).withColumn("pair_id", F.concat_ws("-", "ref_id", "comp_id"))
+        """Every two of the five recordings."""
+        return sources.make_pairs(self.blocks.select("recording_id").distinct(), "all", [])
 
     @cached_property
     def zero(self) -> DataFrame:
@@ -77,3 +78,23 @@ class Fixture:
         """part as profile type lines: a profile for each size, a line for each part of it."""
         kind = F.element_at(F.array(*map(F.lit, ("sync", "silence", "internal_sync", "silence_override", "user", "user", "user", "user"))), (F.col("p_partkey") % 8 + 1).cast("int"))
         return self.read("part").select((F.col("p_partkey") % 40).alias("profile_id"), F.col("p_partkey").alias("ord"), kind.alias("kind"), F.when(kind == "user", F.col("p_partkey") % 5 + 1).otherwise(-1).cast("int").alias("type_id"), (F.col("p_partkey") % 4).cast("int").alias("elements"), (F.col("p_size") + 1).cast("int").alias("frames"), (F.col("p_size") % 3).cast("int").alias("cut_frames"), F.when(F.col("p_partkey") % 7 == 0, "S").otherwise("m").alias("channel"))
+
+    @cached_property
+    def offsets(self) -> DataFrame:
+        """The layout of the recordings' profile: a line for each block, of 18 to 22 frames."""
+        lines = self.blocks.groupBy("block_no", "kind", "type_id").agg(F.lit(1).alias("elements")).select(F.lit(0).alias("profile_id"), F.col("block_no").alias("ord"), "kind", "type_id", "elements", (18 + F.col("block_no") % 5).cast("int").alias("frames"))
+        return layout.block_layout(lines).select("block_no", "frame_offset")
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        """embeddings as the samples of five recordings, 64 to a chunk; each seventh chunk is absent, the right channel is the left one turned over and halved."""
+        left = F.col("embedding").cast("array<double>")
+        right = F.transform(left, lambda v: v * -0.5)
+        row = self.read("embeddings").where("vec_id % 7 <> 3")
+        return row.select((F.col("vec_id") % 5).cast("string").alias("recording_id"), F.expr("vec_id div 5").alias("chunk_no"), F.expr("vec_id div 5 * 64").alias("start_frame"), left.alias("left"), right.alias("right"))
+
+    @cached_property
+    def pulses(self) -> DataFrame:
+        """events as short pieces: three tones, and levels of up to some dozen dB below the peak."""
+        level = F.col("value")
+        return self.read("events").select(F.col("user_id").alias("recording_id"), F.col("event_id").alias("start_frame"), (1000.0 + 1000 * (F.col("event_id") % 3)).alias("hertz"), (level + 1).alias("magnitude"), (-level / 3).alias("amplitude"))

@@ -76,18 +76,13 @@ def _flagship(x: Fixture) -> DataFrame:
 
 
 _query("u1_block_spectra", "SELECT recording_id, block_no, bin, round(magnitude, 6) AS magnitude FROM spec")(lambda x: x.spec.select("recording_id", "block_no", n("bin"), r6("magnitude")))
-_query("w1_rank_bins", "SELECT recording_id, block_no, bin, rank FROM spec WHERE rank <= 5")(lambda x: u.rank_bins(x.spec).where("rank <= 5").select("recording_id", "block_no", n("bin"), n("rank")))
 _query("k1_top_bins", "SELECT recording_id, count(*) AS n, round(sum(magnitude), 4) AS total FROM spec WHERE kind = 'silence' OR rank <= 7 GROUP BY 1")(lambda x: u.top_bins(x.spec, 7).groupBy("recording_id").agg(F.count("*").alias("n"), F.round(F.sum("magnitude"), 4).alias("total")))
-_query("p9_significant", "SELECT pair_id, 'ref' AS side, count(*) AS n FROM ref GROUP BY 1 UNION ALL SELECT pair_id, 'comp', count(*) FROM comp GROUP BY 1")(lambda x: x.ref.groupBy("pair_id").agg(F.count("*").alias("n")).select("pair_id", F.lit("ref").alias("side"), "n").unionByName(x.comp.groupBy("pair_id").agg(F.count("*").alias("n")).select("pair_id", F.lit("comp").alias("side"), "n")))
-_query("p10_band", "SELECT recording_id, count(*) AS n FROM spec WHERE bin >= 4 AND bin < 20 GROUP BY 1")(lambda x: u.band(x.spec, 3.5, 20.2).groupBy("recording_id").agg(F.count("*").alias("n")))
-_query("p11_only", "SELECT recording_id, count(*) AS n FROM spec WHERE kind = 'silence' GROUP BY 1")(lambda x: u.only(x.spec, "silence").groupBy("recording_id").agg(F.count("*").alias("n")))
 _query("p8_route_channels", "SELECT vec_id, channel, round(total, 4) AS total FROM (SELECT vec_id, 'l' AS channel, CASE WHEN vec_id % 3 = 0 THEN list_sum(embedding::DOUBLE[]) WHEN vec_id % 3 = 1 THEN 1.5 * list_sum(embedding::DOUBLE[]) ELSE list_sum(embedding::DOUBLE[]) END AS total FROM embeddings UNION ALL SELECT vec_id, 'r', 2 * list_sum(embedding::DOUBLE[]) FROM embeddings WHERE vec_id % 3 = 2)", False)(
     lambda x: u.route_channels(x.read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("left"), F.when(F.col("vec_id") % 3 > 0, F.transform(F.col("embedding").cast("array<double>"), lambda v: 2 * v)).alias("right"), F.when(F.col("vec_id") % 3 == 2, "S").otherwise("m").alias("routing"))).select("vec_id", "channel", r4(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v), "total")))
 _query("j6_window_table", "SELECT size, round(list_sum(list_transform(range(size), lambda i: 0.5 - 0.5 * cos(2 * pi() * i / (size - 1)))), 4) AS total FROM (SELECT DISTINCT p_size + 8 AS size FROM part)", False)(lambda x: u.window_table(x.read("part").select((F.col("p_size") + 8).alias("size")), "h").select("size", r4(F.aggregate("w", F.lit(0.0), lambda s, v: s + v), "total")))
 _query("j7_nearest_bin", "SELECT p_partkey, CASE WHEN b >= 2 AND b < 30 THEN b ELSE 0 END AS hz FROM (SELECT p_partkey, ceil(p_retailprice / 40 - 0.5) AS b FROM part)", False)(lambda x: x.read("part").select("p_partkey", u.nearest_bin(F.col("p_retailprice") / 40, F.lit(1000.0), 2.0, 30.0).alias("hz")))
 _query("a1_peaks", "SELECT recording_id, arg_max(block_no, magnitude) AS block_no, arg_max(bin, magnitude) AS bin, round(max(magnitude), 6) AS magnitude FROM spec WHERE kind <> 'silence' GROUP BY 1")(lambda x: a.peaks(x.spec).select("recording_id", "block_no", n("bin"), r6("magnitude")))
 _query("a2_zero_reference", "SELECT pair_id, round(zero_db, 6) AS zero_db FROM pairs")(lambda x: x.zero.select("pair_id", r6("zero_db")))
-_query("a3_self_normalise", "SELECT recording_id, block_no, bin, round(amplitude, 4) AS amplitude FROM own WHERE rank <= 3")(lambda x: x.own_levels.where("rank <= 3").select("recording_id", "block_no", n("bin"), r4("amplitude")))
 _query("a4_fundamental_magnitude", "SELECT recording_id, round(avg(magnitude), 6) AS mean, round(stddev_samp(magnitude), 6) AS sd, count(*) AS n FROM spec WHERE rank = 1 AND kind <> 'silence' GROUP BY 1")(lambda x: a.fundamental_stats(x.spec, "magnitude").select("recording_id", r6("mean"), r6("sd"), "n"))
 _query("a5_fundamental_amplitude", "SELECT recording_id, round(avg(amplitude), 4) AS mean FROM own WHERE rank = 1 AND kind <> 'silence' GROUP BY 1")(lambda x: a.fundamental_stats(x.own_levels, "amplitude").select("recording_id", r4("mean")))
 _query("a6_silence_floor", "SELECT recording_id, arg_max(hertz, amplitude) AS floor_hz, round(max(amplitude), 4) AS floor_db FROM own WHERE kind = 'silence' GROUP BY 1")(lambda x: a.silence_floor(x.own_levels).select("recording_id", "floor_hz", r4("floor_db")))
@@ -98,18 +93,8 @@ _query("j10_noise_lines", ", l AS (SELECT * FROM (VALUES ('vertical', 10.0, true
 _query("a9_noise_line_levels", ", l AS (SELECT * FROM (VALUES ('vertical', 10.0, true), ('scan', 24.0, false)) t(line, hz, exact)) SELECT recording_id, line, round(max(amplitude), 4) AS line_db FROM own JOIN l ON abs(hertz - hz) <= CASE WHEN exact THEN 0.5 ELSE 8 END WHERE kind = 'silence' GROUP BY 1, 2")(lambda x: a.noise_line_levels(a.tag_noise_lines(x.own_levels, x.spec.sparkSession.createDataFrame(LINES, "line string, target_hz double, exact boolean"))).select("recording_id", "line", r4("line_db")))
 
 
-@_query("a10_significance", """, fl AS (SELECT recording_id, max(amplitude) FILTER (kind = 'silence') * 15 AS f, avg(amplitude) FILTER (rank = 1 AND kind <> 'silence') AS m FROM own GROUP BY 1),
-g AS (SELECT pair_id, r.f AS rf, q.f AS cf, r.m AS m, CASE WHEN r.f > r.m THEN -66 ELSE r.f END AS s FROM pairs JOIN fl r ON r.recording_id = ref_id JOIN fl q ON q.recording_id = comp_id)
-SELECT pair_id, round(CASE WHEN s < -66 AND cf > rf AND cf <= -40 THEN cf ELSE s END, 4) AS significance, rf > m AS floor_too_high FROM g""")
-def _a10(x: Fixture) -> DataFrame:
-    fl = a.silence_floor(x.own_levels).select("recording_id", (F.col("floor_db") * 15).alias("f")).join(a.fundamental_stats(x.own_levels, "amplitude").select("recording_id", "mean"), "recording_id")
-    facts = x.pairs.join(fl.select(F.col("recording_id").alias("ref_id"), F.col("f").alias("ref_floor"), F.col("mean").alias("mean_fundamental")), "ref_id").join(fl.select(F.col("recording_id").alias("comp_id"), F.col("f").alias("comp_floor")), "comp_id")
-    return a.significance(facts).select("pair_id", r4("significance"), "floor_too_high")
-
-
 _query("a11_mean_floor", ", q AS (SELECT recording_id, amplitude, row_number() OVER (PARTITION BY recording_id ORDER BY amplitude DESC) AS n, max(amplitude) OVER (PARTITION BY recording_id) AS f FROM own WHERE kind = 'silence') SELECT recording_id, round(avg(amplitude), 4) AS mean_floor_db FROM q WHERE n <= 50 AND amplitude > f - 30 GROUP BY 1")(lambda x: a.mean_floor(x.own_levels, a.silence_floor(x.own_levels).select("recording_id", "floor_db")).select("recording_id", r4("mean_floor_db")))
 _query("a12_standalone_floor", ", q AS (SELECT recording_id, arg_min(magnitude, block_no * 100 + rank) AS quiet FROM spec WHERE kind = 'silence' GROUP BY 1) SELECT recording_id, round(20 * log10(quiet / magnitude), 4) AS floor_db FROM q JOIN peaks USING (recording_id)")(lambda x: a.standalone_floor(x.spec).select("recording_id", r4("floor_db")))
-_query("k2_peak_candidates", ", l AS (SELECT recording_id, avg(magnitude) + stddev_samp(magnitude) AS lim FROM spec WHERE kind <> 'silence' GROUP BY 1), q AS (SELECT s.*, row_number() OVER (PARTITION BY s.recording_id ORDER BY magnitude DESC) AS number FROM spec s JOIN l USING (recording_id) WHERE kind <> 'silence' AND magnitude > lim) SELECT recording_id, number, block_no, bin FROM q WHERE number <= 100")(lambda x: a.peak_candidates(x.spec, 100).select("recording_id", n("number"), "block_no", n("bin")))
 
 
 @_query("j9_local_peak", """, pk AS (SELECT recording_id, arg_max(block_no, magnitude) AS block_no, arg_max(bin, magnitude) AS bin FROM spec WHERE kind <> 'silence' GROUP BY 1)
@@ -131,7 +116,6 @@ f AS (SELECT pair_id, number, t.magnitude / q.magnitude AS ratio, abs(20 * log10
 SELECT pair_id, arg_min(number, CASE WHEN gap <= 30 THEN number ELSE 1000 + gap END) AS candidate, round(arg_min(ratio, CASE WHEN gap <= 30 THEN number ELSE 1000 + gap END), 6) AS ref_gain FROM f GROUP BY 1""")(lambda x: a.normalise_frequency(x.pairs, x.spec).select("pair_id", n("candidate"), r6("ref_gain")))
 _query("n2_average", ", m AS (SELECT recording_id, avg(magnitude) AS m FROM spec WHERE rank = 1 AND kind <> 'silence' GROUP BY 1) SELECT pair_id, round(greatest(q.m / r.m, 1), 6) AS ref_gain, round(greatest(r.m / q.m, 1), 6) AS comp_gain FROM pairs JOIN m r ON r.recording_id = ref_id JOIN m q ON q.recording_id = comp_id")(lambda x: a.normalise_average(x.pairs, x.spec).select("pair_id", r6("ref_gain"), r6("comp_gain")))
 _query("j2a_match", "SELECT pair_id, block_no, bin, type_id, round(diff_amplitude, 4) AS diff_amplitude FROM every")(lambda x: x.matched.select("pair_id", "block_no", n("bin"), "type_id", r4("diff_amplitude")))
-_query("j2b_match_tolerance", "SELECT pair_id, count(*) AS n, round(sum(diff_amplitude), 3) AS total FROM every GROUP BY 1")(lambda x: c.match(x.ref, x.comp, 1e-5).groupBy("pair_id").agg(F.count("*").alias("n"), F.round(F.sum("diff_amplitude"), 3).alias("total")))
 _query("j3_missing", "SELECT pair_id, block_no, bin, round(amplitude, 4) AS amplitude FROM missing")(lambda x: x.missing.select("pair_id", "block_no", n("bin"), r4("amplitude")))
 _query("j4_extra", "SELECT pair_id, block_no, bin, round(amplitude, 4) AS amplitude FROM extra")(lambda x: x.extra.select("pair_id", "block_no", n("bin"), r4("amplitude")))
 _query("j13_rank_listing", ", mk AS (SELECT pair_id, block_no, bin FROM every) SELECT pair_id, block_no, rank, r.bin AS ref_bin, q.bin AS comp_bin, mk.bin IS NOT NULL AS is_matched FROM ref r FULL JOIN comp q USING (pair_id, block_no, rank) LEFT JOIN mk USING (pair_id, block_no) WHERE FALSE UNION ALL SELECT coalesce(r.pair_id, q.pair_id), coalesce(r.block_no, q.block_no), coalesce(r.rank, q.rank), r.bin, q.bin, EXISTS (SELECT 1 FROM mk WHERE mk.pair_id = r.pair_id AND mk.block_no = r.block_no AND mk.bin = r.bin) FROM ref r FULL JOIN comp q ON r.pair_id = q.pair_id AND r.block_no = q.block_no AND r.rank = q.rank")(lambda x: c.rank_listing(x.ref, x.comp).select("pair_id", "block_no", n("rank"), n("ref_bin"), n("comp_bin"), "is_matched"))
@@ -157,10 +141,8 @@ _query("a29_mean_per_hertz", "SELECT pair_id, type_id, hertz, round(avg(diff_amp
 _query("a30_peak_per_hertz", "SELECT recording_id, type_id, bin, round(max(amplitude), 4) AS amplitude FROM own GROUP BY 1, 2, 3")(lambda x: d.peak_per_hertz(x.own_levels, ["recording_id", "type_id"]).select("recording_id", "type_id", n("bin"), r4("amplitude")))
 _query("d1_difference_series", f"SELECT pair_id, block_no, bin, round(diff_amplitude, 4) AS diff_amplitude, round(sqrt(greatest(least(1 - ref_amplitude / {S}, 1), 0)) * 0.85 + 0.15, 4) AS weight FROM matched")(lambda x: d.difference_series(x.matched, S, 1).select("pair_id", "block_no", n("bin"), r4("diff_amplitude"), r4("weight")))
 _query("d2_averaged_series", f", h AS (SELECT pair_id, type_id, hertz, avg(diff_amplitude) AS v FROM matched WHERE ref_amplitude > {S} / 2 GROUP BY 1, 2, 3), q AS (SELECT *, row_number() OVER w AS n, avg(v) OVER (PARTITION BY pair_id, type_id ORDER BY hertz ROWS 3 PRECEDING) AS average FROM h WINDOW w AS (PARTITION BY pair_id, type_id ORDER BY hertz)) SELECT pair_id, type_id, hertz, round(average, 4) AS average FROM q WHERE n > 4")(lambda x: d.averaged_series(x.matched, S).select("pair_id", "type_id", "hertz", r4("average")))
-_query("d5_time_spectrogram", "SELECT pair_id, block_no * 20 AS x, hertz, round(max(amplitude), 4) AS amplitude FROM ref GROUP BY pair_id, block_no, type_id, hertz")(lambda x: d.time_spectrogram(x.ref, 20).select("pair_id", n("x"), "hertz", r4("amplitude")))
 _query("d7_phase_series", "SELECT pair_id, type_id, channel, hertz, round(diff_phase, 3) AS diff_phase FROM matched")(lambda x: d.phase_series(x.matched).withColumn("diff_phase", F.round("diff_phase", 3)))
 _query("d8_noise_difference", ", h AS (SELECT pair_id, hertz, avg(diff_amplitude) AS v FROM every WHERE kind = 'silence' GROUP BY 1, 2), q AS (SELECT *, row_number() OVER w AS n, avg(v) OVER (PARTITION BY pair_id ORDER BY hertz ROWS 9 PRECEDING) AS average FROM h WINDOW w AS (PARTITION BY pair_id ORDER BY hertz)) SELECT pair_id, hertz, round(average, 4) AS average FROM q WHERE n > 10")(lambda x: d.noise_difference_series(x.matched, 10).select("pair_id", "hertz", r4("average")))
-_query("d13_warnings", "SELECT pair_id, unnest(list_filter([CASE WHEN m > 0 THEN 'louder' END, CASE WHEN s > 2 THEN 'spread' END], lambda v: v IS NOT NULL)) AS warning FROM (SELECT pair_id, avg(diff_amplitude) AS m, stddev_samp(diff_amplitude) AS s FROM matched GROUP BY 1)")(lambda x: d.warnings(x.audible.groupBy("pair_id").agg((F.avg("diff_amplitude") > 0).alias("louder"), (F.stddev_samp("diff_amplitude") > 2).alias("spread")), ["louder", "spread"]))
 _query("w4_runs", ", o AS (SELECT user_id, ts, event_id, value >= 50 AS pulse FROM events), g AS (SELECT *, CASE WHEN lag(pulse) OVER w = pulse THEN 0 ELSE 1 END AS ch FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g) SELECT user_id AS source, CAST(run AS BIGINT) AS run, pulse, count(*) AS length FROM r GROUP BY 1, 2, 3")(lambda x: d.runs(x.observations, "pulse", ["ts", "event_id"], ["source"]).select("source", n("run"), "pulse", "length"))
 
 TYPES = """WITH t AS (SELECT p_partkey % 40 AS profile_id, p_partkey AS ord, ['sync','silence','internal_sync','silence_override','user','user','user','user'][p_partkey % 8 + 1] AS kind, CAST(CASE WHEN p_partkey % 8 >= 4 THEN p_partkey % 5 + 1 ELSE -1 END AS INTEGER) AS type_id, CAST(p_partkey % 4 AS INTEGER) AS elements, p_size + 1 AS frames, p_size % 3 AS cut_frames, CASE WHEN p_partkey % 7 = 0 THEN 'S' ELSE 'm' END AS channel FROM part),
@@ -180,39 +162,28 @@ _query("s6_violations", TYPES + ", g AS (SELECT profile_id, count(*) FILTER (kin
 _query("a28_profile_stats", TYPES + "SELECT profile_id, CAST(sum(elements) AS BIGINT) AS blocks, CAST(sum(elements * frames) AS BIGINT) AS frames, round(sum(elements * frames * 16.6884) / 1000, 4) AS seconds, round(avg(frames), 4) AS mean_frames, round(stddev_samp(frames), 4) AS sd_frames, count(DISTINCT CASE WHEN type_id >= 1 THEN type_id END) AS types FROM t GROUP BY 1", False)(lambda x: p.profile_stats(x.types, x.types.select("profile_id").distinct().withColumn("ms_per_frame", F.lit(16.6884))).select("profile_id", "blocks", "frames", r4("seconds"), r4("mean_frames"), r4("sd_frames"), "types"))
 _query("f_scalars", "SELECT p_partkey, sign(v) * floor(abs(v) * 100 + 0.5) / 100 AS rounded, round(20 * log10(p_retailprice / 3000), 4) AS db, round(1200 * log2(p_retailprice / 1000), 4) AS cents, round((10 * x ** 3 - 15 * x ** 4 + 6 * x ** 5) * 0.85 + 0.15, 6) AS weight, replace(p_name, '_', ' ') AS name, round(100 * (10 ** (x / 20) - 1), 6) AS imbalance FROM (SELECT *, p_retailprice / 7 AS v, p_size / 50.0 AS x FROM part)", False)(
     lambda x: x.read("part").select("p_partkey", e.round_half_away(F.col("p_retailprice") / 7, 2).alias("rounded"), F.round(e.decibels(F.col("p_retailprice"), F.lit(3000.0)), 4).alias("db"), F.round(e.cents(F.col("p_retailprice"), F.lit(1000.0)), 4).alias("cents"), F.round(e.weight(F.col("p_size") / 50.0, 2), 6).alias("weight"), e.display_name(F.col("p_name")).alias("name"), F.round(e.imbalance_pct(F.col("p_size") / 50.0), 6).alias("imbalance")))
-_query("t2_live_levels", "SELECT user_id AS source, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(max(value), 4) AS peak, round(min(value), 4) AS floor FROM events GROUP BY 1, 2", False)(lambda x: x.observations.groupBy("source", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), r4(F.max("level"), "peak"), r4(F.min("level"), "floor")).select("source", F.col("w.start").alias("hour"), "n", "peak", "floor"))
-_query("t4_signal_sessions", ", g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id AS source, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session")(lambda x: x.observations.groupBy("source", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("source", F.col("w.start").alias("start"), "n"))
-
-
-@_query("archive_match_rows", "SELECT coalesce(r.k, q.k) AS recording_id, count(*) FILTER (r.k IS NOT NULL AND q.k IS NOT NULL) AS matched, count(*) FILTER (q.k IS NULL) AS missing, count(*) FILTER (r.k IS NULL) AS extra FROM (SELECT l_suppkey AS k, l_returnflag AS t, l_partkey AS b, max(l_extendedprice) FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2, 3) r FULL JOIN (SELECT l_suppkey AS k, l_returnflag AS t, l_partkey AS b, max(l_extendedprice) FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2, 3) q ON r.k = q.k AND r.t = q.t AND r.b = q.b GROUP BY 1", False)
-def _archive(x: Fixture) -> DataFrame:
-    """lineitem as a large ready-made spectrum: one aggregate and no join, as both sides share their key."""
-    key = [F.col("l_suppkey").alias("recording_id"), F.col("l_returnflag").alias("t"), F.col("l_partkey").alias("b")]
-    side = lambda s: F.max(F.when(F.col("l_linestatus") == s, F.col("l_extendedprice")))
-    both = x.read("lineitem").groupBy(*key).agg(side("F").alias("r"), side("O").alias("q"))
-    r, q = F.col("r").isNotNull(), F.col("q").isNotNull()
-    return both.groupBy("recording_id").agg(F.count_if(r & q).alias("matched"), F.count_if(r & ~q).alias("missing"), F.count_if(~r & q).alias("extra"))
 
 
 _query("s2_recording_facts", "SELECT p_partkey, p_retailprice * 100 / (p_size * 1000) AS seconds, least(p_size * 500.0, 20000.0) AS end_hz, p_size * 500 < 20000 AS nyquist_limited, p_retailprice * 100 / (p_size * 1000) < 10 AS too_short FROM part", False)(lambda x: so.recording_facts(x.read("part").select("p_partkey", (F.col("p_retailprice") * 100).alias("n_frames"), (F.col("p_size") * 1000).alias("sample_rate")), 20000.0, 10.0).select("p_partkey", "seconds", "end_hz", "nyquist_limited", "too_short"))
 _query("s3_full_scale", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN -48.16 WHEN 1 THEN -96.33 WHEN 2 THEN -144.49 ELSE -192.66 END AS lowest_dbfs FROM part", False)(lambda x: so.full_scale(x.read("part").select("p_partkey", ((F.col("p_partkey") % 4 + 1) * 8).cast("int").alias("bits"))).select("p_partkey", "lowest_dbfs"))
-_query("s8_difference_report", "SELECT pair_id, block_no, 'differing' AS finding, hertz, round(diff_amplitude, 4) AS value FROM matched WHERE abs(diff_amplitude) >= 1e-5 UNION ALL SELECT pair_id, block_no, 'missing', hertz, NULL FROM missing")(lambda x: so.difference_report(x.audible, x.missing).select("pair_id", "block_no", "finding", "hertz", r4("value")))
-_query("s10_pairs_of_a_group", "SELECT a.s_suppkey AS ref_id, b.s_suppkey AS comp_id FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey", False)(lambda x: so.make_pairs(x.read("supplier").select(F.col("s_suppkey").alias("recording_id"), "s_nationkey"), "all", ["s_nationkey"]).select("ref_id", "comp_id"))
 _query("s11_manual_sync", "SELECT p_partkey AS recording_id, CASE WHEN s_suppkey IS NULL THEN p_size ELSE s_suppkey * 2 END AS start_frame, CASE WHEN s_suppkey IS NULL THEN 'ok' ELSE 'manual' END AS status FROM part LEFT JOIN supplier ON s_suppkey = p_partkey", False)(lambda x: so.apply_manual_sync(x.read("part").select(F.col("p_partkey").alias("recording_id"), F.col("p_size").cast("long").alias("start_frame"), F.lit(0).alias("end_frame"), F.lit("ok").alias("status")), x.read("supplier").select(F.col("s_suppkey").alias("recording_id"), (F.col("s_suppkey") * 2).alias("start_frame"), F.lit(1).alias("end_frame"))).select("recording_id", "start_frame", "status"))
 _query("a23_sample_peak", "SELECT vec_id % 5 AS recording_id, round(max(list_max(list_transform(embedding, lambda v: abs(v))))::DOUBLE, 6) AS peak FROM embeddings GROUP BY 1", False)(lambda x: sa.sample_peak(x.blocks, ["recording_id"]).select("recording_id", r6("peak")))
 _query("d10_waveforms", "SELECT vec_id % 5 AS recording_id, vec_id // 5 AS block_no, part, round(list_min(embedding[part * 8 + 1:part * 8 + 8])::DOUBLE, 6) AS low, round(list_max(embedding[part * 8 + 1:part * 8 + 8])::DOUBLE, 6) AS high FROM embeddings, (SELECT unnest(range(8)) AS part)", False)(lambda x: sa.waveforms(x.blocks, 8).select("recording_id", "block_no", n("part"), r6("low"), r6("high")))
-_query("j11_clock", "SELECT recording_id, coalesce(arg_max(hertz, magnitude) FILTER (abs(hertz - 12) <= 0.6), arg_max(hertz, magnitude)) AS clock_hz FROM spec WHERE block_no = 3 GROUP BY 1")(lambda x: sy.clock_hz(x.spec.where("block_no = 3"), x.spec.select("recording_id").distinct().withColumn("clk_hz", F.lit(12.0))).select("recording_id", "clock_hz"))
-_query("a26_clock_levels", "SELECT recording_id, round(max(magnitude), 6) AS peak FROM spec WHERE block_no = 3 GROUP BY 1")(lambda x: sy.clock_levels(x.spec.where("block_no = 3")).select("recording_id", r6("peak")))
 _query("u10_frame_rate", "SELECT p_partkey, round((p_size + 1600) * 1000.0 / 48000 / 2, 6) AS ms_per_frame, CASE WHEN abs((p_size + 1600) * 1000.0 / 48000 / 2 / 16.6884 - 1) > 0.01 THEN 'rejected' ELSE 'ok' END AS status FROM part", False)(lambda x: sy.frame_rate(x.read("part").select("p_partkey", F.lit(0).alias("start_frame"), (F.col("p_size") + 1600).alias("end_frame"), F.lit(48000.0).alias("sample_rate"), F.lit(2).alias("sync_frames"), F.lit(16.6884).alias("expected_ms"))).select("p_partkey", r6("ms_per_frame"), "status"))
 
 _query("d4_noise_spectrogram", ", t AS (SELECT recording_id, bin, hertz, max(amplitude) AS a FROM own WHERE kind = 'silence' GROUP BY 1, 2, 3) SELECT recording_id, bin, round(a, 4) AS amplitude, CASE WHEN hertz BETWEEN 16 AND 32 THEN 'scan' WHEN hertz = 10 THEN 'vertical' END AS line FROM t")(lambda x: d.noise_spectrogram(x.own_levels, a.tag_noise_lines(x.own_levels, x.spec.sparkSession.createDataFrame(LINES, "line string, target_hz double, exact boolean"))).select("recording_id", n("bin"), r4("amplitude"), "line"))
-_query("d6_unmatched_spectrogram", "SELECT pair_id, 'missing' AS side, block_no * 20 AS x, hertz, round(amplitude, 4) AS amplitude FROM missing UNION ALL SELECT pair_id, 'extra', block_no * 20, hertz, round(amplitude, 4) FROM extra")(lambda x: d.unmatched_spectrogram(x.missing, x.extra, 20).withColumn("amplitude", r4("amplitude")))
-_query("d9_clock_series", ", k3 AS (SELECT * FROM spec WHERE block_no = 3), t AS (SELECT recording_id, max(magnitude) AS p FROM k3 GROUP BY 1), z AS (SELECT pair_id, ref_id, comp_id, greatest(r.p, q.p) AS z FROM pairs JOIN t r ON r.recording_id = ref_id JOIN t q ON q.recording_id = comp_id) SELECT pair_id, 'ref' AS side, bin, round(20 * log10(magnitude / z), 4) AS amplitude FROM z JOIN k3 ON recording_id = ref_id UNION ALL SELECT pair_id, 'comp', bin, round(20 * log10(magnitude / z), 4) FROM z JOIN k3 ON recording_id = comp_id")(lambda x: d.clock_series(x.spec.where("block_no = 3"), x.pairs).select("pair_id", "side", n("bin"), r4("amplitude")))
+
+
+def _more() -> None:
+    """The queries of the other module, which takes its registry from here."""
+    from sigdiff import queries_more  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _more()
     return {name: (lambda spark, sf_dir, f=f: f(Fixture(spark, sf_dir))) for name, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return {name: sql for name, (_, sql) in _found.items()}
