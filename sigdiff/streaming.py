@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def archive_stream(spark: SparkSession, path: str, delay: str = "7 days") -> DataFrame:
+    """Files as they arrive (path, ts, content, content_hash), each content once: a file with the bytes of one seen within the delay is dropped."""
+    files = spark.readStream.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("ts"), "content", F.sha2("content", 256).alias("content_hash"))
+    return files.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["content_hash"])
 
 
 def stream_compare(stream: DataFrame, spectra: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
@@ -33,28 +40,9 @@ def signal_sessions(stream: DataFrame, gap: str, delay: str = "10 minutes") -> D
     return stream.withWatermark("ts", delay).groupBy("source", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
 
 
-class PulseTrains(StatefulProcessor):
-    """Per source the state of the present run: a train is ``pulses`` runs of level, each followed by silence, none of it longer than ``longest`` rows."""
-
-    def __init__(self, pulses: int, longest: int):
-        self.pulses, self.longest = pulses, longest
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "on boolean, length int, count int, start timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        on, length, count, start = self.state.get() if self.state.exists() else (False, 0, 0, None)
-        found = []
-        for ts, pulse in sorted((t, bool(p)) for df in rows for t, p in zip(df["ts"], df["pulse"], strict=True)):
-            on, length, count, start, done = advance(on, length, count, start, ts, pulse, self.pulses, self.longest)
-            if done is not None:
-                found.append((key[0], done, ts))
-        self.state.update((on, length, count, start))
-        if found:
-            yield pd.DataFrame(found, columns=["source", "start", "end"])
-
-    def close(self) -> None:
-        pass
+TRAIN = "source long, start timestamp, end timestamp"
+STATE = "on boolean, length int, count int, start timestamp, last timestamp"
+BLANK = (False, 0, 0, None, None)
 
 
 def advance(on, length, count, start, ts, pulse, pulses, longest):
@@ -75,6 +63,54 @@ def advance(on, length, count, start, ts, pulse, pulses, longest):
     return on, length, count, start, done
 
 
-def live_pulse_trains(stream: DataFrame, pulses: int, longest: int, mode: str = "append") -> DataFrame:
-    """stream: source, ts, pulse."""
-    return stream.groupBy("source").transformWithStateInPandas(PulseTrains(pulses, longest), "source long, start timestamp, end timestamp", mode, "none")
+def follow(state: tuple, rows: Iterable[tuple], pulses: int, longest: int, gap: pd.Timedelta) -> tuple[tuple, list[tuple]]:
+    """The machine over rows (ts, pulse) in order: the state after them, and start and end of each train found. More than gap without a row blanks the state."""
+    *machine, last = state
+    found = []
+    for ts, pulse in rows:
+        if last is not None and ts - last > gap:
+            machine = list(BLANK[:4])
+        *machine, done = advance(*machine, ts, pulse, pulses, longest)
+        last = ts
+        if done is not None:
+            found.append((done, ts))
+    return (*machine, last), found
+
+
+def _in_order(frames: Iterable[pd.DataFrame]) -> list[tuple]:
+    return sorted((t, bool(p)) for df in frames for t, p in zip(df["ts"], df["pulse"], strict=True))
+
+
+def pulse_trains(df: DataFrame, pulses: int, longest: int, gap: str = "1 day") -> DataFrame:
+    """T3 in batch form: source, start and end of each train of df (source, ts, pulse)."""
+    limit = pd.Timedelta(gap)
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        _, found = follow(BLANK, _in_order([frame]), pulses, longest, limit)
+        return pd.DataFrame([(key[0], *f) for f in found], columns=["source", "start", "end"])
+
+    return df.groupBy("source").applyInPandas(run, TRAIN)
+
+
+def live_pulse_trains(stream: DataFrame, pulses: int, longest: int, gap: str = "1 day", delay: str = "0 seconds") -> DataFrame:
+    """Trains as they end. stream: source, ts, pulse, in order within a source but for a micro-batch.
+
+    Per source the state of the present run is kept: a train is ``pulses`` runs of level, each followed by silence, none of it longer than ``longest``
+    rows. The watermark's timer drops the state of a source that has been silent for more than gap, which blanks it in the batch form as well.
+    """
+    limit = pd.Timedelta(gap)
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else BLANK
+        held = tuple(None if v is None or v is pd.NaT else v for v in held)
+        held = (*held[:3], *(None if v is None else pd.Timestamp(v) for v in held[3:]))
+        held, found = follow(held, _in_order(frames), pulses, longest, limit)
+        state.update((bool(held[0]), int(held[1]), int(held[2]), *(None if v is None else v.to_pydatetime() for v in held[3:])))
+        state.setTimeoutTimestamp(max(int((held[4] + limit).timestamp() * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        if found:
+            yield pd.DataFrame([(key[0], *f) for f in found], columns=["source", "start", "end"])
+
+    return stream.withWatermark("ts", delay).groupBy("source").applyInPandasWithState(run, TRAIN, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -45,3 +45,40 @@ def test_train_machine():
         if done is not None:
             found.append(done)
     assert found == [1, 12]
+
+
+def test_a_file_of_known_content_is_not_read_twice(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, content in (("a", b"one"), ("b", b"two"), ("c", b"one")):
+        (tmp_path / "in" / f"{name}.wav").write_bytes(content)
+    spark.conf.set("spark.sql.streaming.schemaInference", "true")
+    stream = st.archive_stream(spark, f"{tmp_path}/in/*.wav")
+    go = lambda: finished(st.stream_compare(stream, lambda b: b.select("content"), lambda s: s, str(tmp_path / "out"), str(tmp_path / "c")))
+    go()
+    (tmp_path / "in" / "d.wav").write_bytes(b"two")
+    (tmp_path / "in" / "e.wav").write_bytes(b"three")
+    go()
+    assert sorted(bytes(r.content) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [b"one", b"three", b"two"]
+
+
+def test_live_trains_equal_batch(spark, tmp_path):
+    path = str(tmp_path / "in")
+    df = events(spark).select("source", "ts", "pulse")
+    cuts = df.selectExpr("percentile_approx(unix_timestamp(ts), array(0.3, 0.6)) AS c").first().c
+    for k, (low, high) in enumerate(zip([0, *cuts], [*cuts, 2**40])):
+        df.where((F.unix_timestamp("ts") > low) & (F.unix_timestamp("ts") <= high)).coalesce(1).write.parquet(f"{path}/{k}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/*")
+    out = str(tmp_path / "out")
+    q = st.live_pulse_trains(stream, 3, 4, "20 hours").writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    finished(q)
+    want = sorted(tuple(r) for r in st.pulse_trains(df, 3, 4, "20 hours").collect())
+    assert want and sorted(tuple(r) for r in spark.read.parquet(out).collect()) == want
+
+
+def test_sessions_as_a_stream(spark, tmp_path):
+    out = str(tmp_path / "out")
+    q = st.signal_sessions(as_stream(spark, tmp_path), "30 minutes", "0 seconds").writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    finished(q)
+    want = {(r.source, r.w.start): r.n for r in st.signal_sessions(events(spark), "30 minutes").collect()}
+    got = {(r.source, r.w.start): r.n for r in spark.read.parquet(out).collect()}
+    assert got and all(want[k] == v for k, v in got.items()) and len(got) >= 0.9 * len(want)
