@@ -38,9 +38,18 @@ def forward(x: np.ndarray, u: np.ndarray, h: np.ndarray, mask: np.ndarray | None
     states, cache = np.empty((*x.shape[:2], k), x.dtype), []
     for t in range(len(x)):
         g = h @ u
-        z, r = sigmoid(x[t, :, :k] + g[:, :k]), sigmoid(x[t, :, k : 2 * k] + g[:, k : 2 * k])
-        n = np.tanh(x[t, :, 2 * k :] + r * g[:, 2 * k :])
-        new = n + z * (h - n)
+        zr = x[t, :, : 2 * k] + g[:, : 2 * k]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        z, r = zr[:, :k], zr[:, k:]
+        n = r * g[:, 2 * k :]
+        n += x[t, :, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
         if mask is not None:
             new = h + mask[t][:, None] * (new - h)
         cache.append((h, z, r, n, g[:, 2 * k :], None if mask is None else mask[t][:, None]))
@@ -59,11 +68,17 @@ def backward(d_states: np.ndarray, cache: list, u: np.ndarray) -> tuple[np.ndarr
         dh = dh + d_states[t]
         dnew = dh if m is None else dh * m
         stay = 0 if m is None else dh - dnew
-        dn = dnew * (1 - z) * (1 - n * n)
-        dz = dnew * (h - n) * z * (1 - z)
-        dr = dn * gn * r * (1 - r)
-        dx[t] = np.concatenate((dz, dr, dn), 1)
-        dg = np.concatenate((dz, dr, dn * r), 1)
+        dz, dr, dn = dx[t, :, :k], dx[t, :, k : 2 * k], dx[t, :, 2 * k :]
+        keep = 1 - z
+        np.multiply(dnew, keep, out=dn)
+        keep *= z
+        keep *= h - n
+        np.multiply(dnew, keep, out=dz)
+        dn *= 1 - n * n
+        np.multiply(dn, gn, out=dr)
+        dr *= r * (1 - r)
+        dg = dx[t].copy()
+        dg[:, 2 * k :] *= r
         du += h.T @ dg
         dh = dnew * z + dg @ u.T + stay
     return dx, du

@@ -7,8 +7,10 @@ class and one unseen token; so unseen words have a probability, too. The state i
 document, from its first token to its end.
 
 Training, by backpropagation cut to STEPS tokens: the output biases start at the counts of the whole corpus; the driver
-fits a first model to WARM segments; then each task goes once over all segments of its own documents, and the tasks' models are
-averaged by their numbers of segments. The state is carried from segment to segment. What is counted and what is trained on so grow with the corpus.
+fits a first model to WARM segments; then the segments of all texts are dealt by hashes of the texts to shards of about SHARD tokens, each shard
+goes once over all its segments from the first model on, and the shards' models are averaged. The state is carried from segment to segment. What is
+counted and what is trained on so grow with the corpus, and neither depends on how the rows lie in tasks: shards and their order come from the texts, and
+the average is a sum of whole numbers.
 
 Counts of the KEPT most frequent tokens are broadcast; those of rarer ones are joined by shuffle, a row for each document and
 rare token. Tokens are told apart by 64-bit hashes. Null texts are empty: only their end is scored. Rows may repeat, and rows with a null id count as training texts.
@@ -23,26 +25,34 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigdiff.llm.common import BLOCK_CHARS, Words, blocks, stored, two_columns
+from sigdiff.llm.common import BLOCK_CHARS, Words, blocks, cut, mix, stored, two_columns
 from sigdiff.llm.gru import Adam, backward, forward, step
 
 #: Outputs of the network and tokens in a class; units of the state.
 TOP, CLASS, UNITS = 4096, 64, 24
 #: Tokens whose counts are broadcast, at most (16 bytes each).
 KEPT = 200_000
-#: Tokens that gradients go back, and such pieces in a segment; segments for the first model; segments of a step.
-STEPS, PIECES, WARM, BATCH = 24, 2, 4_000, 128
-#: Tokens that a task trains on or scores at once; documents side by side in scoring.
-GROUP, LANES = 2_000_000, 512
+#: Tokens that gradients go back, and such pieces in a segment; segments for the first model; segments of a step, at least and at most.
+STEPS, PIECES, WARM, BATCH = 24, 2, 4_000, (128, 512)
+#: Tokens of a shard, about; segments of a text that stay in one shard, in a row; tasks that train, at most.
+SHARD, RUN, TASKS = 2_000_000, 4_096, 10_000
+#: Tokens that a task scores at once, about; documents side by side in scoring; steps of the lanes that are laid out at once.
+GROUP, LANES, SLICE = 1_000_000, 512, 2_048
+#: Parameters in a row of a shard's model; a parameter is summed as a multiple of 1 / SCALE.
+CHUNK, SCALE = 4_096, 2.0**18
 END = np.uint64(0x1D0C_E4D0_F00D_5EED)
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens in order, and the number of tokens of each text."""
+    if any(len(t) > 2 * BLOCK_CHARS for t in texts):  # a piece of a long text at a time
+        each = [np.concatenate([*(Words([part]).hash for part in cut(t, BLOCK_CHARS)), [END]]) for t in texts]
+        return np.concatenate(each), np.array([len(x) for x in each])
     w = Words(texts)
     n = w.n + 1
     out = np.empty(int(n.sum()), np.uint64)
@@ -58,7 +68,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. hash and n of every token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in blocks(batches, 4 * BLOCK_CHARS):
+        for _, texts in blocks(batches, 8 * BLOCK_CHARS):
             found, n = np.unique(tokens(texts)[0], return_counts=True)
             yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["hash", "n"])
 
@@ -190,8 +200,8 @@ def train(p: dict[str, np.ndarray], segments: np.ndarray, top: int, rate: float,
     adam, rng = Adam(rate), np.random.default_rng(seed)
     for _ in range(epochs):
         order = rng.permutation(len(segments))
-        for at in range(0, len(order), BATCH):
-            part = segments[order[at : at + BATCH]]
+        for at in range(0, len(order), BATCH[0]):
+            part = segments[order[at : at + BATCH[0]]]
             h = np.zeros((len(part), UNITS), p["u"].dtype)
             for k in range(PIECES):
                 _, g, h = segment_gradients(p, part[:, k * STEPS : (k + 1) * STEPS + 1], h, top)
@@ -201,14 +211,15 @@ def train(p: dict[str, np.ndarray], segments: np.ndarray, top: int, rate: float,
 def train_runs(p: dict[str, np.ndarray], segments: np.ndarray, first: np.ndarray, top: int, adam: Adam, seed: int = 1) -> None:
     """In place, over every segment once; the state is carried from each segment to the next, unless first, which marks the segments that begin a text.
 
-    Runs lie one after another in up to BATCH lanes, which are trained side by side. A run longer than a lane's share goes on in
+    Runs lie one after another in lanes (more of them for more segments), which are trained side by side. A run longer than a lane's share goes on in
     another lane, from a blank state, so that a few long texts fill all lanes, too.
     """
-    share = -(-len(segments) // BATCH)
+    wide = int(np.clip(len(segments) // 64, *BATCH))
+    share = -(-len(segments) // wide)
     starts = np.flatnonzero(first)
     starts = np.concatenate([np.arange(a, b, share) for a, b in zip(starts, np.append(starts[1:], len(first)), strict=True)])
     sizes = np.diff(np.append(starts, len(segments)))
-    lanes: list[list[int]] = [[] for _ in range(min(BATCH, len(starts)))]
+    lanes: list[list[int]] = [[] for _ in range(min(wide, len(starts)))]
     filled = [(0, k) for k in range(len(lanes))]
     for r in np.argsort(-sizes, kind="stable").tolist():
         n, k = filled[0]
@@ -235,7 +246,10 @@ def train_runs(p: dict[str, np.ndarray], segments: np.ndarray, first: np.ndarray
 
 
 def segments_of(docs: DataFrame, held) -> DataFrame:
-    """doc_id, at and ids of all segments of every text, in order; at counts from 0 in each text. The last one ends in -1."""
+    """key, doc_id, at and ids (32 bits each) of all segments of every text, in order; at counts from 0 in each text. The last one ends in -1.
+
+    The key is a hash of the text and of at // RUN.
+    """
     length = STEPS * PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +263,15 @@ def segments_of(docs: DataFrame, held) -> DataFrame:
             place = (at * length)[:, None] + np.arange(-1, length)
             out = np.where(place < n[doc][:, None], ids[np.clip((np.cumsum(n) - n)[doc][:, None] + place, 0, len(ids) - 1)], np.int32(-1))
             out[at == 0, 0] = v.top + 1
-            edges = np.arange(len(doc) + 1, dtype=np.int32) * (length + 1)
-            yield pa.record_batch([part.column("doc_id").take(pa.array(doc)), pa.array(at, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(out.ravel()))], ["doc_id", "at", "ids"])
+            own = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
+            key = mix(own[doc] + (at // RUN).astype(np.uint64)).view(np.int64)
+            for i in range(0, len(doc), 100_000):
+                rows = out[i : i + 100_000]
+                ids_column = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * (4 * (length + 1))), pa.py_buffer(rows.tobytes())])
+                at_rows = slice(i, i + len(rows))
+                yield pa.record_batch([pa.array(key[at_rows]), part.column("doc_id").take(pa.array(doc[at_rows])), pa.array(at[at_rows], pa.int32()), ids_column], ["key", "doc_id", "at", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, at int, ids array<int>")
+    return docs.mapInArrow(run, "key long, doc_id long, at int, ids binary")
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -288,45 +307,66 @@ def fit_language_model(docs: DataFrame, keep: Column, id_col: str = "doc_id", te
     held = spark.sparkContext.broadcast(v)
     segments = stored(segments_of(known, held), "segments")
     params = new_params(v)
-    warm = segments.orderBy(F.xxhash64("doc_id", "at", "ids"), "doc_id", "at").limit(WARM).toArrow()["ids"].to_pylist()
-    if warm:
-        train(params, np.array(warm, np.int64), v.top, 0.01, 2)
+    warm = segments.orderBy(F.xxhash64("key", "at"), "doc_id", "at").limit(WARM).toArrow()["ids"].to_pylist()
+    if not warm:
+        return LanguageModel(v, params), counts
+    train(params, _rows(warm).astype(np.int64), v.top, 0.01, 2)
     first = spark.sparkContext.broadcast(params)
+    shards = max(1, -(-int(total) // SHARD))
+    dealt = segments.withColumn("shard", F.pmod("key", F.lit(shards))).repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard", "key", "doc_id", "at")
+    models = dealt.select("shard", "at", "ids").mapInArrow(_trained(first, v.top), "chunk int, part int, value array<long>, n long")
+    some = models.groupBy("chunk", "part").applyInArrow(_summed, "chunk int, value array<long>, n long")
+    mean = some.groupBy("chunk").applyInArrow(_summed, "chunk int, value array<long>, n long").toArrow().sort_by("chunk")
+    flat = np.concatenate([np.array(x, float) / n / SCALE for x, n in zip(mean["value"].to_pylist(), mean["n"].to_pylist(), strict=True)])
+    return LanguageModel(v, _shaped(flat, params)), counts
+
+
+def _rows(ids: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(ids), np.int32).reshape(-1, STEPS * PIECES + 1)
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    value = np.sum([x.values.to_numpy() for c in rows["value"].chunks for x in c], axis=0)
+    return pa.table({"chunk": rows["chunk"][:1], "value": pa.array([value], pa.list_(pa.int64())), "n": pa.array([sum(rows["n"].to_pylist())], pa.int64())})
+
+
+def _trained(first, top: int):
+    """Rows of segments (shard, at, ids), shard by shard, to the sum of the shards' models in pieces of CHUNK parameters, and of their weights.
+
+    A shard's weight is its number of segments in sixty-fourths of a usual shard's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, adam, seen, size = {k: x.copy() for k, x in first.value.items()}, Adam(0.003), 0, 0
+        total, weight = None, 0
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def learn() -> None:
-            begins = np.concatenate([b for _, b in waiting])
-            begins[0] = True
-            train_runs(p, np.concatenate([x for x, _ in waiting]), begins, held.value.top, adam, seen)
+            nonlocal total, weight
+            p, at = {k: x.copy() for k, x in first.value.items()}, np.concatenate([x for x, _ in waiting])
+            train_runs(p, np.concatenate([x for _, x in waiting]).astype(np.int64), (at % RUN == 0) | (np.diff(at, prepend=-2) != 1), top, Adam(0.003))
+            n = max(1, 64 * STEPS * PIECES * len(at) // SHARD)
+            own = np.rint(_flat(p).astype(np.float64) * SCALE).astype(np.int64) * n
+            total, weight = own if total is None else total + own, weight + n
             waiting.clear()
 
-        last = -1
+        last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = batch.column("at").to_numpy()
-            waiting.append((batch.column("ids").flatten().to_numpy().reshape(len(at), -1), at != np.append(last, at[:-1]) + 1))
-            last = int(at[-1])
-            waiting[-1][1][at == 0] = True
-            seen, size = seen + len(at), size + len(at)
-            if size * STEPS * PIECES >= GROUP:
-                learn()
-                size = 0
+            shard = batch.column("shard").to_numpy()
+            for rows in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+                if not len(rows):
+                    continue
+                if waiting and shard[rows[0]] != last:
+                    learn()
+                last = shard[rows[0]]
+                some = batch.slice(int(rows[0]), len(rows))
+                waiting.append((some.column("at").to_numpy(), _rows(some.column("ids").to_pylist())))
         if waiting:
             learn()
-        if seen:
-            flat = _flat(p)
-            yield pa.record_batch([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen), pa.int64())], ["at", "value", "n"])
+        if total is not None:
+            parts = [total[i : i + CHUNK] for i in range(0, len(total), CHUNK)]
+            yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([TaskContext.get().partitionId() % 32] * len(parts), pa.int32()), pa.array(parts, pa.list_(pa.int64())), pa.array([weight] * len(parts), pa.int64())], ["chunk", "part", "value", "n"])
 
-    mean = segments.select("at", "ids").mapInArrow(run, "at int, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
-    if mean.num_rows:
-        flat = np.empty(mean.num_rows)
-        flat[mean["at"].to_numpy()] = mean["value"].to_numpy()
-        params = _shaped(flat, params)
-    return LanguageModel(v, params), counts
+    return run
 
 
 def network_scores(p: dict[str, np.ndarray], top: int, ids: list[np.ndarray]) -> np.ndarray:
@@ -342,32 +382,37 @@ def network_scores(p: dict[str, np.ndarray], top: int, ids: list[np.ndarray]) ->
         lanes[k].append(d)
         filled[k] += len(ids[d])
     order = np.argsort(-filled, kind="stable")
-    target = np.full((int(filled.max()), len(lanes)), -1, np.int32)
-    before = np.zeros_like(target)
-    owner = np.zeros_like(target)
-    for column, k in enumerate(order):
-        at = 0
-        for d in lanes[k]:
-            to = at + len(ids[d])
-            target[at:to, column], owner[at:to, column] = ids[d], d
-            before[at, column], before[at + 1 : to, column] = top + 1, ids[d][:-1]
-            at = to
-    live = (filled[order][None, :] > np.arange(len(target))[:, None]).sum(1)
-    h = np.zeros((len(lanes), UNITS), np.float32)
-    held: list[np.ndarray] = []
-    since = 0
-    for t in range(len(target)):
-        n = int(live[t])
-        x = before[t, :n]
-        h = h[:n] * (x != top + 1)[:, None].astype(np.float32)
-        h = step(p["x"][x], h, p["u"])
-        held.append(h)
-        if t + 1 == len(target) or sum(map(len, held)) >= 16384:
-            goal = np.concatenate([target[s, : live[s]] for s in range(since, t + 1)])
-            of = np.concatenate([owner[s, : live[s]] for s in range(since, t + 1)])
-            logs, _ = log_probabilities(p, np.concatenate(held), goal, top)
-            out += np.bincount(of, weights=logs, minlength=len(ids))
-            held, since = [], t + 1
+    # of each lane: its documents one after another, and where they begin
+    goals = [np.concatenate([ids[d] for d in lanes[k]]).astype(np.int32) for k in order]
+    begins = [np.cumsum([0, *(len(ids[d]) for d in lanes[k])])[:-1] for k in order]
+    filled, h = filled[order], np.zeros((len(lanes), UNITS), np.float32)
+    for low in range(0, int(filled.max()), SLICE):
+        high = min(low + SLICE, int(filled.max()))
+        live = (filled[None, :] > np.arange(low, high)[:, None]).sum(1)
+        target = np.full((high - low, int(live[0])), -1, np.int32)
+        before, owner = np.zeros_like(target), np.zeros_like(target)
+        for column in range(target.shape[1]):
+            goal, begin = goals[column], begins[column]
+            to = min(high, len(goal))
+            target[: to - low, column] = goal[low:to]
+            before[: to - low, column] = goal[low - 1 : to - 1] if low else np.append(0, goal[: to - 1])
+            own = begin[(begin >= low) & (begin < to)]
+            before[own - low, column] = top + 1
+            owner[: to - low, column] = np.array(lanes[order[column]])[np.searchsorted(begin, np.arange(low, to), side="right") - 1]
+        held: list[np.ndarray] = []
+        since = 0
+        for t in range(high - low):
+            n = int(live[t])
+            x = before[t, :n]
+            h = h[:n] * (x != top + 1)[:, None].astype(np.float32)
+            h = step(p["x"][x], h, p["u"])
+            held.append(h)
+            if t + 1 == high - low or sum(map(len, held)) >= 16384:
+                goal = np.concatenate([target[s, : live[s]] for s in range(since, t + 1)])
+                of = np.concatenate([owner[s, : live[s]] for s in range(since, t + 1)])
+                logs, _ = log_probabilities(p, np.concatenate(held), goal, top)
+                out += np.bincount(of, weights=logs, minlength=len(ids))
+                held, since = [], t + 1
     return out
 
 

@@ -47,7 +47,7 @@ def test_segments_cover_every_token(spark):
     rows = lm.segments_of(d.select("doc_id", "text"), spark.sparkContext.broadcast(v)).orderBy("doc_id", "at").collect()
     for i, t in enumerate(texts):
         own = v.ids(v.look_up(lm.tokens([t])[0])).tolist()
-        mine = [r.ids for r in rows if r.doc_id == i]
+        mine = [np.frombuffer(r.ids, np.int32).tolist() for r in rows if r.doc_id == i]
         assert len(mine) == (len(own) - 1) // 48 + 1
         assert [x for r in mine for x in r[1:] if x >= 0] == own
         assert [r[0] for r in mine] == [v.top + 1, *(own[k * 48 - 1] for k in range(1, len(mine)))]
@@ -72,7 +72,7 @@ def test_every_segment_is_trained_on_once_and_follows_its_own(monkeypatch):
         assert sorted(x for x, _ in seen) == list(range(1, n * 48, 24))
         begins = {int(s) * 48 + 1 for s in np.flatnonzero(first)}
         fresh = {int(x) for x, h in seen if h == 0}
-        assert begins <= fresh and all(h == x - 1 for x, h in seen if h) and len(fresh) <= len(sizes) + lm.BATCH
+        assert begins <= fresh and all(h == x - 1 for x, h in seen if h) and len(fresh) <= len(sizes) + lm.BATCH[1]
 
 
 def test_few_long_texts_train_the_network(spark):
@@ -109,6 +109,38 @@ def test_lanes_equal_one_document_at_a_time():
     assert np.allclose(together, [lm.network_scores(p, v.top, [i])[0] for i in ids], rtol=1e-4)
 
 
+def test_long_texts_are_laid_out_in_slices(monkeypatch):
+    v = lm.Vocabulary(np.arange(100, dtype=np.uint64), np.full(100, 5), np.arange(100), 500, 100)
+    p = lm.new_params(v)
+    rng = np.random.default_rng(2)
+    for k in ("wc", "wt"):
+        p[k] += rng.normal(0, 0.5, p[k].shape).astype(np.float32)
+    ids = [rng.integers(0, 101, n).astype(np.int32) for n in (3000, 1, 40, 40, 700, 129, 5)]
+    whole = lm.network_scores(p, v.top, ids)
+    monkeypatch.setattr(lm, "SLICE", 64)
+    monkeypatch.setattr(lm, "LANES", 3)
+    assert np.allclose(lm.network_scores(p, v.top, ids), whole, rtol=1e-5)
+
+
+def test_tokens_of_a_long_text(monkeypatch):
+    text = " ".join(f"Wort{i % 91}\t\nß{i % 7}" for i in range(3000))
+    whole, n = lm.tokens(["a b", text, ""])
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 1000)
+    parts, m = lm.tokens(["a b", text, ""])
+    assert (whole == parts).all() and (n == m).all()
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    texts = made() * 3
+    monkeypatch.setattr(lm, "SHARD", 5_000)
+    scores = []
+    for parts in (1, 7):
+        d = docs(spark, texts).repartition(parts)
+        rows = lm.score_documents(d, *lm.fit_language_model(d, F.col("doc_id") % 5 != 1)).orderBy("doc_id").collect()
+        scores.append([r.score for r in rows])
+    assert np.allclose(*scores, rtol=1e-6)
+
+
 def test_gradients_equal_differences():
     v = lm.Vocabulary(np.arange(90, dtype=np.uint64), np.arange(90) + 1, np.arange(90)[::-1].copy(), 4095, 90)
     p = lm.new_params(v, dtype=np.float64)
