@@ -333,16 +333,17 @@ def _d12(x: Fixture) -> DataFrame:
 
 @_query(
     "d13_warnings",
-    """, q AS (SELECT s_suppkey AS recording_id, s_nationkey, (s_suppkey + 1) * 1000 < 20000 * 2 AS nyquist_limited, s_acctbal < 4000 AS too_short, s_suppkey % 3 = 0 AS not_stereo FROM supplier),
-    z AS (SELECT a.recording_id || '-' || b.recording_id AS pair_id, a AS r, b AS k FROM q a JOIN q b ON a.s_nationkey = b.s_nationkey AND a.recording_id < b.recording_id)
+    """, q AS (SELECT c_custkey AS recording_id, c_nationkey, c_mktsegment, (c_custkey % 90 + 1) * 1000 < 20000 * 2 AS nyquist_limited, c_acctbal < 4000 AS too_short, c_custkey % 3 = 0 AS not_stereo FROM customer),
+    z AS (SELECT a.recording_id || '-' || b.recording_id AS pair_id, a AS r, b AS k FROM q a JOIN q b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.recording_id < b.recording_id)
     SELECT pair_id, unnest(list_filter([CASE WHEN r.nyquist_limited THEN 'ref_nyquist_limited' END, CASE WHEN r.too_short THEN 'ref_too_short' END, CASE WHEN r.not_stereo THEN 'ref_not_stereo' END,
       CASE WHEN k.nyquist_limited THEN 'comp_nyquist_limited' END, CASE WHEN k.too_short THEN 'comp_too_short' END, CASE WHEN k.not_stereo THEN 'comp_not_stereo' END], lambda w: w IS NOT NULL)) AS warning FROM z""",
 )
 def _d13(x: Fixture) -> DataFrame:
-    """S2's flags of suppliers as recordings, of S10's pairs within a nation."""
-    suppliers = x.read("supplier").select(F.col("s_suppkey").alias("recording_id"), "s_nationkey", ((F.col("s_suppkey") + 1) * 1000).alias("sample_rate"), (F.col("s_acctbal") * (F.col("s_suppkey") + 1) * 1000).alias("n_frames"), F.when(F.col("s_suppkey") % 3 == 0, 1).otherwise(2).alias("channels"))
-    facts = so.recording_facts(suppliers, 20000.0, 4000.0, needs_stereo=True).select("recording_id", "nyquist_limited", "too_short", "not_stereo")
-    return d.pair_warnings(so.make_pairs(suppliers, "all", ["s_nationkey"]), facts)
+    """S2's flags of customers as recordings, of S10's pairs within a nation and segment."""
+    rate = (F.col("c_custkey") % 90 + 1) * 1000
+    rows = x.read("customer").select(F.col("c_custkey").alias("recording_id"), "c_nationkey", "c_mktsegment", rate.alias("sample_rate"), (F.col("c_acctbal") * rate).alias("n_frames"), F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(2).alias("channels"))
+    facts = so.recording_facts(rows, 20000.0, 4000.0, needs_stereo=True).select("recording_id", "nyquist_limited", "too_short", "not_stereo")
+    return d.pair_warnings(so.make_pairs(rows, "all", ["c_nationkey", "c_mktsegment"]), facts)
 
 
 @_query(
@@ -374,10 +375,10 @@ def _s7(x: Fixture) -> DataFrame:
     return back.select("pair_id", "type_id", "hertz", r4("diff_amplitude"))
 
 
-@_query("s10_pairs_of_a_group", "SELECT a.c_custkey AS ref_id, b.c_custkey AS comp_id FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey", False)
+@_query("s10_pairs_of_a_group", "SELECT a.c_custkey AS ref_id, b.c_custkey AS comp_id FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey", False)
 def _s10(x: Fixture) -> DataFrame:
-    customers = x.read("customer").select(F.col("c_custkey").alias("recording_id"), "c_nationkey")
-    return so.make_pairs(customers, "all", ["c_nationkey"]).select("ref_id", "comp_id")
+    customers = x.read("customer").select(F.col("c_custkey").alias("recording_id"), "c_nationkey", "c_mktsegment")
+    return so.make_pairs(customers, "all", ["c_nationkey", "c_mktsegment"]).select("ref_id", "comp_id")
 
 
 @_query(
