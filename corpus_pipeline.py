@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigdiff.llm.common import fold, shared_dir, table
+from sigdiff.llm.common import fold, shared_dir, table, tidied
 
 #: The stages do not come out of SQL: the first one is a trained model.
 ORACLE_SQL = None
@@ -60,6 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with tidied(spark):  # what a stage stores on its way goes once its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
