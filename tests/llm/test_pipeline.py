@@ -1,8 +1,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tests.llm.helpers import none
+from sigdiff.llm import common
+from tests.llm.helpers import awkward, none
 from tests.llm.test_neardup import brute
 from tests.llm.test_secret_scan import brute as secret_spans
 
@@ -39,5 +41,24 @@ def test_stages_equal_brute_force(spark):
 
 
 def test_stages_take_empty_tables(spark):
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none(spark), SF).count() == 0
+
+
+def test_stages_take_awkward_rows_and_clashing_columns(spark):
+    names = {c: F.lit(1) for c in ("hit", "items", "n_words", "n_shingles", "registers", "component_id", "predicted", "row", "_gone", "found")}
+    docs = awkward(spark).withColumns(names)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        rows = got.collect()
+        if name == "pieces":
+            assert len(rows) == 10
+        else:
+            assert got.columns == docs.columns and 0 < len(rows) <= 10
+        if name == "near_dedup":
+            assert len(rows) == 8 and sum(r.doc_id is None for r in rows) == 2
+
+
+def test_run_leaves_only_the_stages(spark, tmp_path):
+    before = len(common._written)
+    assert corpus_pipeline.run(spark, SF).count() > 0 and len(common._written) == before
