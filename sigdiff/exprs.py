@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed names of colours in profiles.
 COLOURS = ("red", "green", "blue", "yellow", "magenta", "cyan", "aqua", "aquamarine", "orange", "purple", "gray", "grey", "null")
+#: Fixed coefficients of the flat-top window, of alternating sign.
+FLAT_TOP = (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368)
 #: Fixed factors by which amplitudes are raised after a window (n rectangle, t Tukey, f flat-top, h Hann, m Hamming).
 WINDOW_FACTORS = {"n": 1.0, "t": 1.2122, "f": 4.63899, "h": 1.99986, "m": 1.85196}
 
@@ -153,8 +155,7 @@ def window_value(i: Column, n: Column, kind: str) -> Column:
     if kind == "m":
         return 0.54 - 0.46 * F.cos(turn)
     if kind == "f":
-        # fixed values of the flat-top window
-        a = (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368)
+        a = FLAT_TOP
         return a[0] - a[1] * F.cos(turn) + a[2] * F.cos(2 * turn) - a[3] * F.cos(3 * turn) + a[4] * F.cos(4 * turn)
     if kind == "t":
         edge = 0.65 * (n - 1) / 2

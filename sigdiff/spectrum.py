@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigdiff.exprs import window_value
+from sigdiff.exprs import FLAT_TOP, window_value
 from sigdiff.options import COMP_MARGIN_DB, SILENCE_LIMIT_DB, CompareOptions
 
 SPECTRUM = "recording_id long, block_no long, channel string, kind string, type_id int, boxsize_ms int, bin int, hertz double, magnitude double, phase double, rank int"
@@ -30,7 +30,7 @@ def coefficients(n: int, kind: str) -> np.ndarray:
     if kind == "m":
         return 0.54 - 0.46 * np.cos(turn)
     if kind == "f":
-        return 0.21557895 - 0.41663158 * np.cos(turn) + 0.277263158 * np.cos(2 * turn) - 0.083578947 * np.cos(3 * turn) + 0.006947368 * np.cos(4 * turn)
+        return sum((-1) ** k * a * np.cos(k * turn) for k, a in enumerate(FLAT_TOP))
     if kind == "t":
         edge = 0.65 * (n - 1) / 2
         near = np.minimum(i, n - 1 - i)
