@@ -187,6 +187,11 @@ def _compared(k: int):
     return run
 
 
+def _few(stored_rows: DataFrame) -> DataFrame:
+    """To be broadcast if they are few enough, so that the rows they are joined to stay where they are, whatever their keys."""
+    return F.broadcast(stored_rows) if stored_rows.count() <= BROADCAST_IDS else stored_rows
+
+
 def _centre_pairs(members: DataFrame, masks: tuple[int, ...]) -> DataFrame:
     """members: key, rep, component. Pairs (a < b) of nodes with centres of their buckets that are in other components.
 
@@ -194,7 +199,7 @@ def _centre_pairs(members: DataFrame, masks: tuple[int, ...]) -> DataFrame:
     shuffle. Of a node's centres the BEST ones are taken that share the most buckets with it.
     """
     least = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).alias(f"c{i}") for i, m in enumerate(masks)]
-    centres = members.groupBy("key").agg(*least, F.min("component").alias("c_low"), F.max("component").alias("c_high")).where("c_low <> c_high")
+    centres = _few(stored(members.groupBy("key").agg(*least, F.min("component").alias("c_low"), F.max("component").alias("c_high")).where("c_low <> c_high"), "centres"))
     every = F.array_distinct(F.array(*(F.col(f"c{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(masks))))
     found = members.join(centres, "key").select("rep", F.explode(every).alias("centre")).where("rep <> centre").groupBy("rep", "centre").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "centre"))
@@ -240,15 +245,14 @@ def _remaining_pairs(members: DataFrame, held: DataFrame, reps: DataFrame, texts
 
 def _picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id is among the ids; those are broadcast if they are few enough."""
-    ids = stored(ids.distinct(), "ids")
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return rows.join(_few(stored(ids.distinct(), "ids")), "doc_id", "left_semi")
 
 
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members with their components, of buckets that hold several components."""
     found = members.select("key", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     several = found.groupBy("key").agg(F.min("component").alias("c_low"), F.max("component").alias("c_high")).where("c_low <> c_high").select("key")
-    return found.join(several, "key", "left_semi")
+    return found.join(_few(stored(several, "keys")), "key", "left_semi")
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
@@ -257,8 +261,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
     bands = reps.select(F.explode(key).alias("key"), "rep")
     # most keys have one node; the others are few enough, as a rule, to pick their rows without a shuffle
     several = stored(bands.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key"), "keys")
-    few = several.count() <= BROADCAST_IDS
-    return bands.join(F.broadcast(several) if few else several, "key", "left_semi").select("key", "rep", F.col("rep").alias("component"))
+    return bands.join(_few(several), "key", "left_semi").select("key", "rep", F.col("rep").alias("component"))
 
 
 def _same_id(full: DataFrame, classes: DataFrame, same: list[str]) -> DataFrame:
@@ -320,8 +323,10 @@ def compare(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, per_cen
 def one_of_each(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, but of each group of near duplicates only those of the least id. Rows with a null id stay."""
     found = near_duplicates(docs, k, per_cent, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    # columns of docs of any names lie within row
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("own"))
+    return rows.join(_few(gone), F.col("own") == F.col("gone"), "left_anti").select("row.*")
 
 
 def kept(id_col: str = "doc_id") -> Column:
