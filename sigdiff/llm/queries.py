@@ -131,8 +131,14 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4).withColumn("kept", kept())
 
 
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigdiff.llm.periods import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), repeat=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_language_model, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op9_language, op10_neardup)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_language_model, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op9_language, op10_neardup, op11_periods)}
 
 
 def oracle_sql() -> dict[str, str]:
