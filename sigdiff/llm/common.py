@@ -130,16 +130,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts, split at ASCII white space; A-Z is lower-cased for the hashes.
+    """The words of some texts, split at ASCII white space or at the bytes that gap marks; A-Z is lower-cased for the hashes.
 
     hash: 64 bits for each word. doc: the text's number. start, end: byte positions in raw.
     raw: the UTF-8 bytes of the texts, joined by line feeds. n: words in each text.
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], gap: np.ndarray = _SPACE):
         joined = "\n".join(texts).encode("utf-8", "surrogatepass")
         self.raw = np.frombuffer(joined, np.uint8)
-        space = _SPACE[self.raw]
+        space = gap[self.raw]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
         size = len(self.raw)

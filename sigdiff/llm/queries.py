@@ -51,6 +51,34 @@ FROM p LEFT JOIN o USING (payload_digest)
 """
 
 
+def _op12() -> str:
+    from sigdiff.llm.licenses import CONTAINMENT, NOTICES, PHRASES, words_of
+
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"('{label}', {listed(words_of(text))})" for text, label in PHRASES)
+    notices = ", ".join(f"({k}, '{label}', '{family}', {len(words_of(text))}, {listed(sorted(set(words_of(text))))})" for k, (label, family, text) in enumerate(NOTICES))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), ph(label, q) AS (VALUES {phrases}
+), nt(k, label, family, n, t) AS (VALUES {notices}
+), tok AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d
+), base AS (SELECT doc_id, label, i FROM tok JOIN ph ON x = q[1] JOIN d USING (doc_id) WHERE w[i + 1:i + len(q)] = q
+), hit AS (SELECT doc_id, k, n, tok.x, i FROM tok JOIN (SELECT k, n, unnest(t) AS x FROM nt) USING (x)
+), block AS (SELECT doc_id, k, n, x, i // n AS b FROM hit UNION SELECT doc_id, k, n, x, i // n - 1 FROM hit WHERE i >= n
+), met AS (
+  SELECT doc_id, k, label, family, b * nt.n AS s, (b + 2) * nt.n AS e, count(DISTINCT x) / len(t) AS share, len(t) AS m FROM block JOIN nt USING (k) GROUP BY doc_id, k, label, family, b, nt.n, t HAVING count(DISTINCT x) >= ceil({CONTAINMENT} * len(t) - 1e-9)
+), best AS (
+  SELECT * FROM met x WHERE NOT EXISTS (SELECT 1 FROM met y WHERE y.doc_id = x.doc_id AND y.family = x.family AND y.label <> x.label AND y.s < x.e AND x.s < y.e
+    AND (y.share > x.share OR y.share = x.share AND (y.m > x.m OR y.m = x.m AND y.k < x.k)))
+), pl AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id
+), bl AS (SELECT doc_id, max(share) AS share FROM best GROUP BY doc_id
+), al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM best) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM d LEFT JOIN pl USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id)
+"""
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigdiff.llm.fingerprints import edited_fingerprints
 
@@ -137,9 +165,17 @@ def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), repeat=True)
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigdiff.llm.licenses import find_licenses, license_labels, license_score
+
+    start = F.transform("base", lambda x: x["start"])
+    found = find_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"), license_labels(True).alias("base_labels"), license_labels(False).alias("labels"), license_score().alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_language_model, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op9_language, op10_neardup, op11_periods)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_language_model, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op9_language, op10_neardup, op11_periods, op12_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4, "op6_warc": OP6, "op10_neardup": OP10}
+    return {"op4_decontaminate": OP4, "op6_warc": OP6, "op10_neardup": OP10, "op12_licenses": _op12()}

@@ -124,3 +124,17 @@ def test_near_duplicates(spark, docs):
     _, rows = result(spark, "op10_neardup")
     want = test_neardup.brute([d.text for d in docs], 4)
     assert [(r.n_shingles, r.component_id, r.kept) for r in rows] == [(n, docs[low].doc_id, i == low) for i, n, low in want]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = queries.queries()[name](spark, SF)
+    cols = sorted(found.columns)
+    sql = con.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in sql.description]
+    assert sorted(names) == cols
+    assert sorted(str([r[c] for c in cols]) for r in found.collect()) == sorted(str([r[names.index(c)] for c in cols]) for r in sql.fetchall())
