@@ -173,8 +173,14 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"), license_labels(True).alias("base_labels"), license_labels(False).alias("labels"), license_score().alias("score"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigdiff.llm.conversations import repair_conversations
+
+    return repair_conversations(table(spark, sf_dir, "conversations"), damage=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_language_model, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op9_language, op10_neardup, op11_periods, op12_licenses)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_language_model, op4_decontaminate, op5_pieces, op6_warc, op7_secrets, op8_quality, op9_language, op10_neardup, op11_periods, op12_licenses, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
