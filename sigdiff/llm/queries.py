@@ -79,6 +79,41 @@ FROM d LEFT JOIN pl USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USIN
 """
 
 
+def _op13() -> str:
+    add = lambda x, cost, letter, row: f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {x}.t || {row}}} END"
+    user, assistant = "['user:']", "['assistant:']"
+    keep = lambda x, initial: f"CASE WHEN left(role, 1) = '{initial}' AND fault NOT IN ('blank', 'duplicate') THEN {add(x, 'more', 'K', "[role || ':' || text]")} END"
+    turn_to = lambda x, name: f"CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {add(x, '3 + more', 'R', f"['{name}:' || text]")} END"
+    drop = lambda x: add(x, 4, "D", "[]::VARCHAR[]")
+    value = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])"
+    return rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+), r0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS key FROM conversations
+), r1 AS (SELECT *, xor(list_reduce([4294967295] || list_transform(key, lambda s: CAST(ascii(s) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM r0, crc
+), r2 AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM r1 WHERE k <> 0
+), r3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM r2
+), r4 AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS step FROM r3
+), go(conv_id, n, s0, s1, su, sa) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST({{'c': 0, 'a': '', 't': []}} AS {value}), CAST(NULL AS {value}), CAST({{'c': 3, 'a': 'I', 't': {user}}} AS {value}), CAST({{'c': 6, 'a': 'II', 't': {user} || {assistant}}} AS {value}) FROM conversations
+  UNION ALL
+  SELECT conv_id, n, d0, d1, u2, list_min([da, {add("u2", 3, "I", assistant)}]) FROM (
+    SELECT *, list_min([du, {add("d0", 3, "I", user)}, {add("d1", 3, "I", user)}, {add("da", 3, "I", user)}]) AS u2 FROM (
+      SELECT conv_id, n, {drop("s0")} AS d0, list_min([{drop("s1")}, {keep("s0", "s")}]) AS d1,
+        list_min([{", ".join([drop("su"), *(f(x, y) for x in ("s0", "s1", "sa") for f, y in ((keep, "u"), (turn_to, "user")))])}]) AS du,
+        list_min([{drop("sa")}, {keep("su", "a")}, {turn_to("su", "assistant")}]) AS da
+      FROM (SELECT g.*, r.* EXCLUDE (conv_id, n), r.n AS m, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM go g JOIN r4 r ON r.conv_id IS NOT DISTINCT FROM g.conv_id AND r.n = g.n + 1) AS j(conv_id, last, s0, s1, su, sa, turn, role, text, copy, bare, fault, step, n, more)))
+), f AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(step NOT IN ('su', 'ua', 'au')) AS illegal FROM r4 GROUP BY conv_id
+), e AS (SELECT conv_id, n, list_min([s0, sa]) AS best FROM go)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  best.c AS cost, best.a AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.n = coalesce(f.rows, 0)
+"""
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigdiff.llm.fingerprints import edited_fingerprints
 
@@ -184,4 +219,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4, "op6_warc": OP6, "op10_neardup": OP10, "op12_licenses": _op12()}
+    return {"op4_decontaminate": OP4, "op6_warc": OP6, "op10_neardup": OP10, "op12_licenses": _op12(), "op13_conversations": _op13()}
