@@ -33,6 +33,28 @@ def match(ref: DataFrame, comp: DataFrame, tolerance_hz: float | None = None) ->
     return _differences(found.drop("_cell", "comp_hertz"))
 
 
+def both_sides(ref: DataFrame, comp: DataFrame) -> DataFrame:
+    """J2a, J3 and J4 in one full outer join: a row for each bin of either side. What is significant is up to the caller; side is both, ref or comp."""
+    a, _ = _sides(ref, comp)
+    b = comp.select(*KEY, F.col("kind").alias("_kind"), F.col("type_id").alias("_type"), F.col("hertz").alias("_hertz"), F.col("amplitude").alias("comp_amplitude"), F.col("phase").alias("comp_phase"))
+    out = a.join(b, KEY, "full").withColumn("side", F.when(F.col("comp_amplitude").isNull(), "ref").when(F.col("ref_amplitude").isNull(), "comp").otherwise("both"))
+    for own, other in (("kind", "_kind"), ("type_id", "_type"), ("hertz", "_hertz")):
+        out = out.withColumn(own, F.coalesce(own, other))
+    return _differences(out.drop("_kind", "_type", "_hertz"))
+
+
+def of_both(sides: DataFrame) -> DataFrame:
+    """J2a from both_sides."""
+    return sides.where("side = 'both'").drop("side")
+
+
+def unmatched(sides: DataFrame, side: str, significance: float | Column | None = None) -> DataFrame:
+    """J3 (side ref) and J4 (side comp, above the significance) from both_sides."""
+    level = F.col(f"{side}_amplitude")
+    own = sides.where(F.col("side") == side)
+    return (own if significance is None else own.where(level > significance)).select(*KEY, "kind", "type_id", "hertz", level.alias("amplitude"))
+
+
 def missing(ref: DataFrame, comp: DataFrame) -> DataFrame:
     """Significant reference bins without a partner."""
     return ref.join(comp.select(*KEY), KEY, "left_anti").select(*KEY, "kind", "type_id", "hertz", "amplitude")

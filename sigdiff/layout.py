@@ -98,14 +98,26 @@ def landmarks(layout: DataFrame) -> DataFrame:
     return out.select("profile_id", "first_sync", "last_sync", "first_silence", F.array_max(F.filter("_s", lambda b: b < F.col("last_sync"))).alias("closing_silence"))
 
 
+#: Kinds of lines that mark segments: of known length, and of a length that only the next marker tells.
+MARKERS = ("internal_sync", "internal_sync_unknown")
+
+
 def segments(layout: DataFrame) -> DataFrame:
-    """Markers come in pairs; segment numbers the pair that a block lies between, else null."""
+    """Markers of both kinds come in pairs; segment numbers the pair that a block lies between, else null."""
     w = Window.partitionBy("profile_id").orderBy("block_no")
-    mark = F.sum((F.col("kind") == "internal_sync").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = layout.withColumn("_m", mark).withColumn("segment", F.when((F.col("_m") % 2 == 1) & (F.col("kind") != "internal_sync"), F.floor((F.col("_m") + 1) / 2).cast("long"))).drop("_m")
+    is_marker = F.col("kind").isin(*MARKERS)
+    mark = F.sum(is_marker.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = layout.withColumn("_m", mark).withColumn("segment", F.when((F.col("_m") % 2 == 1) & ~is_marker, F.floor((F.col("_m") + 1) / 2).cast("long"))).drop("_m")
     return out.withColumn("segment_frames", F.when(F.col("segment").isNotNull(), F.sum("frames").over(Window.partitionBy("profile_id", "segment"))))
 
 
+def marked(layout: DataFrame) -> DataFrame:
+    """Adds marker, the number of opening markers up to a block, and inside, whether a block comes after an opening marker and not after its closing one."""
+    w = Window.partitionBy("profile_id").orderBy("block_no")
+    before = F.coalesce(F.sum(F.col("kind").isin(*MARKERS).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return layout.withColumn("marker", F.floor((before + 1) / 2).cast("long")).withColumn("inside", before % 2 == 1)
+
+
 def active_types(layout: DataFrame) -> DataFrame:
     """X2."""
     return layout.where("type_id >= 1").select("profile_id", "type_id").distinct()
@@ -114,7 +126,7 @@ def active_types(layout: DataFrame) -> DataFrame:
 def validate_profiles(types: DataFrame) -> DataFrame:
     """A row for each profile and broken rule."""
     row = lambda df, rule: df.select("profile_id", F.lit(rule).alias("rule")).distinct()
-    n_sync = types.groupBy("profile_id").agg(F.count_if(F.col("kind") == "sync").alias("n"), F.count_if(F.col("kind") == "internal_sync").alias("i"), F.count_if(F.col("kind") == "silence_override").alias("o"))
+    n_sync = types.groupBy("profile_id").agg(F.count_if(F.col("kind") == "sync").alias("n"), F.count_if(F.col("kind").isin(*MARKERS)).alias("i"), F.count_if(F.col("kind") == "silence_override").alias("o"))
     out = row(n_sync.where("n <> 2"), "two sync lines")
     for condition, rule in (("elements <= 0 OR frames <= 0", "no zero counts"), ("cut_frames >= frames", "cut below frames"), ("kind <> 'user' AND channel = 'S'", "no stereo control lines")):
         out = out.unionByName(row(types.where(condition), rule))

@@ -45,9 +45,9 @@ def silence_floor(spec: DataFrame) -> DataFrame:
     return spec.where("kind = 'silence' AND amplitude IS NOT NULL").groupBy("recording_id").agg(best).select("recording_id", F.col("p.hertz").alias("floor_hz"), F.col("p.amplitude").alias("floor_db"))
 
 
-def noise_cutoff(spec: DataFrame, kind: str = "silence") -> DataFrame:
-    """-(mean + sd of |dB|) and the share of bins below it."""
-    of = spec.where((F.col("kind") == kind) & F.col("amplitude").isNotNull())
+def noise_cutoff(spec: DataFrame, kind: str | None = "silence") -> DataFrame:
+    """-(mean + sd of |dB|) and the share of bins below it, of blocks of a kind, or of all of spec."""
+    of = spec.where(F.col("amplitude").isNotNull() if kind is None else (F.col("kind") == kind) & F.col("amplitude").isNotNull())
     cut = of.groupBy("recording_id").agg((-(F.avg(F.abs("amplitude")) + F.stddev_samp(F.abs("amplitude")))).alias("cutoff_db"))
     return of.join(cut, "recording_id").groupBy("recording_id", "cutoff_db").agg((100 * F.count_if(F.col("amplitude") < F.col("cutoff_db")) / F.count("*")).alias("left_out_pct"))
 

@@ -20,17 +20,33 @@ class CompareOptions:
     range_db: float = 18.0
     per_second: int = 1
     auto_significance: bool = True
-    normalise: str = "frequency"  # frequency, average or none
+    normalise: str = "frequency"  # frequency, average, time or none
     ignore_floor: bool = False
     pad_to_longest: bool = False
     align_hz: int = 0  # k: bins at multiples of 1 / k hertz; 0 leaves them
-    balance: bool = True
+    balance: bool = True  # scale the louder channel down by the balance block
+    align_clock: bool = False  # transform the faster clock's recording again at the slower clock's rate
+    clock_seconds: int = 1  # k: the clock is measured to 1 / k hertz
+    adjust_rates: str = "none"  # none, ref, comp or both: sample rates from the distance of both trains
+    ignore_framerate: bool = False  # compare recordings whose frame rate is more than 1 % off
     sync_tolerance: int = 0
     recentre: bool = False
     use_extra: bool = True
     flatten: bool = False
 
 
+#: The values that options may have.
+CHOICES = {"normalise": ("frequency", "average", "time", "none"), "adjust_rates": ("none", "ref", "comp", "both"), "window": ("n", "t", "h", "m", "f")}
+
+
+def checked(o: CompareOptions) -> CompareOptions:
+    """o; raises ValueError for a value that no option has."""
+    for name, choices in CHOICES.items():
+        if getattr(o, name) not in choices:
+            raise ValueError(f"{name} is one of {', '.join(choices)}, not {getattr(o, name)!r}")
+    return o
+
+
 #: Fixed values of the method: decibels, hertz and shares that results depend on.
 COMP_MARGIN_DB = 20.0
 SILENCE_LIMIT_DB = -220.0
@@ -40,3 +56,4 @@ NORMALISE_DB = 30.0
 REVERSED_DB = 8.5
 TOLERANCE_HZ = 1e-5
 LINE_BINS = 8
+CENTS_LIMIT = 0.25

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigdiff.options import CompareOptions
+from sigdiff.sources import decoded_chunks, parse_wav
 from sigdiff.spectrum import alike, block_spectra, coefficients, route_channels
+from sigdiff.storage import stored
 
 
 def _value(x) -> Column:
@@ -18,6 +20,58 @@ def _value(x) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
+#: Blocks, windows or other stretches of samples whose places are broadcast to the files that they are cut from.
+BROADCAST_BOUNDS = 3_000_000
+
+
+def chunks_of(source: DataFrame) -> DataFrame:
+    """Chunks of recordings, given as such or as files with their content; files are decoded in the task that reads them."""
+    return decoded_chunks(source) if "content" in source.columns else source
+
+
+def cut(source: DataFrame, bounds: DataFrame) -> DataFrame:
+    """J1 for both kinds of sources: chunks of a second, or files with their content, from which samples go nowhere but into their block. bounds has sample_rate."""
+    return cut_at_file(source, bounds) if "content" in source.columns else cut_blocks(source, bounds, "sample_rate")
+
+
+def cut_at_file(files: DataFrame, bounds: DataFrame, broadcast_rows: int = BROADCAST_BOUNDS) -> DataFrame:
+    """J1 where a file is decoded: its bounds come to it as one array, and each block is cut out at its place, zero where the file has no samples. No samples are shuffled.
+
+    files: recording_id, content. bounds: recording_id, start_frame, n_frames and more, which stays. Arrays of more than broadcast_rows bounds are joined by shuffles, which move the files' bytes.
+    """
+    kept = [c for c in bounds.columns if c != "recording_id"]
+    every = bounds.where("n_frames > 0")
+    few = every.count() <= broadcast_rows
+    arrays = every.groupBy("recording_id").agg(F.collect_list(F.struct(*kept)).alias("bounds"))
+    joined = files.select("recording_id", "content").join(F.broadcast(arrays) if few else arrays, "recording_id")
+    kinds = dict(bounds.dtypes)
+    names = ["recording_id", *kept, "left", "right"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                _, x = parse_wav(batch.column("content")[k].as_py())
+                own = batch.column("bounds")[k].values
+                at, n = own.field("start_frame").to_numpy(zero_copy_only=False), own.field("n_frames").to_numpy(zero_copy_only=False)
+                low = 0
+                while low < len(own):
+                    high = low + max(1, int(np.searchsorted(np.cumsum(n[low:]), 2_000_000, side="right")))
+                    sides = []
+                    for c in range(x.shape[1]):
+                        parts = [np.pad(x[max(0, a) : max(0, a + m), c], (min(m, max(0, -a)), 0))[:m] for a, m in zip(at[low:high].tolist(), n[low:high].tolist(), strict=True)]
+                        flat = np.concatenate([np.pad(p, (0, m - len(p))) for p, m in zip(parts, n[low:high].tolist(), strict=True)])
+                        edges = np.concatenate(([0], np.cumsum(n[low:high]))).astype(np.int32)
+                        sides.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)))
+                    if len(sides) == 1:
+                        sides.append(pa.nulls(high - low, pa.list_(pa.float64())))
+                    part = own.slice(low, high - low)
+                    yield pa.record_batch([pa.array([batch.column("recording_id")[k].as_py()] * (high - low), pa.string()), *(part.field(c) for c in kept), *sides], names)
+                    low = high
+
+    schema = "recording_id string, " + ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", left array<double>, right array<double>"
+    return joined.mapInArrow(run, schema)
+
+
 def cut_blocks(chunks: DataFrame, bounds: DataFrame, chunk_frames: int | str) -> DataFrame:
     """Samples of [start_frame, start_frame + n_frames) of each block, each at its place, zero where no chunk has them.
 
@@ -38,7 +92,8 @@ def cut_blocks(chunks: DataFrame, bounds: DataFrame, chunk_frames: int | str) ->
     placed = lambda c: F.aggregate("_p", F.array().cast("array<double>"), lambda out, p: F.concat(out, zeros(p["at"] - F.size(out)), p[c]))
     whole = lambda c: F.concat(placed(c), zeros(F.col("n_frames") - F.size(placed(c))))
     both = (F.size("_p") > 0) & F.forall("_p", lambda p: p["r"].isNotNull())
-    return pieces.select("recording_id", "block_no", F.col("_at").alias("start_frame"), "n_frames", *(c for c in kept if c not in ("recording_id", "block_no", "n_frames")), whole("l").alias("left"), F.when(both, whole("r")).alias("right"))
+    lead = [c for c in ("recording_id", "block_no") if c in kept]
+    return pieces.select(*lead, F.col("_at").alias("start_frame"), "n_frames", *(c for c in kept if c not in (*lead, "n_frames")), whole("l").alias("left"), F.when(both, whole("r")).alias("right"))
 
 
 def sample_peak(blocks: DataFrame, by: list[str], column: str = "samples") -> DataFrame:
@@ -46,6 +101,16 @@ def sample_peak(blocks: DataFrame, by: list[str], column: str = "samples") -> Da
     return blocks.groupBy(*by).agg(F.max(F.array_max(F.transform(column, F.abs))).alias("peak"))
 
 
+def peak_frames(chunks: DataFrame) -> DataFrame:
+    """A23 of whole recordings: recording_id, peak and frame of the first sample, of either channel, that is furthest from zero."""
+    level = lambda c: F.coalesce(F.array_max(F.transform(c, F.abs)), F.lit(0.0))
+    top = F.greatest(level("left"), level("right"))
+    found = chunks.where("size(left) > 0").withColumn("_top", top)
+    place = lambda c: F.coalesce(F.nullif(F.array_position(F.transform(c, F.abs), F.col("_top")), F.lit(0)), F.lit(2**62))
+    at = F.col("start_frame") + F.least(place("left"), place("right")) - 1
+    return found.groupBy("recording_id").agg(F.max("_top").alias("peak"), F.min_by(at, F.struct(-F.col("_top"), "start_frame")).alias("frame")).where("peak > 0")
+
+
 def comparison_frame(ref_frame: Column, ref_start: Column, comp_start: Column, ref_rate: Column, comp_rate: Column, ref_ms: Column, comp_ms: Column) -> Column:
     """Where the reference's frame lies in the comparison, whose rate of samples and of frames may differ."""
     return comp_start + F.floor((ref_frame - ref_start) / ref_rate * comp_rate * comp_ms / ref_ms + 0.5)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigdiff.exprs import weight
 
 
-def difference_series(matched: DataFrame, significance: float, curve: int = 0) -> DataFrame:
+def difference_series(matched: DataFrame, significance: float | Column, curve: int = 0) -> DataFrame:
     """With a weight of the reference's loudness."""
-    loud = 1 - F.col("ref_amplitude") / F.lit(significance)
+    loud = 1 - F.col("ref_amplitude") / (significance if isinstance(significance, Column) else F.lit(significance))
     return matched.where("kind <> 'silence'").withColumn("weight", weight(F.greatest(F.least(loud, F.lit(1.0)), F.lit(0.0)), curve))
 
 
@@ -31,7 +31,7 @@ def moving_average(df: DataFrame, order: str, value: str, period: int, by: list[
     return out.where(F.col("_n") > period).drop("_n")
 
 
-def averaged_series(matched: DataFrame, significance: float, period: int = 4) -> DataFrame:
+def averaged_series(matched: DataFrame, significance: float | Column, period: int = 4) -> DataFrame:
     """Of the reference's louder half in dB."""
     own = matched.where((F.col("kind") != "silence") & (F.col("ref_amplitude") > significance / 2))
     by = ["pair_id", "type_id", "channel"]

@@ -75,7 +75,6 @@ def read_recordings(spark: SparkSession, path: str, file_limit: int = FILE_LIMIT
     file_limit bytes, are rejects with a reason; the long ones are never read.
     """
     names = [x.split()[0] for x in CHUNKS.split(", ")]
-    root = _root(path).rstrip("/") + "/"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.string()]
@@ -92,15 +91,67 @@ def read_recordings(spark: SparkSession, path: str, file_limit: int = FILE_LIMIT
                     part = x[k * step : (k + 1) * step]
                     yield made([own, where, facts["sample_rate"], facts["channels"], facts["bits"], facts["is_float"], len(x), k, k * step, part[:, 0], part[:, 1] if facts["channels"] == 2 else None, None])
 
-    bare = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
-    below = F.when(F.startswith(bare, F.lit(root)), F.substring(bare, len(root) + 1, 2**31 - 1)).otherwise(bare)
-    files = spark.read.format("binaryFile").load(path).withColumn("recording_id", F.regexp_replace(below, r"\.[^./]*$", ""))
+    files = _files(spark, path)
     every = stored(files.where(F.col("length") <= file_limit).select("recording_id", "path", "content").mapInArrow(run, CHUNKS), "recordings")
     long = files.where(F.col("length") > file_limit).select("recording_id", "path", F.lit("too long").alias("reason"))
     recordings = every.where("chunk_no = 0").select(*names[:7])
     return recordings, every.where("reason IS NULL").select("recording_id", "sample_rate", *names[7:11]), every.where("reason IS NOT NULL").select("recording_id", "path", "reason").unionByName(long)
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """recording_id (the path below the pattern's fixed folder, without the extension), path, length, modificationTime and content of files."""
+    root = _root(path).rstrip("/") + "/"
+    bare = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    below = F.when(F.startswith(bare, F.lit(root)), F.substring(bare, len(root) + 1, 2**31 - 1)).otherwise(bare)
+    return spark.read.format("binaryFile").load(path).withColumn("recording_id", F.regexp_replace(below, r"\.[^./]*$", ""))
+
+
+def recording_files(spark: SparkSession, path: str, file_limit: int = FILE_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S1 without storing samples: (recordings, files, rejects). files (recording_id, content) is a source for all that needs samples, decoded by each task that reads a part of it; recordings and rejects are stored."""
+    facts = [c for c in CHUNKS.split(", ") if c.split()[0] not in ("chunk_no", "start_frame", "left", "right")]
+    files = _files(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string()]
+        for batch in batches:
+            rows = []
+            for own, where, content in zip(batch.column("recording_id").to_pylist(), batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    found, x = parse_wav(content.as_py())
+                    rows.append((own, where, found["sample_rate"], found["channels"], found["bits"], found["is_float"], len(x), None))
+                except ValueError as e:
+                    rows.append((own, where, *[None] * 5, str(e)))
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [c.split()[0] for c in facts])
+
+    short = files.where(F.col("length") <= file_limit)
+    every = stored(short.select("recording_id", "path", "content").mapInArrow(run, ", ".join(facts)), "recordings")
+    long = files.where(F.col("length") > file_limit).select("recording_id", "path", F.lit("too long").alias("reason"))
+    good = every.where("reason IS NULL")
+    return good.drop("reason"), short.select("recording_id", "content"), every.where("reason IS NOT NULL").select("recording_id", "path", "reason").unionByName(long)
+
+
+def decoded_chunks(files: DataFrame) -> DataFrame:
+    """Chunks of a second of files (recording_id, content) as they are read; files that are no accepted recordings have none."""
+    schema = "recording_id string, sample_rate double, n_frames long, chunk_no long, start_frame long, left array<double>, right array<double>"
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, content in zip(batch.column("recording_id").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    facts, x = parse_wav(content.as_py())
+                except ValueError:
+                    continue
+                step = int(facts["sample_rate"]) or 1
+                for k in range(0, -(-len(x) // step)):
+                    part = x[k * step : (k + 1) * step]
+                    row = (own, facts["sample_rate"], len(x), k, k * step, part[:, 0], part[:, 1] if facts["channels"] == 2 else None)
+                    yield pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+
+    return files.select("recording_id", "content").mapInArrow(run, schema)
+
+
 def recording_facts(recordings: DataFrame, end_hz: float, profile_seconds: float, needs_stereo: bool = False) -> DataFrame:
     """S2."""
     nyquist = F.col("sample_rate") / 2

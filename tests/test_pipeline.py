@@ -46,7 +46,7 @@ def tables(spark):
     recordings = spark.createDataFrame([(k, float(r), "p", 0) for k, (r, _) in made.items()], "recording_id string, sample_rate double, profile_id string, mode_no int")
     chunks = [(k, float(r), i, i * r, x[i * r : (i + 1) * r, 0].tolist(), x[i * r : (i + 1) * r, 1].tolist()) for k, (r, x) in made.items() for i in range(-(-len(x) // r))]
     chunks = spark.createDataFrame(chunks, "recording_id string, sample_rate double, chunk_no long, start_frame long, left array<double>, right array<double>")
-    modes = spark.createDataFrame([("p", 0, MS, HZ, 1, 10)], "profile_id string, mode_no int, ms_per_frame double, pulse_hz int, pulse_frames int, pulse_count int")
+    modes = spark.createDataFrame([("p", 0, MS, HZ, 17, 10)], "profile_id string, mode_no int, ms_per_frame double, pulse_hz int, pulse_frames int, pulse_count int")
     types = spark.createDataFrame([("p", i, *line[:5], 0, line[5]) for i, line in enumerate(LINES)], "profile_id string, ord int, type_name string, kind string, type_id int, elements int, frames int, cut_frames int, channel string")
     pairs = spark.createDataFrame([(k, "plain", k) for k in made], "pair_id string, ref_id string, comp_id string")
     return recordings, chunks, modes, types, pairs

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigdiff import compare, exprs, layout, levels, samples, series, sources, spectrum, sync
+from sigdiff import compare, exprs, layout, levels, samples, search, series, sources, spectrum, sync
 from sigdiff.options import CompareOptions
 
 RATE = 8000
@@ -213,11 +213,15 @@ def test_pulse_train(spark):
     x = np.concatenate([np.zeros(4000), *[np.concatenate([pulse, gap]) for _ in range(10)], np.zeros(4000)])
     chunks = spark.createDataFrame([("r", k, k * rate, x[k * rate : (k + 1) * rate].tolist()) for k in range(-(-len(x) // rate))], "recording_id string, chunk_no long, start_frame long, left array<double>")
     pieces = sync.pulse_chunks(chunks, rate)
-    assert sync.opening_train(pieces, 2000.0, 10, 16).first().start_frame == 4000
     assert sync.digital_start(chunks).first().start_frame == 4001  # a sine starts at zero
     assert sync.signal_start(pieces).first().start_frame == 4000
     assert 11 < sync.pulse_threshold(sync.pulse_db(pieces), 2000.0).first().hit_pct < 13
-    assert sync.opening_train(pieces, 2000.0, 10, 16, None).first().start_frame == 4000
+    loud = sync.pulse_db(pieces)
+    assert search.signal_start(loud).first().start_frame == 4000
+    facts = spark.createDataFrame([("r", 8000.0, len(x), 16.0, 2000.0, 14.0, 10, 20)], FACTS)
+    islands = search.tone_islands(chunks.withColumn("right", F.lit(None).cast("array<double>")), facts.select("recording_id", "sample_rate", F.col("pulse_hz").alias("tone_hz"), F.lit(128.0).alias("least"), F.lit(0).alias("from_frame")))
+    found = search.opening_train(search.trains(islands, facts, 0), facts.withColumn("sync_frames", F.lit(10)))
+    assert [(r.start_frame, r.pulses, r.tolerance) for r in found.collect()] == [(4000, 10, 0)]
     assert sync.signal_start(pieces, 2000.0, 16).first().start_frame == 4000
 
 
@@ -261,38 +265,46 @@ def test_phase_wraps(spark):
     assert [r.d for r in got] == [20.0, -20.0, 20.0]
 
 
-def test_closing_train_refinement_internal_sync_and_clock(spark):
-    rate, piece = 8000, 8
-    pulse = np.sin(2 * np.pi * 2000 * np.arange(16 * piece) / rate) * 10000
-    train = np.concatenate([np.concatenate([pulse, np.zeros(16 * piece)]) for _ in range(10)])
+FACTS = "recording_id string, sample_rate double, n_frames long, ms_per_frame double, pulse_hz double, pulse_ms double, pulse_count int, sync_frames long"
+
+
+def train(rate=8000, hz=2000):
+    pulse = np.sin(2 * np.pi * hz * np.arange(128) / rate) * 10000
+    return np.concatenate([np.concatenate([pulse, np.zeros(128)]) for _ in range(10)])
+
+
+def chunked(spark, x, rate=8000):
+    return spark.createDataFrame([("r", k, k * rate, x[k * rate : (k + 1) * rate].tolist(), None) for k in range(-(-len(x) // rate))], "recording_id string, chunk_no long, start_frame long, left array<double>, right array<double>")
+
+
+def test_sync_and_markers_over_chunk_edges(spark):
+    rate, t = 8000, train()
     tone = np.sin(2 * np.pi * 1000 * np.arange(800) / rate) * 10000
-    x = np.concatenate([np.zeros(4000), train, np.zeros(8000), tone, np.zeros(8000), train, np.zeros(4000)])
-    chunks = spark.createDataFrame([("r", k, k * rate, x[k * rate : (k + 1) * rate].tolist()) for k in range(-(-len(x) // rate))], "recording_id string, chunk_no long, start_frame long, left array<double>")
-    pieces = sync.pulse_chunks(chunks, rate)
-    opening = sync.opening_train(pieces, 2000.0, 10, 16)
-    closing = sync.closing_train(pieces, opening, 2000.0, 10, 16, 19360).first()
-    assert closing.start_frame == 4000 + len(train) + 16800 and closing.off_frames == 0
-    near = spark.createDataFrame([("r", 3900, x[3900:4200].tolist()), ("z", 0, [0.0] * 50)], "recording_id string, start_frame long, samples array<double>")
-    got = {r.recording_id: r.start_frame for r in sync.refine_start(near, rate, 2000.0).collect()}
-    assert abs(got["r"] - 4000) <= 4 and got["z"] is None
-    markers = spark.createDataFrame([("r", 1, 4000 + len(train) + 7600, 1000.0, False)], "recording_id string, segment int, start_frame long, tone_hz double, known boolean")
-    row = sync.internal_sync(pieces, markers, rate).first()
-    assert row["shift"] == 400 and row.delay_ms == 50.0
+    x = np.concatenate([np.zeros(4000), t, np.zeros(8000), tone, np.zeros(8000), t, np.zeros(4000)])
+    chunks = chunked(spark, x)
+    facts = spark.createDataFrame([("r", 8000.0, len(x), 16.0, 2000.0, 14.0, 10, (len(t) + 16800) // 128)], FACTS)
+    found = search.sync_bounds(chunks, facts).first()
+    assert abs(found.start_at - 4000) <= 1 and abs(found.end_at - 4000 - len(t) - 16800) <= 1
+    at = 4000 + len(t) + 7600
+    markers = spark.createDataFrame([("r", 8000.0, 1, at, 1000.0, 800, False), ("r", 8000.0, 2, at + 100, 1000.0, 800, True)], "recording_id string, sample_rate double, marker int, search_frame long, tone_hz double, half long, known boolean")
+    tones = search.tone_islands(chunks, markers.select("recording_id", "sample_rate", "tone_hz", F.lit(800.0).alias("least"), F.lit(at).alias("from_frame")).distinct())
+    rows = search.marker_shifts(search.exact_tones(chunks, tones, markers), markers).orderBy("marker").collect()
+    assert abs(rows[0].delay - 400) <= 1 and abs(rows[0].shift - 2000) <= 2 and rows[0].carried == rows[0].shift and rows[0].found
+    # the next one is looked for behind that, where there is none
+    assert (rows[1].found, rows[1].shift, rows[1].carried) == (False, rows[0].carried, rows[0].carried)
+    moved = search.shifted_bounds(spark.createDataFrame([("r", b, b * 100, m, i) for b, m, i in ((0, 0, False), (1, 1, True), (2, 1, False))], "recording_id string, block_no int, start_frame long, marker int, inside boolean"), spark.createDataFrame([("r", 1, 7, 3)], "recording_id string, marker int, shift long, carried long"))
+    assert [r.start_frame for r in moved.orderBy("block_no").collect()] == [0, 107, 203]
     pairs = spark.createDataFrame([("p", "a", "b")], "pair_id string, ref_id string, comp_id string")
     row = sync.align_clock(pairs, spark.createDataFrame([("a", 100.0), ("b", 125.0)], "recording_id string, clock_hz double")).first()
     assert (row.ref_factor, row.comp_factor) == (1.0, 0.8)
 
 
 def test_closing_train_is_the_nearest_of_the_tail_not_the_first(spark):
-    rate, piece = 8000, 8
-    pulse = np.sin(2 * np.pi * 2000 * np.arange(16 * piece) / rate) * 10000
-    train = np.concatenate([np.concatenate([pulse, np.zeros(16 * piece)]) for _ in range(10)])
-    x = np.concatenate([np.zeros(4000), train, np.zeros(12000), train, np.zeros(4000), train, np.zeros(4000), train, np.zeros(4000)])
-    chunks = spark.createDataFrame([("r", k, k * rate, x[k * rate : (k + 1) * rate].tolist()) for k in range(-(-len(x) // rate))], "recording_id string, chunk_no long, start_frame long, left array<double>")
-    pieces = sync.pulse_chunks(chunks, rate)
-    opening = sync.opening_train(pieces, 2000.0, 10, 16)
-    closing = sync.closing_train(pieces, opening, 2000.0, 10, 16, 2 * len(train) + 16000).collect()
-    assert [(r.start_frame - 4000, r.off_frames) for r in closing] == [(2 * len(train) + 16000, 0)]
+    t = train()
+    x = np.concatenate([np.zeros(4000), t, np.zeros(12000), t, np.zeros(4000), t, np.zeros(4000), t, np.zeros(4000)])
+    facts = spark.createDataFrame([("r", 8000.0, len(x), 16.0, 2000.0, 14.0, 10, (2 * len(t) + 16000) // 128)], FACTS)
+    row = search.sync_bounds(chunked(spark, x), facts).first()
+    assert abs(row.start_at - 4000) <= 1 and abs(row.end_at - 4000 - 2 * len(t) - 16000) <= 1
 
 
 def test_nearest_bin_is_what_its_query_checks(spark, monkeypatch):
@@ -320,12 +332,12 @@ def test_thresholds_of_every_case(spark):
     assert sync.pulse_threshold(one, 1000.0).first().threshold_db == 0
 
 
-def test_refined_start_is_centred(spark):
+def test_refined_start_is_centred():
     rate, hz, n = 8000, 1000.0, 400
     x = np.zeros(1200)
     x[500:900] = np.sin(2 * np.pi * hz * np.arange(n) / rate) * np.minimum(1, np.minimum(np.arange(n), np.arange(n)[::-1]) / 60)
-    w = spark.createDataFrame([("r", 100, x.tolist())], "recording_id string, start_frame long, samples array<double>")
-    assert abs(sync.refine_start(w, rate, hz, n).first().start_frame - 600) <= 8
+    assert abs(search.pulse_edges(x, rate, hz, n, 480)[0] - 500) <= 4
+    assert search.pulse_edges(np.zeros(1200), rate, hz, n, 480) is None and search.pulse_edges(np.ones(9), rate, hz, n, 0) is None
 
 
 def test_levels_rules(spark):
@@ -358,11 +370,6 @@ def test_small_operators(spark):
     rows = spark.createDataFrame([(1.0, -9.0, -3.0, 2.0), (2.0, -3.0, -9.0, 1.0), (3.0, -5.0, -5.0, 9.0)], "hertz double, ref_amplitude double, comp_amplitude double, diff_amplitude double")
     order = {k: [r.hertz for r in series.ordered(rows, k).collect()] for k in ("ref", "comp", "diff", "hertz")}
     assert order == {"ref": [2, 3, 1], "comp": [1, 3, 2], "diff": [3, 1, 2], "hertz": [1, 2, 3]}
-    moved = sync.shifted_bounds(
-        spark.createDataFrame([("r", b, s, b * 100, a) for b, s, a in ((0, None, 0), (1, 1, 0), (2, None, 1), (3, 2, 1), (4, None, 2))], "recording_id string, block_no int, segment int, start_frame long, after int"),
-        spark.createDataFrame([("r", 1, 7, True), ("r", 2, 20, False)], "recording_id string, segment int, shift long, known boolean"),
-    )
-    assert [r.start_frame for r in moved.orderBy("block_no").collect()] == [0, 107, 200, 320, 420]
     trimmed = layout.trim_by_framerate(spark.createDataFrame([("*", 10, 16.0, 20.0), (None, 10, 16.0, 20.0)], "mask string, frames int, ref_ms double, comp_ms double")).collect()
     assert [(r.ref_trim, r.comp_trim) for r in trimmed] == [(0.0, 0.04), (0.0, 0.0)]
     bad = layout.validate_profiles(spark.createDataFrame([("p", i, k, t, 1, 5, 0, c, "m") for i, (k, t, c) in enumerate((("sync", -2, "red"), ("user", 1, "blue"), ("user", 1, "mauve"), ("sync", -2, "red")))], "profile_id string, ord int, kind string, type_id int, elements int, frames int, cut_frames int, colour string, channel string"))
