@@ -79,14 +79,13 @@ def threshold_listing(matched: DataFrame, db: float) -> DataFrame:
     return matched.where(F.abs("diff_amplitude") > db)
 
 
-def counters(matched: DataFrame, lost: DataFrame) -> DataFrame:
-    """By pair, channel, block and both, as grouping sets; null where a column is not grouped by."""
-    a = matched.select("pair_id", "channel", "block_no", "diff_amplitude", "diff_phase", F.lit(0).alias("lost"))
-    b = lost.select("pair_id", "channel", "block_no", F.lit(None).cast("double").alias("diff_amplitude"), F.lit(None).cast("double").alias("diff_phase"), F.lit(1).alias("lost"))
+def counters(sides: DataFrame) -> DataFrame:
+    """A13 from both_sides, without a second join: by pair, channel, block and both, as grouping sets; null where a column is not grouped by. What only the comparison has is not counted."""
     small = F.abs("diff_amplitude") < TOLERANCE_HZ
     sets = [["pair_id"], ["pair_id", "channel"], ["pair_id", "block_no"], ["pair_id", "channel", "block_no"]]
     return (
-        a.unionByName(b)
+        sides.where("side <> 'comp'")
+        .withColumn("lost", F.col("ref_amplitude").isNotNull().cast("int") - F.col("comp_amplitude").isNotNull().cast("int"))
         .groupingSets([[F.col(c) for c in s] for s in sets], "pair_id", "channel", "block_no")
         .agg(F.count("*").alias("compared"), F.count_if(small).alias("perfect"), F.count_if(~small).alias("differing"), F.sum("lost").alias("missing"), F.count_if(F.abs("diff_phase") >= TOLERANCE_HZ).alias("phase_differing"))
     )
@@ -153,11 +152,11 @@ def fit_range(matched: DataFrame, range_db: float) -> DataFrame:
     return worst.select("pair_id", "type_id", "outside", fitted.alias("range_db"))
 
 
-def high_difference_blocks(matched: DataFrame, lost: DataFrame, more: DataFrame, db: float, pct: float) -> DataFrame:
-    """A22."""
-    by = ["pair_id", "block_no"]
-    m = matched.groupBy(*by).agg(F.avg(F.abs("diff_amplitude")).alias("mean_abs"), F.count("*").alias("n"))
-    count = lambda d, n: d.groupBy(*by).agg(F.count("*").alias(n))
-    all_ = m.join(count(lost, "lost"), by, "full").join(count(more, "more"), by, "full").fillna(0, ["n", "lost", "more"])
-    out = all_.withColumn("missing_pct", 100 * F.col("lost") / F.greatest(F.col("lost") + F.col("n"), F.lit(1))).withColumn("extra_pct", 100 * F.col("more") / F.greatest(F.col("more") + F.col("n"), F.lit(1)))
-    return out.where((F.col("mean_abs") >= db) | (F.col("missing_pct") > pct) | (F.col("extra_pct") > pct)).select(*by, "mean_abs", "missing_pct", "extra_pct")
+def high_difference_blocks(sides: DataFrame, significance: float | Column, db: float, pct: float) -> DataFrame:
+    """A22 from both_sides, without a second join. significance: what a bin that only the comparison has must be above."""
+    side = F.col("side")
+    n, lost = F.count_if(side == "both"), F.count_if(side == "ref")
+    more = F.count_if((side == "comp") & (F.col("comp_amplitude") > significance))
+    share = lambda k: 100 * k / F.greatest(k + n, F.lit(1))
+    out = sides.groupBy("pair_id", "block_no").agg(F.avg(F.when(side == "both", F.abs("diff_amplitude"))).alias("mean_abs"), share(lost).alias("missing_pct"), share(more).alias("extra_pct"))
+    return out.where((F.col("mean_abs") >= db) | (F.col("missing_pct") > pct) | (F.col("extra_pct") > pct))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,11 @@ class Fixture:
     def comp(self) -> DataFrame:
         return spectrum.significant(levels.levels(self.zero, self.spec, "comp"), OPTIONS.significance, "comp")
 
+    @cached_property
+    def sides(self) -> DataFrame:
+        """Both sides of user blocks in one join, for what needs matched and unmatched bins."""
+        return compare.both_sides(self.ref.where("kind = 'user'"), self.comp.where("kind = 'user'"))
+
     @cached_property
     def matched(self) -> DataFrame:
         return compare.match(self.ref, self.comp)
@@ -93,6 +102,24 @@ class Fixture:
         row = self.read("embeddings").where("vec_id % 7 <> 3")
         return row.select((F.col("vec_id") % 5).cast("string").alias("recording_id"), F.expr("vec_id div 5").alias("chunk_no"), F.expr("vec_id div 5 * 64").alias("start_frame"), left.alias("left"), right.alias("right"))
 
+    @cached_property
+    def files(self) -> DataFrame:
+        """Every 200 embeddings as a WAV file of 32-bit floats, two channels, 64 frames a second."""
+        row = self.read("embeddings").select(F.expr("vec_id div 200").cast("string").alias("recording_id"), F.struct("vec_id", F.col("embedding").cast("array<float>").alias("x")).alias("v"))
+        whole = row.groupBy("recording_id").agg(F.array_sort(F.collect_list("v")).alias("v"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for own in batch.column("v"):
+                    x = own.values.field("x").flatten().to_numpy()
+                    data = np.stack([x, -x / 2], 1).astype("<f4").tobytes()
+                    fmt = struct.pack("<HHIIHH", 3, 2, 64, 64 * 8, 8, 32)
+                    out.append(b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(data)) + data)
+                yield pa.record_batch([batch.column("recording_id"), pa.array(out, pa.binary())], ["recording_id", "content"])
+
+        return whole.mapInArrow(run, "recording_id string, content binary")
+
     @cached_property
     def pulses(self) -> DataFrame:
         """events as short pieces: three tones, and levels of up to some dozen dB below the peak."""

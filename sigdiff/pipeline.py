@@ -63,7 +63,7 @@ class Comparison:
         side = lambda n: self.levels(n).where("kind = 'user'")
         lost = compare.share_unmatched(side("ref"), self.missing)
         more = compare.share_unmatched(side("comp"), self.extra)
-        high = compare.high_difference_blocks(self.matched, self.missing, self.extra, o.high_difference_db, o.high_difference_pct)
+        high = compare.high_difference_blocks(self.sides.join(limit, "pair_id"), F.col("significance"), o.high_difference_db, o.high_difference_pct)
         return {
             "differences": series.difference_series(matched, F.col("significance"), o.weight),
             "averaged": series.averaged_series(matched, F.col("significance"), o.period),
@@ -72,7 +72,7 @@ class Comparison:
             "unmatched": series.unmatched_spectrogram(self.missing, self.extra, self.offsets),
             "phase": series.phase_series(self.matched),
             "bars": series.match_bars(within, perfect, lost, more),
-            "counters": compare.counters(self.matched, self.missing),
+            "counters": compare.counters(self.sides),
             "worst": compare.worst_type(within),
             "outside": compare.share_outside(self.matched, o.range_db),
             "range": compare.fit_range(self.matched, o.range_db),

@@ -69,9 +69,9 @@ def n(x: str) -> Column:
 @_query("flagship", """, w AS (SELECT type_id, count(*) AS n_matched, count(*) FILTER (abs(diff_amplitude) <= 1) AS n_within FROM matched GROUP BY 1), m AS (SELECT type_id, count(*) AS n_missing FROM missing GROUP BY 1)
 SELECT type_id, n_matched, n_within, n_missing, round(100.0 * n_within / n_matched, 4) AS within_pct, round(100.0 * n_missing / (n_missing + n_matched), 4) AS missing_pct FROM w JOIN m USING (type_id)""")
 def _flagship(x: Fixture) -> DataFrame:
-    w = x.audible.groupBy("type_id").agg(F.count("*").alias("n_matched"), F.count_if(F.abs("diff_amplitude") <= OPTIONS.match_db).alias("n_within"))
-    m = x.missing.groupBy("type_id").agg(F.count("*").alias("n_missing"))
-    out = w.join(m, "type_id").withColumn("within_pct", 100 * F.col("n_within") / F.col("n_matched"))
+    both = F.col("side") == "both"
+    out = x.sides.groupBy("type_id").agg(F.count_if(both).alias("n_matched"), F.count_if(both & (F.abs("diff_amplitude") <= OPTIONS.match_db)).alias("n_within"), F.count_if(F.col("side") == "ref").alias("n_missing"))
+    out = out.where("n_matched > 0 AND n_missing > 0").withColumn("within_pct", 100 * F.col("n_within") / F.col("n_matched"))
     return out.withColumn("missing_pct", 100 * F.col("n_missing") / (F.col("n_missing") + F.col("n_matched"))).select("type_id", "n_matched", "n_within", "n_missing", r4("within_pct"), r4("missing_pct"))
 
 
@@ -121,7 +121,7 @@ _query("j4_extra", "SELECT pair_id, block_no, bin, round(amplitude, 4) AS amplit
 _query("j13_rank_listing", ", mk AS (SELECT pair_id, block_no, bin FROM every) SELECT pair_id, block_no, rank, r.bin AS ref_bin, q.bin AS comp_bin, mk.bin IS NOT NULL AS is_matched FROM ref r FULL JOIN comp q USING (pair_id, block_no, rank) LEFT JOIN mk USING (pair_id, block_no) WHERE FALSE UNION ALL SELECT coalesce(r.pair_id, q.pair_id), coalesce(r.block_no, q.block_no), coalesce(r.rank, q.rank), r.bin, q.bin, EXISTS (SELECT 1 FROM mk WHERE mk.pair_id = r.pair_id AND mk.block_no = r.block_no AND mk.bin = r.bin) FROM ref r FULL JOIN comp q ON r.pair_id = q.pair_id AND r.block_no = q.block_no AND r.rank = q.rank")(lambda x: c.rank_listing(x.ref, x.comp).select("pair_id", "block_no", n("rank"), n("ref_bin"), n("comp_bin"), "is_matched"))
 _query("j14_threshold_listing", "SELECT pair_id, block_no, bin, round(diff_amplitude, 4) AS diff_amplitude FROM matched WHERE abs(diff_amplitude) > 12")(lambda x: c.threshold_listing(x.audible, 12.0).select("pair_id", "block_no", n("bin"), r4("diff_amplitude")))
 _query("a13_counters", """, z AS (SELECT pair_id, channel, block_no, diff_amplitude, diff_phase, 0 AS lost FROM matched UNION ALL SELECT pair_id, channel, block_no, NULL, NULL, 1 FROM missing)
-SELECT pair_id, channel, block_no, count(*) AS compared, count(*) FILTER (abs(diff_amplitude) < 1e-5) AS perfect, count(*) FILTER (abs(diff_amplitude) >= 1e-5) AS differing, CAST(sum(lost) AS BIGINT) AS missing, count(*) FILTER (abs(diff_phase) >= 1e-5) AS phase_differing FROM z GROUP BY GROUPING SETS ((pair_id), (pair_id, channel), (pair_id, block_no), (pair_id, channel, block_no))""")(lambda x: c.counters(x.audible, x.missing))
+SELECT pair_id, channel, block_no, count(*) AS compared, count(*) FILTER (abs(diff_amplitude) < 1e-5) AS perfect, count(*) FILTER (abs(diff_amplitude) >= 1e-5) AS differing, CAST(sum(lost) AS BIGINT) AS missing, count(*) FILTER (abs(diff_phase) >= 1e-5) AS phase_differing FROM z GROUP BY GROUPING SETS ((pair_id), (pair_id, channel), (pair_id, block_no), (pair_id, channel, block_no))""")(lambda x: c.counters(x.sides))
 _query("a14_mean_difference", "SELECT pair_id, round(avg(diff_amplitude), 4) AS mean_diff FROM matched GROUP BY 1")(lambda x: c.mean_difference(x.matched).select("pair_id", r4("mean_diff")))
 _query("a14_recentre", "SELECT pair_id, block_no, bin, round(diff_amplitude - avg(diff_amplitude) OVER (PARTITION BY pair_id), 4) AS diff_amplitude FROM matched")(lambda x: c.recentre(x.audible).select("pair_id", "block_no", n("bin"), r4("diff_amplitude")))
 _query("a15_share_within", "SELECT pair_id, type_id, channel, count(*) FILTER (abs(diff_amplitude) <= 1) AS hits, count(*) AS total, round(100.0 * count(*) FILTER (abs(diff_amplitude) <= 1) / count(*), 4) AS pct FROM matched GROUP BY 1, 2, 3")(lambda x: c.share_within(x.audible, 1.0).select("pair_id", "type_id", "channel", "hits", "total", r4("pct")))
@@ -136,7 +136,7 @@ _query("a21_fit_range", """, t AS (SELECT pair_id, type_id, avg(abs(diff_amplitu
 SELECT pair_id, type_id, round(o, 4) AS outside, CASE WHEN o < 25 THEN 3.0 WHEN ceil(m + sd) > 3 THEN ceil(m + sd) ELSE ceil(m + 2 * sd) END AS range_db FROM w WHERE k = 1""")(lambda x: c.fit_range(x.audible, 3.0).select("pair_id", "type_id", r4("outside"), "range_db"))
 _query("a22_high_difference", """, m AS (SELECT pair_id, block_no, avg(abs(diff_amplitude)) AS a, count(*) AS n FROM matched GROUP BY 1, 2), l AS (SELECT pair_id, block_no, count(*) AS l FROM missing GROUP BY 1, 2), q AS (SELECT pair_id, block_no, count(*) AS e FROM extra GROUP BY 1, 2),
 z AS (SELECT pair_id, block_no, a, coalesce(n, 0) AS n, coalesce(l, 0) AS l, coalesce(e, 0) AS e FROM m FULL JOIN l USING (pair_id, block_no) FULL JOIN q USING (pair_id, block_no)), y AS (SELECT pair_id, block_no, a, 100.0 * l / greatest(l + n, 1) AS mp, 100.0 * e / greatest(e + n, 1) AS ep FROM z)
-SELECT pair_id, block_no, round(a, 4) AS mean_abs, round(mp, 4) AS missing_pct, round(ep, 4) AS extra_pct FROM y WHERE a >= 6 OR mp > 50 OR ep > 50""")(lambda x: c.high_difference_blocks(x.audible, x.missing, x.extra, 6.0, 50.0).select("pair_id", "block_no", r4("mean_abs"), r4("missing_pct"), r4("extra_pct")))
+SELECT pair_id, block_no, round(a, 4) AS mean_abs, round(mp, 4) AS missing_pct, round(ep, 4) AS extra_pct FROM y WHERE a >= 6 OR mp > 50 OR ep > 50""")(lambda x: c.high_difference_blocks(x.sides, S, 6.0, 50.0).select("pair_id", "block_no", r4("mean_abs"), r4("missing_pct"), r4("extra_pct")))
 _query("a29_mean_per_hertz", "SELECT pair_id, type_id, hertz, round(avg(diff_amplitude), 4) AS diff_amplitude FROM matched GROUP BY 1, 2, 3")(lambda x: d.mean_per_hertz(x.audible, ["pair_id", "type_id"]).withColumn("diff_amplitude", r4("diff_amplitude")))
 _query("a30_peak_per_hertz", "SELECT recording_id, type_id, bin, round(max(amplitude), 4) AS amplitude FROM own GROUP BY 1, 2, 3")(lambda x: d.peak_per_hertz(x.own_levels, ["recording_id", "type_id"]).select("recording_id", "type_id", n("bin"), r4("amplitude")))
 _query("d1_difference_series", f"SELECT pair_id, block_no, bin, round(diff_amplitude, 4) AS diff_amplitude, round(sqrt(greatest(least(1 - ref_amplitude / {S}, 1), 0)) * 0.85 + 0.15, 4) AS weight FROM matched")(lambda x: d.difference_series(x.matched, S, 1).select("pair_id", "block_no", n("bin"), r4("diff_amplitude"), r4("weight")))
@@ -175,8 +175,8 @@ _query("d4_noise_spectrogram", ", t AS (SELECT recording_id, bin, hertz, max(amp
 
 
 def _more() -> None:
-    """The queries of the other module, which takes its registry from here."""
-    from sigdiff import queries_more  # noqa: F401
+    """The queries of the other modules, which take their registry from here."""
+    from sigdiff import queries_more, queries_rows  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -312,7 +312,7 @@ def _d6(x: Fixture) -> DataFrame:
     JOIN w USING (recording_id, block_no)""",
 )
 def _d11(x: Fixture) -> DataFrame:
-    high = c.high_difference_blocks(x.audible, x.missing, x.extra, 3.0, 100.0)
+    high = c.high_difference_blocks(x.sides, S, 3.0, 100.0)
     return d.high_difference_waveforms(high, x.pairs, sa.waveforms(x.blocks, 16)).select("pair_id", "side", "block_no", n("part"), r6("low"), r6("high"))
 
 
@@ -371,7 +371,7 @@ def _s7(x: Fixture) -> DataFrame:
     """Written as CSV and read again."""
     base = shared_path(x.pairs.sparkSession, "differences")
     so.write_differences(x.audible, S / 2, base)
-    back = x.pairs.sparkSession.read.schema("type_id int, hertz double, diff_amplitude double, pair_id string").csv(base, header=True)
+    back = x.pairs.sparkSession.read.schema("pair_id string, type_id int, hertz double, diff_amplitude double").csv(base, header=True)
     return back.select("pair_id", "type_id", "hertz", r4("diff_amplitude"))
 
 
@@ -467,6 +467,5 @@ def _archive(x: Fixture) -> DataFrame:
     top = rows.groupBy("pair_id").agg(F.max("magnitude").alias("zero_db"))
     full = rows.join(top, "pair_id").withColumn("amplitude", e.decibels(F.col("magnitude"), F.col("zero_db"))).select("*", F.lit("user").alias("kind"), F.lit(1).alias("type_id"), F.col("bin").cast("double").alias("hertz"), F.lit(0.0).alias("phase"))
     ref, comp = (u.significant(full.where(F.col("l_linestatus") == s), -100.0, "ref") for s in "FO")
-    count = lambda df, name: df.groupBy("pair_id").agg(F.count("*").alias(name))
-    every = count(c.match(ref, comp), "matched").join(count(c.missing(ref, comp), "missing"), "pair_id", "full").join(count(c.extra(ref, comp, -100.0), "extra"), "pair_id", "full")
-    return every.fillna(0).select(F.col("pair_id").alias("recording_id"), "matched", "missing", "extra")
+    each = c.both_sides(ref, comp).groupBy("pair_id").agg(*(F.count_if(F.col("side") == k).alias(name) for k, name in (("both", "matched"), ("ref", "missing"), ("comp", "extra"))))
+    return each.select(F.col("pair_id").alias("recording_id"), "matched", "missing", "extra")

@@ -291,9 +291,15 @@ def apply_manual_sync(bounds: DataFrame, manual: DataFrame) -> DataFrame:
     return out.withColumn("start_frame", F.coalesce("_s", "start_frame")).withColumn("end_frame", F.coalesce("_e", "end_frame")).withColumn("status", F.when(F.col("_s").isNotNull(), "manual").otherwise(F.col("status"))).drop("_s", "_e")
 
 
-def write_differences(matched: DataFrame, significance: float, path: str) -> None:
-    """S7."""
-    matched.where((F.col("kind") == "user") & (F.col("ref_amplitude") > significance)).select("pair_id", "type_id", "hertz", "diff_amplitude").write.partitionBy("pair_id").csv(path, header=True)
+def _in_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df with a folder number, and all rows of one in one task, so that each folder has one file and there are no more folders than buckets."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
+
+
+def write_differences(matched: DataFrame, significance: float, path: str, buckets: int = 64) -> None:
+    """Text with pair_id, type_id, hertz, diff_amplitude, in folders by a hash of the pair."""
+    own = matched.where((F.col("kind") == "user") & (F.col("ref_amplitude") > significance)).select("pair_id", "type_id", "hertz", "diff_amplitude")
+    _in_buckets(own, "pair_id", buckets).write.partitionBy("bucket").csv(path, header=True)
 
 
 def difference_report(matched: DataFrame, missing: DataFrame) -> DataFrame:
@@ -312,6 +318,6 @@ def report_totals(report: DataFrame) -> DataFrame:
     return report.groupingSets(sets, "pair_id", "block_no", "finding").agg(F.count("*").alias("n"))
 
 
-def write_block_samples(blocks: DataFrame, path: str) -> None:
-    """S9."""
-    blocks.write.partitionBy("recording_id").parquet(path)
+def write_block_samples(blocks: DataFrame, path: str, buckets: int = 64) -> None:
+    """In folders by a hash of the recording, so that a recording's blocks lie together."""
+    _in_buckets(blocks, "recording_id", buckets).write.partitionBy("bucket").parquet(path)

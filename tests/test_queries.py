@@ -13,7 +13,7 @@ NAMES = sorted(queries.queries())
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("embeddings", "part", "lineitem", "events", "supplier", "customer", "nation"):
+    for name in ("embeddings", "part", "lineitem", "events", "supplier", "customer", "nation", "orders"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
