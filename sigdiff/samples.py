@@ -162,10 +162,10 @@ def apply_balance(blocks: DataFrame, balance: DataFrame) -> DataFrame:
     return blocks.join(own, ["recording_id", "channel"], "left").withColumn("samples", F.expr("if(_g IS NULL, samples, transform(samples, s -> s * _g))")).drop("_g")
 
 
-def reconstruct(blocks: DataFrame, cutoffs: DataFrame, sample_rate: float | str, start_hz: float, end_hz: float, window: str = "n") -> DataFrame:
-    """Cutoffs: recording_id, cutoff (magnitude). Both outputs in one pass: used has the bins of the band at or above the cut-off, discarded the others of the band.
+def reconstruct(blocks: DataFrame, cutoffs: DataFrame, sample_rate: float | str, start_hz: float, end_hz: float, window: str = "n", shared: bool = True) -> DataFrame:
+    """Cutoffs: recording_id, or with it block_no and channel, and cutoff (magnitude). Both outputs in one pass: used has the bins of the band at or above the cut-off, discarded the others.
 
-    The mean and bins from the limit up are in both. sample_rate: a number or a column of blocks. Blocks of one length and rate are transformed together.
+    The mean and bins from the limit up are in both; without shared the mean is used and those bins are discarded, so that both add up to the block. sample_rate: a number or a column of blocks. Blocks of one length and rate are transformed together.
     """
     schema = "recording_id long, block_no long, channel string, part string, samples array<double>"
 
@@ -177,7 +177,8 @@ def reconstruct(blocks: DataFrame, cutoffs: DataFrame, sample_rate: float | str,
         both = (bins == 0) | (bins >= high)
         loud = 2 * np.abs(s) / n >= part.column("cutoff").to_numpy()[:, None]
         for name, keep in (("used", inner & loud), ("discarded", ~(inner & loud) & ~both)):
-            out = np.fft.irfft(np.where(keep | both, s, 0), n, axis=1)
+            rest = both if shared else (bins == 0) if name == "used" else both & (bins > 0)
+            out = np.fft.irfft(np.where(keep | rest, s, 0), n, axis=1)
             edges = np.arange(len(out) + 1, dtype=np.int32) * n
             own = [part.column(c) for c in ("recording_id", "block_no", "channel")]
             yield pa.record_batch([*own, pa.array([name] * len(out)), pa.ListArray.from_arrays(pa.array(edges), pa.array(out.ravel()))], [c.split()[0] for c in schema.split(", ")])
@@ -187,8 +188,7 @@ def reconstruct(blocks: DataFrame, cutoffs: DataFrame, sample_rate: float | str,
             for part, n, rate, _ in alike(batch):
                 yield from rows(part, n, rate)
 
-    # a cut-off is a row a recording
-    own = blocks.join(cutoffs, "recording_id").select("recording_id", "block_no", "channel", "samples", "cutoff", _value(sample_rate).cast("double").alias("_rate"), F.lit(0).alias("_pad"))
+    own = blocks.join(cutoffs, [c for c in ("recording_id", "block_no", "channel") if c in cutoffs.columns]).select("recording_id", "block_no", "channel", "samples", "cutoff", _value(sample_rate).cast("double").alias("_rate"), F.lit(0).alias("_pad"))
     return own.mapInArrow(run, schema)
 
 

@@ -231,3 +231,20 @@ def test_damaged_trains_by_tolerance(spark):
     for k, r in found[3].items():
         assert abs(r.start_at - at[k][0]) <= 4 and abs(r.end_at - at[k][1]) <= 4, (k, r, at[k])
     assert {k: r.sync_tolerance for k, r in found[3].items()} == {"good": 0, "weak": 0, "gap": 1, "cut": 3, "two": 3}
+
+
+def test_reconstruction_adds_up(spark, tmp_path):
+    from sigdiff import rebuild
+
+    made = {"a": ("plain", RATE, signal("plain")), "b": ("plain", 12000, signal("plain", rate=12000, noise=0.001))}
+    recordings, chunks, modes, types, pairs, profiles = archive(spark, made, [("a", "b")])
+    blocks = pipeline.profile_layout(types, O)
+    ends = pipeline.find_bounds(chunks, recordings, modes, blocks, O, profiles).withColumn("rate", F.col("sample_rate"))
+    places, _ = pipeline.block_places(chunks, ends, blocks)
+    rebuild.write_reconstruction(rebuild.reconstruct_recordings(chunks, ends, places, O), str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("recording_id", "part", "channel", "start_frame").collect()
+    for k, (_, _, x) in made.items():
+        part = {(p, c): np.concatenate([r.samples for r in rows if (r.recording_id, r.part, r.channel) == (k, p, c)]) for p in ("used", "discarded") for c in "lr"}
+        for c in "lr":
+            assert np.abs(part["used", c] + part["discarded", c] - x[:, "lr".index(c)]).max() < 1e-9
+            assert 0 < np.abs(part["discarded", c]).max() < 0.05 and np.abs(part["used", c]).max() > 0.4
