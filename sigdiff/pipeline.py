@@ -80,6 +80,29 @@ class Comparison:
         }
 
 
+@dataclass(frozen=True)
+class Standing:
+    """References that many comparisons share: their recordings, source and stored bounds and spectra, which are not searched for or transformed again."""
+
+    recordings: DataFrame
+    source: DataFrame
+    bounds: DataFrame
+    spectra: DataFrame
+
+
+def standing_references(recordings: DataFrame, source: DataFrame, modes: DataFrame, types: DataFrame, o: CompareOptions, profiles: DataFrame | None = None) -> Standing:
+    """The references' own bounds and spectra, stored. arguments as of compare_recordings."""
+    blocks = stored(profile_layout(types, o), "layout")
+    found = stored(find_bounds(source, recordings, modes, blocks, o, profiles), "bounds")
+    alone = recordings.select(F.col("recording_id").alias("pair_id"), F.col("recording_id").alias("ref_id"), F.col("recording_id").alias("comp_id"))
+    ends = _usable(found, alone, o)
+    places = stored(block_places(source, ends, blocks)[0], "places")
+    probes = stored(probe_recordings(source, places, profiles, o), "probed") if profiles is not None else None
+    variants = ends.select("recording_id", F.lit(1.0).alias("factor"), F.lit(0).cast("long").alias("trim"), F.xxhash64("recording_id").alias("variant"))
+    spec = stored(recording_spectra(source, places, variants, o, profiles, probes), "spectra")
+    return Standing(recordings, source, found, spec)
+
+
 def profile_layout(types: DataFrame, o: CompareOptions) -> DataFrame:
     """The blocks of each profile."""
     lines = layout.mark_addons(layout.resolve_silence(types), o.use_extra)
@@ -148,6 +171,15 @@ def _adjusted(ends: DataFrame, pairs: DataFrame, o: CompareOptions) -> DataFrame
     return fixed.unionByName(both.where(~F.coalesce(use, F.lit(False))).withColumn("rate", F.col("sample_rate"))).drop("_named")
 
 
+def _usable(ends: DataFrame, pairs: DataFrame, o: CompareOptions) -> DataFrame:
+    """Bounds with every column that a comparison reads, frame rates let pass and sample rates adjusted as the options say; stored."""
+    if o.ignore_framerate:
+        ends = ends.withColumn("status", F.when(F.col("status") == "rejected", "ok").otherwise(F.col("status")))
+    for name, value in (("expected_ms", F.col("ms_per_frame")), ("kind", F.lit("sync")), ("sample_rate_adj", F.lit(None).cast("double")), ("file_too_short", F.lit(False)), ("rate_differs", F.lit(False)), ("sync_tolerance", F.lit(0))):
+        ends = ends if name in ends.columns else ends.withColumn(name, value)
+    return stored(_adjusted(ends, pairs, o), "bounds")
+
+
 def block_places(source: DataFrame, ends: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(recording_id, block_no, start_frame, n_frames, sample_rate, rate and what the layout says) of all blocks that are transformed, and the delays of markers.
 
@@ -288,26 +320,28 @@ def _floors(df: DataFrame, noise: DataFrame, lowest: DataFrame, n: str) -> DataF
     return known.select("recording_id", F.when(F.col("floor_db").isNull(), floor).otherwise(F.least("floor_db", F.coalesce("cutoff_db", "floor_db"))).alias(f"{n}_floor")).join(loud, "recording_id", "left").withColumnRenamed("recording_id", "pair_id")
 
 
-def compare_recordings(recordings: DataFrame, source: DataFrame, modes: DataFrame, types: DataFrame, pairs: DataFrame, o: CompareOptions, bounds: DataFrame | None = None, profiles: DataFrame | None = None) -> Comparison:
+def compare_recordings(recordings: DataFrame, source: DataFrame, modes: DataFrame, types: DataFrame, pairs: DataFrame, o: CompareOptions, bounds: DataFrame | None = None, profiles: DataFrame | None = None, standing: Standing | None = None) -> Comparison:
     """The whole comparison. recordings: recording_id, sample_rate, profile_id, mode_no (and n_frames, bits); source: files (recording_id, content) or chunks of a second; pairs: pair_id, ref_id, comp_id (recording ids).
 
-    profiles: what read_profiles gives; without it there is no clock, balance, watermark or profile without sync. bounds in place of find_bounds(), if given.
+    profiles: what read_profiles gives; without it there is no clock, balance, watermark or profile without sync. bounds in place of find_bounds(), if given. standing: references that pairs may name beside the recordings.
     """
     o = checked(o)
     blocks = stored(profile_layout(types, o), "layout")
     ends = find_bounds(source, recordings, modes, blocks, o, profiles, pairs) if bounds is None else bounds
-    if o.ignore_framerate:
-        ends = ends.withColumn("status", F.when(F.col("status") == "rejected", "ok").otherwise(F.col("status")))
-    for name, value in (("expected_ms", F.col("ms_per_frame")), ("kind", F.lit("sync")), ("sample_rate_adj", F.lit(None).cast("double")), ("file_too_short", F.lit(False)), ("rate_differs", F.lit(False)), ("sync_tolerance", F.lit(0))):
-        ends = ends if name in ends.columns else ends.withColumn(name, value)
-    ends = stored(_adjusted(ends, pairs, o), "bounds")
+    if standing is not None:
+        ends = ends.unionByName(standing.bounds, allowMissingColumns=True)
+        source = source.unionByName(standing.source, allowMissingColumns=True)
+    ends = _usable(ends, pairs, o)
     places, delays = block_places(source, ends, blocks)
     places = stored(places, "places")
     probes = stored(probe_recordings(source, places, profiles, o), "probed") if profiles is not None else None
     used = stored(pair_variants(pairs, ends, places, probes, o).withColumn("ref_variant", _variant("ref")).withColumn("comp_variant", _variant("comp")), "pairs")
     side = lambda n: used.select(F.col(f"{n}_id").alias("recording_id"), F.col(f"{n}_factor").alias("factor"), F.col(f"{n}_trim").alias("trim"), F.col(f"{n}_variant").alias("variant"))
     variants = stored(side("ref").unionByName(side("comp")).distinct(), "variants")
-    spec = stored(recording_spectra(source, places, variants, o, profiles, probes), "spectra")
+    new = variants if standing is None else variants.join(standing.spectra.select(F.col("recording_id").alias("variant")).distinct(), "variant", "left_anti")
+    spec = stored(recording_spectra(source, places, new, o, profiles, probes), "spectra")
+    if standing is not None:
+        spec = spec.unionByName(standing.spectra)
     of = used.select("pair_id", F.col("ref_variant").alias("ref_id"), F.col("comp_variant").alias("comp_id"))
     audible = spectrum.only(spec, "user", "silence")
     if o.normalise == "frequency":

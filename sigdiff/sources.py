@@ -98,18 +98,18 @@ def read_recordings(spark: SparkSession, path: str, file_limit: int = FILE_LIMIT
     return recordings, every.where("reason IS NULL").select("recording_id", "sample_rate", *names[7:11]), every.where("reason IS NOT NULL").select("recording_id", "path", "reason").unionByName(long)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """recording_id (the path below the pattern's fixed folder, without the extension), path, length, modificationTime and content of files."""
+def _files(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
+    """Of the files of a path or pattern, or of only some of them: recording_id (the path below the pattern's fixed folder, without the extension), path, length, modificationTime and content of files."""
     root = _root(path).rstrip("/") + "/"
     bare = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
     below = F.when(F.startswith(bare, F.lit(root)), F.substring(bare, len(root) + 1, 2**31 - 1)).otherwise(bare)
-    return spark.read.format("binaryFile").load(path).withColumn("recording_id", F.regexp_replace(below, r"\.[^./]*$", ""))
+    return spark.read.format("binaryFile").load(path if only is None else only).withColumn("recording_id", F.regexp_replace(below, r"\.[^./]*$", ""))
 
 
-def recording_files(spark: SparkSession, path: str, file_limit: int = FILE_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def recording_files(spark: SparkSession, path: str, file_limit: int = FILE_LIMIT, only: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """S1 without storing samples: (recordings, files, rejects). files (recording_id, content) is a source for all that needs samples, decoded by each task that reads a part of it; recordings and rejects are stored."""
     facts = [c for c in CHUNKS.split(", ") if c.split()[0] not in ("chunk_no", "start_frame", "left", "right")]
-    files = _files(spark, path)
+    files = _files(spark, path, only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string()]

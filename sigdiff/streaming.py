@@ -10,25 +10,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sigdiff import pipeline, sources
+from sigdiff.options import CompareOptions
+from sigdiff.pipeline import Standing
 
-def archive_stream(spark: SparkSession, path: str, delay: str = "7 days") -> DataFrame:
-    """Files as they arrive (path, ts, content, content_hash), each content once: a file with the bytes of one seen within the delay is dropped."""
-    files = spark.readStream.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("ts"), "content", F.sha2("content", 256).alias("content_hash"))
-    return files.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["content_hash"])
 
+#: Files that a micro-batch of an archive has at most; their names go to the driver.
+BATCH_FILES = 5000
 
-def stream_compare(stream: DataFrame, spectra: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of new recordings becomes spectra, is compared with the standing references and appended, in a folder a batch.
 
-    A batch that is run again replaces its own folder.
+def archive_stream(spark: SparkSession, path: str, delay: str = "7 days", max_files: int = BATCH_FILES) -> DataFrame:
+    """Files as they arrive (path, ts, length, content_hash), each content once: a file with the bytes of one seen within the delay is dropped. Contents are hashed where they are read and go no further."""
+    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).load(path)
+    hashed = files.select("path", F.col("modificationTime").alias("ts"), "length", F.sha2("content", 256).alias("content_hash"))
+    return hashed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["content_hash"])
+
+
+def stream_compare(stream: DataFrame, compare: Callable[[DataFrame], dict[str, DataFrame]], out: str, checkpoint: str) -> StreamingQuery:
+    """What compare makes of each micro-batch, by table in a folder a batch.
+
+    A batch that is run again, as after a lost driver, replaces its own folders, so each batch counts once.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        compare(spectra(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        for name, table in compare(batch).items():
+            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def compare_archive(spark: SparkSession, path: str, describe: Callable[[DataFrame], DataFrame], standing: Standing, modes: DataFrame, types: DataFrame, o: CompareOptions, out: str, checkpoint: str, profiles: DataFrame | None = None, delay: str = "7 days", max_files: int = BATCH_FILES) -> StreamingQuery:
+    """Every recording that arrives below path is compared with all standing references of its profile. Tables: bounds, matched, missing, extra, warnings and rejects.
+
+    describe adds profile_id and mode_no to recordings (recording_id, path and facts). A batch reads its own files again by their names; references are neither searched nor transformed again.
+    """
+    stream = archive_stream(spark, path, delay, max_files)
+
+    def run(batch: DataFrame) -> dict[str, DataFrame]:
+        names = [r["path"] for r in batch.select("path").collect()]  # no more than max_files
+        if not names:
+            return {}
+        recordings, files, rejects = sources.recording_files(spark, path, only=names)
+        own = describe(recordings)
+        refs = standing.recordings.select(F.col("recording_id").alias("ref_id"), "profile_id")
+        pairs = own.select(F.col("recording_id").alias("comp_id"), "profile_id").join(refs, "profile_id").select(F.concat_ws("-", "ref_id", "comp_id").alias("pair_id"), "ref_id", "comp_id")
+        found = pipeline.compare_recordings(own, files, modes, types, pairs, o, profiles=profiles, standing=standing)
+        new = found.bounds.join(own.select("recording_id"), "recording_id", "left_semi")
+        return {"bounds": new, "matched": found.matched, "missing": found.missing, "extra": found.extra, "warnings": found.warnings, "rejects": rejects}
+
+    return stream_compare(stream, run, out, checkpoint)
+
+
 def live_levels(stream: DataFrame, interval: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Peak and floor per source and window. stream: source, ts, level."""
     w = F.window("ts", interval, slide) if slide else F.window("ts", interval)

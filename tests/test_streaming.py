@@ -1,8 +1,11 @@
+import hashlib
 import time
 
 from pyspark.sql import functions as F
 
+from sigdiff import pipeline, sources
 from sigdiff import streaming as st
+from tests import test_whole as w
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,9 +36,9 @@ def test_live_levels_equal_batch(spark, tmp_path):
 
 
 def test_incremental_compare(spark, tmp_path):
-    q = st.stream_compare(as_stream(spark, tmp_path), lambda b: b.where("pulse"), lambda s: s.groupBy("source").count(), str(tmp_path / "out"), str(tmp_path / "c"))
+    q = st.stream_compare(as_stream(spark, tmp_path), lambda b: {"pulses": b.where("pulse").groupBy("source").count()}, str(tmp_path / "out"), str(tmp_path / "c"))
     finished(q)
-    assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == events(spark).where("pulse").count()
+    assert spark.read.parquet(str(tmp_path / "out/pulses")).agg(F.sum("count")).first()[0] == events(spark).where("pulse").count()
 
 
 def test_train_machine():
@@ -53,12 +56,43 @@ def test_a_file_of_known_content_is_not_read_twice(spark, tmp_path):
         (tmp_path / "in" / f"{name}.wav").write_bytes(content)
     spark.conf.set("spark.sql.streaming.schemaInference", "true")
     stream = st.archive_stream(spark, f"{tmp_path}/in/*.wav")
-    go = lambda: finished(st.stream_compare(stream, lambda b: b.select("content"), lambda s: s, str(tmp_path / "out"), str(tmp_path / "c")))
+    go = lambda: finished(st.stream_compare(stream, lambda b: {"files": b.select("content_hash")}, str(tmp_path / "out"), str(tmp_path / "c")))
     go()
     (tmp_path / "in" / "d.wav").write_bytes(b"two")
     (tmp_path / "in" / "e.wav").write_bytes(b"three")
     go()
-    assert sorted(bytes(r.content) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [b"one", b"three", b"two"]
+    assert sorted(r.content_hash for r in spark.read.parquet(str(tmp_path / "out/files")).collect()) == sorted(hashlib.sha256(b).hexdigest() for b in (b"one", b"three", b"two"))
+
+
+def test_archive_is_compared_as_it_grows(spark, tmp_path):
+    refs, folder = {"ref": ("plain", w.RATE, w.signal("plain"))}, tmp_path / "in"
+    folder.mkdir()
+    recordings, chunks, modes, types, _, profiles = w.archive(spark, refs, [("ref", "ref")])
+    (tmp_path / "ref.wav").write_bytes(w.wav(refs["ref"][2]))
+    own, files, _ = sources.recording_files(spark, f"{tmp_path}/*.wav")
+    describe = lambda df: df.withColumn("profile_id", F.lit("plain")).withColumn("mode_no", F.lit(0))
+    standing = pipeline.standing_references(describe(own), files, modes, types, w.O, profiles)
+    out, put = str(tmp_path / "out"), lambda name, x: (folder / f"{name}.wav").write_bytes(w.wav(x))
+    go = lambda: finished(st.compare_archive(spark, f"{folder}/*.wav", describe, standing, modes, types, w.O, out, str(tmp_path / "c"), profiles))
+    put("one", w.signal("plain", gains=(0.5, 0.5)))
+    put("two", w.signal("plain", lead=0.4))
+    put("copy", w.signal("plain", lead=0.4))
+    go()
+    (folder / "bad.wav").write_bytes(b"RIFF")
+    put("three", w.signal("plain", lead=0.35))
+    go()
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    names = {r.recording_id for r in read("bounds").collect()}
+    assert names - {"two", "copy"} == {"one", "three"} and len(names) == 3 and [r.recording_id for r in read("rejects").collect()] == ["bad"]
+    got = sorted(map(str, read("matched").drop("batch").collect()))
+    assert {r.pair_id.split("-")[1] for r in read("matched").select("pair_id").distinct().collect()} == names
+    assert read("matched").where("ref_amplitude > -35").agg(F.max(F.abs("diff_amplitude"))).first()[0] < 0.1
+    # the last batch again, as if the driver had been lost before it was noted as done
+    commits = sorted((tmp_path / "c" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    commits[-1].unlink()
+    (tmp_path / "c" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    go()
+    assert sorted(map(str, read("matched").drop("batch").collect())) == got
 
 
 def test_live_trains_equal_batch(spark, tmp_path):
