@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sigdiff import pipeline, sources
 from sigdiff.options import CompareOptions
@@ -73,17 +72,15 @@ def signal_sessions(stream: DataFrame, gap: str, delay: str = "10 minutes") -> D
 
 
 TRAIN = "source long, start timestamp, end timestamp"
-STATE = "on boolean, length int, count int, start timestamp, last timestamp"
+MACHINE = "on boolean, length long, count long, start timestamp, last timestamp"
 BLANK = (False, 0, 0, None, None)
 
 
-def advance(on, length, count, start, ts, pulse, pulses, longest):
-    """One observation of the train machine: the new state, and the start of a train that it completes."""
+def advance(on, length, count, start, ts, pulse, pulses, longest, rows=1):
+    """The train machine over a run of equal observations, the first at ts: the new state, and the start of a train that it completes."""
     done = None
     if pulse == on:
-        length += 1
-        if length > longest:
-            count, start = 0, None
+        length += rows
     else:
         if pulse:
             start = ts if count == 0 else start
@@ -91,58 +88,107 @@ def advance(on, length, count, start, ts, pulse, pulses, longest):
             count += 1 if start is not None and length <= longest else 0
             if count == pulses:
                 done, count, start = start, 0, None
-        on, length = pulse, 1
+        on, length = pulse, rows
+    if length > longest and (pulse == on) and (rows > 1 or length > 1):
+        count, start = 0, None
     return on, length, count, start, done
 
 
-def follow(state: tuple, rows: Iterable[tuple], pulses: int, longest: int, gap: pd.Timedelta) -> tuple[tuple, list[tuple]]:
-    """The machine over rows (ts, pulse) in order: the state after them, and start and end of each train found. More than gap without a row blanks the state."""
+def follow(state: tuple, runs: Iterable[tuple], pulses: int, longest: int, gap: pd.Timedelta) -> tuple[tuple, list[tuple]]:
+    """The machine over runs (pulse, rows, first, last) in order: the state after them, and start and end of each train found. More than gap without a row blanks the state."""
     *machine, last = state
     found = []
-    for ts, pulse in rows:
-        if last is not None and ts - last > gap:
+    for pulse, rows, first, own_last in runs:
+        if last is not None and first - last > gap:
             machine = list(BLANK[:4])
-        *machine, done = advance(*machine, ts, pulse, pulses, longest)
-        last = ts
+        *machine, done = advance(*machine, first, pulse, pulses, longest, rows)
+        last = own_last
         if done is not None:
-            found.append((done, ts))
+            found.append((done, first))
     return (*machine, last), found
 
 
-def _in_order(frames: Iterable[pd.DataFrame]) -> list[tuple]:
-    return sorted((t, bool(p)) for df in frames for t, p in zip(df["ts"], df["pulse"], strict=True))
+def observed_runs(df: DataFrame, gap: str) -> DataFrame:
+    """W4 of observations (source, ts, pulse): source, pulse, rows, first, last of each run; more than gap between two rows ends one. Of rows of one time and source those without a pulse come first."""
+    w = Window.partitionBy("source").orderBy("ts", "pulse")
+    apart = ~F.lag("pulse").over(w).eqNullSafe(F.col("pulse")) | (F.col("ts") - F.lag("ts").over(w) > F.expr(f"INTERVAL {gap}"))
+    each = df.withColumn("_n", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return each.groupBy("source", "_n", "pulse").agg(F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last")).drop("_n")
 
 
 def pulse_trains(df: DataFrame, pulses: int, longest: int, gap: str = "1 day") -> DataFrame:
-    """T3 in batch form: source, start and end of each train of df (source, ts, pulse)."""
+    """T3 in batch form: source, start and end of each train of df (source, ts, pulse). Rows become runs before a source's machine sees them."""
     limit = pd.Timedelta(gap)
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        _, found = follow(BLANK, _in_order([frame]), pulses, longest, limit)
+        own = frame.sort_values(["first", "pulse"])
+        _, found = follow(BLANK, zip(own["pulse"].astype(bool), own["rows"], own["first"], own["last"], strict=True), pulses, longest, limit)
         return pd.DataFrame([(key[0], *f) for f in found], columns=["source", "start", "end"])
 
-    return df.groupBy("source").applyInPandas(run, TRAIN)
+    return observed_runs(df, gap).groupBy("source").applyInPandas(run, TRAIN)
+
+
+def in_runs(rows: pd.DataFrame, gap: pd.Timedelta) -> list[tuple]:
+    """The same runs of rows (ts, pulse) in any order."""
+    own = rows.sort_values(["ts", "pulse"])
+    if own.empty:
+        return []
+    number = ((own["pulse"] != own["pulse"].shift()) | (own["ts"].diff() > gap)).cumsum()
+    made = own.groupby(number, sort=True).agg(pulse=("pulse", "first"), rows=("ts", "size"), first=("ts", "first"), last=("ts", "last"))
+    return [(bool(r.pulse), int(r.rows), r.first, r.last) for r in made.itertuples(index=False)]
+
+
+class TrainFinder(StatefulProcessor):
+    """Per source: the machine's state, and the rows that the watermark has not passed, since earlier ones may still come. A timer at the last of them takes them in order once it has; another one ends a source that has been idle for more than gap."""
+
+    def __init__(self, pulses: int, longest: int, gap: str):
+        self.pulses, self.longest, self.gap = pulses, longest, pd.Timedelta(gap)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.machine = handle.getValueState("machine", MACHINE)
+        self.waiting = handle.getListState("waiting", "ts timestamp, pulse boolean")
+
+    def _take(self, key, watermark: int, more: list[tuple]) -> pd.DataFrame:
+        rows = [*self.waiting.get(), *more] if self.waiting.exists() else more
+        frame = pd.DataFrame(rows, columns=["ts", "pulse"])
+        frame["ts"] = pd.to_datetime(frame["ts"])
+        passed = frame["ts"] <= pd.Timestamp(watermark, unit="ms")
+        later = frame[~passed]
+        if len(later):
+            self.waiting.put([(t.to_pydatetime(), bool(p)) for t, p in zip(later["ts"], later["pulse"], strict=True)])
+            self.handle.registerTimer(self._ms(later["ts"].max()))
+        elif self.waiting.exists():
+            self.waiting.clear()
+        held = self.machine.get() if self.machine.exists() else BLANK
+        held = (*held[:3], *(None if v is None or v is pd.NaT else pd.Timestamp(v) for v in held[3:]))
+        held, found = follow(held, in_runs(frame[passed], self.gap), self.pulses, self.longest, self.gap)
+        if passed.any():
+            self.machine.update((bool(held[0]), int(held[1]), int(held[2]), *(None if v is None else v.to_pydatetime() for v in held[3:])))
+            self.handle.registerTimer(self._ms(held[4] + self.gap) + 1)
+        return pd.DataFrame([(key[0], *f) for f in found], columns=["source", "start", "end"])
+
+    @staticmethod
+    def _ms(ts: pd.Timestamp) -> int:
+        return -(-ts.value // 1_000_000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(t, bool(p)) for df in rows for t, p in zip(df["ts"], df["pulse"], strict=True)]
+        yield self._take(key, timerValues.getCurrentWatermarkInMs(), new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        yield self._take(key, now, [])
+        if self.machine.exists() and not self.waiting.exists() and self._ms(pd.Timestamp(self.machine.get()[4]) + self.gap) < now:
+            self.machine.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def live_pulse_trains(stream: DataFrame, pulses: int, longest: int, gap: str = "1 day", delay: str = "0 seconds") -> DataFrame:
-    """Trains as they end. stream: source, ts, pulse, in order within a source but for a micro-batch.
+    """Trains as they end, the same as in batch form for rows in any order that are no later than delay. stream: source, ts, pulse.
 
-    Per source the state of the present run is kept: a train is ``pulses`` runs of level, each followed by silence, none of it longer than ``longest``
-    rows. The watermark's timer drops the state of a source that has been silent for more than gap, which blanks it in the batch form as well.
+    A train is ``pulses`` runs of level, each followed by silence, none of it longer than ``longest`` rows. Needs a state store with timers and lists, RocksDB's.
     """
-    limit = pd.Timedelta(gap)
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get if state.exists else BLANK
-        held = tuple(None if v is None or v is pd.NaT else v for v in held)
-        held = (*held[:3], *(None if v is None else pd.Timestamp(v) for v in held[3:]))
-        held, found = follow(held, _in_order(frames), pulses, longest, limit)
-        state.update((bool(held[0]), int(held[1]), int(held[2]), *(None if v is None else v.to_pydatetime() for v in held[3:])))
-        state.setTimeoutTimestamp(max(int((held[4] + limit).timestamp() * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        if found:
-            yield pd.DataFrame([(key[0], *f) for f in found], columns=["source", "start", "end"])
-
-    return stream.withWatermark("ts", delay).groupBy("source").applyInPandasWithState(run, TRAIN, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.withWatermark("ts", delay).groupBy("source").transformWithStateInPandas(TrainFinder(pulses, longest, gap), TRAIN, "append", "eventtime")

@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import time
 
@@ -95,18 +96,56 @@ def test_archive_is_compared_as_it_grows(spark, tmp_path):
     assert sorted(map(str, read("matched").drop("batch").collect())) == got
 
 
-def test_live_trains_equal_batch(spark, tmp_path):
+def row_by_row(rows, pulses, longest, gap):
+    """Trains of one source's (ts, pulse), an observation at a time."""
+    on, length, count, start, last, found = False, 0, 0, None, None, []
+    for ts, pulse in rows:
+        if last is not None and ts - last > gap:
+            on, length, count, start = False, 0, 0, None
+        last = ts
+        if pulse == on:
+            length += 1
+            if length > longest:
+                count, start = 0, None
+            continue
+        if pulse:
+            start = ts if count == 0 else start
+        else:
+            count += 1 if start is not None and length <= longest else 0
+            if count == pulses:
+                found.append((start, ts))
+                count, start = 0, None
+        on, length = pulse, 1
+    return found
+
+
+def test_trains_of_runs_equal_those_of_rows(spark):
+    df = events(spark).select("source", "ts", "pulse")
+    by = {}
+    for r in df.orderBy("source", "ts", "pulse").collect():
+        by.setdefault(r.source, []).append((r.ts, r.pulse))
+    for pulses, longest, gap, hours in ((3, 4, "20 hours", 20), (2, 1, "3 days", 72), (2, 2, "5 hours", 5)):
+        want = sorted((k, *f) for k, rows in by.items() for f in row_by_row(rows, pulses, longest, datetime.timedelta(hours=hours)))
+        assert sorted(tuple(r) for r in st.pulse_trains(df, pulses, longest, gap).collect()) == want and want
+
+
+def test_live_trains_equal_batch_out_of_order(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = str(tmp_path / "in")
     df = events(spark).select("source", "ts", "pulse")
-    cuts = df.selectExpr("percentile_approx(unix_timestamp(ts), array(0.3, 0.6)) AS c").first().c
-    for k, (low, high) in enumerate(zip([0, *cuts], [*cuts, 2**40])):
-        df.where((F.unix_timestamp("ts") > low) & (F.unix_timestamp("ts") <= high)).coalesce(1).write.parquet(f"{path}/{k}")
+    # files in order of time but for up to a day, by which rows are early or late
+    late = (F.unix_timestamp("ts") + F.pmod(F.xxhash64("ts", "source"), F.lit(43200))).alias("_t")
+    cuts = df.select(late).selectExpr("percentile_approx(_t, array(0.25, 0.5, 0.75)) AS c").first().c
+    for k, (low, high) in enumerate(zip([0, *cuts], [*cuts, 2**40], strict=True)):
+        df.where((late > low) & (late <= high)).coalesce(1).write.parquet(f"{path}/{k}")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/*")
+    want = sorted(tuple(r) for r in st.pulse_trains(df, 3, 4, "20 hours").collect())
+    last = df.agg(F.max("ts")).first()[0] - datetime.timedelta(days=1)
     out = str(tmp_path / "out")
-    q = st.live_pulse_trains(stream, 3, 4, "20 hours").writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = st.live_pulse_trains(stream, 3, 4, "20 hours", "1 day").writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     finished(q)
-    want = sorted(tuple(r) for r in st.pulse_trains(df, 3, 4, "20 hours").collect())
-    assert want and sorted(tuple(r) for r in spark.read.parquet(out).collect()) == want
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    assert want and got == [r for r in want if r[2] <= last]
 
 
 def test_sessions_as_a_stream(spark, tmp_path):
