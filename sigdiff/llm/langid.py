@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigdiff.llm.common import BLOCK_CHARS, Words, blocks, cut, mix, training_texts, two_columns
+from sigdiff.llm.common import BLOCK_CHARS, Words, blocks, cut, mix, two_columns
 
 #: log2 of the rows of weights, at most; with more languages there are fewer rows, so that the weights are no more than 2 ** WEIGHTS.
 BITS, WEIGHTS = 16, 23
-#: Labelled texts that a model is fitted on (one of each language at least), and bytes of all of them, at most.
+#: Labelled texts that a model is fitted on (one of each language at least), and bytes of all of them, at most, but for the shortest text of each language, which is always among them.
 TRAIN_ROWS, TRAIN_BYTES = 1_200, 16_000_000
-#: Different values of lang that are taken for languages; a table with more of them is refused.
+#: Different values of lang that the model tells apart; all rarer ones are learned as one, and predicted as the most frequent of them.
 LANGUAGES = 4_000
 #: Numbers that the recursion holds at once, about.
 AT_ONCE = 8_000_000
@@ -233,7 +233,7 @@ class LanguageModel:
 
 
 def fit_crf(texts: list[str], langs: list[str], bits: int = BITS, seed: int = 3, epochs: int = 3, length: int = 48, batch: int = 64) -> LanguageModel:
-    """Sequences are length words, spliced from one to three texts; gradient steps with per-weight rates."""
+    """Sequences are length words, spliced from one to three texts; gradient steps with per-weight rates. Texts without words teach nothing; without any word there is no language."""
     languages = sorted(set(langs))
     size = len(languages)
     if not size:
@@ -243,6 +243,8 @@ def fit_crf(texts: list[str], langs: list[str], bits: int = BITS, seed: int = 3,
     f = WordFeatures(texts, bits)
     first, n = f.first, f.n
     usable = np.flatnonzero(n > 0)
+    if not len(usable):
+        return LanguageModel([], np.zeros((1, 1), np.float32), np.ones((1, 1)), bits)
     weights, seen = np.zeros((1 << bits, size)), np.full((1 << bits, size), 1e-2)
     moves, moves_seen = np.zeros((size, size)), np.full((size, size), 1e-2)
     for _ in range(epochs * max(1, len(usable) // batch)):
@@ -293,20 +295,45 @@ def fit_crf(texts: list[str], langs: list[str], bits: int = BITS, seed: int = 3,
 
 
 def fit_languages(docs: DataFrame, keep: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, bits: int = BITS, train_bytes: int = TRAIN_BYTES) -> LanguageModel:
-    """Fitted on an equal share of about ``rows`` texts (those whose ids hash lowest) of each language, one at least, for which ``keep`` holds, of ``train_bytes`` bytes together."""
+    """Fitted on an equal share of about ``rows`` texts (those whose ids hash lowest) of each language, one at least, for which ``keep`` holds, of ``train_bytes`` bytes together, language by language."""
     ids = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("label"))
-    # ids first, so that the texts of only these rows are moved
-    n = ids.agg(F.countDistinct("label")).first()[0]
-    if n > LANGUAGES:
-        raise ValueError(f"{n} different values of {lang_col} are no languages")
+    # the values of lang by frequency; from the last one on they are one class
+    top = ids.groupBy("label").agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), "label").limit(LANGUAGES).select("label").toArrow()["label"].to_pylist()
+    n = len(top)
+    if n == LANGUAGES:
+        names = docs.sparkSession.createDataFrame([(x,) for x in top], "_own string")
+        ids = ids.join(F.broadcast(names), F.col("label") == F.col("_own"), "left").select("doc_id", F.coalesce("_own", F.lit(top[-1])).alias("label"))
     share = -(-rows // max(1, n))
     w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     first = ids.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= share)
-    sample = first.groupBy("doc_id").agg(F.min_by("label", F.struct("_n", "label")).alias("label"))
-    got = training_texts(docs, sample, id_col, text_col, train_bytes).orderBy("doc_id").toArrow()
+    # ids first, so that the texts of only these rows are moved
+    sample = first.groupBy("doc_id").agg(F.min_by("label", F.struct("_n", "label")).alias("label"), F.min("_n").alias("_n"))
+    known = two_columns(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
+    blank = F.max((F.trim(F.col("text")) == "").cast("int"))
+    sizes = known.groupBy("doc_id", "label", "_n").agg(F.max(F.octet_length("text")).alias("size"), blank.alias("blank")).collect()  # as many as the sample has, at most
+    fitting = docs.sparkSession.createDataFrame([(i,) for i in fair_share([tuple(r) for r in sizes], train_bytes)], "doc_id long")
+    got = known.join(F.broadcast(fitting), "doc_id").groupBy("doc_id").agg(F.max(F.struct("text", "label")).alias("one")).select("doc_id", "one.label", "one.text").orderBy("doc_id").toArrow()
     return fit_crf(got["text"].to_pylist(), got["label"].to_pylist(), min(bits, max(8, WEIGHTS - max(1, n - 1).bit_length())))
 
 
+def fair_share(sizes: list[tuple[int, str, int, int, int]], limit: int) -> list[int]:
+    """Ids of texts (id, language, place in its language, bytes, 1 if it is blank) to learn from: of each language first its shortest text that is not blank, then the next of each in turn while all together have at most limit bytes."""
+    by: dict[str, list[tuple]] = {}
+    for r in sizes:
+        by.setdefault(r[1], []).append(r)
+    for own in by.values():
+        own.sort(key=lambda r: (r[4], r[3], r[2], r[0]))
+        own[1:] = sorted(own[1:], key=lambda r: (r[2], r[0]))
+    out = [own[0][0] for own in by.values()]
+    left = limit - sum(own[0][3] for own in by.values())
+    for turn in range(1, max(map(len, by.values()), default=0)):
+        for label in sorted(by):
+            if turn < len(by[label]) and by[label][turn][3] <= left:
+                left -= by[label][turn][3]
+                out.append(by[label][turn][0])
+    return out
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row; no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -7,8 +7,8 @@ class and one unseen token; so unseen words have a probability, too. The state i
 document, from its first token to its end.
 
 Training, by backpropagation cut to STEPS tokens: the output biases start at the counts of the whole corpus; the driver
-fits a first model to WARM segments; then the segments of all texts are dealt by hashes of the texts to shards of about SHARD tokens, each shard
-goes once over all its segments from the first model on, and the shards' models are averaged. The state is carried from segment to segment. What is
+fits a first model to WARM segments; then the segments of all texts are dealt by hashes of texts and ids, so that copies of a text go apart, to shards of about SHARD tokens; a larger one is
+cut after every LARGEST tokens. Each shard goes once over all its segments from the first model on, and the shards' models are averaged. The state is carried from segment to segment. What is
 counted and what is trained on so grow with the corpus, and neither depends on how the rows lie in tasks: shards and their order come from the texts, and
 the average is a sum of whole numbers.
 
@@ -41,6 +41,8 @@ KEPT = 200_000
 STEPS, PIECES, WARM, BATCH = 24, 2, 4_000, (128, 512)
 #: Tokens of a shard, about; segments of a text that stay in one shard, in a row; tasks that train, at most.
 SHARD, RUN, TASKS = 2_000_000, 4_096, 10_000
+#: Tokens after which a shard is cut: rows that agree in text and id, or copies without ids, cannot be dealt apart.
+LARGEST = 3_000_000
 #: Tokens that a task scores at once, about; documents side by side in scoring; steps of the lanes that are laid out at once.
 GROUP, LANES, SLICE = 1_000_000, 512, 2_048
 #: Parameters in a row of a shard's model; a parameter is summed as a multiple of 1 / SCALE.
@@ -248,7 +250,7 @@ def train_runs(p: dict[str, np.ndarray], segments: np.ndarray, first: np.ndarray
 def segments_of(docs: DataFrame, held) -> DataFrame:
     """key, doc_id, at and ids (32 bits each) of all segments of every text, in order; at counts from 0 in each text. The last one ends in -1.
 
-    The key is a hash of the text and of at // RUN.
+    The key is a hash of the text, the id and at // RUN.
     """
     length = STEPS * PIECES
 
@@ -264,7 +266,8 @@ def segments_of(docs: DataFrame, held) -> DataFrame:
             out = np.where(place < n[doc][:, None], ids[np.clip((np.cumsum(n) - n)[doc][:, None] + place, 0, len(ids) - 1)], np.int32(-1))
             out[at == 0, 0] = v.top + 1
             own = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
-            key = mix(own[doc] + (at // RUN).astype(np.uint64)).view(np.int64)
+            given = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            key = mix((own + mix(given))[doc] + (at // RUN).astype(np.uint64)).view(np.int64)
             for i in range(0, len(doc), 100_000):
                 rows = out[i : i + 100_000]
                 ids_column = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * (4 * (length + 1))), pa.py_buffer(rows.tobytes())])
@@ -333,8 +336,9 @@ def _summed(rows: pa.Table) -> pa.Table:
 def _trained(first, top: int):
     """Rows of segments (shard, at, ids), shard by shard, to the sum of the shards' models in pieces of CHUNK parameters, and of their weights.
 
-    A shard's weight is its number of segments in sixty-fourths of a usual shard's.
+    A shard's weight is its number of segments in sixty-fourths of a usual shard's. Of a shard no more than LARGEST tokens are held.
     """
+    most = max(1, LARGEST // (STEPS * PIECES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = None, 0
@@ -358,8 +362,15 @@ def _trained(first, top: int):
                 if waiting and shard[rows[0]] != last:
                     learn()
                 last = shard[rows[0]]
-                some = batch.slice(int(rows[0]), len(rows))
-                waiting.append((some.column("at").to_numpy(), _rows(some.column("ids").to_pylist())))
+                at = 0
+                while at < len(rows):
+                    held = sum(len(x) for x, _ in waiting)
+                    if held == most:
+                        learn()
+                        held = 0
+                    some = batch.slice(int(rows[0]) + at, min(len(rows) - at, most - held))
+                    waiting.append((some.column("at").to_numpy(), _rows(some.column("ids").to_pylist())))
+                    at += some.num_rows
         if waiting:
             learn()
         if total is not None:

@@ -92,3 +92,28 @@ def test_no_language_is_left_out(spark):
     rows = [(i, f"tongue{i % 300} word{i % 300}a", f"l{i % 300}") for i in range(600)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert len(li.fit_languages(d, F.lit(True), rows=100).languages) == 300
+
+
+def test_labelled_texts_without_words(spark):
+    some = spark.createDataFrame([(1, "", "en", None, None, None, None), (2, "any text", None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long, score double, label int")
+    model = li.fit_languages(some, F.lit(True))
+    assert sorted(tuple(r) for r in li.predict_languages(some, model).collect()) == [(1, "und", 0.0), (2, "und", 0.0)]
+
+
+def test_long_texts_leave_no_language_out(spark):
+    rows = [(i, f"w{i % 20}x y{i % 20} " * (200 if i % 20 else 400), f"l{i % 20}") for i in range(200)] + [(500, "", "l3")]
+    model = li.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), train_bytes=8000)
+    assert len(model.languages) == 20
+    picked = li.fair_share([(i, lang, k, size, blank) for i, lang, k, size, blank in ((1, "a", 1, 90, 0), (2, "a", 2, 50, 0), (3, "b", 1, 0, 1), (4, "b", 2, 70, 0), (5, "b", 3, 10, 0), (6, "a", 3, 5, 0))], 100)
+    assert picked == [6, 5, 3, 2]
+    assert li.fair_share([(1, "a", 1, 500, 0)], 100) == [1] and li.fair_share([], 100) == []
+
+
+def test_more_values_than_languages(spark, monkeypatch):
+    monkeypatch.setattr(li, "LANGUAGES", 4)
+    rows = [(i, f"word{k}a word{k}b", f"l{k}") for i, k in enumerate([0] * 9 + [1] * 8 + [2] * 7 + [3] * 3 + [4, 5, 6])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.fit_languages(df, F.lit(True))
+    assert model.languages == ["l0", "l1", "l2", "l3"]
+    got = {r.doc_id: r.lang_pred for r in li.predict_languages(df, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows[:24]) and {got[i] for i, _, _ in rows[24:]} == {"l3"}

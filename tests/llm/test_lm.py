@@ -170,3 +170,23 @@ def test_awkward_and_empty_tables(spark):
     blank, counts = lm.fit_language_model(none(spark), F.lit(True))
     assert lm.score_documents(none(spark), blank, counts).count() == 0
     assert all(r.base_score == 0 and r.n_known == 0 for r in lm.score_documents(awkward(spark), blank, counts).collect())
+
+
+def test_copies_go_to_many_shards_and_large_ones_are_cut(spark, monkeypatch):
+    text = "a b c d e f g h " * 40
+    some = spark.createDataFrame([(i, text if i % 4 else f"{i} {text}") for i in range(400)] + [(None, text)] * 40, "doc_id long, text string")
+    _, counts = lm.fit_language_model(some, F.lit(True))
+    top = counts.orderBy(F.desc("n"), "hash").toArrow()
+    hashes, n = top["hash"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    by = np.argsort(hashes)
+    v = lm.Vocabulary(hashes[by], n[by], np.argsort(np.argsort(-n, kind="stable"))[by], int(n.sum()), len(n), lm.TOP)
+    rows = lm.segments_of(some, spark.sparkContext.broadcast(v)).withColumn("shard", F.pmod("key", F.lit(50)))
+    most = rows.where("doc_id IS NOT NULL").groupBy("shard").count().agg(F.max("count"), F.avg("count")).first()
+    assert most[0] < 4 * most[1]
+    sizes = []
+    monkeypatch.setattr(lm, "LARGEST", 5 * lm.STEPS * lm.PIECES)
+    monkeypatch.setattr(lm, "train_runs", lambda p, s, *_: sizes.append(len(s)))
+    monkeypatch.setattr(lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    table = rows.where("doc_id IS NULL").withColumn("shard", F.lit(1).cast("long")).select("shard", "at", "ids").toArrow()
+    first = type("B", (), {"value": lm.new_params(v)})
+    assert list(lm._trained(first, v.top)(iter(table.to_batches(max_chunksize=7)))) and max(sizes) == 5 and sum(sizes) == table.num_rows
