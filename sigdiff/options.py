@@ -18,7 +18,6 @@ class CompareOptions:
     weight: int = 0
     period: int = 4
     range_db: float = 18.0
-    per_second: int = 1
     auto_significance: bool = True
     normalise: str = "frequency"  # frequency, average, time or none
     ignore_floor: bool = False

@@ -16,7 +16,7 @@ from sigdiff.options import CENTS_LIMIT, SIGNIFICANT_DB, CompareOptions, checked
 from sigdiff.sources import full_scale
 from sigdiff.storage import stored
 
-#: Pairs that are broadcast to spectra; more are joined by shuffle.
+#: Pairs that are broadcast to spectra; more are joined by shuffle. Tables of profiles, a few hundred rows of text for each kind of machine, are broadcast whole.
 BROADCAST_PAIRS = 500_000
 ROUTED = ("user", "silence", "watermark")
 
@@ -25,10 +25,11 @@ ROUTED = ("user", "silence", "watermark")
 class Comparison:
     """Tables of a comparison. All but the last three know recordings by their ids; in spectra, facts and what is made of them recording_id, ref_id and comp_id are 64-bit numbers of recordings or their variants.
 
-    bounds: a row a recording with its status; delays: what internal synchronisation found; probes: balance and clock of each recording; sides: all significant bins of both sides of the pairs, joined.
+    bounds: a row a recording with its status; places: its blocks; delays: what internal synchronisation found; probes: balance and clock of each recording; sides: all significant bins of both sides of the pairs, joined.
     """
 
     bounds: DataFrame
+    places: DataFrame
     delays: DataFrame
     probes: DataFrame
     watermarks: DataFrame
@@ -205,7 +206,7 @@ def block_places(source: DataFrame, ends: DataFrame, blocks: DataFrame) -> tuple
     tones = search.exact_tones(source, stored(search.tone_islands(source, wanted), "tones"), markers)
     shifts = stored(search.marker_shifts(tones, markers), "markers")
     moved = search.shifted_bounds(places, shifts)
-    delays = shifts.withColumn("delay_ms", F.col("delay") * 1000.0 / F.col("sample_rate"))
+    delays = shifts.withColumn("delay_ms", F.col("delay") * 1000.0 / F.col("sample_rate")).join(markers.select("recording_id", "marker", "half"), ["recording_id", "marker"])
     return moved.withColumn("n_frames", F.col("n_frames") - F.col("cut_n")).drop("cut_n"), delays
 
 
@@ -392,7 +393,24 @@ def compare_recordings(recordings: DataFrame, source: DataFrame, modes: DataFram
         flags.append(delays.groupBy("recording_id").agg((F.count_if(~F.col("found")) > 0).alias("internal_sync_not_found")))
     warned = series.pair_warnings(pairs, *flags)
     offsets = blocks.join(used.select(F.col("ref_profile").alias("profile_id")).distinct(), "profile_id").select("block_no", "frame_offset").distinct()
-    return Comparison(ends, delays, probes, marks, used, spec, facts, sides, matched, missing, extra, warned, offsets)
+    return Comparison(ends, places, delays, probes, marks, used, spec, facts, sides, matched, missing, extra, warned, offsets)
+
+
+def waveform_tables(source: DataFrame, found: Comparison, kinds: tuple[str, ...], k: int, window: str | None = None) -> DataFrame:
+    """Least and greatest sample of every k frames of the blocks of some kinds of all recordings that can be compared, under a window if one is named: recording_id, block_no, slot (null but in markers), channel, part, low, high.
+
+    Kind marker stands for what internal synchronisation found: block_no is the marker's number, slot 0 before the tone, 1 the tone, 2 the silence after it.
+    """
+    none = F.lit(None).cast("int").alias("slot")
+    wanted = found.places.where(F.col("kind").isin(*kinds)).select("recording_id", F.col("block_no").cast("long").alias("block_no"), none, "start_frame", "n_frames", "sample_rate")
+    if "marker" in kinds and found.delays is not None:
+        slots = search.marker_slots(found.delays.drop("half"), found.delays.select("recording_id", "marker", "half"))
+        wanted = wanted.unionByName(slots.select("recording_id", F.col("marker").cast("long").alias("block_no"), "slot", "start_frame", "n_frames", "sample_rate"))
+    cut = samples.cut(source, stored(wanted, "waves")).withColumn("routing", F.lit("S"))
+    sides = spectrum.route_channels(cut)
+    sides = sides if window is None else samples.windowed(sides, window)
+    parts = samples.waveforms(sides.withColumn("block_no", F.struct("block_no", "slot")), k)
+    return parts.select("recording_id", "block_no.block_no", "block_no.slot", "channel", "part", "low", "high")
 
 
 def watermark_states(spec: DataFrame, variants: DataFrame, ends: DataFrame, profiles: DataFrame | None, o: CompareOptions) -> DataFrame:

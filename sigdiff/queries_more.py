@@ -189,9 +189,10 @@ def _u8(x: Fixture) -> DataFrame:
 
 @_query(
     "p3_block_bounds",
-    TYPES
-    + """, q AS (SELECT profile_id AS recording_id, block_no, frames * 16.6875::DOUBLE / 1000.0::DOUBLE * 1000.0::DOUBLE AS w FROM b)
-    SELECT recording_id, block_no, floor(coalesce(sum(w) OVER (PARTITION BY recording_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1e-6)::BIGINT AS start_frame, floor(w)::BIGINT AS n_frames FROM q""",
+    TYPES + """, q AS (SELECT profile_id AS recording_id, block_no, frames * 16.6875::DOUBLE / 1000.0::DOUBLE * 1000.0::DOUBLE AS w FROM b)
+    SELECT recording_id, block_no, floor(coalesce(sum(w) OVER (PARTITION BY recording_id
+  ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1e-6)::BIGINT AS start_frame, floor(w)::BIGINT AS n_frames
+  FROM q""",
     False,
 )
 def _p3(x: Fixture) -> DataFrame:
@@ -236,8 +237,9 @@ def _a27_detail(x: Fixture) -> DataFrame:
 
 @_query(
     "u7_signal_start",
-    PULSES
-    + """, m AS (SELECT recording_id, event_id, 20 * log10(magnitude) AS db, avg(20 * log10(magnitude)) OVER (PARTITION BY recording_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean FROM q)
+    PULSES + """, m AS (SELECT recording_id, event_id, 20 * log10(magnitude) AS db, avg(20 * log10(magnitude)) OVER (PARTITION BY recording_id
+  ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean
+  FROM q)
     SELECT recording_id, min(event_id) AS start_frame FROM m WHERE db - mean > 0.5 * abs(mean) GROUP BY 1""",
     False,
 )
@@ -249,8 +251,15 @@ def _u7(x: Fixture) -> DataFrame:
     "j12_watermark",
     """, q AS (SELECT recording_id * 10 + type_id AS recording_id, bin * 50.0 AS hertz, amplitude, row_number() OVER v AS k, count(*) OVER (PARTITION BY recording_id, type_id) AS total
       FROM own WHERE kind = 'user' WINDOW v AS (PARTITION BY recording_id, type_id ORDER BY amplitude DESC)),
-    g AS (SELECT recording_id, k, CASE WHEN abs(hertz - 500) <= 20 THEN 'valid' WHEN abs(hertz - 900) <= 20 THEN 'invalid' END AS state FROM q WHERE k <= greatest(ceil(total / 100), 1) AND amplitude > -33)
-    SELECT r.recording_id, coalesce(arg_min(state, k) FILTER (state IS NOT NULL), 'unknown') AS watermark FROM (SELECT DISTINCT recording_id FROM q) r LEFT JOIN g USING (recording_id) GROUP BY 1""",
+    g AS (SELECT recording_id, k, CASE WHEN abs(hertz - 500) <= 20 THEN 'valid' WHEN abs(hertz - 900) <= 20 THEN 'invalid' END AS state
+  FROM q
+  WHERE k <= greatest(ceil(total / 100), 1) AND amplitude > -33)
+    SELECT r.recording_id, coalesce(arg_min(state, k) FILTER (state IS NOT NULL), 'unknown') AS watermark
+  FROM (SELECT DISTINCT recording_id
+  FROM q) r
+  LEFT
+  JOIN g USING (recording_id)
+  GROUP BY 1""",
 )
 def _j12(x: Fixture) -> DataFrame:
     own = x.own_levels.where("kind = 'user'").withColumn("recording_id", F.col("recording_id") * 10 + F.col("type_id")).withColumn("hertz", F.col("bin") * 50.0)
@@ -259,7 +268,9 @@ def _j12(x: Fixture) -> DataFrame:
 
 @_query(
     "j5_resolve_modes",
-    """WITH m AS (SELECT n_regionkey AS profile_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS mode_no, 16 + n_nationkey / 10.0 AS ms, (200.0 + n_nationkey)::DOUBLE AS lines FROM nation),
+    """WITH m AS (SELECT n_regionkey AS profile_id, row_number() OVER (PARTITION BY n_regionkey
+  ORDER BY n_nationkey) - 1 AS mode_no, 16 + n_nationkey / 10.0 AS ms, (200.0 + n_nationkey)::DOUBLE AS lines
+  FROM nation),
     q AS (SELECT c_custkey, c_nationkey % 5 AS profile_id, c_custkey % 6 AS rm, c_nationkey % 4 AS cm FROM customer)
     SELECT c_custkey, round(r.ms, 4) AS ref_ms, round(k.ms, 4) AS comp_ms, r.lines AS ref_lines, k.lines AS comp_lines
     FROM q LEFT JOIN m r ON r.profile_id = q.profile_id AND r.mode_no = rm LEFT JOIN m k ON k.profile_id = q.profile_id AND k.mode_no = cm""",
@@ -298,7 +309,9 @@ def _d5(x: Fixture) -> DataFrame:
 
 @_query(
     "d6_unmatched_spectrogram",
-    OFFSETS + "SELECT pair_id, 'missing' AS side, x, hertz, round(amplitude, 4) AS amplitude FROM missing JOIN o USING (block_no) UNION ALL SELECT pair_id, 'extra', x, hertz, round(amplitude, 4) FROM extra JOIN o USING (block_no)",
+    OFFSETS + """SELECT pair_id, 'missing' AS side, x, hertz, round(amplitude, 4) AS amplitude FROM missing JOIN o USING (block_no)
+UNION ALL
+SELECT pair_id, 'extra', x, hertz, round(amplitude, 4) FROM extra JOIN o USING (block_no)""",
 )
 def _d6(x: Fixture) -> DataFrame:
     return d.unmatched_spectrogram(x.missing, x.extra, x.offsets).withColumn("amplitude", r4("amplitude"))
@@ -308,7 +321,12 @@ def _d6(x: Fixture) -> DataFrame:
     "d11_high_difference_waveforms",
     """, h AS (SELECT pair_id, block_no FROM matched GROUP BY 1, 2 HAVING avg(abs(diff_amplitude)) >= 3),
     w AS (SELECT recording_id, block_no, n // 16 AS part, min(x) AS low, max(x) AS high FROM x GROUP BY 1, 2, 3)
-    SELECT pair_id, side, w.block_no, part, round(low, 6) AS low, round(high, 6) AS high FROM h JOIN (SELECT pair_id, 'ref' AS side, ref_id AS recording_id FROM pairs UNION ALL SELECT pair_id, 'comp', comp_id FROM pairs) USING (pair_id)
+    SELECT pair_id, side, w.block_no, part, round(low, 6) AS low, round(high, 6) AS high
+  FROM h
+  JOIN (SELECT pair_id, 'ref' AS side, ref_id AS recording_id
+  FROM pairs
+UNION ALL
+SELECT pair_id, 'comp', comp_id FROM pairs) USING (pair_id)
     JOIN w USING (recording_id, block_no)""",
 )
 def _d11(x: Fixture) -> DataFrame:
@@ -318,9 +336,13 @@ def _d11(x: Fixture) -> DataFrame:
 
 @_query(
     "d12_match_bars",
-    """, m AS (SELECT pair_id, type_id, 100.0 * count(*) FILTER (abs(diff_amplitude) <= 1) / count(*) AS w, 100.0 * count(*) FILTER (abs(diff_amplitude) < 1e-5) / count(*) AS p FROM matched GROUP BY 1, 2),
-    r AS (SELECT pair_id, type_id, count(*) AS k FROM ref WHERE kind = 'user' GROUP BY 1, 2), l AS (SELECT pair_id, type_id, count(*) AS k FROM missing GROUP BY 1, 2),
-    t AS (SELECT pair_id, type_id, count(*) AS k FROM comp WHERE kind = 'user' GROUP BY 1, 2), e AS (SELECT pair_id, type_id, count(*) AS k FROM extra GROUP BY 1, 2)
+    """, m AS (SELECT pair_id, type_id, 100.0 * count(*) FILTER (abs(diff_amplitude) <= 1) / count(*) AS w, 100.0 * count(*) FILTER (abs(diff_amplitude) < 1e-5) / count(*) AS p
+  FROM matched
+  GROUP BY 1, 2),
+    r AS (SELECT pair_id, type_id, count(*) AS k FROM ref WHERE kind = 'user' GROUP BY 1, 2),
+l AS (SELECT pair_id, type_id, count(*) AS k FROM missing GROUP BY 1, 2),
+    t AS (SELECT pair_id, type_id, count(*) AS k FROM comp WHERE kind = 'user' GROUP BY 1, 2),
+e AS (SELECT pair_id, type_id, count(*) AS k FROM extra GROUP BY 1, 2)
     SELECT pair_id, type_id, round(w, 4) AS within_pct, round(p, 4) AS perfect_pct, round(100.0 * coalesce(l.k, 0) / r.k, 4) AS missing_pct, round(100.0 * coalesce(e.k, 0) / t.k, 4) AS extra_pct,
     w < 90 OR 100.0 * coalesce(l.k, 0) / r.k > 10 OR 100.0 * coalesce(e.k, 0) / t.k > 10 AS warn
     FROM m JOIN r USING (pair_id, type_id) JOIN t USING (pair_id, type_id) LEFT JOIN l USING (pair_id, type_id) LEFT JOIN e USING (pair_id, type_id)""",
@@ -333,10 +355,14 @@ def _d12(x: Fixture) -> DataFrame:
 
 @_query(
     "d13_warnings",
-    """, q AS (SELECT c_custkey AS recording_id, c_nationkey, c_mktsegment, (c_custkey % 90 + 1) * 1000 < 20000 * 2 AS nyquist_limited, c_acctbal < 4000 AS too_short, c_custkey % 3 = 0 AS not_stereo FROM customer),
-    z AS (SELECT a.recording_id || '-' || b.recording_id AS pair_id, a AS r, b AS k FROM q a JOIN q b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.recording_id < b.recording_id)
+    """, q AS (SELECT c_custkey AS recording_id, c_nationkey, c_mktsegment, (c_custkey % 90 + 1) * 1000 < 20000 * 2 AS nyquist_limited, c_acctbal < 4000 AS too_short, c_custkey % 3 = 0 AS not_stereo
+  FROM customer),
+    z AS (SELECT a.recording_id || '-' || b.recording_id AS pair_id, a AS r, b AS k
+  FROM q a
+  JOIN q b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.recording_id < b.recording_id)
     SELECT pair_id, unnest(list_filter([CASE WHEN r.nyquist_limited THEN 'ref_nyquist_limited' END, CASE WHEN r.too_short THEN 'ref_too_short' END, CASE WHEN r.not_stereo THEN 'ref_not_stereo' END,
-      CASE WHEN k.nyquist_limited THEN 'comp_nyquist_limited' END, CASE WHEN k.too_short THEN 'comp_too_short' END, CASE WHEN k.not_stereo THEN 'comp_not_stereo' END], lambda w: w IS NOT NULL)) AS warning FROM z""",
+      CASE WHEN k.nyquist_limited THEN 'comp_nyquist_limited' END, CASE WHEN k.too_short THEN 'comp_too_short' END, CASE WHEN k.not_stereo THEN 'comp_not_stereo' END], lambda w: w IS NOT NULL)) AS warning
+  FROM z""",
 )
 def _d13(x: Fixture) -> DataFrame:
     """S2's flags of customers as recordings, of S10's pairs within a nation and segment."""
@@ -348,9 +374,17 @@ def _d13(x: Fixture) -> DataFrame:
 
 @_query(
     "s8_difference_report",
-    """, f AS (SELECT pair_id, block_no, 'differing' AS finding, hertz, ref_amplitude AS amplitude, diff_amplitude AS value FROM matched WHERE abs(diff_amplitude) >= 1e-5
-      UNION ALL SELECT pair_id, block_no, 'phase', hertz, ref_amplitude, diff_phase FROM matched WHERE abs(diff_phase) >= 1e-5 UNION ALL SELECT pair_id, block_no, 'missing', hertz, amplitude, NULL FROM missing)
-    SELECT pair_id, block_no, finding, hertz, round(value, 4) AS value, row_number() OVER (PARTITION BY pair_id, block_no, finding ORDER BY amplitude DESC) AS rank FROM f""",
+    """, f AS (SELECT pair_id, block_no, 'differing' AS finding, hertz, ref_amplitude AS amplitude, diff_amplitude AS value
+  FROM matched
+  WHERE abs(diff_amplitude) >= 1e-5
+     
+UNION ALL
+SELECT pair_id, block_no, 'phase', hertz, ref_amplitude, diff_phase FROM matched WHERE abs(diff_phase) >= 1e-5
+UNION ALL
+SELECT pair_id, block_no, 'missing', hertz, amplitude, NULL FROM missing)
+    SELECT pair_id, block_no, finding, hertz, round(value, 4) AS value, row_number() OVER (PARTITION BY pair_id, block_no, finding
+  ORDER BY amplitude DESC) AS rank
+  FROM f""",
 )
 def _s8(x: Fixture) -> DataFrame:
     return so.difference_report(x.audible, x.missing).select("pair_id", "block_no", "finding", "hertz", r4("value"), n("rank"))
@@ -375,7 +409,13 @@ def _s7(x: Fixture) -> DataFrame:
     return back.select("pair_id", "type_id", "hertz", r4("diff_amplitude"))
 
 
-@_query("s10_pairs_of_a_group", "SELECT a.c_custkey AS ref_id, b.c_custkey AS comp_id FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey", False)
+@_query(
+    "s10_pairs_of_a_group",
+    """SELECT a.c_custkey AS ref_id, b.c_custkey AS comp_id
+  FROM customer a
+  JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey""",
+    False,
+)
 def _s10(x: Fixture) -> DataFrame:
     customers = x.read("customer").select(F.col("c_custkey").alias("recording_id"), "c_nationkey", "c_mktsegment")
     return so.make_pairs(customers, "all", ["c_nationkey", "c_mktsegment"]).select("ref_id", "comp_id")
@@ -400,7 +440,9 @@ def _s3(x: Fixture) -> DataFrame:
     "f_more_scalars",
     """SELECT p_partkey, abs(v - w) <= 2.220446049250313e-16 * greatest(v, w) OR abs(v - w) < 1e-5 AS same, round(2 * sqrt(v * v + w * w) / 64, 6) AS magnitude, round(degrees(atan2(w, v)), 4) AS phase, round(3000 * 10 ** (-w / 20), 4) AS level,
     p_size * 1000.0 / (p_size + 3) AS hz, round(p_size * 16.6884 / 1000, 6) AS seconds, round(p_size * 1000 / 16.6884, 6) AS frames, floor(p_size * 1.37 * 441)::BIGINT AS samples, p_size / 441.0 AS back, floor(p_size * 16.6884 / 1000 * 44100)::BIGINT AS of_frames,
-    round(p_size / 44100.0 * 1000 / 16.6884, 6) AS to_frames, p_size * 2 * 16 / 8.0 AS bytes, p_size * 8 / 2.0 / 16 AS of_bytes, round(20000 / log10(20000) * log10(p_size + 1), 4) AS axis FROM (SELECT *, p_retailprice / 100 AS v, p_size + p_partkey % 3 * 1e-6 AS w FROM part)""",
+    round(p_size / 44100.0 * 1000 / 16.6884, 6) AS to_frames, p_size * 2 * 16 / 8.0 AS bytes, p_size * 8 / 2.0 / 16 AS of_bytes, round(20000 / log10(20000) * log10(p_size + 1), 4) AS axis
+  FROM (SELECT *, p_retailprice / 100 AS v, p_size + p_partkey % 3 * 1e-6 AS w
+  FROM part)""",
     False,
 )
 def _f(x: Fixture) -> DataFrame:
@@ -438,7 +480,13 @@ def _f15(x: Fixture) -> DataFrame:
 # ---- streams in batch form ----
 
 
-@_query("t2_live_levels", "SELECT user_id AS source, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(max(value), 4) AS peak, round(min(value), 4) AS floor FROM events GROUP BY 1, 2", False)
+@_query(
+    "t2_live_levels",
+    """SELECT user_id AS source, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(max(value), 4) AS peak, round(min(value), 4) AS floor
+  FROM events
+  GROUP BY 1, 2""",
+    False,
+)
 def _t2(x: Fixture) -> DataFrame:
     return st.live_levels(x.observations, "1 hour").select("source", F.col("w.start").alias("hour"), "n", r4("peak"), r4("floor"))
 
@@ -455,9 +503,17 @@ def _t4(x: Fixture) -> DataFrame:
 
 @_query(
     "archive_match_rows",
-    """WITH l AS (SELECT l_suppkey AS k, ascii(l_returnflag) AS t, l_partkey AS b, max(l_extendedprice)::DOUBLE AS m, l_linestatus AS s FROM lineitem GROUP BY ALL),
-    z AS (SELECT k, max(m) AS z FROM l GROUP BY 1), r AS (SELECT l.* FROM l JOIN z USING (k) WHERE s = 'F'), q AS (SELECT l.* FROM l JOIN z USING (k) WHERE s = 'O')
-    SELECT k AS recording_id, count(*) FILTER (r.b IS NOT NULL AND q.b IS NOT NULL) AS matched, count(*) FILTER (q.b IS NULL) AS missing, count(*) FILTER (r.b IS NULL) AS extra FROM r FULL JOIN q USING (k, t, b) GROUP BY 1""",
+    """WITH l AS (SELECT l_suppkey AS k, ascii(l_returnflag) AS t, l_partkey AS b, max(l_extendedprice)::DOUBLE AS m, l_linestatus AS s
+  FROM lineitem
+  GROUP BY ALL),
+    z AS (SELECT k, max(m) AS z FROM l GROUP BY 1),
+r AS (SELECT l.* FROM l JOIN z USING (k) WHERE s = 'F'),
+q AS (SELECT l.* FROM l JOIN z USING (k) WHERE s = 'O')
+    SELECT k AS recording_id, count(*) FILTER (r.b IS NOT NULL AND q.b IS NOT NULL) AS matched, count(*) FILTER (q.b IS NULL) AS missing, count(*) FILTER (r.b IS NULL) AS extra
+  FROM r
+  FULL
+  JOIN q USING (k, t, b)
+  GROUP BY 1""",
     False,
 )
 def _archive(x: Fixture) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigdiff import exprs as e
 from sigdiff import layout as p
 from sigdiff import samples as sa
 from sigdiff import search as se
 from sigdiff import sources as so
 from sigdiff import spectrum as u
 from sigdiff import sync as sy
+from sigdiff.exprs import FLAT_TOP
 from sigdiff.fixtures import Fixture
 from sigdiff.queries import TYPES, S, _query, n, r4, r6
 from sigdiff.storage import shared_path
@@ -20,7 +22,13 @@ WITH f AS (SELECT vec_id // 200 AS r, vec_id % 200 AS k, vec_id, embedding::DOUB
 """
 
 
-@_query("s1_decoded_chunks", FLOATS + "SELECT r::VARCHAR AS recording_id, 64.0 AS sample_rate, (row_number() OVER (PARTITION BY r ORDER BY vec_id) - 1)::BIGINT AS chunk_no, 64 * count(*) OVER (PARTITION BY r) AS n_frames, round(list_sum(x), 4) AS total_left, round(-list_sum(x) / 2, 4) AS total_right FROM f", False)
+@_query(
+    "s1_decoded_chunks",
+    FLOATS + """SELECT r::VARCHAR AS recording_id, 64.0 AS sample_rate, (row_number() OVER (PARTITION BY r
+  ORDER BY vec_id) - 1)::BIGINT AS chunk_no, 64 * count(*) OVER (PARTITION BY r) AS n_frames, round(list_sum(x), 4) AS total_left, round(-list_sum(x) / 2, 4) AS total_right
+  FROM f""",
+    False,
+)
 def _s1(x: Fixture) -> DataFrame:
     total = lambda side: F.aggregate(side, F.lit(0.0), lambda s, v: s + v)
     return so.decoded_chunks(x.files).select("recording_id", "sample_rate", "chunk_no", "n_frames", r4(total("left"), "total_left"), r4(total("right"), "total_right"))
@@ -28,9 +36,14 @@ def _s1(x: Fixture) -> DataFrame:
 
 @_query(
     "j1_cut_at_file",
-    FLOATS
-    + """, s AS (SELECT r, (row_number() OVER (PARTITION BY r ORDER BY vec_id) - 1) * 64 + unnest(range(64)) AS frame, unnest(x) AS x, k FROM f), b AS (SELECT DISTINCT r, k AS block_no, k * 50 - 20 AS a, 90 AS n FROM f)
-    SELECT r::VARCHAR AS recording_id, block_no, round(coalesce(sum(x), 0), 4) AS total, round(coalesce(sum(x * (frame - a)), 0), 3) AS moment FROM b LEFT JOIN s USING (r) WHERE frame BETWEEN a AND a + n - 1 GROUP BY 1, 2""",
+    FLOATS + """, s AS (SELECT r, (row_number() OVER (PARTITION BY r ORDER BY vec_id) - 1) * 64 + unnest(range(64)) AS frame, unnest(x) AS x, k FROM f),
+b AS (SELECT DISTINCT r, k AS block_no, k * 50 - 20 AS a, 90 AS n FROM f)
+    SELECT r::VARCHAR AS recording_id, block_no, round(coalesce(sum(x), 0), 4) AS total, round(coalesce(sum(x * (frame - a)), 0), 3) AS moment
+  FROM b
+  LEFT
+  JOIN s USING (r)
+  WHERE frame BETWEEN a AND a + n - 1
+  GROUP BY 1, 2""",
     False,
 )
 def _j1(x: Fixture) -> DataFrame:
@@ -50,18 +63,34 @@ def _s9(x: Fixture) -> DataFrame:
     return spark.read.parquet(path).groupBy("recording_id").agg(F.count("*").alias("blocks"), F.round(F.sum(total), 3).alias("total"))
 
 
-@_query("a23_peak_frames", FLOATS + ", s AS (SELECT r, (row_number() OVER (PARTITION BY r ORDER BY vec_id) - 1) * 64 + unnest(range(64)) AS frame, unnest(x) AS x FROM f) SELECT r::VARCHAR AS recording_id, round(max(abs(x)), 6) AS peak, arg_min(frame, (-abs(x), frame)) AS frame FROM s GROUP BY 1", False)
+@_query(
+    "a23_peak_frames",
+    FLOATS + """, s AS (SELECT r, (row_number() OVER (PARTITION BY r ORDER BY vec_id) - 1) * 64 + unnest(range(64)) AS frame, unnest(x) AS x FROM f)
+SELECT r::VARCHAR AS recording_id, round(max(abs(x)), 6) AS peak, arg_min(frame, (-abs(x), frame)) AS frame FROM s GROUP BY 1""",
+    False,
+)
 def _peak_frames(x: Fixture) -> DataFrame:
     return sa.peak_frames(sa.chunks_of(x.files)).select("recording_id", r6("peak"), "frame")
 
 
-@_query("n3_time_gains", "SELECT c_custkey, round(100 / (abs(c_acctbal) + 2), 6) AS comp_gain, round((c_custkey + 1) * 100 / (abs(c_acctbal) + 2) / (c_nationkey + 1), 4) AS ref_gain FROM customer", False)
+@_query(
+    "n3_time_gains",
+    """SELECT c_custkey, round(100 / (abs(c_acctbal) + 2), 6) AS comp_gain, round((c_custkey + 1) * 100 / (abs(c_acctbal) + 2) / (c_nationkey + 1), 4) AS ref_gain
+  FROM customer""",
+    False,
+)
 def _n3(x: Fixture) -> DataFrame:
     rows = x.read("customer").select("c_custkey", (F.col("c_nationkey") + 1.0).alias("ref_peak"), (F.abs(F.col("c_acctbal").cast("double")) + 2).alias("comp_peak"), (F.col("c_custkey") + 1.0).alias("comp_local"))
     return sa.time_gains(rows, 100.0).select("c_custkey", r6("comp_gain"), r4("ref_gain"))
 
 
-@_query("n6_waveform_scale", "WITH t AS (SELECT vec_id, vec_id % 5 AS r, embedding::DOUBLE[] AS x FROM embeddings), k AS (SELECT r, max(list_max(list_transform(x, lambda v: abs(v)))) AS peak FROM t GROUP BY 1) SELECT r AS recording_id, vec_id // 5 AS block_no, round(list_sum(x) * 32767 * pow(10, -0.15) / peak, 2) AS total FROM t JOIN k USING (r)", False)
+@_query(
+    "n6_waveform_scale",
+    """WITH t AS (SELECT vec_id, vec_id % 5 AS r, embedding::DOUBLE[] AS x FROM embeddings),
+k AS (SELECT r, max(list_max(list_transform(x, lambda v: abs(v)))) AS peak FROM t GROUP BY 1)
+SELECT r AS recording_id, vec_id // 5 AS block_no, round(list_sum(x) * 32767 * pow(10, -0.15) / peak, 2) AS total FROM t JOIN k USING (r)""",
+    False,
+)
 def _n6(x: Fixture) -> DataFrame:
     scaled = sa.scale_waveforms(x.blocks, sa.sample_peak(x.blocks, ["recording_id"]), 32767.0)
     return scaled.select("recording_id", "block_no", F.round(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v), 2).alias("total"))
@@ -77,22 +106,45 @@ BALANCE = """, lr AS (SELECT l.recording_id, l.block_no, l.magnitude AS ml, r.ma
 """
 
 
-@_query("a25_stereo_balance", BALANCE + "SELECT recording_id, status, count(*) AS n, round(sum(db), 3) AS db, round(sum(gain), 4) AS gain FROM (SELECT recording_id, CASE WHEN mr IS NULL THEN 'no common bin' ELSE 'ok' END AS status, 20 * log10(ml / mr) AS db, CASE WHEN mr IS NOT NULL THEN least(ml, mr) / greatest(ml, mr) END AS gain FROM lr) GROUP BY ALL")
+@_query(
+    "a25_stereo_balance",
+    BALANCE + """SELECT recording_id, status, count(*) AS n, round(sum(db), 3) AS db, round(sum(gain), 4) AS gain
+  FROM (SELECT recording_id, CASE WHEN mr IS NULL THEN 'no common bin' ELSE 'ok' END AS status, 20 * log10(ml / mr) AS db, CASE WHEN mr IS NOT NULL THEN least(ml, mr) / greatest(ml, mr) END AS gain
+  FROM lr)
+  GROUP BY ALL""",
+)
 def _a25(x: Fixture) -> DataFrame:
     found = sa.stereo_balance(_stereo(x)).withColumn("gain", F.when(F.col("db").isNotNull(), F.col("gain")))
     return found.groupBy("recording_id", "status").agg(F.count("*").alias("n"), F.round(F.sum("db"), 3).alias("db"), F.round(F.sum("gain"), 4).alias("gain"))
 
 
-@_query("n5_stereo_gain", "WITH g AS (SELECT r, 1.0 / (r + 2) AS g FROM range(4) t(r)) SELECT vec_id % 5 AS recording_id, vec_id // 5 AS block_no, round(list_sum(embedding::DOUBLE[]) * coalesce(g, 1), 4) AS total FROM embeddings LEFT JOIN g ON r = vec_id % 5 AND r <> 2", False)
+@_query(
+    "n5_stereo_gain",
+    """WITH g AS (SELECT r, 1.0 / (r + 2) AS g FROM range(4) t(r))
+SELECT vec_id % 5 AS recording_id, vec_id // 5 AS block_no, round(list_sum(embedding::DOUBLE[]) * coalesce(g, 1), 4) AS total
+  FROM embeddings
+  LEFT
+  JOIN g ON r = vec_id % 5 AND r <> 2""",
+    False,
+)
 def _n5(x: Fixture) -> DataFrame:
     own = x.blocks.select("recording_id").distinct().where("recording_id < 4").select("recording_id", F.lit("l").alias("channel"), (1.0 / (F.col("recording_id") + 2)).alias("gain"), F.when(F.col("recording_id") == 2, "no common bin").otherwise("ok").alias("status"))
     return sa.apply_balance(x.blocks, own).select("recording_id", "block_no", r4(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v), "total"))
 
 
-@_query("u2_clock_spectrum", """
-WITH x AS (SELECT vec_id % 5 AS recording_id, unnest(range(64)) AS n, CAST(unnest(embedding) AS DOUBLE) * (0.54 - 0.46 * cos(2 * pi() * unnest(range(64)) / 63)) AS x FROM embeddings WHERE vec_id // 5 = 3),
-w AS (SELECT floor(sum(pow(0.54 - 0.46 * cos(2 * pi() * n / 63), 2))) AS enbw FROM range(64) t(n)), k AS (SELECT unnest(range(2, 60)) AS bin)
-SELECT recording_id, bin, bin / 2.0 AS hertz, round(2 * sqrt(pow(sum(x * cos(2 * pi() * bin * n / 128)), 2) + pow(sum(x * sin(2 * pi() * bin * n / 128)), 2)) / any_value(enbw), 5) AS magnitude FROM x, k, w GROUP BY 1, 2""", False)
+@_query(
+    "u2_clock_spectrum",
+    """
+WITH x AS (SELECT vec_id % 5 AS recording_id, unnest(range(64)) AS n, CAST(unnest(embedding) AS DOUBLE) * (0.54 - 0.46 * cos(2 * pi() * unnest(range(64)) / 63)) AS x
+  FROM embeddings
+  WHERE vec_id // 5 = 3),
+w AS (SELECT floor(sum(pow(0.54 - 0.46 * cos(2 * pi() * n / 63), 2))) AS enbw FROM range(64) t(n)),
+k AS (SELECT unnest(range(2, 60)) AS bin)
+SELECT recording_id, bin, bin / 2.0 AS hertz, round(2 * sqrt(pow(sum(x * cos(2 * pi() * bin * n / 128)), 2) + pow(sum(x * sin(2 * pi() * bin * n / 128)), 2)) / any_value(enbw), 5) AS magnitude
+  FROM x, k, w
+  GROUP BY 1, 2""",
+    False,
+)
 def _u2(x: Fixture) -> DataFrame:
     blocks = x.blocks.withColumn("profile_id", F.lit(0))
     profile = blocks.select("profile_id", F.lit(3).cast("long").alias("clk_block_no")).distinct()
@@ -100,23 +152,46 @@ def _u2(x: Fixture) -> DataFrame:
     return found.select("recording_id", n("bin"), "hertz", F.round("magnitude", 5).alias("magnitude"))
 
 
-@_query("u11_align_clock", "SELECT r.c_custkey AS ref_id, q.c_custkey AS comp_id, round(least(r.c, q.c) / r.c, 6) AS ref_factor, round(least(r.c, q.c) / q.c, 6) AS comp_factor, round(1200 * log2(q.c / r.c), 3) AS cents FROM (SELECT *, abs(c_acctbal)::DOUBLE + 1 AS c FROM customer) r JOIN (SELECT *, abs(c_acctbal)::DOUBLE + 1 AS c FROM customer) q ON q.c_nationkey = r.c_nationkey AND q.c_mktsegment = r.c_mktsegment AND r.c_custkey < q.c_custkey", False)
+@_query(
+    "u11_align_clock",
+    """SELECT r.c_custkey AS ref_id, q.c_custkey AS comp_id, round(least(r.c, q.c) / r.c, 6) AS ref_factor, round(least(r.c, q.c) / q.c, 6) AS comp_factor, round(1200 * log2(q.c / r.c), 3) AS cents
+  FROM (SELECT *, abs(c_acctbal)::DOUBLE + 1 AS c
+  FROM customer) r
+  JOIN (SELECT *, abs(c_acctbal)::DOUBLE + 1 AS c
+  FROM customer) q ON q.c_nationkey = r.c_nationkey AND q.c_mktsegment = r.c_mktsegment AND r.c_custkey < q.c_custkey""",
+    False,
+)
 def _u11(x: Fixture) -> DataFrame:
     own = x.read("customer").select(F.col("c_custkey").alias("recording_id"), "c_nationkey", "c_mktsegment", (F.abs(F.col("c_acctbal").cast("double")) + 1).alias("clock_hz"))
     pairs = so.make_pairs(own, "all", ["c_nationkey", "c_mktsegment"])
     return sy.align_clock(pairs, own).select("ref_id", "comp_id", r6("ref_factor"), r6("comp_factor"), F.round("cents", 3).alias("cents"))
 
 
-@_query("u12_reconstruct", """, full_raw AS (SELECT recording_id, block_no, k.bin, sum(x * cos(2 * pi() * k.bin * n / 64)) AS re, -sum(x * sin(2 * pi() * k.bin * n / 64)) AS im FROM x, (SELECT unnest(range(0, 33)) AS bin) k GROUP BY ALL),
-e AS (SELECT *, CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END * (re * re + im * im) / 64 AS p, bin = 0 OR bin >= 30 AS always, bin >= 2 AND bin < 30 AND 2 * sqrt(re * re + im * im) / 64 >= 0.1 AS loud FROM full_raw)
-SELECT recording_id, block_no, part, round(CASE WHEN part = 'used' THEN sum(p) FILTER (always OR loud) ELSE sum(p) FILTER (always OR NOT loud) END, 4) AS energy FROM e, (SELECT unnest(['used', 'discarded']) AS part) GROUP BY recording_id, block_no, part""")
+@_query(
+    "u12_reconstruct",
+    """, full_raw AS (SELECT recording_id, block_no, k.bin, sum(x * cos(2 * pi() * k.bin * n / 64)) AS re, -sum(x * sin(2 * pi() * k.bin * n / 64)) AS im
+  FROM x, (SELECT unnest(range(0, 33)) AS bin) k
+  GROUP BY ALL),
+e AS (SELECT *, CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END * (re * re + im * im) / 64 AS p, bin = 0 OR bin >= 30 AS always, bin >= 2 AND bin < 30 AND 2 * sqrt(re * re + im * im) / 64 >= 0.1 AS loud
+  FROM full_raw)
+SELECT recording_id, block_no, part, round(CASE WHEN part = 'used' THEN sum(p) FILTER (always OR loud) ELSE sum(p) FILTER (always OR NOT loud) END, 4) AS energy
+  FROM e, (SELECT unnest(['used', 'discarded']) AS part)
+  GROUP BY recording_id, block_no, part""",
+)
 def _u12(x: Fixture) -> DataFrame:
     cut = x.blocks.select("recording_id").distinct().withColumn("cutoff", F.lit(0.1))
     both = sa.reconstruct(x.blocks, cut, 64.0, 2.0, 30.0)
     return both.select("recording_id", "block_no", "part", r4(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * v), "energy"))
 
 
-@_query("j2_both_sides", f"SELECT pair_id, block_no, bin, 'both' AS side FROM matched UNION ALL SELECT pair_id, block_no, bin, 'ref' FROM missing UNION ALL SELECT pair_id, block_no, bin, 'comp' FROM extra WHERE amplitude > {S}")
+@_query(
+    "j2_both_sides",
+    f"""SELECT pair_id, block_no, bin, 'both' AS side FROM matched
+UNION ALL
+SELECT pair_id, block_no, bin, 'ref' FROM missing
+UNION ALL
+SELECT pair_id, block_no, bin, 'comp' FROM extra WHERE amplitude > {S}""",
+)
 def _both(x: Fixture) -> DataFrame:
     return x.sides.where(f"side <> 'comp' OR comp_amplitude > {S}").select("pair_id", "block_no", n("bin"), "side")
 
@@ -124,7 +199,14 @@ def _both(x: Fixture) -> DataFrame:
 UNKNOWN = TYPES.replace("'internal_sync','silence_override'", "'internal_sync','internal_sync_unknown'")
 
 
-@_query("u9_marked_blocks", UNKNOWN + ", m AS (SELECT *, coalesce(sum(CASE WHEN kind IN ('internal_sync', 'internal_sync_unknown') THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM b) SELECT profile_id, block_no, CAST((m + 1) // 2 AS BIGINT) AS marker, m % 2 = 1 AS inside FROM m", False)
+@_query(
+    "u9_marked_blocks",
+    UNKNOWN + """, m AS (SELECT *, coalesce(sum(CASE WHEN kind IN ('internal_sync', 'internal_sync_unknown') THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id
+  ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m
+  FROM b)
+SELECT profile_id, block_no, CAST((m + 1) // 2 AS BIGINT) AS marker, m % 2 = 1 AS inside FROM m""",
+    False,
+)
 def _marked(x: Fixture) -> DataFrame:
     types = x.types.withColumn("kind", F.when(F.col("kind") == "silence_override", "internal_sync_unknown").otherwise(F.col("kind")))
     return p.marked(p.block_layout(types)).select("profile_id", n("block_no"), "marker", "inside")
@@ -188,11 +270,22 @@ def _u4(x: Fixture) -> DataFrame:
     return se.trains(islands, facts, 2).select("recording_id", "tolerance", "pulses", r6("jitter"), "found_frame", "start_frame")
 
 
-@_query("u3_join_islands", """
+@_query(
+    "u3_join_islands",
+    """
 WITH t AS (SELECT (o_custkey % 25)::VARCHAR AS r, o_orderkey % 3 AS rung, o_orderkey * 10 AS pos, 3 + o_orderkey % 17 AS len FROM orders),
-g AS (SELECT *, CASE WHEN pos - lag(pos + len) OVER w > 30 THEN 1 WHEN lag(pos) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (PARTITION BY r, rung ORDER BY pos)),
+g AS (SELECT *, CASE WHEN pos - lag(pos + len) OVER w > 30 THEN 1 WHEN lag(pos) OVER w IS NULL THEN 1 ELSE 0 END AS new
+  FROM t
+  WINDOW w AS (PARTITION BY r, rung
+  ORDER BY pos)),
 c AS (SELECT *, sum(new) OVER (PARTITION BY r, rung ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM g)
-SELECT r AS recording_id, rung, start_frame, frames FROM (SELECT r, rung, n, min(pos) AS start_frame, max(pos + len) - min(pos) AS frames FROM c GROUP BY 1, 2, 3) WHERE frames > 30""", False)
+SELECT r AS recording_id, rung, start_frame, frames
+  FROM (SELECT r, rung, n, min(pos) AS start_frame, max(pos + len) - min(pos) AS frames
+  FROM c
+  GROUP BY 1, 2, 3)
+  WHERE frames > 30""",
+    False,
+)
 def _u3(x: Fixture) -> DataFrame:
     key = F.col("o_orderkey")
     islands = x.read("orders").select((F.col("o_custkey") % 25).cast("string").alias("recording_id"), F.lit(1000.0).alias("tone_hz"), (key % 3).alias("rung"), (key * 10).alias("start_frame"), (3 + key % 17).alias("frames"))
@@ -202,3 +295,54 @@ def _u3(x: Fixture) -> DataFrame:
 @_query("x1_channels", "SELECT recording_id, block_no, bin FROM spec UNION ALL SELECT (recording_id + 4) % 5, block_no, bin FROM spec")
 def _x1(x: Fixture) -> DataFrame:
     return _stereo(x).select("recording_id", "block_no", n("bin"))
+
+
+@_query(
+    "f11_all_weights",
+    """SELECT p_partkey, curve, round(0.15 + 0.85 * CASE curve WHEN 0 THEN 1 WHEN 1 THEN sqrt(x) WHEN 2 THEN x * x * x * (10 - 15 * x + 6 * x * x) WHEN 3 THEN x WHEN 4 THEN x * x ELSE pow(x, 16) * (17 - 16 * x) END, 6) AS weight
+  FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS x
+  FROM part), (SELECT unnest(range(6)) AS curve)""",
+    False,
+)
+def _f11(x: Fixture) -> DataFrame:
+    each = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("curve"), F.round(e.weight(F.col("p_size") / 50.0, k), 6).alias("weight")) for k in range(6))))
+    return x.read("part").select("p_partkey", each.alias("c")).select("p_partkey", "c.*")
+
+
+@_query("f13_all_windows", f"""
+WITH n AS (SELECT DISTINCT p_size + 8 AS n FROM part), i AS (SELECT n, unnest(range(n)) AS i, 2 * pi() * unnest(range(n)) / (n - 1) AS a FROM n)
+SELECT n::BIGINT AS n, i, round(1.0, 6) AS none, round(0.5 - 0.5 * cos(a), 6) AS hann, round(0.54 - 0.46 * cos(a), 6) AS hamming,
+  round({FLAT_TOP[0]} - {FLAT_TOP[1]} * cos(a) + {FLAT_TOP[2]} * cos(2 * a) - {FLAT_TOP[3]} * cos(3 * a) + {FLAT_TOP[4]} * cos(4 * a), 6) AS flat_top,
+  round(CASE WHEN least(i, n - 1 - i) < 0.325 * (n - 1) THEN 0.5 - 0.5 * cos(pi() * least(i, n - 1 - i) / (0.325 * (n - 1))) ELSE 1 END, 6) AS tukey FROM i""", False)
+def _f13(x: Fixture) -> DataFrame:
+    i, n_ = F.col("i").cast("double"), F.col("n").cast("double")
+    rows = x.read("part").select((F.col("p_size") + 8).cast("long").alias("n")).distinct().select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    return rows.select("n", "i", *(F.round(e.window_value(i, n_, k), 6).alias(name) for k, name in (("n", "none"), ("h", "hann"), ("m", "hamming"), ("f", "flat_top"), ("t", "tukey"))))
+
+
+@_query(
+    "d10_windowed_waveforms",
+    """SELECT vec_id % 5 AS recording_id, vec_id // 5 AS block_no, p AS part, round(list_min(w[p * 8 + 1:p * 8 + 8]), 6) AS low, round(list_max(w[p * 8 + 1:p * 8 + 8]), 6) AS high
+  FROM (SELECT vec_id, list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * i / 63))) AS w
+  FROM embeddings), (SELECT unnest(range(8)) AS p)""",
+    False,
+)
+def _d10(x: Fixture) -> DataFrame:
+    return sa.waveforms(sa.windowed(x.blocks, "h"), 8).select("recording_id", "block_no", n("part"), r6("low"), r6("high"))
+
+
+@_query(
+    "w6_segments_of_both_kinds",
+    UNKNOWN + """, m AS (SELECT *, sum(CASE WHEN kind LIKE 'internal_sync%' THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id ORDER BY block_no) AS m FROM b)
+SELECT profile_id, block_no, CASE WHEN m % 2 = 1 AND kind NOT LIKE 'internal_sync%' THEN CAST((m + 1) // 2 AS BIGINT) END AS segment FROM m""",
+    False,
+)
+def _w6(x: Fixture) -> DataFrame:
+    types = x.types.withColumn("kind", F.when(F.col("kind") == "silence_override", "internal_sync_unknown").otherwise(F.col("kind")))
+    return p.segments(p.block_layout(types)).select("profile_id", n("block_no"), "segment")
+
+
+@_query("s6_markers_of_both_kinds", UNKNOWN + " SELECT profile_id, 'internal sync in pairs' AS rule FROM t GROUP BY 1, 2 HAVING count(*) FILTER (kind LIKE 'internal_sync%') % 2 = 1", False)
+def _s6(x: Fixture) -> DataFrame:
+    types = x.types.withColumn("kind", F.when(F.col("kind") == "silence_override", "internal_sync_unknown").otherwise(F.col("kind")))
+    return p.validate_profiles(types).where("rule = 'internal sync in pairs'").select("profile_id", "rule")

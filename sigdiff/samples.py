@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigdiff.exprs import window_value
 from sigdiff.options import CompareOptions
 from sigdiff.sources import decoded_chunks, parse_wav
 from sigdiff.spectrum import alike, block_spectra, coefficients, route_channels
@@ -192,6 +193,12 @@ def reconstruct(blocks: DataFrame, cutoffs: DataFrame, sample_rate: float | str,
     return own.mapInArrow(run, schema)
 
 
+def windowed(blocks: DataFrame, kind: str) -> DataFrame:
+    """Samples as a transform sees them, under a window."""
+    n = F.size("samples").cast("double")
+    return blocks.withColumn("samples", F.transform("samples", lambda v, i: v * window_value(i.cast("double"), n, kind)))
+
+
 def waveforms(blocks: DataFrame, k: int) -> DataFrame:
     """Least and greatest sample of every k frames."""
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / k).cast("int")), lambda i: F.slice("samples", i * k + 1, F.lit(k)))

@@ -223,10 +223,11 @@ def free_bounds(source: DataFrame, facts: DataFrame) -> DataFrame:
     chunks = samples.chunks_of(source)
     auto = facts.where("sync_kind = 'A'").select("recording_id", "sample_rate", "n_frames")
     digital = facts.where("sync_kind = 'D'").select("recording_id")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_FACTS else df
     # A sound is looked for in the first sixth.
-    head = chunks.drop("sample_rate", "n_frames").join(F.broadcast(auto), "recording_id").where(F.col("start_frame") <= F.col("n_frames") / 6)
+    head = chunks.drop("sample_rate", "n_frames").join(small(auto), "recording_id").where(F.col("start_frame") <= F.col("n_frames") / 6)
     sound = signal_start(pulse_db(pulse_chunks(head, "sample_rate"))).select("recording_id", F.col("start_frame").alias("_a"))
-    first = first_sound(chunks.join(F.broadcast(digital), "recording_id")).select("recording_id", F.col("start_frame").alias("_d"))
+    first = first_sound(chunks.join(small(digital), "recording_id")).select("recording_id", F.col("start_frame").alias("_d"))
     every = facts.join(sound, "recording_id", "left").join(first, "recording_id", "left")
     kind, ms = F.col("sync_kind"), F.col("expected_ms")
     start = F.when(kind == "A", F.col("_a")).when(kind == "D", F.col("_d")).otherwise(0)
@@ -252,7 +253,7 @@ def signal_start(pulses: DataFrame) -> DataFrame:
 
 def marker_shifts(tones: DataFrame, markers: DataFrame) -> DataFrame:
     """The markers of each recording gone through in order. A row a marker: recording_id, marker (from 1), known, delay (frames from where the tone is looked for), shift (of the blocks up to the closing marker), carried (of all
-    blocks after that), found, sample_rate.
+    blocks after that), found, tone_start and tone_frames of the tone, sample_rate.
 
     markers: recording_id, marker, search_frame (where the layout puts the end of the marker's line), tone_hz, half (frames of the tone, and of the silence after it), known. tones: exact_tones. The search begins where the shifts so far have
     moved it. After the tone and as much silence the segment begins: a known one is shifted by itself; one of unknown length ends that silence after the tone's own end, and all that follows is shifted with it. A tone that is not found shifts nothing more.
@@ -261,10 +262,10 @@ def marker_shifts(tones: DataFrame, markers: DataFrame) -> DataFrame:
     row = F.struct("marker", F.col("search_frame").cast("long").alias("search_frame"), F.col("tone_hz").cast("double").alias("tone_hz"), F.col("half").cast("long").alias("half"), "known")
     own = markers.groupBy("recording_id", "sample_rate").agg(F.array_sort(F.collect_list(row)).alias("marks")).join(heard, "recording_id", "left").withColumn("heard", F.coalesce("heard", F.expr("cast(array() as array<struct<start_frame:bigint,frames:bigint,tone_hz:double>>)")))
     fold = F.expr(
-        """aggregate(marks, named_struct('carry', 0L, 'out', cast(array() as array<struct<marker:bigint,known:boolean,delay:bigint,shift:bigint,carried:bigint,found:boolean>>)), (s, m) ->
+        """aggregate(marks, named_struct('carry', 0L, 'out', cast(array() as array<struct<marker:bigint,known:boolean,delay:bigint,shift:bigint,carried:bigint,found:boolean,tone_start:bigint,tone_frames:bigint>>)), (s, m) ->
             transform(array(get(filter(heard, h -> h.tone_hz = m.tone_hz AND h.start_frame + h.frames / 2 >= m.search_frame + s.carry AND h.frames >= m.half * 0.5D AND h.frames <= m.half * 2), 0)), h ->
                 transform(array(named_struct('delay', h.start_frame - m.search_frame - s.carry, 'shift', CASE WHEN h IS NULL THEN s.carry WHEN m.known THEN h.start_frame - m.search_frame + 2 * m.half ELSE h.start_frame + h.frames + m.half - m.search_frame END)), d ->
-                    named_struct('carry', CASE WHEN m.known THEN s.carry ELSE d.shift END, 'out', concat(s.out, array(named_struct('marker', cast(m.marker as bigint), 'known', m.known, 'delay', d.delay, 'shift', d.shift, 'carried', CASE WHEN m.known THEN s.carry ELSE d.shift END, 'found', h IS NOT NULL)))))[0])[0])"""
+                    named_struct('carry', CASE WHEN m.known THEN s.carry ELSE d.shift END, 'out', concat(s.out, array(named_struct('marker', cast(m.marker as bigint), 'known', m.known, 'delay', d.delay, 'shift', d.shift, 'carried', CASE WHEN m.known THEN s.carry ELSE d.shift END, 'found', h IS NOT NULL, 'tone_start', h.start_frame, 'tone_frames', h.frames)))))[0])[0])"""
     )
     return own.withColumn("_o", F.explode(fold["out"])).select("recording_id", "sample_rate", "_o.*")
 
@@ -280,6 +281,16 @@ def exact_tones(source: DataFrame, tones: DataFrame, facts: DataFrame) -> DataFr
     return exact.select("recording_id", F.col("pulse_hz").alias("tone_hz"), at("start").alias("start_frame"), (at("stop") - at("start")).alias("frames"))
 
 
+def marker_slots(shifts: DataFrame, markers: DataFrame) -> DataFrame:
+    """What a found marker is made of: recording_id, marker, slot, start_frame, n_frames, sample_rate; slot 0 is what comes before the tone, 1 the tone, 2 the silence after it."""
+    half = markers.select("recording_id", "marker", "half")
+    slot = lambda k, at, n: F.struct(F.lit(k).alias("slot"), at.cast("long").alias("start_frame"), n.cast("long").alias("n_frames"))
+    c = F.col
+    slots = F.array(slot(0, c("tone_start") - c("delay"), c("delay")), slot(1, c("tone_start"), c("tone_frames")), slot(2, c("tone_start") + c("tone_frames"), c("half")))
+    found = shifts.where("found").join(half, ["recording_id", "marker"]).withColumn("_s", F.explode(slots))
+    return found.select("recording_id", "marker", "_s.*", "sample_rate").where("n_frames > 0")
+
+
 def shifted_bounds(bounds: DataFrame, shifts: DataFrame) -> DataFrame:
     """Bounds (recording_id, start_frame, marker: opening markers up to the block, inside: whether it lies before the closing one, and more) moved by marker_shifts."""
     own = shifts.select("recording_id", "marker", "shift", "carried")

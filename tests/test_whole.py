@@ -125,6 +125,16 @@ def test_markers_inside(mixed):
     assert all(by[p].d < 0.05 and by[p].p < 1 and by[p].n >= 18 for p in ("m0-m1", "m0-m2")), by
 
 
+def test_waveforms_of_blocks_and_markers(spark, mixed):
+    made = {"m1": ("marked", RATE, signal("marked", delays=(0.3125, 0.1)))}
+    chunks = archive(spark, made, [("m1", "m1")])[1]
+    rows = pipeline.waveform_tables(chunks, mixed, ("sync", "marker"), 40).where("recording_id = 'm1'").collect()
+    top = lambda block, slot: max((r.high for r in rows if (r.block_no, r.slot) == (block, slot)), default=None)
+    assert top(0, None) > 0.9 and top(1, 1) > 0.9 and top(1, 0) < 0.1 and top(2, 2) < 0.1 and {r.channel for r in rows} == {"l", "r"}
+    soft = pipeline.waveform_tables(chunks, mixed, ("sync",), 40, "h").where("recording_id = 'm1' AND block_no = 0 AND part = 0").first()
+    assert soft.high < 0.01
+
+
 def test_watermarks_are_reported_and_not_compared(mixed):
     assert {r.recording_id: r.watermark for r in mixed.watermarks.collect()} == {"w0": "valid", "w1": "invalid"}
     assert ("w0-w1", "comp_watermark_invalid") in {(r.pair_id, r.warning) for r in mixed.warnings.collect()}
