@@ -1,3 +1,5 @@
+from itertools import product
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -117,3 +119,22 @@ def test_more_values_than_languages(spark, monkeypatch):
     assert model.languages == ["l0", "l1", "l2", "l3"]
     got = {r.doc_id: r.lang_pred for r in li.predict_languages(df, model).collect()}
     assert all(got[i] == lang for i, _, lang in rows[:24]) and {got[i] for i, _, _ in rows[24:]} == {"l3"}
+
+
+def likelihood(model, text, lang):
+    """Log probability of one language for all words, by going over every sequence of languages."""
+    f = li.WordFeatures([text], model.bits)
+    e = np.array([model.weights[f.rows_of(k)].sum(0) if f.letters[k] else np.zeros(len(model.languages)) for k in range(int(f.n.sum()))])
+    score = lambda seq: sum(e[k, y] for k, y in enumerate(seq)) + sum(np.log(model.transition[a, b]) for a, b in zip(seq, seq[1:], strict=False))
+    every = np.array([score(seq) for seq in product(range(len(model.languages)), repeat=len(e))])
+    own = score([model.languages.index(lang)] * len(e))
+    return own - (every.max() + np.log(np.exp(every - every.max()).sum()))
+
+
+def test_training_raises_the_exact_likelihood():
+    texts, langs = ["the cat and the dog", "der hund und die", "le chien et le chat", "the hund"], ["en", "de", "fr", "en"]
+    fits = [li.fit_crf(texts * 8, langs * 8, 10, epochs=n, length=12, batch=8) for n in (1, 6)]
+    one, six = ([likelihood(m, t, lang) for t, lang in zip(texts[:3], langs, strict=False)] for m in fits)
+    # without any training each sequence is as likely as any other
+    blank = [-len(t.split()) * np.log(3) for t in texts[:3]]
+    assert all(b < a for a, b in zip(one, blank, strict=True)) and sum(six) > sum(one) and min(six) > -1.5

@@ -1,3 +1,7 @@
+import math
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from sigdiff.llm import quality as q
@@ -23,6 +27,31 @@ def test_score_is_a_sparse_dot_product():
     assert abs(model.score(["x", text])[1] - 1 / (1 + 2.718281828459045 ** -(model.bias + dense))) < 1e-6
 
 
+def test_steps_equal_a_plain_loop():
+    texts = ["good words here", "bad bad bad", "good bad", "words", ""]
+    rows = [q.features([t], 12)[1:3] + (y,) for t, y in zip(texts, (1, 0, 1, 0, 1), strict=True)]
+    alpha, beta, l1, l2, seed, epochs = 0.5, 1.0, 0.02, 0.05, 7, 3
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        limit = 0 if i == "bias" else l1
+        return 0.0 if abs(z[i]) <= limit else -(z[i] - math.copysign(limit, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for r in rng.permutation(len(rows)):
+            x = [*zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True), ("bias", 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            error = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x))) - rows[r][2]
+            for i, v in x:
+                g = error * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    model = q.ftrl(rows, 12, epochs, alpha, beta, l1, l2, seed)
+    assert abs(model.bias - weight("bias")) < 1e-9
+    assert all(abs(float(model.weights[i]) - weight(i)) < 1e-6 for i in range(1 << 12))
+
+
 def test_labels_that_are_held_out_do_not_matter(spark):
     texts = [f"word{i} and {'bad bad' if i % 2 else 'fine'}" for i in range(60)]
     d = docs(spark, texts)
