@@ -520,7 +520,7 @@ def _archive(x: Fixture) -> DataFrame:
     """lineitem as a large ready-made spectrum: a supplier's F rows are the reference, its O rows the comparison, matched by the engine's own operators."""
     key = [F.col("l_suppkey").alias("pair_id"), F.ascii("l_returnflag").cast("long").alias("block_no"), F.lit("l").alias("channel"), F.lit(1000).alias("boxsize_ms"), F.col("l_partkey").alias("bin")]
     rows = x.read("lineitem").groupBy(*key, "l_linestatus").agg(F.max(F.col("l_extendedprice").cast("double")).alias("magnitude"))
-    top = rows.groupBy("pair_id").agg(F.max("magnitude").alias("zero_db"))
+    top = x.read("lineitem").groupBy(F.col("l_suppkey").alias("pair_id")).agg(F.max(F.col("l_extendedprice").cast("double")).alias("zero_db"))
     full = rows.join(top, "pair_id").withColumn("amplitude", e.decibels(F.col("magnitude"), F.col("zero_db"))).select("*", F.lit("user").alias("kind"), F.lit(1).alias("type_id"), F.col("bin").cast("double").alias("hertz"), F.lit(0.0).alias("phase"))
     ref, comp = (u.significant(full.where(F.col("l_linestatus") == s), -100.0, "ref") for s in "FO")
     each = c.both_sides(ref, comp).groupBy("pair_id").agg(*(F.count_if(F.col("side") == k).alias(name) for k, name in (("both", "matched"), ("ref", "missing"), ("comp", "extra"))))
