@@ -50,7 +50,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str, model_path: str |
         import public_tokenizers
 
         model_path = public_tokenizers.path("piece_bpe_32k.model")
-    return encode_decode(docs, model_path, with_text=True).drop("decoded")
+    return encode_decode(docs, model_path, with_ids=True)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("pieces", pieces)]

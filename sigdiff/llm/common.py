@@ -6,6 +6,7 @@ other column, so tables with further or clashing columns need no care by the cal
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -43,7 +44,8 @@ def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches whose texts have about that many bytes, with the texts.
 
-    A text is never cut, so a longer one makes a block of its own.
+    A text is never cut, so a longer one makes a block of its own. After the last one the process gives its free memory back:
+    workers are kept for later tasks, and what they hold meanwhile is missing to joins and sorts.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -57,6 +59,16 @@ def blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS, column:
             part = batch.slice(at, to - at)
             yield part, part.column(column).to_pylist()
             at = to
+        del batch, text, part
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of Arrow and of the C library goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 _WHITE = re.compile("[\\x09-\\x0D\\x20]")

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame
 from sigdiff.llm.common import blocks, two_columns
 
 SPACE = "▁"
-#: Words remembered by a task's encoder, and the longest of them.
-WORDS, LONGEST = 400_000, 48
-#: Neighbours whose compatibility is remembered.
-PAIRS = 400_000
+#: Words remembered by a process's encoder, those used last, and the longest of them.
+WORDS, LONGEST = 200_000, 48
+#: Places (of 8 bytes) for neighbours whose compatibility is remembered; of those that share a place the last one is.
+PAIRS = 1 << 20
 #: Codes of the piece types in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -91,6 +92,26 @@ class PieceModel:
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
 
 
+class Recent(dict):
+    """A dict of a bounded number of keys: when half of them are new since the last time, those unused meanwhile go."""
+
+    def __init__(self, most: int):
+        self.half, self.old = max(1, most // 2), {}
+
+    def __missing__(self, key):
+        """The value, or None; a key that was about to go is kept."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Encoder:
     def __init__(self, raw: bytes):
         self.model = m = PieceModel(raw)
@@ -100,8 +121,8 @@ class Encoder:
             if self.merged(piece) == [piece]:
                 self.find.add_word(piece, (len(piece), i))
         self.find.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.memory: dict[str, bytes] = {}
+        self.fits = array("q", [-1]) * PAIRS
+        self.memory = Recent(WORDS)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if m.words_apart else "(?s).+")
 
     def merged(self, text: str) -> list[str]:
@@ -119,13 +140,12 @@ class Encoder:
         return parts
 
     def compatible(self, a: int, b: int) -> bool:
-        fits = self.fits.get((a, b))
-        if fits is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
+        key, place = a << 32 | b << 1, (a * 40_503 + b) % PAIRS
+        found = self.fits[place]
+        if found | 1 != key | 1:
             x, y = self.model.pieces[a], self.model.pieces[b]
-            fits = self.fits[a, b] = self.merged(x + y) == [x, y]
-        return fits
+            found = self.fits[place] = key | (self.merged(x + y) == [x, y])
+        return bool(found & 1)
 
     def search(self, text: str) -> list[int]:
         """Ids of a text of known characters, by backtracking."""
@@ -183,13 +203,11 @@ class Encoder:
             spaced = SPACE + spaced
         memory, parts = self.memory, []
         for chunk in self.cut.findall(spaced):
-            ids = memory.get(chunk)
+            ids = memory[chunk]
             if ids is None:
                 ids = self.word(chunk)
                 if len(chunk) <= LONGEST:
-                    if len(memory) >= WORDS:
-                        memory.clear()
-                    memory[chunk] = ids
+                    memory.put(chunk, ids)
             parts.append(ids)
         m = self.model
         return m.begin.to_bytes(4, "little") + b"".join(parts) + m.end.to_bytes(4, "little")
@@ -211,8 +229,8 @@ def encoder(raw: bytes) -> Encoder:
     return _encoders[key]
 
 
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with_text adds ids (array) and decoded (text).
+def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with_ids adds ids (array), with_text ids and decoded (text).
 
     The model file is read on the driver and sent to the tasks.
     """
@@ -226,10 +244,13 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             decoded = [own.decode(i) for i in ids]
             columns = [part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids or with_text:
+                columns.append(pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())))
+                names.append("ids")
             if with_text:
-                columns += [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array(decoded, pa.string()))
+                names.append("decoded")
             yield pa.record_batch(columns, names)
 
-    more = ", ids array<int>, decoded string" if with_text else ""
+    more = (", ids array<int>" if with_ids or with_text else "") + (", decoded string" if with_text else "")
     return two_columns(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

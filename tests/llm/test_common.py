@@ -1,10 +1,11 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sigdiff.llm import common
-from sigdiff.llm.common import Words
+from sigdiff.llm.common import Words, blocks
 
 
 def test_words_and_hashes():
@@ -54,3 +55,18 @@ def test_no_local_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         common.shared_dir(Far, "x")
+
+
+def test_memory_goes_back_after_the_last_block():
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Anonymous:")) / 1024
+
+    before = anonymous()
+    many = [bytes(1000) for _ in range(100_000)]
+    last = many[-1]  # keeps the C library from giving back what is below it
+    del many
+    assert anonymous() - before > 80
+    for _ in blocks(iter([pa.record_batch([pa.array(["a"])], ["text"])])):
+        pass
+    assert last and anonymous() - before < 40

@@ -48,3 +48,24 @@ def test_operator(spark):
         assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(row.decoded.encode()).hexdigest()
     assert encode_decode(none(spark), PATH).count() == 0
+
+
+def test_remembered_words_and_pairs_stay_few_and_frequent_ones_stay(monkeypatch):
+    monkeypatch.setattr("sigdiff.llm.pieces.WORDS", 20)
+    monkeypatch.setattr("sigdiff.llm.pieces.PAIRS", 8)  # so that pairs share places
+    with open(PATH, "rb") as f:
+        small = Encoder(f.read())
+    asked = []
+    monkeypatch.setattr(small, "word", lambda text, word=small.word: asked.append(text) or word(text))
+    for k in range(200):
+        text = f"often rare{k}ingly"
+        assert np.frombuffer(small.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_bos=True, add_eos=True)
+        assert len(small.memory) + len(small.memory.old) <= 20
+    assert asked.count("▁often") == 1
+    assert len(small.fits) == 8
+
+
+def test_ids_without_text(spark):
+    both, ids = encode_decode(awkward(spark), PATH, with_text=True), encode_decode(awkward(spark), PATH, with_ids=True)
+    assert ids.columns == [c for c in both.columns if c != "decoded"]
+    assert sorted(map(str, ids.collect())) == sorted(map(str, both.drop("decoded").collect()))
