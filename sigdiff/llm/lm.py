@@ -43,8 +43,8 @@ STEPS, PIECES, WARM, BATCH = 24, 2, 4_000, (128, 512)
 SHARD, RUN, TASKS = 2_000_000, 4_096, 10_000
 #: Tokens after which a shard is cut: rows that agree in text and id, or copies without ids, cannot be dealt apart.
 LARGEST = 3_000_000
-#: Tokens that a task scores at once, about; documents side by side in scoring; steps of the lanes that are laid out at once.
-GROUP, LANES, SLICE = 1_000_000, 512, 2_048
+#: Tokens that a task scores at once, about; documents side by side in scoring; steps of the lanes that are laid out at once; tokens from which on documents are scored apart from shorter ones.
+GROUP, LANES, SLICE, LONG = 1_000_000, 512, 2_048, 2_500
 #: Parameters in a row of a shard's model; a parameter is summed as a multiple of 1 / SCALE.
 CHUNK, SCALE = 4_096, 2.0**18
 END = np.uint64(0x1D0C_E4D0_F00D_5EED)
@@ -127,15 +127,21 @@ def new_params(v: Vocabulary, seed: int = 1, dtype=np.float32) -> dict[str, np.n
     }
 
 
+def _order(keys: np.ndarray, below: int) -> np.ndarray:
+    """Places by key, equal ones in order; keys of 16 bits are sorted digit by digit."""
+    return np.argsort(keys.astype(np.min_scalar_type(below)), kind="stable")
+
+
 def _softmax(z: np.ndarray, own: np.ndarray, gradient: bool) -> np.ndarray:
     """Logarithms of the softmax at own; z becomes the gradient of their negative sum, if asked for."""
-    z -= z.max(1, keepdims=True)
+    if len(z) and (z.max() > 60 or z.min() < -80):  # else no exponential or sum leaves the range of 32 bits
+        z -= z.max(1, keepdims=True)
     at = np.arange(len(z))
     out = z[at, own]
     np.exp(z, out=z)
-    total = z.sum(1)
+    total = z @ np.ones(z.shape[1], z.dtype)
     if gradient:
-        z /= total[:, None]
+        z *= (1 / total)[:, None]
         z[at, own] -= 1
     return out - np.log(total)
 
@@ -144,8 +150,8 @@ def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarra
     """Natural logarithms for targets (of the class alone for other tokens); adds to grads, if given, and gives the states' gradients of the negative sum."""
     kind = np.minimum(target // CLASS, len(p["bc"]) - 1)
     kind[target >= top] = len(p["bc"]) - 1
-    order = np.argsort(kind, kind="stable")
-    kind, target, h = kind[order], target[order], h[order]
+    order = _order(kind, len(p["bc"]))
+    kind, target, h = kind[order], target[order], h.take(order, axis=0)
     d = h @ p["wc"]
     d += p["bc"]
     logs = _softmax(d, kind, grads is not None)
@@ -181,17 +187,17 @@ def segment_gradients(p: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray,
     before, after = ids[:, :-1].T, ids[:, 1:].T
     real = after >= 0
     inputs = np.where(before >= 0, before, top)
-    states, cache = forward(p["x"][inputs], p["u"], h)
+    states, cache = forward(p["x"].take(inputs, axis=0), p["u"], h)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
     n = max(1, int(real.sum()))
     logs, dh = log_probabilities(p, states[real], after[real], top, grads)
     d_states = np.zeros_like(states)
     d_states[real] = dh
     dx, grads["u"] = backward(d_states, cache, p["u"])
-    order = np.argsort(inputs, axis=None, kind="stable")
+    order = _order(inputs.ravel(), top + 2)
     rows = inputs.ravel()[order]
     new = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    grads["x"][rows[new]] = np.add.reduceat(dx.reshape(-1, dx.shape[2])[order], new)
+    grads["x"][rows[new]] = np.add.reduceat(dx.reshape(-1, dx.shape[2]).take(order, axis=0), new)
     for g in grads.values():
         g /= n
     return -float(logs.sum()) / n, grads, states[-1]
@@ -411,19 +417,22 @@ def network_scores(p: dict[str, np.ndarray], top: int, ids: list[np.ndarray]) ->
             before[own - low, column] = top + 1
             owner[: to - low, column] = np.array(lanes[order[column]])[np.searchsorted(begin, np.arange(low, to), side="right") - 1]
         held: list[np.ndarray] = []
-        since = 0
+        since = waiting = 0
+        goes_on = before != top + 1
+        begins_at = ~goes_on.all(1)  # steps at which some lane's state is made blank
         for t in range(high - low):
             n = int(live[t])
-            x = before[t, :n]
-            h = h[:n] * (x != top + 1)[:, None].astype(np.float32)
-            h = step(p["x"][x], h, p["u"])
+            h = h[:n]
+            if begins_at[t]:
+                h = h * goes_on[t, :n, None]
+            h = step(p["x"].take(before[t, :n], axis=0), h, p["u"])
             held.append(h)
-            if t + 1 == high - low or sum(map(len, held)) >= 16384:
-                goal = np.concatenate([target[s, : live[s]] for s in range(since, t + 1)])
-                of = np.concatenate([owner[s, : live[s]] for s in range(since, t + 1)])
-                logs, _ = log_probabilities(p, np.concatenate(held), goal, top)
-                out += np.bincount(of, weights=logs, minlength=len(ids))
-                held, since = [], t + 1
+            waiting += n
+            if t + 1 == high - low or waiting >= 16384:
+                real = target[since : t + 1] >= 0
+                logs, _ = log_probabilities(p, np.concatenate(held), target[since : t + 1][real], top)
+                out += np.bincount(owner[since : t + 1][real], weights=logs, minlength=len(ids))
+                held, since, waiting = [], t + 1, 0
     return out
 
 
@@ -464,18 +473,28 @@ def _parts(held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 36
-        docs: list[tuple[int | None, np.ndarray]] = []
-        size = 0
+        # short and long documents: lanes of one group are about equally long, so that few steps have few lanes
+        groups: tuple[list[tuple[int | None, np.ndarray]], ...] = [], []
+        sizes = [0, 0]
         for part, texts in blocks(batches):
             hashes, n = tokens(texts)
-            docs += zip(part.column("doc_id").to_pylist(), np.split(hashes, np.cumsum(n)[:-1]), strict=True)
-            size += len(hashes)
-            if size >= GROUP:
+            for d, own in zip(part.column("doc_id").to_pylist(), np.split(hashes, np.cumsum(n)[:-1]), strict=True):
+                long = len(own) > LONG
+                groups[long].append((d, own.copy() if long else own))  # else a long one keeps the whole block
+                sizes[long] += len(own)
+            for k in (0, 1):
+                if sizes[k] >= GROUP:
+                    yield flush(groups[k], first)
+                    first += len(groups[k])
+                    groups[k].clear()
+                    sizes[k] = 0
+        left = sum(groups, [])
+        if left and sum(sizes) > GROUP:
+            for docs in filter(None, groups):
                 yield flush(docs, first)
                 first += len(docs)
-                docs, size = [], 0
-        if docs:
-            yield flush(docs, first)
+        elif left:
+            yield flush(left, first)
 
     return run
 

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sigdiff.llm import lm
@@ -190,3 +191,30 @@ def test_copies_go_to_many_shards_and_large_ones_are_cut(spark, monkeypatch):
     table = rows.where("doc_id IS NULL").withColumn("shard", F.lit(1).cast("long")).select("shard", "at", "ids").toArrow()
     first = type("B", (), {"value": lm.new_params(v)})
     assert list(lm._trained(first, v.top)(iter(table.to_batches(max_chunksize=7)))) and max(sizes) == 5 and sum(sizes) == table.num_rows
+
+
+def test_long_texts_are_scored_apart_and_all_rows_come_back(spark, monkeypatch):
+    texts = made() + ["v1 n2 " * 700, "n3 " * 900]
+    d = docs(spark, texts).coalesce(1)
+    model, counts = lm.fit_language_model(d, F.lit(True))
+    whole = lm.score_documents(d, model, counts).orderBy("doc_id").collect()
+    seen = []
+    scores = lm.network_scores
+    monkeypatch.setattr(lm, "network_scores", lambda p, top, ids: seen.append(max(map(len, ids))) or scores(p, top, ids))
+    monkeypatch.setattr(lm, "GROUP", 2_000)
+    monkeypatch.setattr(lm, "LONG", 500)
+    monkeypatch.setattr(lm, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array([t or "" for t in texts])], ["doc_id", "text"])
+    held = type("Held", (), {"value": model})
+    got = pa.Table.from_batches(lm._parts(held)(iter([batch])))
+    assert sorted(got["doc_id"].to_pylist()) == list(range(len(texts))) and len(set(got["uid"].to_pylist())) == len(texts)
+    assert sum(m > 500 for m in seen) == 1 and len(seen) > 1
+    assert dict(zip(got["doc_id"].to_pylist(), got["n_tokens"].to_pylist(), strict=True)) == {r.doc_id: r.n_tokens for r in whole}
+
+
+def test_softmax_of_any_size():
+    for scale in (1, 50, 300):
+        z = np.random.default_rng(0).normal(0, scale, (50, 64)).astype(np.float32)
+        own, x = np.arange(50), z.astype(float)
+        right = x[own, own] - x.max(1) - np.log(np.exp(x - x.max(1, keepdims=True)).sum(1))
+        assert np.allclose(lm._softmax(z.copy(), own, False), right, rtol=1e-5, atol=1e-4)
