@@ -84,6 +84,77 @@ def backward(d_states: np.ndarray, cache: list, u: np.ndarray) -> tuple[np.ndarr
     return dx, du
 
 
+# ---- the same with the gates apart: x (3, steps, sequences, units) and u (3, units, units), so that each gate's numbers lie together ----
+
+
+def _gates(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """z and r, n, (hU)_n and the next state of a step; x: (3, sequences, units)."""
+    g = np.matmul(h, u)
+    zr, gn = g[:2], g[2]
+    zr += x[:2]
+    np.negative(zr, out=zr)
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is the gate's right value
+        np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    n = zr[1] * gn
+    n += x[2]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= zr[0]
+    new += n
+    return zr, n, gn, new
+
+
+def step_apart(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The next state; x: (3, sequences, units)."""
+    return _gates(x, h, u)[3]
+
+
+def forward_apart(x: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
+    """States after each step, and what backward_apart() needs."""
+    states, cache = np.empty(x.shape[1:], x.dtype), []
+    for t in range(x.shape[1]):
+        zr, n, gn, new = _gates(x[:, t], h, u)
+        cache.append((h, zr, n, gn))
+        h = states[t] = new
+    return states, cache
+
+
+def backward_apart(d_states: np.ndarray, cache: list, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of x and u, given those of the states."""
+    dx = np.empty((3, *d_states.shape), d_states.dtype)
+    du = np.zeros_like(u)
+    dh = np.zeros_like(d_states[0])
+    ut = np.ascontiguousarray(u.transpose(0, 2, 1))
+    dg = np.empty((3, *dh.shape), dh.dtype)
+    for t in range(len(cache) - 1, -1, -1):
+        h, (z, r), n, gn = cache[t]
+        dh += d_states[t]
+        dn = dg[2]
+        keep = 1 - z
+        np.multiply(dh, keep, out=dn)
+        keep *= z
+        keep *= h - n
+        np.multiply(dh, keep, out=dg[0])
+        slope = n * n
+        np.subtract(1, slope, out=slope)
+        dn *= slope
+        np.subtract(1, r, out=slope)
+        slope *= r
+        slope *= gn
+        np.multiply(dn, slope, out=dg[1])
+        dx[:, t] = dg
+        dn *= r
+        du += np.matmul(h.T, dg)
+        dh *= z
+        back = np.matmul(dg, ut)
+        dh += back[0]
+        dh += back[1]
+        dh += back[2]
+    return dx, du
+
+
 class Adam:
     """Steps for dense arrays, kept by name."""
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigdiff.llm.common import BLOCK_CHARS, Words, blocks, cut, mix, stored, two_columns
-from sigdiff.llm.gru import Adam, backward, forward, step
+from sigdiff.llm.gru import Adam, backward_apart, forward_apart, step_apart
 
 #: Outputs of the network and tokens in a class; units of the state.
 TOP, CLASS, UNITS = 4096, 64, 24
@@ -45,6 +45,8 @@ SHARD, RUN, TASKS = 2_000_000, 4_096, 10_000
 LARGEST = 3_000_000
 #: Tokens that a task scores at once, about; documents side by side in scoring; steps of the lanes that are laid out at once; tokens from which on documents are scored apart from shorter ones.
 GROUP, LANES, SLICE, LONG = 1_000_000, 512, 2_048, 2_500
+#: Tokens whose softmax over the classes is taken at once; rows of an input that are added up side by side, the rest of a frequent one's on its own.
+ROWS, FEW = 2_048, 16
 #: Parameters in a row of a shard's model; a parameter is summed as a multiple of 1 / SCALE.
 CHUNK, SCALE = 4_096, 2.0**18
 END = np.uint64(0x1D0C_E4D0_F00D_5EED)
@@ -110,16 +112,17 @@ class Vocabulary:
 
 
 def new_params(v: Vocabulary, seed: int = 1, dtype=np.float32) -> dict[str, np.ndarray]:
-    """Inputs: the tokens, the rest (number top) and the start (top + 1). The biases are those of the counts."""
+    """Inputs: the tokens, the rest (number top) and the start (top + 1), for each gate. The biases are those of the counts."""
     rng = np.random.default_rng(seed)
     classes = -(-v.top // CLASS)
     counts = np.full(classes * CLASS, 1e-30)
     counts[v.ranks[v.ranks < v.top]] = v.counts[v.ranks < v.top] + 1.0
     mass = np.append(counts.reshape(classes, CLASS).sum(1), v.rest)
     normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(dtype)
+    apart = lambda x: np.ascontiguousarray(x.reshape(len(x), 3, UNITS).transpose(1, 0, 2))
     return {
-        "x": normal(0.2, v.top + 2, 3 * UNITS),
-        "u": normal(1 / math.sqrt(UNITS), UNITS, 3 * UNITS),
+        "x": apart(normal(0.2, v.top + 2, 3 * UNITS)),
+        "u": apart(normal(1 / math.sqrt(UNITS), UNITS, 3 * UNITS)),
         "wc": np.zeros((UNITS, classes + 1), dtype),
         "bc": np.log(mass / mass.sum()).astype(dtype),
         "wt": np.zeros((classes * CLASS, UNITS), dtype),
@@ -132,9 +135,15 @@ def _order(keys: np.ndarray, below: int) -> np.ndarray:
     return np.argsort(keys.astype(np.min_scalar_type(below)), kind="stable")
 
 
-def _softmax(z: np.ndarray, own: np.ndarray, gradient: bool) -> np.ndarray:
-    """Logarithms of the softmax at own; z becomes the gradient of their negative sum, if asked for."""
-    if len(z) and (z.max() > 60 or z.min() < -80):  # else no exponential or sum leaves the range of 32 bits
+def _near(weights: np.ndarray, bias: np.ndarray, most: float) -> bool:
+    """Whether no product of weights (outputs, units) and a state of numbers up to most, with its bias, needs _softmax's shift."""
+    reach = np.abs(weights).sum(1) * most
+    return bool((bias + reach < 60).all() and (bias - reach > -80).all())
+
+
+def _softmax(z: np.ndarray, own: np.ndarray, gradient: bool, near: bool = False) -> np.ndarray:
+    """Logarithms of the softmax at own; z becomes the gradient of their negative sum, if asked for. near: z is known to lie between -80 and 60."""
+    if not near and len(z) and (z.max() > 60 or z.min() < -80):  # else no exponential or sum leaves the range of 32 bits
         z -= z.max(1, keepdims=True)
     at = np.arange(len(z))
     out = z[at, own]
@@ -152,14 +161,19 @@ def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarra
     kind[target >= top] = len(p["bc"]) - 1
     order = _order(kind, len(p["bc"]))
     kind, target, h = kind[order], target[order], h.take(order, axis=0)
-    d = h @ p["wc"]
-    d += p["bc"]
-    logs = _softmax(d, kind, grads is not None)
-    dh = None
-    if grads is not None:
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(0)
-        dh = d @ p["wc"].T
+    most = max(h.max(), -h.min(), 0) if len(h) else 0
+    near = _near(p["wc"].T, p["bc"], most)
+    logs, dh = np.empty(len(h), h.dtype), None if grads is None else np.empty_like(h)
+    for at in range(0, len(h), ROWS):
+        rows = slice(at, at + ROWS)
+        d = h[rows] @ p["wc"]
+        d += p["bc"]
+        logs[rows] = _softmax(d, kind[rows], grads is not None, near)
+        if grads is not None:
+            grads["wc"] += h[rows].T @ d
+            grads["bc"] += np.ones(len(d), d.dtype) @ d
+            np.matmul(d, p["wc"].T, out=dh[rows])
+    near = _near(p["wt"], p["bt"], most)
     edges = np.searchsorted(kind, np.arange(len(p["bc"]))).tolist()
     for c in range(len(p["bc"]) - 1):
         rows = slice(edges[c], edges[c + 1])
@@ -168,10 +182,10 @@ def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarra
         of = slice(c * CLASS, (c + 1) * CLASS)
         d = h[rows] @ p["wt"][of].T
         d += p["bt"][of]
-        logs[rows] += _softmax(d, target[rows] - c * CLASS, grads is not None)
+        logs[rows] += _softmax(d, target[rows] - c * CLASS, grads is not None, near)
         if grads is not None:
             grads["wt"][of] += d.T @ h[rows]
-            grads["bt"][of] += d.sum(0)
+            grads["bt"][of] += np.ones(len(d), d.dtype) @ d
             dh[rows] += d @ p["wt"][of]
     out = np.empty_like(logs)
     out[order] = logs
@@ -182,22 +196,39 @@ def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarra
     return out, back
 
 
+def _sums(rows: np.ndarray, values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and, of each, the sum of its values (gates, rows, units)."""
+    order = _order(rows, below)
+    ordered = rows[order]
+    new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    sizes = np.diff(np.append(new, len(rows)))
+    often = np.argsort(-sizes, kind="stable")  # so that those with a k-th value come first
+    new, sizes = new[often], sizes[often]
+    total = values.take(order[new], axis=1)
+    for k in range(1, FEW):
+        n = int((sizes > k).sum())
+        if not n:
+            break
+        total[:, :n] += values.take(order[new[:n] + k], axis=1)
+    for i in range(int((sizes > FEW).sum())):
+        total[:, i] += values.take(order[new[i] + FEW : new[i] + sizes[i]], axis=1).sum(1)
+    return ordered[new], total
+
+
 def segment_gradients(p: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray, top: int) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """ids: (segments, 1 + steps), -1 after the end. Mean loss of a token, gradients, and the last state."""
     before, after = ids[:, :-1].T, ids[:, 1:].T
     real = after >= 0
     inputs = np.where(before >= 0, before, top)
-    states, cache = forward(p["x"].take(inputs, axis=0), p["u"], h)
+    states, cache = forward_apart(p["x"].take(inputs, axis=1), p["u"], h)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
     n = max(1, int(real.sum()))
     logs, dh = log_probabilities(p, states[real], after[real], top, grads)
     d_states = np.zeros_like(states)
     d_states[real] = dh
-    dx, grads["u"] = backward(d_states, cache, p["u"])
-    order = _order(inputs.ravel(), top + 2)
-    rows = inputs.ravel()[order]
-    new = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    grads["x"][rows[new]] = np.add.reduceat(dx.reshape(-1, dx.shape[2]).take(order, axis=0), new)
+    dx, grads["u"] = backward_apart(d_states, cache, p["u"])
+    rows, total = _sums(inputs.ravel(), dx.reshape(3, -1, dx.shape[3]), top + 2)
+    grads["x"][:, rows] = total
     for g in grads.values():
         g /= n
     return -float(logs.sum()) / n, grads, states[-1]
@@ -425,7 +456,7 @@ def network_scores(p: dict[str, np.ndarray], top: int, ids: list[np.ndarray]) ->
             h = h[:n]
             if begins_at[t]:
                 h = h * goes_on[t, :n, None]
-            h = step(p["x"].take(before[t, :n], axis=0), h, p["u"])
+            h = step_apart(p["x"].take(before[t, :n], axis=1), h, p["u"])
             held.append(h)
             waiting += n
             if t + 1 == high - low or waiting >= 16384:

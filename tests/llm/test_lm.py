@@ -1,11 +1,12 @@
 import math
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sigdiff.llm import lm
+from sigdiff.llm import gru, lm
 from tests.llm.helpers import awkward, docs, none
 
 
@@ -212,6 +213,53 @@ def test_long_texts_are_scored_apart_and_all_rows_come_back(spark, monkeypatch):
     assert dict(zip(got["doc_id"].to_pylist(), got["n_tokens"].to_pylist(), strict=True)) == {r.doc_id: r.n_tokens for r in whole}
 
 
+def test_gates_apart_equal_the_plain_layer_and_save_time():
+    rng = np.random.default_rng(4)
+    apart = lambda x: np.ascontiguousarray(np.moveaxis(x.reshape(*x.shape[:-1], 3, lm.UNITS), -2, 0))
+    x, u = rng.normal(0, 2, (24, 512, 3 * lm.UNITS)).astype(np.float32), rng.normal(0, 0.3, (lm.UNITS, 3 * lm.UNITS)).astype(np.float32)
+    h, d = (rng.normal(0, 0.5, shape).astype(np.float32) for shape in ((512, lm.UNITS), (24, 512, lm.UNITS)))
+    x[0, :3, :] = 300  # gates at their ends
+    x[0, 3:6, :] = -300
+    x2, u2 = apart(x), apart(u)
+    plain, ours = [], []
+    for _ in range(7):
+        at = time.process_time()
+        states, cache = gru.forward(x, u, h)
+        right = gru.backward(d, cache, u)
+        plain.append(time.process_time() - at)
+        at = time.process_time()
+        mine, cache = gru.forward_apart(x2, u2, h)
+        own = gru.backward_apart(d, cache, u2)
+        ours.append(time.process_time() - at)
+    assert np.allclose(mine, states, atol=1e-5) and np.allclose(mine[0], gru.step_apart(x2[:, 0], h, u2))
+    assert all(np.allclose(a, apart(b), rtol=1e-3, atol=1e-3) for a, b in zip(own, right, strict=True))
+    assert min(ours) < 0.9 * min(plain)  # measured: about half
+
+
+def test_sums_of_rows(monkeypatch):
+    rng = np.random.default_rng(6)
+    for rows in ([3], [2] * 40, [0, 1, 2, 1, 0, 1], np.minimum(rng.geometric(0.02, 3000), 90).tolist()):
+        rows, values = np.array(rows), rng.normal(size=(3, len(rows), 5))
+        right = np.zeros((3, 100, 5))
+        for k in range(3):
+            np.add.at(right[k], rows, values[k])
+        for few in (1, 4, 16):
+            monkeypatch.setattr(lm, "FEW", few)
+            found, total = lm._sums(rows, values, 100)
+            mine = np.zeros_like(right)
+            mine[:, found] = total
+            assert sorted(found.tolist()) == np.unique(rows).tolist() and np.allclose(mine, right)
+
+
+def test_logits_out_of_reach_are_shifted():
+    h = np.random.default_rng(7).uniform(-1, 1, (300, lm.UNITS)).astype(np.float32)
+    for scale, near in ((0.1, True), (40, False)):
+        w = np.random.default_rng(8).normal(0, scale, (64, lm.UNITS)).astype(np.float32)
+        z = h @ w.T
+        assert lm._near(w, np.zeros(64, np.float32), 1) is near
+        assert not near or (z.max() < 60 and z.min() > -80)
+
+
 def test_softmax_of_any_size():
     for scale in (1, 50, 300):
         z = np.random.default_rng(0).normal(0, scale, (50, 64)).astype(np.float32)
