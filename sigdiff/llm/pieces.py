@@ -6,6 +6,9 @@ come from one Aho-Corasick pass), asks whether it is compatible with the piece b
 steps back when none is. A bitfield holds the positions that a valid beginning reached and that led nowhere: the encoding of a
 beginning is unique, so such a position need never be tried again. Characters that no piece holds become byte pieces.
 
+The new words of a block of texts are searched side by side: all places walk down a trie of the pieces together, then all words take,
+shorten or take back a piece at a time, by the same rules. The last few that need many steps are searched one by one.
+
 Where no piece has a space after another character, as in usual models, no merge crosses the start of a word; words
 are then encoded one by one, and short ones are remembered in a bounded table.
 
@@ -18,6 +21,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -31,6 +35,10 @@ SPACE = "▁"
 WORDS, LONGEST = 200_000, 48
 #: Places (of 8 bytes) for neighbours whose compatibility is remembered; of those that share a place the last one is.
 PAIRS = 1 << 20
+#: New words of a block from which on they are encoded side by side, and most of them at once.
+MANY, MOST = 100, 10_000
+#: Words left of them from which on the rest is searched one by one.
+LEFT = 20
 #: Codes of the piece types in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -112,15 +120,77 @@ class Recent(dict):
         self[key] = value
 
 
+class Trie:
+    """Pieces by their characters; many places of a text go down at once. Its edges lie in a hash table, those that share a place one after another."""
+
+    def __init__(self, pieces: dict[str, int]):
+        codes = {c: k for k, c in enumerate(sorted({c for p in pieces for c in p}), 1)}
+        nodes = {"": 0}
+        for piece in pieces:
+            for k in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:k], len(nodes))
+        self.codes = np.zeros(max(map(ord, codes), default=0) + 2, np.int32)
+        for c, k in codes.items():
+            self.codes[ord(c)] = k
+        self.piece = np.full(len(nodes), -1, np.int64)
+        for piece, i in pieces.items():
+            self.piece[nodes[piece]] = i
+        self.width, bits = len(codes) + 1, (4 * len(nodes)).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.child = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        below = {nodes[p[:-1]] * self.width + codes[p[-1]]: node for p, node in nodes.items() if p}
+        for (key, node), place in zip(below.items(), self._places(np.array(list(below), np.int64)).tolist(), strict=True):
+            while self.keys[place] >= 0:
+                place = (place + 1) & self.mask
+            self.keys[place], self.child[place] = key, node
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def down(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The nodes' children, or -1."""
+        keys = nodes * self.width + codes
+        place, out, left = self._places(keys), np.full(len(keys), -1), np.arange(len(keys))
+        while len(left):
+            found = self.keys[place]
+            hit = found == keys
+            out[left[hit]] = self.child[place[hit]]
+            on = np.flatnonzero(~hit & (found >= 0))
+            left, keys, place = left[on], keys[on], (place[on] + 1) & self.mask
+        return out
+
+    def longest(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The longest piece at each place of the words, which lie one after another with one place between two, or -1; and where they end."""
+        points = np.frombuffer(("\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        codes = self.codes[np.minimum(points, len(self.codes) - 1)].astype(np.int64)
+        codes[ends] = 0  # no edge has this code
+        out, at = np.full(len(codes), -1), np.arange(len(codes))
+        to, nodes = at, np.zeros(len(codes), np.int64)
+        while len(at):
+            nodes = self.down(nodes, codes[to])
+            on = np.flatnonzero(nodes >= 0)
+            at, to, nodes = at[on], to[on] + 1, nodes[on]
+            piece = self.piece[nodes]
+            some = piece >= 0
+            out[at[some]] = piece[some]
+        return out, ends
+
+
 class Encoder:
     def __init__(self, raw: bytes):
         self.model = m = PieceModel(raw)
         self.known = {c for p in m.ids for c in p}
         self.find = ahocorasick.Automaton()
-        for piece, i in m.ids.items():
-            if self.merged(piece) == [piece]:
-                self.find.add_word(piece, (len(piece), i))
+        whole = {p: i for p, i in m.ids.items() if self.merged(p) == [p]}
+        for piece, i in whole.items():
+            self.find.add_word(piece, (len(piece), i))
         self.find.make_automaton()
+        self.trie = Trie(whole)
+        self.size, self.shorter = np.zeros(len(m.pieces), np.int64), np.full(len(m.pieces), -1)
+        for piece, i in whole.items():
+            self.size[i] = len(piece)
+            self.shorter[i] = next((whole[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in whole), -1)
         self.fits = array("q", [-1]) * PAIRS
         self.memory = Recent(WORDS)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if m.words_apart else "(?s).+")
@@ -196,13 +266,73 @@ class Encoder:
                 ids += self.search(text[at:])
         return np.array(ids, "<u4").tobytes()
 
+    def all_compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """compatible() of many pairs."""
+        keys, found = a << 32 | b << 1, np.frombuffer(self.fits, np.int64)[(a * 40_503 + b) % PAIRS]
+        out = (found & 1).astype(bool)
+        for k in np.flatnonzero(found | 1 != keys | 1).tolist():
+            out[k] = self.compatible(int(a[k]), int(b[k]))
+        return out
+
+    def side_by_side(self, words: list[str]) -> list[bytes | None]:
+        """word() of words of known characters, by the same search; None of the last few."""
+        longest, ends = self.trie.longest(words)
+        dead = np.zeros(len(longest), bool)
+        stack, depth = np.zeros((len(words), max(map(len, words)) + 1), np.int64), np.zeros(len(words), np.int64)
+        own, at = np.arange(len(words)), np.concatenate(([0], ends[:-1] + 1))
+        last, piece = np.full(len(words), -1), longest[at]
+        while len(own) > LEFT:
+            # take the piece, if it leads to no dead end and fits the one before
+            tried = np.flatnonzero(piece >= 0)
+            to = at[tried] + self.size[piece[tried]]
+            good = ~dead[to]
+            pairs = np.flatnonzero(good & (last[tried] >= 0))
+            good[pairs] = self.all_compatible(last[tried[pairs]], piece[tried[pairs]])
+            taken, failed = tried[good], tried[~good]
+            back = np.flatnonzero(piece < 0)
+            stack[own[taken], depth[own[taken]]] = last[taken] = piece[taken]
+            depth[own[taken]] += 1
+            at[taken] = to[good]
+            piece[taken] = longest[at[taken]]
+            piece[failed] = self.shorter[piece[failed]]
+            if len(back):  # nothing fits here
+                if (last[back] < 0).any():
+                    raise ValueError("no sequence of pieces covers the text")
+                dead[at[back]] = True
+                depth[own[back]] -= 1
+                at[back] -= self.size[last[back]]
+                piece[back] = self.shorter[last[back]]
+                top = depth[own[back]]
+                last[back] = np.where(top > 0, stack[own[back], top - 1], -1)
+            on = np.flatnonzero(at < ends[own])
+            own, at, last, piece = own[on], at[on], last[on], piece[on]
+        undone = set(own.tolist())
+        raw = stack[np.arange(stack.shape[1]) < depth[:, None]].astype("<u4").tobytes()
+        cuts = (np.cumsum(depth) * 4).tolist()
+        return [None if k in undone else raw[a:b] for k, (a, b) in enumerate(zip([0, *cuts[:-1]], cuts, strict=True))]
+
+    def chunks(self, text: str) -> list[str]:
+        spaced = text.replace(" ", SPACE)
+        return self.cut.findall(SPACE + spaced if self.model.prefix and text else spaced)
+
+    def learn(self, texts: list[str]) -> None:
+        """Encodes the new words of the texts side by side, if they are many, and remembers them."""
+        memory = self.memory
+        new: dict[str, None] = {}
+        for text in texts:
+            new.update(dict.fromkeys([c for c in self.chunks(text) if c not in memory and c not in memory.old and len(c) <= LONGEST]))
+        words = [c for c in islice(new, WORDS // 4) if self.known.issuperset(c)]
+        for k in range(0, len(words), MOST):
+            some = words[k : k + MOST]
+            if len(some) >= MANY:
+                for word, ids in zip(some, self.side_by_side(some), strict=True):
+                    if ids is not None:
+                        memory.put(word, ids)
+
     def encode(self, text: str) -> bytes:
         """The ids, with begin and end, as little-endian 32-bit integers."""
-        spaced = text.replace(" ", SPACE)
-        if self.model.prefix and text:
-            spaced = SPACE + spaced
         memory, parts = self.memory, []
-        for chunk in self.cut.findall(spaced):
+        for chunk in self.chunks(text):
             ids = memory[chunk]
             if ids is None:
                 ids = self.word(chunk)
@@ -240,6 +370,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(held.value)
         for part, texts in blocks(batches):
+            own.learn(texts)
             ids = [own.encode(t) for t in texts]
             decoded = [own.decode(i) for i in ids]
             columns = [part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded], pa.string())]

@@ -69,3 +69,35 @@ def test_ids_without_text(spark):
     both, ids = encode_decode(awkward(spark), PATH, with_text=True), encode_decode(awkward(spark), PATH, with_ids=True)
     assert ids.columns == [c for c in both.columns if c != "decoded"]
     assert sorted(map(str, ids.collect())) == sorted(map(str, both.drop("decoded").collect()))
+
+
+def made_words(n, seed=0):
+    rng = np.random.default_rng(seed)
+    parts = ["th", "er", "on", "ing", "ed", "ou", "x", "é", "ß", "ntth", "tion", "z", "ht", "*", "$", "20", "ieux", "\n", "中", "a", "ight"]
+    return ["".join(rng.choice(parts, int(rng.integers(1, 12)))) for _ in range(n)]
+
+
+def test_side_by_side_equals_library(monkeypatch):
+    words = sorted({"▁" + w for w in made_words(3000)})
+    words = [w for w in words if OURS.known.issuperset(w)]
+    for left in (0, 20):
+        monkeypatch.setattr("sigdiff.llm.pieces.LEFT", left)
+        got = OURS.side_by_side(words)
+        assert sum(x is None for x in got) <= left
+        for word, ids in zip(words, got, strict=True):
+            assert ids is None or np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(word[1:])
+
+
+def test_new_words_of_a_block_are_not_searched_one_by_one(monkeypatch):
+    with open(PATH, "rb") as f:
+        own = Encoder(f.read())
+    asked = []
+    monkeypatch.setattr(own, "word", lambda text, word=own.word: asked.append(text) or word(text))
+    for seed in range(3):
+        texts = [" ".join(made_words(50, 100 * seed + k)) + " 😀\u0600 " + "on" * 60 for k in range(40)] + ["", "a"]
+        own.learn(texts)
+        for text in texts:
+            ids = LIBRARY.encode(text, add_bos=True, add_eos=True)
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == ids
+    new = [w for w in asked if own.known.issuperset(w) and len(w) <= 48]
+    assert len(new) <= 3 * 20  # of about 5,000
