@@ -22,6 +22,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -99,11 +100,26 @@ class Vocabulary:
         """Z of the class of all other tokens."""
         return self.total - int(self.counts[self.ranks < self.top].sum()) + self.types - self.top + 1
 
+    @cached_property
+    def firsts(self) -> tuple[np.uint64, np.ndarray]:
+        """How far hashes are shifted to their first bits, and where in hashes each value of these begins."""
+        bits = len(self.hashes).bit_length()
+        shift = np.uint64(64 - bits)
+        places = np.searchsorted(self.hashes >> shift, np.arange(1 << bits, dtype=np.uint64))
+        return shift, np.minimum(places, len(self.hashes) - 1).astype(np.int32)
+
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         """Places in hashes, -1 where the token is not kept."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        shift, firsts = self.firsts
+        last = len(self.hashes) - 1
+        at = firsts[(hashes >> shift).astype(np.int64)]
+        on = np.flatnonzero((self.hashes[at] < hashes) & (at < last))
+        while len(on):
+            at[on] += 1
+            on = on[at[on] < last]
+            on = on[self.hashes[at[on]] < hashes[on]]
         return np.where(self.hashes[at] == hashes, at, -1)
 
     def ids(self, place: np.ndarray) -> np.ndarray:
