@@ -253,18 +253,47 @@ def read_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return profiles, modes.unionByName(free), lines.drop("valid_hz", "invalid_hz", "mark_name"), rejects
 
 
-def make_pairs(recordings: DataFrame, mode: str, group: list[str] | None = None, references: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
+#: About as many recordings of a group are in a part; each two parts of a group are paired apart.
+PART_ROWS = 1000
+
+
+def _pairs_within(recordings: DataFrame, group: list[str], carried: list[str]) -> DataFrame:
+    """Each two recordings of a group. A group is cut into parts by a hash of the id, and each two of its parts, or a part and itself, are one key of the join, so that
+    large groups are spread over all tasks and no task holds more than a part. Rows of two parts make one pair each, and only the smaller id has to be found.
+
+    The shuffle has few bytes for its many pairs; the number of tasks is therefore given, four for each of spark.sql.shuffle.partitions, and not left to their bytes.
+    """
+    tasks = 4 * int(recordings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = recordings.where("recording_id IS NOT NULL")
+    sizes = known.groupBy(*group).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("_parts"))
+    dealt = known.join(sizes, group).withColumn("_part", F.pmod(F.xxhash64("recording_id"), "_parts").cast("int"))
+    key, names = [*group, "_low", "_high"], {"recording_id": "id"} | {c: c for c in carried}
+    own = lambda side: [F.col(c).alias(f"{side}{n}") for c, n in names.items()]
+    low = dealt.select(*group, *own("_a_"), F.col("_part").alias("_low"), F.explode(F.sequence("_part", F.col("_parts") - 1)).alias("_high")).repartition(tasks, *key)
+    high = dealt.select(*group, *own("_b_"), F.explode(F.sequence(F.lit(0), "_part")).alias("_low"), F.col("_part").alias("_high")).repartition(tasks, *key)
+    rises = F.col("_a_id") < F.col("_b_id")
+    found = low.join(high.hint("merge"), key).where((F.col("_low") < F.col("_high")) | rises)
+    sides = (F.when(rises, F.col(f"{first}{n}")).otherwise(F.col(f"{second}{n}")).alias(f"{side}_{n}") for side, first, second in (("ref", "_a_", "_b_"), ("comp", "_b_", "_a_")) for n in names.values())
+    return found.select(*group, *sides)
+
+
+def make_pairs(recordings: DataFrame, mode: str, group: list[str] | None = None, references: DataFrame | None = None, listed: DataFrame | None = None, carried: list[str] | None = None) -> DataFrame:
     """Mode all (each two of a group), one_to_many (references: recording_id and the group columns) or list (listed: ref_id, comp_id).
 
     Pairs of a group come from a join on the group. Without a group, mode all is every two recordings, as many as the square of their
-    number, which has to be asked for by an empty list.
+    number, which has to be asked for by an empty list. carried, with mode all and a group: columns of recordings that each pair has as ref_ and comp_, so that they need not
+    be joined to the pairs, which are many more than the recordings.
     """
+    if carried and not (mode == "all" and group):
+        raise ValueError("columns are carried with mode all and a group")
     if mode == "list":
         known = lambda n: recordings.select(F.col("recording_id").alias(n))
         return listed.where("ref_id <> comp_id").join(known("ref_id"), "ref_id", "left_semi").join(known("comp_id"), "comp_id", "left_semi").select("ref_id", "comp_id").distinct().withColumn("pair_id", F.concat_ws("-", "ref_id", "comp_id"))
     if mode == "all" and group is None:
         raise ValueError("name the columns of a group, or [] for every two recordings")
     group = group or []
+    if mode == "all" and group:
+        return _pairs_within(recordings, group, carried or []).withColumn("pair_id", F.concat_ws("-", "ref_id", "comp_id"))
     a = (references if mode == "one_to_many" else recordings).select(F.col("recording_id").alias("ref_id"), *group)
     b = recordings.select(F.col("recording_id").alias("comp_id"), *group)
     differ = F.col("ref_id") != F.col("comp_id") if mode == "one_to_many" else F.col("ref_id") < F.col("comp_id")

@@ -260,6 +260,17 @@ def test_pairs_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "blocks")).first().samples == [1.0]
 
 
+def test_pairs_of_a_large_group_are_spread_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "PART_ROWS", 20, raising=False)
+    rows = [(f"r{k:03d}", "big") for k in range(100)] + [("x", "one"), ("y", "two"), ("z", "two"), ("r007", "big"), (None, "big"), ("u", None), ("v", None)]
+    spark.createDataFrame(rows, "recording_id string, card string").coalesce(1).write.parquet(str(tmp_path / "r"))
+    found = sources.make_pairs(spark.read.parquet(str(tmp_path / "r")), "all", ["card"])
+    got = sorted((r.ref_id, r.comp_id, r.pair_id) for r in found.collect())
+    assert got == sorted((a, b, f"{a}-{b}") for a, c in rows for b, d in rows if a and b and c and c == d and a < b)
+    a_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(a_task) > 3 and max(a_task) < len(got) / 2
+
+
 def test_phase_wraps(spark):
     got = spark.createDataFrame([(170.0, -170.0), (-170.0, 170.0), (10.0, 30.0)], "a double, b double").select(exprs.phase_difference(F.col("a"), F.col("b")).alias("d")).collect()
     assert [r.d for r in got] == [20.0, -20.0, 20.0]
