@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigdiff import compare, exprs, layout, levels, samples, search, series, sources, spectrum, sync
+from sigdiff import compare, exprs, layout, levels, queries, samples, search, series, sources, spectrum, sync
 from sigdiff.options import CompareOptions
 
 RATE = 8000
@@ -271,6 +271,28 @@ def test_pairs_of_a_large_group_are_spread_over_tasks(spark, tmp_path, monkeypat
     assert len(a_task) > 3 and max(a_task) < len(got) / 2
 
 
+def test_warnings_travel_with_the_recordings(spark):
+    rows = [(k, k % 2, k % 3 == 0, None if k == 4 else k % 5 == 1) for k in range(30)]
+    facts = spark.createDataFrame(rows, "recording_id long, card int, short boolean, mono boolean")
+    pairs = sources.make_pairs(facts, "all", ["card"], carried=["short", "mono"])
+    found = series.pair_warnings(pairs, carried=["short", "mono"])
+    want = {(f"{a[0]}-{b[0]}", f"{side}_{name}") for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] for side, own in (("ref", a), ("comp", b)) for name, on in (("short", own[2]), ("mono", own[3])) if on}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    joined = series.pair_warnings(pairs.select("pair_id", "ref_id", "comp_id"), facts.select("recording_id", "short", "mono"))
+    assert sorted(map(tuple, joined.collect())) == sorted(got)
+    assert {t for r in pairs.collect() for t in [(r.ref_id, r.comp_id, r.pair_id)]} == {(a[0], b[0], f"{a[0]}-{b[0]}") for a in rows for b in rows if a[0] < b[0] and a[1] == b[1]}
+    with pytest.raises(ValueError):
+        sources.make_pairs(facts, "all", [], carried=["short"])
+
+
+@pytest.mark.parametrize("name", ["d13_warnings"])
+def test_nothing_is_joined_to_pairs_of_a_group(spark, name):
+    plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in plan.split("\n") if "Join " in line)
+    assert "_low" in top  # the topmost join is that of the pairs
+
+
 def test_phase_wraps(spark):
     got = spark.createDataFrame([(170.0, -170.0), (-170.0, 170.0), (10.0, 30.0)], "a double, b double").select(exprs.phase_difference(F.col("a"), F.col("b")).alias("d")).collect()
     assert [r.d for r in got] == [20.0, -20.0, 20.0]
