@@ -286,7 +286,7 @@ def test_warnings_travel_with_the_recordings(spark):
         sources.make_pairs(facts, "all", [], carried=["short"])
 
 
-@pytest.mark.parametrize("name", ["d13_warnings"])
+@pytest.mark.parametrize("name", ["d13_warnings", "u11_align_clock"])
 def test_nothing_is_joined_to_pairs_of_a_group(spark, name):
     plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     top = next(line for line in plan.split("\n") if "Join " in line)
