@@ -293,6 +293,23 @@ def test_nothing_is_joined_to_pairs_of_a_group(spark, name):
     assert "_low" in top  # the topmost join is that of the pairs
 
 
+def test_bounds_of_many_blocks_are_running_sums(spark):
+    ms = 16.6875
+    blocks = spark.range(20000).selectExpr("if(id % 4 = 0, 's', 'r') AS recording_id", "1000.0D AS sample_rate", "CAST(id DIV 4 AS int) AS block_no", f"(id % 51 + 2) * {ms}D / 1000 AS seconds", "id % 4 AS part")
+    found = layout.block_bounds(blocks.where("part IN (0, 1)").drop("part"))
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()  # no recording in one row
+    got = {(r.recording_id, r.block_no): (r.start_frame, r.n_frames) for r in found.collect()}
+    assert len(got) == 10000
+    for name, first in (("s", 0), ("r", 1)):
+        sixteenths = 0
+        for k in range(5000):
+            length = (((4 * k + first) % 51) + 2) * 267
+            assert got[name, k] == (sixteenths // 16, length // 16)
+            sixteenths += length
+    gap = spark.createDataFrame([("r", 1.0, 0, 3.5), ("r", 1.0, 1, None), ("r", 1.0, 2, 2.0), ("r", 2.0, 0, 1.75), ("r", 2.0, 1, 1.0)], "recording_id string, sample_rate double, block_no int, seconds double")
+    assert sorted(map(str, map(tuple, layout.block_bounds(gap).collect()))) == sorted(map(str, [("r", 0, 0, 3), ("r", 1, 3, None), ("r", 2, None, 2), ("r", 0, 0, 3), ("r", 1, 3, 2)]))
+
+
 def test_phase_wraps(spark):
     got = spark.createDataFrame([(170.0, -170.0), (-170.0, 170.0), (10.0, 30.0)], "a double, b double").select(exprs.phase_difference(F.col("a"), F.col("b")).alias("d")).collect()
     assert [r.d for r in got] == [20.0, -20.0, 20.0]
